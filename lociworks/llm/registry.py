@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_bpe": bpe.op4_bpe}
+    return {"op4_bpe": bpe.op4_bpe, "op5_quality_rules": quality_rules.op5_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
