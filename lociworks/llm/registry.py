@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality_rules
+from . import bpe, chat, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_bpe": bpe.op4_bpe, "op5_quality_rules": quality_rules.op5_quality_rules}
+    return {
+        "op4_bpe": bpe.op4_bpe,
+        "op5_quality_rules": quality_rules.op5_quality_rules,
+        "op10_chat_format": chat.op10_chat_format,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_chat_format": chat.OP10_SQL}
