@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, quality_rules
+from . import bpe, chat, quality_rules, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_bpe": bpe.op4_bpe,
         "op5_quality_rules": quality_rules.op5_quality_rules,
+        "op6_secret_scan": secrets.op6_secret_scan,
         "op10_chat_format": chat.op10_chat_format,
     }
 
