@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, quality_rules, secrets
+from . import bpe, chat, decontamination, quality_rules, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_decontamination": decontamination.op2_decontamination,
         "op4_bpe": bpe.op4_bpe,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_secret_scan": secrets.op6_secret_scan,
@@ -19,4 +20,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_format": chat.OP10_SQL}
+    return {"op2_decontamination": decontamination.OP2_SQL, "op10_chat_format": chat.OP10_SQL}
