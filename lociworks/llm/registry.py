@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontamination, quality_rules, secrets
+from . import bpe, chat, decontamination, licenses, quality_rules, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_bpe": bpe.op4_bpe,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_secret_scan": secrets.op6_secret_scan,
+        "op7_license_scan": licenses.op7_license_scan,
         "op10_chat_format": chat.op10_chat_format,
     }
 
