@@ -68,7 +68,7 @@ def _template_words(text: str) -> list[str]:
 
 
 def grams(w: Column) -> Column:
-    """The hash of every K consecutive words, in order."""
+    """The hash of every K consecutive words of a column, in order."""
     n = F.size(w) - K + 1
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(K)]))).otherwise(F.array().cast("array<bigint>"))
 
@@ -85,7 +85,8 @@ def template_grams(spark: SparkSession, templates: list[tuple[str, str]]) -> Dat
 def spans(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """(doc_id, text_key, label, first_word, last_word, coverage): verified spans, ends included."""
     known = template_grams(docs.sparkSession, TEMPLATES if templates is None else templates)
-    each = docs.select(*row_key(F.col("doc_id"), F.col("text").cast("string")), F.posexplode(grams(words(F.col("text")))).alias("pos", "h"))
+    own = docs.select(*row_key(F.col("doc_id"), F.col("text").cast("string")), words(F.col("text")).alias("w"))
+    each = own.select("doc_id", "text_key", F.posexplode(grams(F.col("w"))).alias("pos", "h"))
     met = each.join(F.broadcast(known), "h").select("doc_id", "text_key", "template", "label", "grams", (F.col("pos") - F.col("at")).alias("diagonal"), "pos", "at")
     met = met.repartition("doc_id", "text_key").distinct()
     keys = ["doc_id", "text_key", "template"]
@@ -101,6 +102,13 @@ def spans(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> Da
     return merged.withColumn("coverage", F.least(coverage, F.lit(1.0))).where((F.col("coverage") >= COVERAGE) & (density >= DENSITY)).select("doc_id", "text_key", "label", "first_word", "last_word", "coverage")
 
 
+def best_spans(found: DataFrame) -> DataFrame:
+    """(doc_id, text_key, found_spans): each document's spans, less those that overlap one of a greater coverage."""
+    all_spans = F.array_sort(F.collect_list(F.struct("first_word", "last_word", "label", "coverage")))
+    beaten = lambda s: F.exists("all", lambda t: (t["coverage"] > s["coverage"]) & (t["first_word"] <= s["last_word"]) & (s["first_word"] <= t["last_word"]))
+    return found.groupBy("doc_id", "text_key").agg(all_spans.alias("all")).select("doc_id", "text_key", F.filter("all", lambda s: ~beaten(s)).alias("found_spans"))
+
+
 def phrase_places(w: Column) -> Column:
     """array<struct<at, label>>: where the fixed phrases stand."""
 
@@ -125,8 +133,8 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     own = docs.select(*row_key(F.col("doc_id"), F.col("text").cast("string")), words(F.col("text")).alias("w"))
     base = own.select("doc_id", "text_key", F.size("w").cast("long").alias("n_words"), phrase_places(F.col("w")).alias("places"))
-    found = spans(docs).groupBy("doc_id", "text_key").agg(F.collect_set("label").alias("found"), F.max("coverage").alias("best"), F.array_sort(F.collect_list(F.struct("first_word", "last_word", "label"))).alias("found_spans"))
-    found = found.select(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key"), "found", "best", "found_spans")
+    found = best_spans(spans(docs)).select(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key"), "found_spans")
+    best, named = F.array_max(F.transform("found_spans", lambda s: s["coverage"])), F.transform("found_spans", lambda s: s["label"])
     both = base.join(found, base["doc_id"].eqNullSafe(found["found_id"]) & (base["text_key"] == found["found_key"]), "left")
     labels = F.array_distinct(F.transform("places", lambda p: p["label"]))
     at = F.transform("places", lambda p: p["at"].cast("long"))
@@ -137,7 +145,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_min(at).alias("first_word"),
         F.array_max(at).alias("last_word"),
         F.array_join(F.array_sort(labels), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union(labels, F.coalesce("found", F.array().cast("array<string>")))), ",").alias("labels"),
-        F.greatest(F.coalesce("best", F.lit(0.0)), F.when(F.size("places") > 0, 1.0).otherwise(0.0)).alias("score"),
+        F.array_join(F.array_sort(F.array_union(labels, F.coalesce(named, F.array().cast("array<string>")))), ",").alias("labels"),
+        F.greatest(F.coalesce(best, F.lit(0.0)), F.when(F.size("places") > 0, 1.0).otherwise(0.0)).alias("score"),
         F.coalesce(F.array_join(F.transform("found_spans", lambda s: F.concat_ws(":", s["label"], s["first_word"].cast("string"), s["last_word"].cast("string"))), ","), F.lit("")).alias("spans"),
     )
