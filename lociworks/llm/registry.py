@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontamination, licenses, quality_rules, secrets
+from . import bpe, chat, decontamination, licenses, quality_rules, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_secret_scan": secrets.op6_secret_scan,
         "op7_license_scan": licenses.op7_license_scan,
+        "op9_simhash": simhash.op9_simhash,
         "op10_chat_format": chat.op10_chat_format,
     }
 
