@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontamination, licenses, quality_rules, secrets, simhash
+from . import bpe, chat, decontamination, licenses, quality_rules, secrets, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_decontamination": decontamination.op2_decontamination,
         "op4_bpe": bpe.op4_bpe,
         "op5_quality_rules": quality_rules.op5_quality_rules,
