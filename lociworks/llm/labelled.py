@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Collection, Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -13,6 +13,8 @@ from .common import held_out
 
 #: Texts past this many characters are not trained on, which bounds what a sample weighs. They are scored like any other.
 SAMPLE_CHARS = 20_000
+#: See calibrated().
+PRIOR = 0.5
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, most: dict[int, int]) -> tuple[list[tuple[str, int]], float]:
@@ -37,7 +39,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int
 def calibrated(z: np.ndarray, y: np.ndarray, share: float | None = None) -> tuple[float, float]:
     """(scale, shift) of the logits z that make scale * z + shift likeliest for the labels y.
 
-    share: how many of the rows that y was drawn from have label 1, if y has been drawn unevenly.
+    share: how many of the rows that y was drawn from have label 1, if y has been drawn unevenly. The shift
+    goes PRIOR of the way from the drawn odds to those: all of it is likeliest, less of it misses fewer rare rows.
     """
     mean, spread = float(z.mean()), float(z.std()) or 1.0
     x, target = (z - mean) / spread, y * (1 - 2e-3) + 1e-3
@@ -51,7 +54,7 @@ def calibrated(z: np.ndarray, y: np.ndarray, share: float | None = None) -> tupl
         a, b = a - np.clip((hbb * ga - hab * gb) / det, -1, 1), b - np.clip((haa * gb - hab * ga) / det, -1, 1)
     drawn = float(y.mean())
     if share and 0 < share < 1 and 0 < drawn < 1:
-        b += math.log(share / (1 - share)) - math.log(drawn / (1 - drawn))
+        b += PRIOR * (math.log(share / (1 - share)) - math.log(drawn / (1 - drawn)))
     return float(a / spread), float(b - a * mean / spread)
 
 
@@ -67,7 +70,7 @@ class WordValues:
         self._at: dict[str, int] = {}
         self.rows = np.zeros((0, width), dtype=np.float32)
 
-    def learn(self, texts: Iterable[list[str]]) -> None:
+    def learn(self, texts: Iterable[Collection[str]]) -> None:
         texts = list(texts)
         new = set().union(*texts).difference(self._at)
         if self._at and len(self._at) + len(new) > self._remember:
@@ -78,7 +81,7 @@ class WordValues:
             self._at.update(zip(words, range(len(self._at), len(self._at) + len(words))))
             self.rows = np.concatenate([self.rows, self._make(words)])
 
-    def of(self, words: list[str]) -> np.ndarray:
+    def of(self, words: Collection[str]) -> np.ndarray:
         return self.rows[np.fromiter(map(self._at.__getitem__, words), dtype=np.int64, count=len(words))]
 
 

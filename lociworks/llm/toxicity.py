@@ -1,7 +1,8 @@
 """Toxicity by subword-bag embeddings (operator 1).
 
 A word is a bag of hashed character n-grams and itself; a text is the average
-of the vectors of all its subwords, which a linear softmax classifies. Vectors
+of the vectors of all its subwords, which a linear softmax classifies. A word
+that is repeated n times weighs log2(1 + n). Vectors
 and softmax are trained together in numpy on a bounded sample of labelled rows
 (at most ``SAMPLE`` of each label). Misspelt words that training never saw
 share n-grams, and so vectors, with the words they stand for. A part of the
@@ -38,7 +39,7 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Rows of each label that are trained on at most.
 SAMPLE = {0: 2500, 1: 1500}
 BUCKETS, WIDTH, SHORTEST, LONGEST = 1 << 15, 8, 3, 5
-EPOCHS, BATCH, RATE, DECAY = 12, 128, 0.05, 1e-5
+EPOCHS, BATCH, RATE, DECAY = 10, 128, 0.05, 1e-5
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
 
 
@@ -82,7 +83,7 @@ def _bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
             out.append((np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.float32)))
             continue
         ids = np.concatenate([seen[w] for w in counts])
-        times = np.repeat(list(counts.values()), [len(seen[w]) for w in counts])
+        times = np.repeat(np.log2(1.0 + np.array(list(counts.values()))), [len(seen[w]) for w in counts])
         n = np.bincount(ids, weights=times, minlength=BUCKETS)
         at = np.flatnonzero(n)
         out.append((at.astype(np.int32), (n[at] / n.sum()).astype(np.float32)))
@@ -144,12 +145,13 @@ class Scorer:
         return np.stack([np.add.reduceat(flat, np.concatenate([[0], np.cumsum(sizes)[:-1]])), sizes], axis=1).astype(np.float32)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        cut = [words(t or "") for t in texts]
+        cut = [Counter(words(t or "")) for t in texts]
         self._values.learn(cut)
         z = np.zeros(len(texts))
-        for i, w in enumerate(cut):
-            if w:
-                total, n = self._values.of(w).sum(0, dtype=np.float64)
+        for i, counts in enumerate(cut):
+            if counts:
+                times = np.log2(1.0 + np.fromiter(counts.values(), dtype=np.float64, count=len(counts)))
+                total, n = times @ self._values.of(counts)
                 z[i] = total / n
         return probability(self._model.scale * z + self._model.shift)
 
