@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontamination, licenses, quality_rules, secrets, simhash, toxicity
+from . import bpe, chat, decontamination, licenses, quality_model, quality_rules, secrets, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_secret_scan": secrets.op6_secret_scan,
         "op7_license_scan": licenses.op7_license_scan,
+        "op8_quality": quality_model.op8_quality,
         "op9_simhash": simhash.op9_simhash,
         "op10_chat_format": chat.op10_chat_format,
     }
