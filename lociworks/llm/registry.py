@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontamination, licenses, quality_model, quality_rules, secrets, simhash, toxicity
+from . import bpe, chat, decontamination, licenses, lm, quality_model, quality_rules, secrets, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_decontamination": decontamination.op2_decontamination,
+        "op3_lm_score": lm.op3_lm_score,
         "op4_bpe": bpe.op4_bpe,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_secret_scan": secrets.op6_secret_scan,
