@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import relational  # noqa: F401  registers its queries
+from . import relational, vectors  # noqa: F401  they register their queries
 from .named import QUERIES, SQL
 
 
