@@ -72,7 +72,7 @@ def content_split(df: DataFrame, keys: list[str], fraction: float, salt: int, na
     @F.pandas_udf("boolean")
     def chosen(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for part in parts:
-            yield pd.Series(mix(salt, part) < limit)
+            yield pd.Series(mix(salt, part if isinstance(part, tuple) else (part,)) < limit)
 
     return df.withColumn(name, chosen(*[F.col(k).cast("string" if kind[k].dataType.typeName() == "string" else "long") for k in keys]))
 

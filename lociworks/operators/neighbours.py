@@ -28,7 +28,7 @@ def knn_join(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id"
     ids = queries.select(F.col(id_col).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v"))
     got = ids.toArrow()  # the stated query set
     all_ids = got.column("q").to_numpy()
-    vectors = np.array(got.column("v").to_pylist(), dtype=np.float64).reshape(len(all_ids), -1)
+    vectors = np.array(got.column("v").to_pylist(), dtype=np.float64).reshape(len(all_ids), -1 if len(all_ids) else 1)
     out = []
     for at in range(0, max(1, len(all_ids)), BLOCK):
         sent = spark.sparkContext.broadcast((all_ids[at : at + BLOCK], vectors[at : at + BLOCK]))

@@ -202,9 +202,9 @@ def hist_2d(spark, sf_dir):
     return histograms.histogram_2d(featuremap(spark, sf_dir), "QUAL", "SNVQ", (5.0, 45.0, 5000.0, 85000.0), 16)
 
 
-@named(f"{_W} SELECT round(quantile_cont(SNVQ, 0.005), 4) AS lo, round(quantile_cont(SNVQ, 0.995), 4) AS hi FROM fm")
+@named(f"{_W} SELECT round(quantile_cont(SNVQ, 0.005), 2) AS lo, round(quantile_cont(SNVQ, 0.995), 2) AS hi FROM fm")
 def robust_extent(spark, sf_dir):
-    return histograms.robust_extent(featuremap(spark, sf_dir), "SNVQ", 0.5).select(F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
+    return histograms.robust_extent(featuremap(spark, sf_dir), "SNVQ", 0.5).select(F.round("lo", 2).alias("lo"), F.round("hi", 2).alias("hi"))
 
 
 @named(

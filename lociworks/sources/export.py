@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scan import union_by_name
 
@@ -30,7 +31,7 @@ def vcf_header(date: str, source: str, reference: str | None = None) -> list[str
     return [*out, '##FILTER=<ID=PASS,Description="All filters passed">', "#" + "\t".join(["CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO"])]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def six_digits(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Numbers with six significant digits, as %.6g writes them. Spark's own format has no such form."""
     for x in parts:
