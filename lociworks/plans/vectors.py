@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import hashing
-from ..operators import latent, models, neighbours, sampling
+from ..operators import latent, models, neighbours, quality, sampling
 from ..sources import export, scan
 from ..sources.featuremap import FM_SQL, featuremap
 from ..streaming.spectrum_stream import early_stop
@@ -225,3 +225,88 @@ def early_stop_fold(spark, sf_dir):
     daily = scan.table(spark, sf_dir, "events").groupBy("event_type", F.datediff(F.to_date("ts"), F.lit("2024-01-01")).cast("long").alias("epoch")).agg(F.avg("value").alias("loss"), F.lit(16).cast("long").alias("active"))
     ordered = daily.groupBy("event_type").agg(F.array_sort(F.collect_list(F.struct("epoch", "loss", "active"))).alias("epochs"))
     return ordered.select("event_type", early_stop(F.col("epochs"), 1e-3, 3).alias("s")).select("event_type", "s.best", "s.stagnant", "s.stopped_at")
+
+
+def _dims(n: int, at: int = 0):
+    return [F.col("embedding")[at + i] for i in range(n)]
+
+
+_E4 = "e AS (SELECT label AS k, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(4)) + " FROM embeddings)"
+_C4 = "c AS (SELECT k, count(*) AS n, " + ", ".join(f"avg(x{i}) AS c{i}" for i in range(4)) + " FROM e GROUP BY k)"
+
+
+def _gap(a: str, b: str) -> str:
+    return "sqrt(" + " + ".join(f"({a.format(i)} - {b.format(i)}) * ({a.format(i)} - {b.format(i)})" for i in range(4)) + ")"
+
+
+@named(
+    f"""WITH {_E4}, {_C4}, s AS (SELECT k, avg({_gap('x{0}', 'c{0}')}) AS s FROM e JOIN c USING (k) GROUP BY k), cs AS (SELECT * FROM c JOIN s USING (k))
+SELECT round(avg(r), 6) AS davies_bouldin FROM (SELECT max((a.s + b.s) / {_gap('a.c{0}', 'b.c{0}')}) AS r FROM cs a JOIN cs b ON a.k <> b.k GROUP BY a.k)"""
+)
+def davies_bouldin(spark, sf_dir):
+    return quality.davies_bouldin(scan.table(spark, sf_dir, "embeddings"), "label", _dims(4)).select(F.round("davies_bouldin", 6).alias("davies_bouldin"))
+
+
+@named(
+    f"""WITH {_E4}, {_C4}, t AS (SELECT {", ".join(f"avg(x{i}) AS m{i}" for i in range(4))}, count(*) AS n, count(DISTINCT k) AS g FROM e),
+w AS (SELECT sum(power({_gap('x{0}', 'c{0}')}, 2)) AS within FROM e JOIN c USING (k)), b AS (SELECT sum(c.n * power({_gap('c{0}', 'm{0}')}, 2)) AS between_ FROM c, t)
+SELECT round(between_ * (n - g) / (within * (g - 1)), 4) AS calinski_harabasz FROM w, b, t"""
+)
+def calinski_harabasz(spark, sf_dir):
+    return quality.calinski_harabasz(scan.table(spark, sf_dir, "embeddings"), "label", _dims(4)).select(F.round("calinski_harabasz", 4).alias("calinski_harabasz"))
+
+
+@named(
+    f"""WITH p AS (SELECT {", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS a{i}, CAST(embedding[{i + 5}] AS DOUBLE) AS b{i}" for i in range(4))} FROM embeddings),
+u AS (SELECT sqrt(({" + ".join(f"var_pop(a{i})" for i in range(4))}) / 4) AS u FROM p), d AS (SELECT {_gap('a{0}', 'b{0}')} / u AS d FROM p, u)
+SELECT round(avg(d), 5) AS mean, round(median(d), 5) AS median, round(quantile_cont(d, 0.95), 5) AS p95 FROM d"""
+)
+def embedding_error(spark, sf_dir):
+    out = quality.embedding_error(scan.table(spark, sf_dir, "embeddings"), _dims(4), _dims(4, 4))
+    return out.select(*[F.round(c, 5).alias(c) for c in out.columns])
+
+
+@named("SELECT event_type, user_id, count(value) AS n, round(avg(value), 6) AS mean, CASE WHEN count(value) > 1 THEN round(stddev_pop(value), 5) END AS std FROM events WHERE value IS NOT NULL GROUP BY 1, 2")
+def replicate_summary(spark, sf_dir):
+    out = quality.replicate_summary(scan.table(spark, sf_dir, "events"), ["event_type", "user_id"], "value")
+    return out.select("event_type", "user_id", "n", F.round("mean", 6).alias("mean"), F.round("std", 5).alias("std"))
+
+
+@named(
+    """WITH v AS (SELECT l_returnflag AS g, CAST(l_quantity AS BIGINT) AS size, avg(l_extendedprice / l_quantity) AS value FROM lineitem GROUP BY 1, 2),
+t AS (SELECT *, last_value(value) OVER w AS z, count(*) OVER (PARTITION BY g) AS n FROM v WINDOW w AS (PARTITION BY g ORDER BY size ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+o AS (SELECT *, max(CAST(abs(value - z) > 400 AS INT)) OVER (PARTITION BY g ORDER BY size ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS off FROM t)
+SELECT g, min(size) AS size FROM o WHERE off = 0 AND n > 1 GROUP BY g"""
+)
+def convergence_point(spark, sf_dir):
+    v = scan.table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("g"), F.col("l_quantity").cast("bigint").alias("size")).agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("value"))
+    return quality.convergence_point(v, "g", "size", "value", 400.0)
+
+
+@named("SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) % 10 = 3 AS is_val FROM orders")
+def positional_split(spark, sf_dir):
+    return quality.positional_split(scan.table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 0.9, 13)
+
+
+@named(
+    f"""WITH {_knn_sql('nn', '{}.embedding', 1000000)}, {_knn_sql('low', '{}.embedding[1:16]', 1000000)}, p AS (SELECT nn.distance AS high, low.distance AS low FROM nn JOIN low USING (q, id) WHERE nn.place <= 100),
+r AS (SELECT *, rank() OVER (ORDER BY high) + (count(*) OVER (PARTITION BY high) - 1) / 2 AS rh, rank() OVER (ORDER BY low) + (count(*) OVER (PARTITION BY low) - 1) / 2 AS rl FROM p)
+SELECT round(corr(high, low), 6) AS pearson, round(corr(rh, rl), 6) AS spearman FROM r"""
+)
+def distance_correlation(spark, sf_dir):
+    """Of the 100 nearest rows of each query, distances in all and in the first 16 dimensions."""
+    e = scan.table(spark, sf_dir, "embeddings")
+    near = _knn(spark, sf_dir, 100)
+    v = e.select("vec_id", F.slice("embedding", 1, 16).cast("array<double>").alias("v"))
+    met = near.join(v.select(F.col("vec_id").alias("q"), F.col("v").alias("a")), "q").join(v.select(F.col("vec_id").alias("id"), F.col("v").alias("b")), "id")
+    low = F.round(F.sqrt(F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)), 6)
+    out = quality.pair_distance_correlation(met.select(F.col("distance").alias("high"), low.alias("low")), "high", "low")
+    return out.select(F.round("pearson", 6).alias("pearson"), F.round("spearman", 6).alias("spearman"))
+
+
+@named(f"{_W}, f AS (SELECT cluster_label, count(*) AS size, avg(cluster_probability - 5) AS score FROM fm WHERE cluster_label >= 0 GROUP BY 1) SELECT round(sum(score * size) / sum(size), 6) AS weighted, round(avg(CAST(score < 0 AS INT)), 6) AS negative_share FROM f")
+def score_reweighting(spark, sf_dir):
+    f = featuremap(spark, sf_dir).where("cluster_label >= 0")
+    sizes, scores = f.groupBy("cluster_label").agg(F.count("*").alias("size")), f.groupBy("cluster_label").agg(F.avg(F.col("cluster_probability") - 5).alias("score"))
+    out = quality.reweighted_mean(scores, sizes, "cluster_label", "score")
+    return out.select(F.round("weighted", 6).alias("weighted"), F.round("negative_share", 6).alias("negative_share"))
