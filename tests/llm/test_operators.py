@@ -1,0 +1,295 @@
+"""Each operator against a brute-force version, and its edge cases."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from cases import benchmark, documents, texts
+from pyspark.sql import functions as F
+
+from lociworks.llm import bpe, chat, decontamination, licenses, lm, quality_model, quality_rules, secrets, simhash, toxicity
+from lociworks.llm.common import ASCII_LOWER
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return documents(spark).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return documents(spark, [])
+
+
+def test_bpe_equals_the_library(spark, docs, none):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {t: tok.encode(t or "", add_special_tokens=False).ids for _, t in texts()}
+    want = Counter((i, hashlib.sha256(np.array(ids[t], dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(tok.decode(ids[t], skip_special_tokens=False).encode()).hexdigest()) for i, t in texts())
+    assert Counter((r.doc_id, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(docs).collect()) == want
+    encoded = bpe.encode(docs)
+    assert Counter((r.doc_id, tuple(r.ids)) for r in encoded.collect()) == Counter((i, tuple(ids[t])) for i, t in texts())
+    assert Counter((r.doc_id, r.text) for r in bpe.decode(encoded).collect()) == Counter((i, t or "") for i, t in texts())
+    assert bpe.digests(none).count() == 0
+
+
+def test_long_pretokens_merge_like_short_ones(monkeypatch):
+    import public_tokenizers
+
+    model = bpe.RankArrayBpe(open(public_tokenizers.path("byte_bpe_50k.json"), "rb").read())
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 50, 127, 128):
+        word = bytes(rng.choice(list(b"theing"), n).tolist())
+        monkeypatch.setattr(bpe, "SHORT", 1 << 20)
+        short = model.merge(word)
+        monkeypatch.setattr(bpe, "SHORT", 0)
+        assert model.merge(word) == short
+
+
+def test_chat_round_trip(spark):
+    rows = [
+        (1, 0, "system", "be [SYS] kind </s>", "x"),
+        (1, 1, "user", "[\\INST] <\\\\s> [ROLE]\n", "x"),
+        (1, 2, "assistant", "[", "x"),
+        (2, 0, "assistant", "out of turn", "x"),
+        (3, 0, "weird [/ROLE]", "hi [/TURN]", "x"),
+        (3, None, None, None, "x"),
+        (None, 0, "user", "", "x"),
+        (4, 0, "user", "tie b", "x"),
+        (4, 0, "user", "tie a", "x"),
+        (5, 0, "user", "q\n" * 40_000, "x"),
+        (5, 1, "assistant", "<s>" * 9000, "x"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, turns string")
+    chats = chat.format_chat(df)
+    got = {r.conv_id: r for r in chats.select("conv_id", "valid", chat.parse_turns(chat.formatted_text(F.col("segments"))).alias("turns")).collect()}
+    key = lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")
+    for c in {r[0] for r in rows}:
+        assert [(t.role, t.text) for t in got[c].turns] == [(r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == c), key=key)]
+    assert [c for c in got if got[c].valid] and {c for c in got if got[c].valid} == {1, 5}
+    digest = {r.conv_id: r for r in chat.digests(chats).collect()}
+    assert digest[1].loss_chars == 1 and digest[2].loss_sha256 == hashlib.sha256(b"out of turn").hexdigest()
+    assert chat.digests(chat.format_chat(df.where("false"))).count() == 0
+
+
+def test_template_refuses_ambiguous_marks():
+    with pytest.raises(ValueError):
+        chat.ChatTemplate(roles={"user": chat.Marks("<<u>>", "</u>")})
+
+
+def windows_of(text: str | None) -> set[tuple[str, ...]]:
+    w = WORD.findall((text or "").translate(ASCII_LOWER))
+    return {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))} if w else set()
+
+
+@pytest.mark.parametrize("block", [100_000, 2])
+def test_decontamination(spark, docs, none, monkeypatch, block):
+    monkeypatch.setattr(decontamination, "BLOCK", block)
+    bench = benchmark(spark)
+    items = {(str(i) if i is not None else "null", w) for i, t in [(r.item_id, r.text) for r in bench.collect()] for w in windows_of(t)}
+    want = Counter()
+    for i, t in texts():
+        w = WORD.findall((t or "").translate(ASCII_LOWER))
+        hit, found = set(), set()
+        for item, win in items:
+            for at in range(len(w) - len(win) + 1):
+                if tuple(w[at : at + len(win)]) == win:
+                    hit |= {*range(at, at + len(win))}
+                    found.add(item)
+        want[i, len(w), len(hit), tuple(sorted(found))] += 1
+    per = decontamination.phrase_matches(docs, bench).select("doc_id", "n_words", decontamination.covered(F.col("found")).alias("n"), F.array_sort(F.array_distinct(F.transform("found", lambda m: m["item_id"]))).alias("items"))
+    assert Counter((r.doc_id, r.n_words, r.n, tuple(r["items"])) for r in per.collect()) == want
+    kept = decontamination.decontaminate(docs, bench)
+    assert kept.columns == docs.columns and kept.count() == sum(n for (_, _, hits, _), n in want.items() if not hits)
+    assert decontamination.phrase_matches(none, bench).count() == 0
+    assert decontamination.phrase_matches(docs, bench.where("false")).where(F.size("found") > 0).count() == 0
+
+
+def test_proximity(spark):
+    docs = documents(spark, [(1, "the quick brown extra foxes jumped"), (2, "the quick brown foxes jumped")])
+    items = spark.createDataFrame([(9, "quick brown foxes")], "item_id long, text string")
+    got = {r.doc_id: r.apart for r in decontamination.proximity_matches(docs, items, slop=2).collect()}
+    assert got[2] == 0 and set(got) <= {1, 2}
+
+
+def test_quality_counts(spark, docs, none):
+    got = {}
+    for r in quality_rules.measure(docs).collect():
+        got[r.doc_id] = r
+    for i, t in texts():
+        w = SPLIT.findall(t or "")
+        lines = [x for x in (t or "").split("\n") if SPLIT.search(x)]
+        wins = Counter(zip(w, w[1:], w[2:]))
+        hit = {k + d for k in range(len(w) - 2) if wins[w[k], w[k + 1], w[k + 2]] > 1 for d in range(3)}
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(hit))
+        assert r.base_failed == (len(w) < 50 or 100 * len(hit) > 50 * len(w)) and not (r.base_failed and r.kept)
+    kept = quality_rules.keep(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
+    assert quality_rules.measure(none).count() == quality_rules.keep(none).count() == 0
+
+
+def test_scripts():
+    assert [quality_rules.script_of(t) for t in ("abc", "привет", "日本語", "한국어", "ñandú")] == ["latin", "cyrillic", "han", "hangul", "latin"]
+
+
+def test_secrets(spark, docs, none):
+    model = secrets.train(docs)
+    got = {r.doc_id: r for r in secrets.scan(docs, model).collect()}
+    for i, t in texts():
+        t = t or ""
+        want = [(m.start(), 0, m.end()) for m in re.finditer(secrets.ASSIGN, t) if len(m[2]) >= 12]
+        want += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+        want += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+        assert [tuple(s) for s in got[i].base_found] == sorted(want)
+        assert set(map(tuple, got[i].base_found)) <= set(map(tuple, got[i].all_found))
+    assert any(s["rank"] == 3 for s in got[51].all_found)
+    clean = secrets.redact(docs, model)
+    assert clean.columns == docs.columns and clean.count() == docs.count()
+    text = {r.doc_id: r.text for r in clean.collect()}
+    assert text[1] is None and text[4] == "one" and "ghp_" not in text[51] and "ABCDEFGH" not in text[50]
+    assert secrets.scan(none, model).count() == 0
+    assert len(secrets.train(none)) == len(model)
+
+
+def test_licenses(spark, docs, none):
+    w = docs.select("doc_id", licenses.words(F.col("text")).alias("w"))
+    got = {r.doc_id: [(p["at"], p["label"]) for p in r.places] for r in w.select("doc_id", licenses.phrase_places(F.col("w")).alias("places")).collect()}
+    for i, t in texts():
+        own = WORD.findall((t or "").translate(ASCII_LOWER))
+        assert got[i] == sorted((k, label) for phrase, label in licenses.PHRASES.items() for k in range(len(own)) if tuple(own[k : k + len(phrase)]) == phrase)
+    found = {r.doc_id: {s["label"] for s in r.found_spans} for r in licenses.best_spans(licenses.spans(docs)).collect()}
+    assert found[60] == {"apache-2.0"} and "gpl-3.0" in found[62]
+    assert set(found) <= {60, 61, 62}
+    assert licenses.spans(none).count() == 0
+    with pytest.raises(ValueError):
+        licenses.spans(docs, [("x", "too short")])
+
+
+@pytest.mark.parametrize("head", [500_000, 5])
+def test_lm(spark, docs, none, monkeypatch, head):
+    monkeypatch.setattr(lm, "HEAD", head)
+    out = F.coalesce(F.col("doc_id") % 5 != 2, F.lit(True))
+    model, counts = lm.train(docs, out)
+    got = lm.score(docs, model, counts).collect()
+    cut = lambda t: [*SPLIT.findall((t or "").translate(ASCII_LOWER)), None]
+    seen = Counter(w for i, t in texts() if i is None or i % 5 != 2 for w in cut(t))
+    n, v = sum(seen.values()), len(seen)
+    assert (model.n, model.v) == (n, v)
+    want = sorted((i or -1, len(cut(t)), sum(seen[w] > 0 for w in cut(t)), round(sum(np.log10((seen[w] + 1) / (n + v + 1)) for w in cut(t)), 6)) for i, t in texts())
+    assert sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
+    assert all(r.score < 0 and np.isfinite(r.score) for r in got)
+    empty, nothing = lm.train(none, out)
+    assert lm.score(none, empty, nothing).count() == 0
+    assert all(np.isfinite(r.score) and r.n_known == 0 for r in lm.score(docs, empty, nothing).collect())
+
+
+def test_filter_reads_quantised_counts(spark):
+    n = np.random.default_rng(2).integers(1, 5000, 3000)
+    h = lm.mixed(np.arange(3000, dtype=np.uint64))
+    grams = spark.createDataFrame(list(zip(h.view(np.int64).tolist(), n.tolist())), "h long, n long")
+    f = lm.build_filter(grams, int(lm.levels(n).sum()))
+    got = f.count(h)
+    assert (got >= n / 2).all() and np.mean((got >= n / 2) & (got <= 2 * n)) > 0.97
+    assert (f.count(lm.mixed(np.arange(10**6, 10**6 + 3000, dtype=np.uint64))) > 0).mean() < 0.05
+
+
+def slow_fingerprint(text: str | None) -> int:
+    w = SPLIT.findall((text or "").translate(ASCII_LOWER))
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), 42) for i in range(max(1, len(w) - 3))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+@pytest.mark.parametrize("block", [1024, 2])
+def test_simhash(spark, docs, none, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rows = texts()
+    fps = [slow_fingerprint(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 4:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    least: dict = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[root(k)] = min(least.get(root(k), i), i)
+    want = Counter((i, fps[k], least.get(root(k))) for k, (i, _) in enumerate(rows))
+    got = simhash.near_duplicates(docs).collect()
+    assert Counter((r.doc_id, r.fp % 2**64, r.component_id) for r in got) == want
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} >= set(least.values())
+    assert kept.count() == len({*least.values()}) + sum(c is None for _, _, c in want)
+    assert simhash.near_duplicates(none).count() == simhash.keep_one(none).count() == 0
+
+
+def test_every_link_shares_a_key_and_passes_the_chains(spark):
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    b = a.copy()
+    for k in range(400):
+        for bit in rng.choice(64, rng.integers(1, 5), replace=False):
+            b[k] ^= np.uint64(1 << int(bit))
+    df = spark.createDataFrame([(k, int(x), int(y)) for k, (x, y) in enumerate(zip(a.view(np.int64), b.view(np.int64)))], "k int, a long, b long")
+    shared = df.select("k", F.array_intersect(simhash.keys(F.col("a")), simhash.keys(F.col("b"))).alias("s")).collect()
+    assert all(r.s for r in shared)
+    for r in shared:
+        starts = {(key >> 24) // 5 for key in r.s}
+        assert any(len(simhash.links(a[r.k : r.k + 1], b[r.k : r.k + 1], s)[0]) for s in starts)
+
+
+def labelled(spark, good: str, bad: str, name: str):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(400):
+        w = [*rng.choice(["harbour", "lantern", "meadow", "copper", "violin", "garden", "thunder", "window"], 60)]
+        if i % 2:
+            w[5], w[20], w[40] = bad, bad, bad
+        rows.append((i, " ".join(w).replace("window", good)))
+    docs = documents(spark, [*rows, *[(None, None), (1000, "")]])
+    labels = spark.createDataFrame([(i, int(i % 2 == (name == "toxic"))) for i in range(400)] + [(None, 1), (7, None)], f"doc_id long, {name} int")
+    return docs, labels
+
+
+def test_toxicity(spark):
+    docs, labels = labelled(spark, "window", "stupid", "toxic")
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert np.mean([(got[i] >= 0.5) == bool(i % 2) for i in range(400)]) > 0.97
+    assert len(got) == 402 and all(0 <= s <= 1 for s in got.values())
+    odd = toxicity.Scorer(model).score(["harbour lantern stupiid meadow stuupid copper stupidd violin " * 3, "harbour lantern garden meadow copper violin thunder " * 3])
+    assert odd[0] > odd[1]
+    none = toxicity.train(docs, labels.where("false"))
+    assert all(r.score < 1e-6 for r in toxicity.score(docs, none).collect())
+    assert toxicity.score(docs.where("false"), model).count() == 0
+
+
+def test_quality_model(spark):
+    docs, labels = labelled(spark, "window", "JUNK!!", "quality")
+    model = quality_model.train(docs, labels)
+    got = {r.doc_id: r.score for r in quality_model.score(docs, model).collect()}
+    assert np.mean([(got[i] >= 0.7) == (i % 2 == 0) for i in range(400)]) > 0.97
+    assert len(got) == 402 and all(0 <= s <= 1 for s in got.values())
+    none = quality_model.train(docs, labels.where("false"))
+    assert all(0 <= r.score <= 1 for r in quality_model.score(docs, none).collect())
+    assert quality_model.score(docs.where("false"), model).count() == 0
