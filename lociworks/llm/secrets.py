@@ -52,7 +52,8 @@ def _none() -> Column:
 def _spans(text: Column, pattern: str, rank: int, keep=None) -> Column:
     """Where a pattern's leftmost non-overlapping matches stand. keep: of a match's string, whether it counts."""
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = F.transform(found, lambda m, i: F.struct(F.char_length(F.get(between, i)).alias("gap"), F.char_length(m).alias("size"), (keep(m) if keep else F.lit(True)).alias("keep")))
+    # the text between has one part more than there are matches
+    steps = F.zip_with(between, found, lambda b, m: F.struct(F.char_length(b).alias("gap"), F.coalesce(F.char_length(m), F.lit(0)).alias("size"), F.coalesce(keep(m) if keep else m.isNotNull(), F.lit(False)).alias("keep")))
 
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
@@ -125,8 +126,10 @@ def likelihood_ratio(word: Column, model: list[float]) -> Column:
     """Log-likelihood ratio for each character of a string; above 0: likelier random."""
     size, ratios = len(ALPHABET) + 1, F.lit(model)
     places = F.transform(F.split(word, ""), _place)
-    steps = F.transform(F.slice(places, 2, F.greatest(F.size(places) - 1, F.lit(0))), lambda b, i: F.get(ratios, F.get(places, i) * size + b))
-    return F.aggregate(steps, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.char_length(word), F.lit(1))
+    # a fold that carries the character before, so a long run takes time in proportion to its length
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("before"))
+    step = lambda s, b: F.struct((s["sum"] + F.when(s["before"] < 0, 0.0).otherwise(F.get(ratios, s["before"] * size + b))).alias("sum"), b.alias("before"))
+    return F.aggregate(places, start, step, lambda s: s["sum"]) / F.greatest(F.char_length(word), F.lit(1))
 
 
 def random_spans(text: Column, model: list[float]) -> Column:
