@@ -27,7 +27,8 @@ driver.
 
 Null texts count as empty. Repeated rows give repeated results. An empty table
 gives an empty result. Null ids are kept and never name a component unless all
-ids of one are null. Extra columns are ignored.
+ids of one are null. Ids, null or repeated, don't say which documents are the
+same: keep_one() keeps one row of each component. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, checkpointed, table, text_slices
@@ -77,15 +78,16 @@ def fingerprint(text: str) -> int:
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, fp, more): fp is the fingerprint as a signed 64-bit integer, more are further columns of integers."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             fps = np.array([fingerprint(t or "") for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], ["doc_id", "fp", *more])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    return own.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *more)))
 
 
 def _segment(fp: Column, i: int) -> Column:
@@ -202,26 +204,35 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def rooted(distinct: DataFrame) -> DataFrame:
+    """distinct with root, the least fingerprint of each one's component. distinct: checkpointed, one row a fingerprint fp."""
+    roots = connected_components(candidate_links(distinct.select("fp")))
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select(*[distinct[c] for c in distinct.columns], F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of every document row."""
     own = checkpointed(fingerprints(docs))
-    distinct = checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(candidate_links(distinct.select("fp")))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = rooted.join(named, "root").select("fp", "component_id")
+    found = rooted(checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("least"))))
+    named = found.groupBy("root").agg(F.min("least").alias("component_id"))
+    groups = found.join(named, "root").select("fp", "component_id")
     return own.join(groups, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: the one of the least doc_id; of rows that share it, the first by their columns."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"), F.col("fp").alias("kept_fp")).distinct()
+    """docs with one row of each component: the one of the least doc_id, null last; of rows that share it, the one whose columns have the least hash.
+
+    Rows get a key of their own, written down before anything is chosen by it. So null and repeated ids neither join
+    components nor keep more than one row of any.
+    """
     columns = docs.columns
-    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
-    chosen = kept.groupBy("kept_id").agg(F.count("*").alias("kinds"))
-    met = boxed.join(chosen, boxed["id"].eqNullSafe(chosen["kept_id"]), "inner").select("row", "id")
-    first = met.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("row"))).where("place = 1")
-    return first.select(*[F.col(f"row.`{c}`").alias(c) for c in columns])
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    keyed = checkpointed(boxed.withColumn("key", F.monotonically_increasing_id()))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest", "key")).alias("first")
+    # exact copies meet by fingerprint first, in part before the shuffle
+    each = fingerprints(keyed.withColumn("digest", F.xxhash64("row")), "digest", "key").groupBy("fp").agg(first)
+    chosen = rooted(checkpointed(each)).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("key"))
+    return keyed.join(chosen, "key", "left_semi").select(*[F.col(f"row.`{c}`").alias(c) for c in columns])
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
