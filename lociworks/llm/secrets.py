@@ -4,7 +4,8 @@ Three fixed patterns find assignments, access keys and long hex runs. Two
 character Markov models, one of random strings and one of ordinary identifiers,
 add the runs of token characters that the former explains better: the sum over
 adjacent characters of the log-likelihood ratio must pass a threshold for each
-character.
+character, over the run or over a segment of it, so that words glued to a secret
+don't hide it. Such a run is a span as a whole, also where a pattern found a part.
 
 The models are trained from labelled samples: random strings are digests of
 numbers, written in four alphabets; ordinary ones are words of a bounded sample
@@ -33,13 +34,14 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 ASSIGN_LEAST = 12
 #: Runs that the models judge. Shorter ones say too little.
-RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
+RUN_LEAST = 16
+RUN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{RUN_LEAST},}}+"
 KINDS = ("assign", "access", "hex", "random")
 #: Characters that the models know; any other counts as one more.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Documents whose words train the model of ordinary identifiers, and random strings in each alphabet.
 TRAIN_DOCUMENTS, TRAIN_RANDOM = 1000, 2000
-#: A run is random if its log-likelihood ratio is above this for each character.
+#: A run or a segment of it is random if its log-likelihood ratio is above this for each character.
 THRESHOLD = 0.8
 
 _SPAN = "array<struct<start: long, rank: int, end: long>>"
@@ -122,27 +124,52 @@ def train(docs: DataFrame) -> list[float]:
     return [math.log(n[1][a][b] / sum(n[1][a])) - math.log(n[0][a][b] / sum(n[0][a])) for a in range(size) for b in range(size)]
 
 
-def likelihood_ratio(word: Column, model: list[float]) -> Column:
-    """Log-likelihood ratio for each character of a string; above 0: likelier random."""
+def random_like(word: Column, model: list[float]) -> Column:
+    """Whether the random model explains a string, or a best-scoring segment of it, better by THRESHOLD a character.
+
+    A segment counts if it is as long as a run must be. Next to ordinary words numbers say nothing: within segments
+    the ratio of two characters of which neither is a letter counts as 0.
+    """
     size, ratios = len(ALPHABET) + 1, F.lit(model)
     places = F.transform(F.split(word, ""), _place)
-    # a fold that carries the character before, so a long run takes time in proportion to its length
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("before"))
-    step = lambda s, b: F.struct((s["sum"] + F.when(s["before"] < 0, 0.0).otherwise(F.get(ratios, s["before"] * size + b))).alias("sum"), b.alias("before"))
-    return F.aggregate(places, start, step, lambda s: s["sum"]) / F.greatest(F.char_length(word), F.lit(1))
+    zero = F.lit(0.0)
+    start = F.struct(zero.alias("sum"), F.lit(-1).alias("before"), zero.alias("gain"), F.lit(0).alias("length"), zero.alias("most"), F.lit(False).alias("found"))
+    letter = lambda p: (p >= 1) & (p <= 52)
+
+    # folds that carry the character before, so a long run takes time in proportion to its length
+    def ratio(s: Column, b: Column) -> Column:
+        r = F.when(s["before"] < 0, 0.0).otherwise(F.get(ratios, s["before"] * size + b))
+        own = F.when(letter(s["before"]) | letter(b), r).otherwise(0.0)
+        return F.struct(s.alias("s"), b.alias("b"), r.alias("r"), (s["gain"] + own - THRESHOLD).alias("gain"))
+
+    def add(x: Column) -> Column:
+        s, gain, length = x["s"], x["gain"], x["s"]["length"] + 1
+        up = (gain > 0) & (s["before"] >= 0)
+        return F.struct(
+            (s["sum"] + x["r"]).alias("sum"),
+            x["b"].alias("before"),
+            F.when(up, gain).otherwise(0.0).alias("gain"),
+            F.when(up, length).otherwise(0).alias("length"),
+            F.when(up, F.greatest(s["most"], gain)).otherwise(0.0).alias("most"),
+            # length counts pairs; a segment ends where its sum is the most since it began
+            (s["found"] | (up & (gain > s["most"]) & (length >= RUN_LEAST - 1))).alias("found"),
+        )
+
+    step = lambda s, b: F.element_at(F.transform(F.array(ratio(s, b)), add), 1)
+    return F.aggregate(places, start, step, lambda s: (s["sum"] > THRESHOLD * F.char_length(word)) | s["found"])
 
 
 def random_spans(text: Column, model: list[float]) -> Column:
-    """Runs that the models take for random. Runs of digits alone are numbers, not secrets."""
-    judged = lambda m: ~m.rlike("^[0-9+/_=-]+$") & (likelihood_ratio(m, model) > THRESHOLD)
+    """Whole runs that the models take for random, or a segment of them. Runs of digits alone are numbers, not secrets."""
+    judged = lambda m: ~m.rlike("^[0-9+/_=-]+$") & random_like(m, model)
     return _spans(text, RUN, 3, judged)
 
 
 def with_spans(docs: DataFrame, model: list[float], text: Column) -> DataFrame:
-    """docs with columns base_found and all_found: spans of the fixed patterns, and all."""
+    """docs with columns base_found and all_found: spans of the fixed patterns, and all. Random spans within one of the former are left out."""
     base = docs.withColumn("base_found", base_spans(text))
-    apart = F.filter(random_spans(text, model), lambda r: ~F.exists("base_found", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    return base.withColumn("all_found", F.array_sort(F.concat("base_found", apart)))
+    more = F.filter(random_spans(text, model), lambda r: ~F.exists("base_found", lambda b: (b["start"] <= r["start"]) & (r["end"] <= b["end"])))
+    return base.withColumn("all_found", F.array_sort(F.concat("base_found", more)))
 
 
 def written(spans: Column) -> Column:
