@@ -45,14 +45,19 @@ def channels_for(counts: DataFrame, share: float = 0.9, label: str = "cluster_la
 
 
 def pairwise(counts: DataFrame, label: str = "cluster_label") -> DataFrame:
-    """(a, b, cosine, l1, l2) of each pair of clusters' shares. Pairs meet on channels; both sides are 96 rows a cluster."""
+    """(a, b, cosine, l1, l2) of each pair of clusters' shares. Clusters meet on channels; pairs that share none have cosine 0 and l1 2."""
     totals = counts.groupBy(label).agg(F.sum("n").alias("total"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"))
-    share = counts.join(totals, label).select(F.col(label).alias("k"), "channel", (F.col("n") / F.col("total")).alias("p"), (F.sqrt("squares") / F.col("total")).alias("norm"))
-    a, b = share.select(*[F.col(c).alias(f"{c}_a") for c in share.columns]), share.select(*[F.col(c).alias(f"{c}_b") for c in share.columns])
-    met = a.join(b, (F.col("channel_a") == F.col("channel_b")) & (F.col("k_a") < F.col("k_b"))).groupBy(F.col("k_a").alias("a"), F.col("k_b").alias("b"))
-    sums = met.agg(F.sum(F.col("p_a") * F.col("p_b")).alias("dot"), F.sum(F.least("p_a", "p_b")).alias("common"), F.first("norm_a").alias("x"), F.first("norm_b").alias("y"))
+    norms = totals.select(F.col(label).alias("k"), (F.sqrt("squares") / F.col("total")).alias("norm"))
+    share = counts.join(totals, label).select(F.col(label).alias("k"), "channel", (F.col("n") / F.col("total")).alias("p"))
+    sides = lambda df: [df.select(*[F.col(c).alias(f"{c}_{s}") for c in df.columns]) for s in "ab"]
+    (a, b), (x, y) = sides(share), sides(norms)
+    met = a.join(b, (F.col("channel_a") == F.col("channel_b")) & (F.col("k_a") < F.col("k_b"))).groupBy("k_a", "k_b")
+    sums = met.agg(F.sum(F.col("p_a") * F.col("p_b")).alias("dot"), F.sum(F.least("p_a", "p_b")).alias("common"))
+    # every pair is a row of the result, whether or not it has met
+    pairs = x.join(y, F.col("k_a") < F.col("k_b")).join(sums, ["k_a", "k_b"], "left").na.fill(0.0, ["dot", "common"])
+    x, y, dot = F.col("norm_a"), F.col("norm_b"), F.col("dot")
     # shares add up to 1, so absent channels are told by what is common
-    return sums.select("a", "b", (F.col("dot") / (F.col("x") * F.col("y"))).alias("cosine"), (2 - 2 * F.col("common")).alias("l1"), F.sqrt(F.greatest(F.lit(0.0), F.pow("x", 2) + F.pow("y", 2) - 2 * F.col("dot"))).alias("l2"))
+    return pairs.select(F.col("k_a").alias("a"), F.col("k_b").alias("b"), (dot / (x * y)).alias("cosine"), (2 - 2 * F.col("common")).alias("l1"), F.sqrt(F.greatest(F.lit(0.0), F.pow(x, 2) + F.pow(y, 2) - 2 * dot)).alias("l2"))
 
 
 def top_contexts(counts: DataFrame, n: int, label: str = "cluster_label") -> DataFrame:
