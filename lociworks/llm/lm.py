@@ -7,14 +7,14 @@ levels 1 .. 1 + floor(log2 c), and its count is read back by probing levels from
 
     p(w | v) = SHARE * min(1, count(v w) / count(v)) + (1 - SHARE) * (count(w) + 1) / (N + V + 1)
 
-Counting covers all training documents. Tokens are counted first. A pair is no
-more frequent than its rarer token, so pairs are counted among tokens of at
-least a cut-off count, which is the least one that leaves at most HEAD tokens;
-no pair at or above the cut-off is missed. The filter takes pairs, then tokens,
-down to the least counts with which its items fit its fixed size. So it can be
-broadcast however large the corpus grows; for rarer n-grams probing finds
-nothing, or a false positive at the rate that the size implies. The filter is
-built in CHUNKS pieces, each by the task its n-grams are dealt to.
+Counting covers all training documents, and all their tokens and pairs enter the
+filter, those of count 1 too. Its size follows the number of its items, so false
+positives keep their rate however large the corpus grows. It is built in chunks
+by the top bits of the hash. N-grams are dealt to tasks by these bits, a part as
+one row of packed hashes and counts, and added up there. The filter is sent in
+pieces of at most PIECE_BITS: the driver holds one piece at a time. A task
+holds all pieces if they are HELD_BITS at most; beyond that it reads one after
+the other for each slice of texts, and each n-gram is probed in its piece.
 
 The plain base score needs exact counts of all tokens. Counts of the HEAD most
 frequent ones are broadcast, which bounds that side and takes the frequent
@@ -29,24 +29,27 @@ documents N and V are 0 and all tokens unknown. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, held_out, table, text_slices
 
-#: Most tokens whose exact counts are broadcast, and among which pairs are counted.
+#: Most tokens whose exact counts are broadcast.
 HEAD = 500_000
-#: Tokens of a pair are among this many most frequent ones at most.
-PAIR_HEAD = 50_000
-#: Bits of the filter, and of them for each item that is put in; probes for each item.
-FILTER_BITS, BITS_PER_ITEM, PROBES = 1 << 27, 10, 5
-CHUNKS = 256
+#: Bits of the filter for each item that is put in, at least; probes for each item.
+BITS_PER_ITEM, PROBES = 10, 5
+#: Bits of a piece of the filter that is sent at once, and of those that a task holds at a time, at most.
+PIECE_BITS, HELD_BITS = 1 << 28, 1 << 30
+#: Chunks of a small filter and of one of more than SMALL_BITS, and parts in which n-grams are dealt out.
+CHUNKS, PARTS, SMALL_BITS = 256, 4096, 1 << 26
 SHARE = 0.3
 FOLDS, HELD_OUT = 7, 2
 #: Bytes of text that a task scores at a time.
@@ -100,25 +103,72 @@ def preceding(toks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _counting(batches: Iterable[pa.RecordBatch], grams) -> Iterator[pa.RecordBatch]:
-    """(h, n) for the hashes that grams makes of token arrays, added up over about GATHER entries at a time."""
-    held: list[np.ndarray] = []
+_PACKED = "part int, h binary, n binary"
 
-    def told() -> pa.RecordBatch:
-        h, n = np.unique(np.concatenate(held), return_counts=True)
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    size = 0
+def _rows(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
+
+def _packed(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """One row for each part of n-grams in order: their hashes, and their counts, as bytes."""
+    parts, at = np.unique(chunk_of(h, PARTS), return_index=True)
+    ends = [*at[1:], len(h)]
+    bytes_of = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(at, ends)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), bytes_of(h), bytes_of(n.astype(np.int64))], ["part", "h", "n"])
+
+
+def _added(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each n-gram once, in order, with the sum of its counts."""
+    order = np.argsort(h)
+    h, n = h[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, dtype=np.int64)
+    return h[first], np.add.reduceat(n, first) if len(h) else n
+
+
+def _counting(batches: Iterable[pa.RecordBatch], grams, told=_rows) -> Iterator[pa.RecordBatch]:
+    """What told makes of the hashes that grams makes of token arrays, added up over about GATHER entries at a time."""
+    held, size = [], 0
     for batch in text_slices(batches, limit=SLICE):
         toks, sizes = tokens(batch.column(0).to_pylist())
         held.append(grams(toks, sizes))
         size += len(held[-1])
         if size > GATHER:
-            yield told()
-            size = 0
+            yield told(*np.unique(np.concatenate(held), return_counts=True))
+            held, size = [], 0
     if held:
-        yield told()
+        yield told(*np.unique(np.concatenate(held), return_counts=True))
+
+
+def packed(grams: DataFrame) -> DataFrame:
+    """Rows (h, n) in parts."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
+            size += batch.num_rows
+            if size > GATHER:
+                yield _packed(*_added(*map(np.concatenate, zip(*held))))
+                held, size = [], 0
+        if held:
+            yield _packed(*_added(*map(np.concatenate, zip(*held))))
+
+    return grams.select("h", "n").mapInArrow(run, _PACKED)
+
+
+def merged(parts: DataFrame) -> DataFrame:
+    """(part, items, h, top), checkpointed: of each part all n-grams once, their levels, and the sum of these."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in range(3))))
+        for part, own in groupby(rows, key=lambda row: row[0]):
+            own = list(own)
+            h, n = _added(np.frombuffer(b"".join(r[1] for r in own), dtype=np.uint64), np.frombuffer(b"".join(r[2] for r in own), dtype=np.int64))
+            top = levels(n)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([int(top.sum())]), pa.array([h.tobytes()], pa.binary()), pa.array([top.astype(np.uint8).tobytes()], pa.binary())], ["part", "items", "h", "top"])
+
+    return checkpointed(parts.repartition("part").sortWithinPartitions("part").mapInArrow(run, "part int, items long, h binary, top binary"))
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
@@ -148,67 +198,92 @@ def levels(n: np.ndarray) -> np.ndarray:
     return np.frexp(n.astype(np.float64))[1].astype(np.int64)
 
 
-def filter_bits(h: np.ndarray, level: np.ndarray | int, chunk_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The chunk of each n-gram, and PROBES places in it for a level. chunk_bits is a power of two."""
-    chunk = (h >> np.uint64(56)) % np.uint64(CHUNKS)
+def chunk_of(h: np.ndarray, chunks: int) -> np.ndarray:
+    """The chunk of each n-gram: the top bits of its hash. chunks is a power of two."""
+    return (h >> np.uint64(65 - chunks.bit_length())).astype(np.int64)
+
+
+def filter_bits(h: np.ndarray, level: np.ndarray | int, chunk_bits: int) -> np.ndarray:
+    """PROBES places of each n-gram in its chunk for a level. chunk_bits is a power of two."""
     a = mixed(h + np.asarray(level).astype(np.uint64) * _LEVEL)
     b = mixed(a) | np.uint64(1)
     with np.errstate(over="ignore"):
         places = (a[:, None] + b[:, None] * np.arange(PROBES, dtype=np.uint64)) & np.uint64(chunk_bits - 1)
-    return chunk.astype(np.int64), places.astype(np.int64)
+    return places.astype(np.int64)
 
 
 class LogFrequencyFilter:
-    """Reads quantised counts from the bits."""
+    """Reads quantised counts from the bits. pieces: broadcast, each of the same number of neighbouring chunks."""
 
-    def __init__(self, bits: np.ndarray, chunk_bits: int):
-        self.bits, self.chunk_bits = bits, chunk_bits
+    def __init__(self, pieces: list[Broadcast], chunks: int, chunk_bits: int):
+        self.pieces, self.chunks, self.chunk_bits = pieces, chunks, chunk_bits
 
-    def count(self, h: np.ndarray) -> np.ndarray:
-        """For each n-gram the middle of the range of counts of its highest level; 0 if it isn't there."""
-        kinds, inverse = np.unique(h, return_inverse=True)
+    def _levels(self, bits: np.ndarray, first: int, kinds: np.ndarray) -> np.ndarray:
+        """The highest level of each n-gram of a piece that begins with chunk first."""
         top = np.zeros(len(kinds), dtype=np.int64)
         left = np.arange(len(kinds))
         for level in range(1, 64):
-            chunk, places = filter_bits(kinds[left], level, self.chunk_bits)
-            places += (chunk * self.chunk_bits)[:, None]
-            there = (self.bits[places >> 3] >> (places & 7).astype(np.uint8) & 1).all(1)
+            places = filter_bits(kinds[left], level, self.chunk_bits)
+            places += ((chunk_of(kinds[left], self.chunks) - first) * self.chunk_bits)[:, None]
+            there = (bits[places >> 3] >> (places & 7).astype(np.uint8) & 1).all(1)
             left = left[there]
             if not len(left):
                 break
             top[left] = level
+        return top
+
+    def count(self, h: np.ndarray) -> np.ndarray:
+        """For each n-gram the middle of the range of counts of its highest level; 0 if it isn't there."""
+        kinds, inverse = np.unique(h, return_inverse=True)
+        top = np.zeros(len(kinds), dtype=np.int64)
+        each = self.chunks // len(self.pieces)
+        # n-grams are in order, so those of a piece stand together
+        at = np.searchsorted(chunk_of(kinds, self.chunks), np.arange(0, self.chunks + 1, each))
+        held = self.chunks * self.chunk_bits <= HELD_BITS
+        for k, piece in enumerate(self.pieces):
+            if at[k] < at[k + 1]:
+                top[at[k] : at[k + 1]] = self._levels(piece.value, k * each, kinds[at[k] : at[k + 1]])
+                if not held:
+                    vars(piece).pop("_value", None)  # it is read from the executor's disk again when it is needed
         return np.where(top > 0, 0.75 * 2.0**top, 0.0)[inverse] - 0.5 * (top == 1)[inverse]
 
 
 def build_filter(grams: DataFrame, items: int) -> LogFrequencyFilter:
-    """The filter of n-grams (h, n). Each chunk is built in one task, in memory of its fixed size."""
-    bits = min(FILTER_BITS, max(1 << 16, 1 << (items * BITS_PER_ITEM).bit_length()))
-    chunk_bits = bits // CHUNKS
+    """The filter of n-grams (h, n), which have so many levels together."""
+    return filter_of(merged(packed(grams)), items)
+
+
+def filter_of(parts: DataFrame, items: int) -> LogFrequencyFilter:
+    """The filter of merged parts. A chunk is built in memory of its size."""
+    bits = max(1 << 16, 1 << (items * BITS_PER_ITEM).bit_length())
+    chunks = CHUNKS if bits <= SMALL_BITS else PARTS
+    pieces = min(chunks, max(1, bits // PIECE_BITS))
+    chunk_bits = bits // chunks
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks: dict[int, np.ndarray] = {}
-        for batch in batches:
-            h, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-            top = levels(n)
-            for level in range(1, int(top.max(initial=0)) + 1):
-                chunk, places = filter_bits(h[top >= level], level, chunk_bits)
-                for c in np.unique(chunk).tolist():
-                    own = chunks.setdefault(c, np.zeros(chunk_bits // 8, dtype=np.uint8))
-                    at = places[chunk == c].ravel()
-                    np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        for c, own in chunks.items():
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([own.tobytes()], pa.binary())], ["chunk", "bits"])
-
-    dealt = grams.select("h", "n", F.pmod(F.shiftrightunsigned("h", 56), F.lit(CHUNKS)).alias("chunk")).repartition("chunk").select("h", "n")
-    out = np.zeros(CHUNKS * chunk_bits // 8, dtype=np.uint8)
-    for c, own in dealt.mapInArrow(run, "chunk long, bits binary").collect():  # FILTER_BITS together
-        at = c * (chunk_bits // 8)
-        out[at : at + chunk_bits // 8] |= np.frombuffer(own, dtype=np.uint8)
-    return LogFrequencyFilter(out, chunk_bits)
+        rows = (row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in range(3))))
+        for c, own in groupby(rows, key=lambda row: row[0] * chunks // PARTS):
+            out = np.zeros(chunk_bits // 8, dtype=np.uint8)
+            for _, h, top in own:
+                h, top = np.frombuffer(h, dtype=np.uint64), np.frombuffer(top, dtype=np.uint8)
+                for level in range(1, int(top.max(initial=0)) + 1):
+                    p = filter_bits(h[top >= level], level, chunk_bits).ravel()
+                    np.bitwise_or.at(out, p >> 3, (1 << (p & 7)).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([out.tobytes()], pa.binary())], ["chunk", "bits"])
+
+    made = checkpointed(parts.select("part", "h", "top").mapInArrow(run, "chunk long, bits binary"))
+    sent, each = [], chunks // pieces
+    for first in range(0, chunks, each):
+        out = np.zeros(each * chunk_bits // 8, dtype=np.uint8)
+        for c, own in made.where(F.col("chunk").between(first, first + each - 1)).collect():  # PIECE_BITS together
+            at = (c - first) * (chunk_bits // 8)
+            out[at : at + chunk_bits // 8] |= np.frombuffer(own, dtype=np.uint8)
+        sent.append(parts.sparkSession.sparkContext.broadcast(out))
+    return LogFrequencyFilter(sent, chunks, chunk_bits)
 
 
 class Model:
-    """What is sent to the tasks: the filter, N, V, and exact counts of the most frequent tokens by their hashes."""
+    """What the tasks get: the filter, N, V, and exact counts of the most frequent tokens by their hashes."""
 
     def __init__(self, counts: LogFrequencyFilter, n: int, v: int, head: np.ndarray, head_counts: np.ndarray):
         self.counts, self.n, self.v, self.head, self.head_counts = counts, n, v, head, head_counts
@@ -227,29 +302,10 @@ def train(docs: DataFrame, training) -> tuple[Model, DataFrame]:
     counts = checkpointed(token_counts(texts))
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     head = _sorted_arrays(counts.where(F.col("n") >= cut_off(counts, HEAD)))
-    common = max(2, cut_off(counts, PAIR_HEAD))
-    among = docs.sparkSession.sparkContext.broadcast(_sorted_arrays(counts.where(F.col("n") >= common))[0])
-
-    def near(toks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        known = among.value
-        if not len(known):
-            return toks[:0]
-        ok = known[np.minimum(np.searchsorted(known, toks), len(known) - 1)] == toks
-        before = preceding(toks, sizes)
-        ok_before = np.empty_like(ok)
-        ok_before[1:] = ok[:-1]
-        ok_before[np.cumsum(sizes) - sizes] = True
-        both = ok & ok_before
-        return pairs(before[both], toks[both])
-
-    level = F.floor(F.log2(F.col("n").cast("double"))) + 1
-    pair_counts = checkpointed(texts.mapInArrow(lambda b: _counting(b, near), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= F.lit(2)))
-    room = FILTER_BITS / BITS_PER_ITEM
-    least_pair = max(2, cut_off(pair_counts, room / 2, level))
-    least_token = cut_off(counts, room / 2, level)
-    grams = counts.where(F.col("n") >= least_token).unionAll(pair_counts.where(F.col("n") >= least_pair))
-    items = grams.agg(F.coalesce(F.sum(level), F.lit(0))).first()[0]
-    return Model(build_filter(grams, int(items)), int(n), int(v), *head), counts
+    near = lambda toks, sizes: pairs(preceding(toks, sizes), toks)
+    parts = merged(packed(counts).unionAll(texts.mapInArrow(lambda b: _counting(b, near, _packed), _PACKED)))
+    items = parts.agg(F.coalesce(F.sum("items"), F.lit(0))).first()[0]
+    return Model(filter_of(parts, int(items)), int(n), int(v), *head), counts
 
 
 def _add_up(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -261,22 +317,23 @@ _RARE = "array<struct<h: bigint, times: bigint>>"
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of every document row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    grams, n, v = model.counts, model.n, model.v
+    sent = docs.sparkSession.sparkContext.broadcast((model.head, model.head_counts))
     unseen = -float(np.log10(model.n + model.v + 1))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        head, head_counts = sent.value
         for batch in text_slices(batches, limit=SLICE):
             toks, sizes = tokens(batch.column(1).to_pylist())
             before = preceding(toks, sizes)
-            one, two = m.counts.count(toks), m.counts.count(pairs(before, toks))
+            # all at once, so each piece of the filter is read once
+            one, two, ends = np.split(grams.count(np.concatenate([toks, pairs(before, toks), [_END]])), [len(toks), 2 * len(toks)])
             ahead = np.maximum(np.concatenate([[0.0], one[:-1]]) if len(one) else one, 1.0)
-            ends = m.counts.count(np.array([_END]))[0]
-            ahead[np.cumsum(sizes) - sizes] = max(ends, 1.0)
-            p = SHARE * np.minimum(1.0, two / ahead) + (1 - SHARE) * (one + 1) / (m.n + m.v + 1)
-            at = np.minimum(np.searchsorted(m.head, toks), max(0, len(m.head) - 1))
-            in_head = m.head[at] == toks if len(m.head) else np.zeros(len(toks), dtype=bool)
-            exact = np.where(in_head, m.head_counts[at] if len(m.head) else 0, 0)
+            ahead[np.cumsum(sizes) - sizes] = max(ends[0], 1.0)
+            p = SHARE * np.minimum(1.0, two / ahead) + (1 - SHARE) * (one + 1) / (n + v + 1)
+            at = np.minimum(np.searchsorted(head, toks), max(0, len(head) - 1))
+            in_head = head[at] == toks if len(head) else np.zeros(len(toks), dtype=bool)
+            exact = np.where(in_head, head_counts[at] if len(head) else 0, 0)
             base = np.log10(exact + 1.0)
             owner = np.repeat(np.arange(len(sizes)), sizes)
             rare = pd.DataFrame({"doc": owner[~in_head], "h": toks[~in_head].view(np.int64)}).groupby(["doc", "h"], sort=True).size()
