@@ -8,12 +8,13 @@ more than half of the shingles' XXH64 hashes.
 Candidates. The 64 bits form a ring of RING segments. If two fingerprints
 differ in at most LIMIT bits then, by the pigeonring principle, there is a
 segment from which every chain of l consecutive segments differs in at most
-l * LIMIT / RING bits. With 8 segments and a limit of 4 the first five chains
-may differ in 0, 1, 1, 2 and 2 bits. So the first segment is equal; of the
-second and third at least one is; and of the fourth and fifth one is, unless the
-second and third both are. These cases give five keys of three equal segments
-for each start. Fingerprints that share a key are candidates; each pair must
-pass all chains from that start before the full Hamming check.
+l * LIMIT / RING bits. With 8 segments and a limit of 4 the chains of 1, 3, 5
+and 7 may differ in 0, 1, 2 and 3 bits, so they hold at least 1, 2, 3 and 4
+segments that are equal. The places of the first four equal ones, counted from
+the start, are one of 14 choices; over all starts these are 70 sets of four
+segments. Each set is a key of 32 bits. Fingerprints that share a key are
+candidates; a pair must pass all chains from one of the starts that the key's
+set stands for before the full Hamming check.
 
 Skew. Exact copies are one fingerprint from the start. Keys that more than
 BLOCK fingerprints share are cut into blocks, and pairs of blocks are compared in
@@ -23,7 +24,10 @@ fingerprints either is returned or joins two that are joined already.
 
 Components come from alternating large-star and small-star steps over the
 links, written to the checkpoint folder after each step. Only counts reach the
-driver.
+driver. What is joined to the members of a component is one row a component; it
+is broadcast up to BROADCAST_ROWS rows, and beyond that written down first, so
+that the join has nothing but shuffles below it and a large component's
+partition can be split.
 
 Null texts count as empty. Repeated rows give repeated results. An empty table
 gives an empty result. Null ids are kept and never name a component unless all
@@ -35,7 +39,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from itertools import product
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +55,22 @@ SHINGLE, LIMIT, RING, SEED = 4, 4, 8, 42
 #: Fingerprints of one key that are compared in one task.
 BLOCK = 1024
 _SEGMENT = 64 // RING
-#: The segments, counted from a chain's start, that each key holds besides the first.
-KEY_SEGMENTS = [(1, 2), *product((1, 2), (3, 4))]
+#: Rows of two integers up to which a side of a join is broadcast, 16 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def _key_sets() -> dict[tuple[int, ...], list[int]]:
+    """The sets of four segments that keys hold, and the starts of the chains that each stands for."""
+    out: dict[tuple[int, ...], list[int]] = {}
+    for start in range(RING):
+        for places in combinations(range(RING - 1), 4):
+            if all(place <= 2 * k for k, place in enumerate(places)):
+                out.setdefault(tuple(sorted((start + p) % RING for p in places)), []).append(start)
+    return dict(sorted(out.items()))
+
+
+KEY_SETS = _key_sets()
+_STARTS = list(KEY_SETS.values())
 
 
 def fingerprint(text: str) -> int:
@@ -95,12 +113,13 @@ def _segment(fp: Column, i: int) -> Column:
 
 
 def keys(fp: Column) -> Column:
-    """The candidate keys of a fingerprint: start and kind of key, and three segments, packed in one integer each."""
+    """The candidate keys of a fingerprint: the number of a set of segments, and these segments, packed in one integer each."""
     out = []
-    for start in range(RING):
-        for kind, (a, b) in enumerate(KEY_SEGMENTS):
-            packed = F.shiftleft(_segment(fp, start), 2 * _SEGMENT) + F.shiftleft(_segment(fp, start + a), _SEGMENT) + _segment(fp, start + b)
-            out.append(packed + F.lit((start * len(KEY_SEGMENTS) + kind) << (3 * _SEGMENT)))
+    for number, segments in enumerate(KEY_SETS):
+        packed = F.lit(number).cast("long")
+        for i in segments:
+            packed = F.shiftleft(packed, _SEGMENT) + _segment(fp, i)
+        out.append(packed)
     return F.array(*out)
 
 
@@ -113,17 +132,19 @@ def chain_masks(start: int) -> list[tuple[np.uint64, int]]:
     return out[::-1]
 
 
-def links(a: np.ndarray, b: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of fingerprints that pass every chain from start, and the Hamming check, which is the full chain."""
+def links(a: np.ndarray, b: np.ndarray, starts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of fingerprints that pass every chain from one of the starts, the last of which is the full Hamming check."""
     differ = a[:, None] ^ b[None, :]
-    _, *chains = chain_masks(start)
-    i, j = np.nonzero(np.bitwise_count(differ & chains[1][0]) <= chains[1][1])
-    left = differ[i, j]
-    for mask, budget in (*chains[:1], *chains[2:]):
-        ok = np.bitwise_count(left & mask) <= budget
-        i, j, left = i[ok], j[ok], left[ok]
-    ok = np.bitwise_count(left) <= LIMIT
-    return i[ok], j[ok]
+    passed = np.zeros(differ.shape, dtype=bool)
+    for start in starts:
+        full, *chains = chain_masks(start)
+        i, j = np.nonzero(np.bitwise_count(differ & chains[0][0]) <= chains[0][1])
+        left = differ[i, j]
+        for mask, budget in (*chains[1:], full):
+            ok = np.bitwise_count(left & mask) <= budget
+            i, j, left = i[ok], j[ok], left[ok]
+        passed[i, j] = True
+    return np.nonzero(passed)
 
 
 def forest(members: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
@@ -150,13 +171,13 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         left, right = [], []
         for key, fps, others in zip(*(c.to_pylist() for c in batch.columns)):
-            start = (key >> (3 * _SEGMENT)) // len(KEY_SEGMENTS)
+            starts = _STARTS[key >> (4 * _SEGMENT)]
             a = np.array(fps, dtype=np.int64)
             b = a if others is None else np.array(others, dtype=np.int64)
             both = a if others is None else np.concatenate([a, b])
             found_i, found_j = [], []
             for at in range(0, len(a), 512):
-                i, j = links(a[at : at + 512].view(np.uint64), b.view(np.uint64), start)
+                i, j = links(a[at : at + 512].view(np.uint64), b.view(np.uint64), starts)
                 i = i + at
                 ok = i < j if others is None else np.ones(len(i), dtype=bool)
                 found_i.append(i[ok])
@@ -183,6 +204,12 @@ def candidate_links(distinct: DataFrame) -> DataFrame:
     return small.unionAll(large).mapInArrow(_compare, "a long, b long").distinct()
 
 
+def beside(rows: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """rows joined to a table of one row a key, which many rows may share."""
+    one = checkpointed(one)
+    return rows.join(F.broadcast(one) if one.count() <= BROADCAST_ROWS else one, key)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each component, for the nodes of edges (a, b)."""
     edges = checkpointed(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -191,10 +218,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # large star: neighbours above a node join its least neighbour
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = checkpointed(beside(both, least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct())
         # small star: a node and its lesser neighbours join the least of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        small = beside(large, large.groupBy("a").agg(F.min("b").alias("m")), "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(small.select("a", F.col("m").alias("b"))).where("a != b").distinct()
         edges = checkpointed(small)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -213,10 +239,13 @@ def rooted(distinct: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of every document row."""
     own = checkpointed(fingerprints(docs))
-    found = rooted(checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("least"))))
-    named = found.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = found.join(named, "root").select("fp", "component_id")
-    return own.join(groups, "fp").select("doc_id", "fp", "component_id")
+    distinct = checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = checkpointed(connected_components(candidate_links(distinct.select("fp"))))
+    # only fingerprints with a link are joined by component; any other is a component of its own
+    linked = roots.join(distinct, roots["node"] == distinct["fp"]).select("fp", "root", "least")
+    named = beside(linked.select("fp", "root"), linked.groupBy("root").agg(F.min("least").alias("named")), "root").select("fp", "named", F.lit(True).alias("linked"))
+    groups = distinct.join(named, "fp", "left").select("fp", F.when(F.col("linked"), F.col("named")).otherwise(F.col("least")).alias("component_id"))
+    return beside(own, groups, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
