@@ -13,6 +13,7 @@ Conventions that hold for every operator of this subpackage:
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -48,19 +49,30 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
     return [doc_id.cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key")]
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and cuts its lineage there.
-
-    The folder is the one the session names in ``spark.checkpoint.dir``; only
-    where that is unset, as in tests, a temporary one is made.
-    """
-    spark = df.sparkSession
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset a local session, as in tests, makes one; on a cluster that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lociworks-ckpt-"))
+        given = sc.getConf().get("spark.checkpoint.dir")
+        if not given and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="lociworks-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Writes df to the shared checkpoint folder and cuts its lineage there."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder as a Parquet table of its own, of which later reads take only the columns that they need."""
+    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that each holds about ``limit`` bytes of text or one row."""
     for batch in batches:

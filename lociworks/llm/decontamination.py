@@ -1,19 +1,26 @@
 """Benchmark decontamination by a positional inverted index (operator 2). DataFrame functions only.
 
 A window is ``WINDOW`` consecutive words of a benchmark item, or all words of a
-shorter one. Windows with a term that no document has cannot occur and go
-first. For each of the rest the two terms rarest in the documents are its
-anchors. One pass over the documents stores the postings of anchor terms:
-term, document, position and the words around it. The lists of a window's
-anchors, moved back by the anchors' offsets, are intersected on document and
-start; the stored words decide whether the whole phrase stands there.
-proximity_matches() allows the two lists to differ by some positions instead.
-
-The windows are the stated query set. They are sent to the tasks in blocks of
-at most ``BLOCK`` windows, so what is broadcast has a fixed bound and a large
-benchmark takes more passes. Postings are dealt by document, so frequent terms
-and passages that many documents share don't meet in one task. A document's
-own matches are gathered in one row, which its length bounds.
+shorter one. The index holds the postings of every term that windows have: a
+row for each document row, term and position, written once to the shared folder
+in one pass over the documents, without a shuffle. All that follows reads the
+index: counts of terms, lists of postings, and the words of each document row,
+which has one header.
+
+A window's terms are ranked by how rare they are in the documents; windows with
+a term that no document has cannot occur and go first. A posting of the rarest
+term, moved back by the term's offset, says where the window would start. The
+list of these places is intersected with the list of the next rarest term, then
+with those of all others, each moved back by its own offset. Two places meet if
+they lie at most ``SLOP`` positions apart. ``apart`` is the largest of the least
+distances: 0 means that the exact phrase stands there, more that all its terms
+stand near. Lists are met in cells of positions, so all joins are on equality.
+
+The windows are the stated query set; each distinct one is looked up once, and
+then stands for all items that have it. Their side of a join is broadcast up to
+BROADCAST_ROWS rows and shuffled beyond. Postings are joined by document row and
+term, so frequent terms and passages that many documents share don't meet in one
+task. A document's own matches are gathered in one row, which its length bounds.
 
 Null and empty texts have no words: zero counts, not contaminated. Items
 without words match nothing; a null item_id is written "null". Repeated
@@ -23,21 +30,20 @@ an empty table, nothing is contaminated. Extra columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, row_key, table
+from .common import checkpointed, row_key, table, written
 from .words import WORDS_SQL, words
 
 WINDOW = 10
-#: Terms of a window whose postings are looked up.
-ANCHORS = 2
-#: Windows that are sent to the tasks at once.
-BLOCK = 100_000
-#: Terms up to which the vocabulary of the benchmark is broadcast while terms are counted; larger ones are shuffled.
-BROADCAST_TERMS = 1_000_000
+#: How far a term may stand from where the phrase has it, to be near.
+SLOP = 3
+#: Rows up to which terms, windows or candidate documents are broadcast; larger sides are shuffled.
+BROADCAST_ROWS = 200_000
+#: Stands for a document in the index; no word has this character.
+HEADER = "\x01"
+_CELL = 2 * SLOP + 1
 
 
 def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -47,79 +53,74 @@ def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     return w.select("item_id", F.explode(parts).alias("terms")).distinct()
 
 
-def term_counts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(term, n): how often the documents have each term of a vocabulary; terms they don't have are left out."""
-    known = F.broadcast(vocabulary) if vocabulary.count() <= BROADCAST_TERMS else vocabulary
-    return docs.select(F.explode(words(F.col("text"))).alias("term")).join(known, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+def small(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
 
+def index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(row, term, pos, doc_id, text_key): postings of the terms of a vocabulary. A document's HEADER has its number of words as pos."""
+    own = docs.select(F.monotonically_increasing_id().alias("row"), *row_key(F.col("doc_id"), F.col("text").cast("string")), words(F.col("text")).alias("w"))
+    header = F.array(F.struct(F.lit(HEADER).alias("term"), F.size("w").alias("pos")))
+    placed = F.transform("w", lambda w, i: F.struct(w.alias("term"), i.alias("pos")))
+    each = own.select("row", "doc_id", "text_key", F.explode(F.concat(header, placed)).alias("p")).select("row", "p.term", "p.pos", "doc_id", "text_key")
+    known = checkpointed(vocabulary.unionAll(vocabulary.sparkSession.createDataFrame([(HEADER,)], "term string")).distinct())
+    met = each.join(small(known), "term").select("row", "term", "pos", *[F.when(F.col("term") == HEADER, F.col(c)).alias(c) for c in ("doc_id", "text_key")])
+    return written(met)
 
-def anchored(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(item_id, terms, anchors array<struct<n, at, term>>) of each window that may occur, rarest anchor first."""
-    all_windows = windows(items, size)
-    counts = checkpointed(term_counts(docs, all_windows.select(F.explode("terms").alias("term")).distinct()))
-    each = all_windows.select("item_id", "terms", F.posexplode("terms").alias("at", "term")).join(counts, "term", "left")
-    one = each.groupBy("item_id", "terms", "term").agg(F.min("at").alias("at"), F.first("n").alias("n"))
-    found = one.groupBy("item_id", "terms").agg(F.count("*").alias("kinds"), F.count("n").alias("known"), F.array_sort(F.collect_list(F.struct("n", "at", "term"))).alias("anchors"))
-    return found.where("kinds = known").select("item_id", "terms", F.slice("anchors", 1, ANCHORS).alias("anchors"))
 
+def ranked(asked: DataFrame, postings: DataFrame) -> DataFrame:
+    """(win, size, rank, at, term): the terms of windows (win, terms) that may occur, each at every place it has, rarest first."""
+    counts = postings.groupBy("term").agg(F.count("*").alias("n"))
+    each = asked.select("win", "terms", F.posexplode("terms").alias("at", "term")).join(counts, "term", "left")
+    lists = each.groupBy("win", "terms").agg(F.count("n").alias("known"), F.array_sort(F.collect_list(F.struct("n", "at", "term"))).alias("lists")).where(F.size("terms") == F.col("known"))
+    return lists.select("win", F.size("terms").alias("size"), F.posexplode("lists").alias("rank", "x")).select("win", "size", "rank", "x.at", "x.term")
 
-def postings(docs: DataFrame, terms: list[str], around: int) -> DataFrame:
-    """(doc_id, text_key, n_words, term, pos, first, near): where each document has one of the terms, and the words around.
 
-    near begins at word first. Each document also has one row without a term.
-    """
-    own = docs.select(*row_key(F.col("doc_id"), F.col("text").cast("string")), words(F.col("text")).alias("w"))
-    none = F.array().cast("array<struct<term: string, pos: int, first: int, near: array<string>>>")
-    if terms:
-        places = F.filter(F.transform("w", lambda w, i: F.when(w.isin(*terms), i)), lambda i: i.isNotNull())
-        near = lambda i: F.struct(F.get("w", i).alias("term"), i.alias("pos"), F.greatest(i - around, F.lit(0)).alias("first"), F.slice("w", F.greatest(i - around, F.lit(0)) + 1, F.lit(2 * around + 1)).alias("near"))
-        found = F.transform(places, near)
-    else:
-        found = none
-    nothing = F.struct(F.lit(None).cast("string").alias("term"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("array<string>").alias("near"))
-    return own.select("doc_id", "text_key", F.size("w").cast("long").alias("n_words"), F.explode(F.concat(F.array(nothing), found)).alias("p")).select("doc_id", "text_key", "n_words", "p.*")
+def _cells(start: Column) -> Column:
+    """The cells in which whatever is at most SLOP positions away lies."""
+    return F.array_distinct(F.array(F.floor((start - SLOP) / _CELL), F.floor((start + SLOP) / _CELL)))
 
 
-def _blocks(asked: DataFrame) -> list[DataFrame]:
-    asked = checkpointed(asked)
-    parts = max(1, -(-asked.count() // BLOCK))
-    return [asked.where(F.pmod(F.xxhash64("item_id", "terms"), F.lit(parts)) == i) for i in range(parts)]
+def _intersected(places: DataFrame, lists: DataFrame, postings: DataFrame) -> DataFrame:
+    """Those of places (row, win, size, start, apart) that postings of all lists (win, at, term, lists) of their window meet."""
+    due = places.join(small(lists.select("win", "at", "term", "lists")), "win").withColumn("due", F.col("start") + F.col("at"))
+    due = due.withColumn("cell", F.explode(_cells(F.col("due"))))
+    there = postings.select("row", "term", F.floor(F.col("pos") / _CELL).alias("cell"), "pos")
+    gap = F.abs(F.col("pos") - F.col("due"))
+    met = due.join(there, ["row", "term", "cell"]).where(gap <= SLOP)
+    each = met.groupBy("row", "win", "size", "start", "at", "lists", "apart").agg(F.min(gap).alias("gap"))
+    whole = each.groupBy("row", "win", "size", "start", "lists", "apart").agg(F.count("*").alias("n"), F.max("gap").alias("gap"))
+    return whole.where("n = lists").select("row", "win", "size", "start", F.greatest("gap", "apart").alias("apart"))
 
 
-def _lists(docs: DataFrame, block: DataFrame, size: int, phrase: bool) -> DataFrame:
-    """Postings joined to the windows they are anchors of, moved back to where the window would start."""
-    flat = block.select("item_id", "terms", F.size("anchors").alias("lists"), F.posexplode("anchors").alias("rank", "a")).select("item_id", "terms", "lists", "rank", F.col("a.at").alias("at"), F.col("a.term").alias("term"))
-    terms = sorted(r[0] for r in flat.select("term").distinct().collect())  # at most ANCHORS * BLOCK
-    posted = postings(docs, terms, size - 1)
-    same = F.slice("near", F.greatest(F.col("pos") - F.col("at") - F.col("first") + 1, F.lit(1)), F.size("terms")) == F.col("terms")
-    on = (posted["term"] == flat["term"]) & (F.col("pos") >= F.col("at"))
-    joined = posted.join(F.broadcast(flat), on & same if phrase else on, "left")
-    return joined.where(posted["term"].isNull() | F.col("item_id").isNotNull()).select(
-        "doc_id", "text_key", "n_words", "item_id", (F.col("pos") - F.col("at")).alias("start"), F.size("terms").alias("size"), "lists", "rank", posted["term"].isNull().alias("is_document"), "terms"
-    )
+def matches(asked: DataFrame, postings: DataFrame) -> DataFrame:
+    """(row, win, size, start, apart): where windows (win, terms) stand exactly (apart = 0) or near, from the rarest term on."""
+    lists = checkpointed(ranked(asked, postings))
+    first, second, rest = lists.where("rank = 0"), lists.where("rank = 1"), lists.where("rank > 1")
+    begin = (F.col("pos") - F.col("at")).cast("int")
+    starts = postings.join(small(first), "term").select("row", "win", "size", begin.alias("start"), F.lit(0).alias("apart"))
+    of_second = postings.join(small(second.select("term").distinct()), "term", "left_semi")
+    pairs = checkpointed(_intersected(starts.where("size > 1"), second.withColumn("lists", F.lit(1)), of_second))
+    # what is left asks for few documents: the postings of others go before they travel
+    few = postings.join(small(checkpointed(pairs.select("row").distinct())), "row", "left_semi")
+    whole = _intersected(pairs.where("size > 2"), rest.withColumn("lists", F.col("size") - 2), few)
+    return whole.unionAll(pairs.where("size = 2")).unionAll(starts.where("size = 1"))
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Per document row: (doc_id, text_key, n_words, found array<struct<start, end, item_id>>), sorted; empty where nothing occurs."""
-    parts = [_lists(docs, block, size, phrase=True).drop("terms").where(F.lit(i == 0) | ~F.col("is_document")) for i, block in enumerate(_blocks(anchored(docs, items, size)))]
-    rows = reduce(DataFrame.unionAll, parts).repartition("doc_id", "text_key")
-    met = rows.groupBy("doc_id", "text_key", "item_id", "start", "size", "is_document").agg(F.max("n_words").alias("n_words"), F.sum(F.col("is_document").cast("int")).alias("copies"), F.max("lists").alias("lists"), F.bit_or(F.expr("shiftleft(1, rank)")).alias("ranks"))
-    whole = ~F.col("is_document") & (F.col("ranks") == F.expr("shiftleft(1, lists) - 1"))
-    match = F.when(whole, F.struct("start", (F.col("start") + F.col("size")).alias("end"), "item_id"))
-    per = met.groupBy("doc_id", "text_key").agg(F.max("n_words").alias("n_words"), F.sum("copies").cast("int").alias("copies"), F.array_sort(F.collect_list(match)).alias("found"))
-    return per.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).drop("copy", "copies")
-
-
-def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 3, size: int = WINDOW) -> DataFrame:
-    """(doc_id, item_id, start, apart): windows whose two rarest terms stand within slop positions of where the phrase has them."""
-    parts = [_lists(docs, block, size, phrase=False).where(~F.col("is_document")) for block in _blocks(anchored(docs, items, size))]
-    rows = reduce(DataFrame.unionAll, parts)
-    keys = ["doc_id", "text_key", "item_id", "terms"]
-    a = rows.where("rank = 0").select(*keys, "lists", F.col("start").alias("start"), F.floor(F.col("start") / (slop + 1)).alias("cell"))
-    b = rows.where("rank = 1").select(*keys, F.col("start").alias("other"), F.explode(F.array(*[F.floor(F.col("start") / (slop + 1)) + k for k in (-1, 0, 1)])).alias("cell"))
-    near = a.where("lists > 1").join(b, [*keys, "cell"]).withColumn("apart", F.abs(F.col("start") - F.col("other"))).where(F.col("apart") <= slop)
-    alone = a.where("lists = 1").withColumn("apart", F.lit(0))
-    return near.select("doc_id", "item_id", "start", "apart").unionAll(alone.select("doc_id", "item_id", "start", "apart")).groupBy("doc_id", "item_id", "start").agg(F.min("apart").alias("apart"))
+    """Per document row: doc_id, text_key, n_words, found array<struct<start, end>> of exact matches, sorted, the items that they are of, and n_near, how many windows stand near elsewhere."""
+    by_item = windows(items, size)
+    asked = checkpointed(by_item.groupBy("terms").agg(F.collect_set("item_id").alias("items")).select(F.monotonically_increasing_id().alias("win"), "terms", "items"))
+    postings = index(docs, asked.select(F.explode("terms").alias("term")).distinct())
+    met = checkpointed(matches(asked.select("win", "terms"), postings))
+    span = F.struct("start", (F.col("start") + F.col("size")).alias("end"))
+    places = met.groupBy("row").agg(F.array_sort(F.collect_set(F.when(F.col("apart") == 0, span))).alias("found"), F.count_if(F.col("apart") > 0).alias("n_near"))
+    of = met.where("apart = 0").select("row", "win").distinct().join(small(asked.select("win", "items")), "win").select("row", F.explode("items").alias("item")).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    documents = postings.where(F.col("term") == HEADER).select("row", "doc_id", "text_key", F.col("pos").cast("long").alias("n_words"))
+    none, nobody = F.array().cast("array<struct<start: int, end: int>>"), F.array().cast("array<string>")
+    per = documents.join(places, "row", "left").join(of, "row", "left")
+    return per.select("doc_id", "text_key", "n_words", F.coalesce("found", none).alias("found"), F.coalesce("items", nobody).alias("items"), F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"))
 
 
 def covered(found: Column) -> Column:
@@ -143,9 +144,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of the benchmark in all documents."""
     per = phrase_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    items = F.array_sort(F.array_distinct(F.transform("found", lambda m: m["item_id"])))
-    per = per.select("doc_id", "n_words", covered(F.col("found")).alias("n_hit"), items.alias("items"))
-    return per.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    per = per.select("doc_id", "n_words", covered(F.col("found")).alias("n_hit"), "items", "n_near")
+    return per.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near")
 
 
 OP2_SQL = f"""
@@ -156,7 +156,16 @@ win AS (SELECT DISTINCT item_id, least(len(w), {WINDOW}) AS n, array_to_string(w
 pos AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS s FROM d, (SELECT DISTINCT n FROM win) k, unnest(range(1, len(w) - n + 2)) t(i)),
 hit AS (SELECT doc_id, item_id, i, n FROM pos JOIN win USING (n, s)),
 cov AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM hit, unnest(range(0, n)) t(j) GROUP BY doc_id),
-its AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id),
+tok AS (SELECT doc_id, i - 1 AS pos, w[i] AS term FROM d, unnest(range(1, len(w) + 1)) t(i)),
+term_n AS (SELECT term, count(*) AS c FROM tok GROUP BY term),
+one AS (SELECT DISTINCT n AS size, s FROM win),
+lst AS (SELECT s, size, i - 1 AS at_, string_split(s, ' ')[i] AS term FROM one, unnest(range(1, size + 1)) t(i)),
+rare AS (SELECT s, size, at_, term FROM lst JOIN term_n USING (term) QUALIFY row_number() OVER (PARTITION BY s ORDER BY c, at_) = 1 AND count(*) OVER (PARTITION BY s) = size),
+cand AS (SELECT doc_id, s, size, pos - at_ AS start FROM tok JOIN rare USING (term)),
+gap AS (SELECT cand.doc_id, cand.s, cand.start, cand.size, lst.at_, min(abs(tok.pos - lst.at_ - cand.start)) AS g
+  FROM cand JOIN lst USING (s) JOIN tok ON tok.doc_id = cand.doc_id AND tok.term = lst.term AND abs(tok.pos - lst.at_ - cand.start) <= {SLOP} GROUP BY ALL),
+near AS (SELECT doc_id, count(*) AS n_near FROM (SELECT doc_id, s, start FROM gap GROUP BY doc_id, s, start, size HAVING count(*) = size AND max(g) > 0) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN near USING (doc_id)
 """

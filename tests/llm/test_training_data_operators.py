@@ -92,9 +92,9 @@ def windows_of(text: str | None) -> set[tuple[str, ...]]:
     return {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))} if w else set()
 
 
-@pytest.mark.parametrize("block", [100_000, 2])
-def test_decontamination(spark, docs, none, monkeypatch, block):
-    monkeypatch.setattr(decontamination, "BLOCK", block)
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_decontamination(spark, docs, none, monkeypatch, broadcast):
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", broadcast)
     bench = benchmark(spark)
     items = {(str(i) if i is not None else "null", w) for i, t in [(r.item_id, r.text) for r in bench.collect()] for w in windows_of(t)}
     want = Counter()
@@ -107,19 +107,44 @@ def test_decontamination(spark, docs, none, monkeypatch, block):
                     hit |= {*range(at, at + len(win))}
                     found.add(item)
         want[i, len(w), len(hit), tuple(sorted(found))] += 1
-    per = decontamination.phrase_matches(docs, bench).select("doc_id", "n_words", decontamination.covered(F.col("found")).alias("n"), F.array_sort(F.array_distinct(F.transform("found", lambda m: m["item_id"]))).alias("items"))
+    per = decontamination.phrase_matches(docs, bench).select("doc_id", "n_words", decontamination.covered(F.col("found")).alias("n"), "items")
     assert Counter((r.doc_id, r.n_words, r.n, tuple(r["items"])) for r in per.collect()) == want
     kept = decontamination.decontaminate(docs, bench)
     assert kept.columns == docs.columns and kept.count() == sum(n for (_, _, hits, _), n in want.items() if not hits)
     assert decontamination.phrase_matches(none, bench).count() == 0
-    assert decontamination.phrase_matches(docs, bench.where("false")).where(F.size("found") > 0).count() == 0
-
-
-def test_proximity(spark):
-    docs = documents(spark, [(1, "the quick brown extra foxes jumped"), (2, "the quick brown foxes jumped")])
-    items = spark.createDataFrame([(9, "quick brown foxes")], "item_id long, text string")
-    got = {r.doc_id: r.apart for r in decontamination.proximity_matches(docs, items, slop=2).collect()}
-    assert got[2] == 0 and set(got) <= {1, 2}
+    assert decontamination.phrase_matches(docs, bench.where("false")).where("size(found) > 0 OR n_near > 0").count() == 0
+
+
+def near(words: list[str], window: tuple[str, ...], rarest: int, slop: int) -> dict[int, int]:
+    """By brute force: where the window would start, as its rarest term has it, and how far its terms stand from there."""
+    out = {}
+    for p in [k for k, w in enumerate(words) if w == window[rarest]]:
+        start = p - rarest
+        gaps = [min((abs(k - at - start) for k, w in enumerate(words) if w == term), default=99) for at, term in enumerate(window)]
+        if max(gaps) <= slop:
+            out[start] = max(gaps)
+    return out
+
+
+def test_lists_meet_exactly_and_near(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice(list("abcdefgh"), 40))) for i in range(30)] + [(30, "the quick brown extra foxes jumped"), (31, "the quick brown foxes jumped")]
+    asked = [(100 + k, tuple(w)) for k, w in enumerate([["a"], ["b", "c"], ["a", "b", "a"], ["d", "c", "e", "f"], ["quick", "brown", "foxes"], ["a", "zzz"]])]
+    docs = documents(spark, rows)
+    frame = spark.createDataFrame([(k, list(w)) for k, w in asked], "win long, terms array<string>")
+    postings = decontamination.index(docs, frame.select(F.explode("terms").alias("term")).distinct())
+    ids = {r.row: r.doc_id for r in postings.where(F.col("term") == decontamination.HEADER).collect()}
+    got = {(ids[r.row], r.win, r.start): r.apart for r in decontamination.matches(frame, postings).collect()}
+    seen = Counter(w for _, t in rows for w in t.split())
+    want = {}
+    for k, window in asked:
+        if all(seen[w] for w in window):
+            rarest = min(range(len(window)), key=lambda a: (seen[window[a]], a))
+            for i, t in rows:
+                want |= {(i, k, s): gap for s, gap in near(t.split(), window, rarest, decontamination.SLOP).items()}
+    assert got == want
+    assert got[31, 104, 1] == 0 and {gap for (i, k, _), gap in got.items() if (i, k) == (30, 104)} == {1}
+    assert {gap for gap in got.values()} == {0, 1, 2, 3}
 
 
 def test_quality_counts(spark, docs, none):
