@@ -4,19 +4,21 @@ The hashes of all rolling K-word grams of the texts are joined to the places
 that templates have them at. Each meeting votes for a diagonal, the document's
 position less the template's. Diagonals that lie within ``DRIFT`` of their
 neighbour and of its place in the text are merged, which bridges words that
-were put in or left out. A merged span is verified by the share of the
-template's words that it covers and by how dense its votes are.
+were put in or left out. A merged span is verified word by word: a word of the
+template counts if the text has the same word where one of the span's diagonals
+puts it. Enough of the template and of the span must count.
 
 Besides, places where the words of three fixed phrases stand consecutively are
 counted.
 
-The templates are a fixed table of a few hundred grams, so that side is
-broadcast; what is shuffled are the meetings, dealt by document. A text's own
-meetings come together in one task, which its length bounds.
+One pass cuts the words of all documents and writes down a header of each row,
+with its words counted, and its meetings, which carry the words around them. The
+templates are a fixed table of some thousand grams, so that side is broadcast.
+What is shuffled later is dealt by document row. A row's own meetings come
+together in one task, which its length bounds.
 
 Null and empty texts have no words, places or labels. Repeated rows give
-repeated results: what is found depends on id and text alone. In an empty table
-nothing is found. Extra columns are ignored.
+repeated results. In an empty table nothing is found. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,40 +28,69 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import row_key, table
+from .common import table, written
 from .words import WORD, words
 
 #: Words of a gram.
 K = 3
 #: How far neighbouring diagonals of one span may lie apart, and how many words between them may be foreign.
 DRIFT, GAP = 4, 12
-#: Least share of a template's grams, and of a span's positions, that must have votes.
+#: Least share of a template's words, and of a span's, that must be the same.
 COVERAGE, DENSITY = 0.6, 0.5
+#: Words that a meeting carries on either side of its gram: those of neighbours close any gap within a span.
+AROUND = GAP // 2
 
 #: Phrases and labels (fixed values).
 PHRASES = {("cc", "by"): "cc-by", ("general", "public", "license"): "gpl", ("all", "rights", "reserved"): "reserved"}
 
-#: Well-known licence notices; a label may have several.
+#: Well-known licences and notices, as their owners publish them (fixed values); a label may have several.
 TEMPLATES = [
     ("mit", "Released under the MIT License."),
     ("mit", "Licensed under the MIT License."),
     (
         "mit",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ),
+    (
+        "mit",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    (
+        "apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("gpl-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    (
+        "gpl-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    ),
+    (
+        "gpl-2.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ),
+    (
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ),
+    (
+        "bsd",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("cc-by-4.0", "Licensed under CC BY 4.0."),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
     ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0."),
     ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    (
+        "unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
 ]
 
 
@@ -73,40 +104,75 @@ def grams(w: Column) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(K)]))).otherwise(F.array().cast("array<bigint>"))
 
 
-def template_grams(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
-    """(label, template, grams, at, h): where each template has which gram. Templates of fewer than K words are refused."""
+def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
+    """(label, template, tw): the words of each template. Templates of fewer than K words are refused."""
     rows = [(label, i, w) for i, (label, text) in enumerate(templates) for w in [_template_words(text)]]
     if short := [templates[i] for _, i, w in rows if len(w) < K]:
         raise ValueError(f"templates need {K} words or more: {short}")
-    given = spark.createDataFrame(rows, "label string, template int, w array<string>")
-    return given.select("label", "template", (F.size("w") - K + 1).alias("grams"), F.posexplode(grams(F.col("w"))).alias("at", "h"))
-
-
-def spans(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(doc_id, text_key, label, first_word, last_word, coverage): verified spans, ends included."""
-    known = template_grams(docs.sparkSession, TEMPLATES if templates is None else templates)
-    own = docs.select(*row_key(F.col("doc_id"), F.col("text").cast("string")), words(F.col("text")).alias("w"))
-    each = own.select("doc_id", "text_key", F.posexplode(grams(F.col("w"))).alias("pos", "h"))
-    met = each.join(F.broadcast(known), "h").select("doc_id", "text_key", "template", "label", "grams", (F.col("pos") - F.col("at")).alias("diagonal"), "pos", "at")
-    met = met.repartition("doc_id", "text_key").distinct()
-    keys = ["doc_id", "text_key", "template"]
-    runs = met.groupBy(*keys, "label", "grams", "diagonal").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.collect_set("at").alias("ats"))
+    return spark.createDataFrame(rows, "label string, template int, tw array<string>")
+
+
+_HEADER = -1
+
+
+def meetings(docs: DataFrame, templates: DataFrame) -> DataFrame:
+    """(row, doc_id, n_words, places, template, pos, at, first, near): a header of each document row, and where it has which gram of which template.
+
+    near are the words of the text around the gram, from word first on.
+    """
+    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
+    header = F.array(F.struct(F.lit(_HEADER).alias("pos"), F.lit(0).cast("long").alias("h")))
+    each = own.select("row", "doc_id", "w", F.explode(F.concat(header, F.transform(grams(F.col("w")), lambda h, i: F.struct(i.alias("pos"), h.alias("h"))))).alias("g"))
+    known = templates.select("template", F.posexplode(grams(F.col("tw"))).alias("at", "h"))
+    known = known.select("template", "at", "h").unionAll(docs.sparkSession.createDataFrame([(_HEADER, _HEADER, 0)], "template int, at int, h long"))
+    met = each.select("row", "doc_id", "w", "g.pos", "g.h").join(F.broadcast(known), "h").where((F.col("pos") == _HEADER) == (F.col("template") == _HEADER))
+    first, is_header = F.greatest(F.col("pos") - AROUND, F.lit(0)), F.col("pos") == _HEADER
+    return met.select(
+        "row",
+        F.when(is_header, F.col("doc_id")).alias("doc_id"),
+        F.when(is_header, F.size("w").cast("long")).alias("n_words"),
+        F.when(is_header, phrase_places(F.col("w"))).alias("places"),
+        "template",
+        "pos",
+        "at",
+        first.alias("first"),
+        F.when(~is_header, F.slice("w", first + 1, F.col("pos") - first + K + AROUND)).alias("near"),
+    )
+
+
+def spans(met: DataFrame, templates: DataFrame) -> DataFrame:
+    """(row, label, first_word, last_word, coverage): verified spans, ends included, of meetings."""
+    keys = ["row", "template"]
+    runs = met.withColumn("diagonal", F.col("pos") - F.col("at")).groupBy(*keys, "diagonal").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.collect_list(F.transform("near", lambda w, i: F.struct((i + F.col("first")).alias("at"), w.alias("word")))).alias("near"))
     # a new span begins where the text goes on far behind the furthest place so far, or the diagonal jumps
     by = Window.partitionBy(*keys).orderBy("lo", "diagonal")
     before = by.rowsBetween(Window.unboundedPreceding, -1)
     fresh = (F.col("lo") - F.max("hi").over(before) > GAP) | (F.abs(F.col("diagonal") - F.lag("diagonal").over(by)) > DRIFT)
     numbered = runs.withColumn("fresh", F.coalesce(fresh, F.lit(True)).cast("int")).withColumn("span", F.sum("fresh").over(by))
-    merged = numbered.groupBy(*keys, "label", "grams", "span").agg(F.min("lo").alias("first_word"), (F.max("hi") + K - 1).alias("last_word"), F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("votes"))
-    coverage = F.col("votes") / F.col("grams")
-    density = F.col("votes") / (F.col("last_word") - F.col("first_word") - K + 2)
-    return merged.withColumn("coverage", F.least(coverage, F.lit(1.0))).where((F.col("coverage") >= COVERAGE) & (density >= DENSITY)).select("doc_id", "text_key", "label", "first_word", "last_word", "coverage")
+    merged = numbered.groupBy(*keys, "span").agg(F.min("lo").alias("first_word"), (F.max("hi") + K - 1).alias("last_word"), F.collect_set("diagonal").alias("diagonals"), F.collect_list("near").alias("near"))
+    there = F.map_from_entries(F.array_distinct(F.flatten(F.flatten("near"))))
+    told = merged.withColumn("there", there).join(F.broadcast(templates), "template")
+    inside = lambda i: (i >= F.col("first_word")) & (i <= F.col("last_word"))
+    same = F.filter(F.transform("tw", lambda t, j: F.exists("diagonals", lambda d: inside(j + d) & (F.try_element_at("there", j + d) == t))), lambda x: x)
+    shares = told.withColumn("same", F.size(same)).withColumn("coverage", F.col("same") / F.size("tw")).withColumn("density", F.col("same") / (F.col("last_word") - F.col("first_word") + 1))
+    return shares.where((F.col("coverage") >= COVERAGE) & (F.col("density") >= DENSITY)).select("row", "label", "first_word", "last_word", "coverage")
 
 
 def best_spans(found: DataFrame) -> DataFrame:
-    """(doc_id, text_key, found_spans): each document's spans, less those that overlap one of a greater coverage."""
+    """(row, found_spans): each document row's spans, less those that overlap one of a greater coverage."""
     all_spans = F.array_sort(F.collect_list(F.struct("first_word", "last_word", "label", "coverage")))
     beaten = lambda s: F.exists("all", lambda t: (t["coverage"] > s["coverage"]) & (t["first_word"] <= s["last_word"]) & (s["first_word"] <= t["last_word"]))
-    return found.groupBy("doc_id", "text_key").agg(all_spans.alias("all")).select("doc_id", "text_key", F.filter("all", lambda s: ~beaten(s)).alias("found_spans"))
+    return found.groupBy("row").agg(all_spans.alias("all")).select("row", F.filter("all", lambda s: ~beaten(s)).alias("found_spans"))
+
+
+def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(doc_id, n_words, places, found_spans) of every document row."""
+    known = template_table(docs.sparkSession, TEMPLATES if templates is None else templates)
+    met = written(meetings(docs, known))
+    found = best_spans(spans(met.where(F.col("template") != _HEADER), known))
+    own = met.where(F.col("template") == _HEADER).select("row", "doc_id", "n_words", "places")
+    none = F.array().cast(found.schema["found_spans"].dataType)
+    return own.join(found, "row", "left").select("doc_id", "n_words", "places", F.coalesce("found_spans", none).alias("found_spans"))
 
 
 def phrase_places(w: Column) -> Column:
@@ -130,22 +196,18 @@ def phrase_places(w: Column) -> Column:
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and notices in all documents."""
-    docs = table(spark, sf_dir, "documents")
-    own = docs.select(*row_key(F.col("doc_id"), F.col("text").cast("string")), words(F.col("text")).alias("w"))
-    base = own.select("doc_id", "text_key", F.size("w").cast("long").alias("n_words"), phrase_places(F.col("w")).alias("places"))
-    found = best_spans(spans(docs)).select(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key"), "found_spans")
+    found = scan(table(spark, sf_dir, "documents"))
     best, named = F.array_max(F.transform("found_spans", lambda s: s["coverage"])), F.transform("found_spans", lambda s: s["label"])
-    both = base.join(found, base["doc_id"].eqNullSafe(found["found_id"]) & (base["text_key"] == found["found_key"]), "left")
     labels = F.array_distinct(F.transform("places", lambda p: p["label"]))
     at = F.transform("places", lambda p: p["at"].cast("long"))
-    return both.select(
+    return found.select(
         "doc_id",
         "n_words",
         F.size("places").cast("long").alias("n_base"),
         F.array_min(at).alias("first_word"),
         F.array_max(at).alias("last_word"),
         F.array_join(F.array_sort(labels), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union(labels, F.coalesce(named, F.array().cast("array<string>")))), ",").alias("labels"),
+        F.array_join(F.array_sort(F.array_union(labels, named)), ",").alias("labels"),
         F.greatest(F.coalesce(best, F.lit(0.0)), F.when(F.size("places") > 0, 1.0).otherwise(0.0)).alias("score"),
-        F.coalesce(F.array_join(F.transform("found_spans", lambda s: F.concat_ws(":", s["label"], s["first_word"].cast("string"), s["last_word"].cast("string"))), ","), F.lit("")).alias("spans"),
+        F.array_join(F.transform("found_spans", lambda s: F.concat_ws(":", s["label"], s["first_word"].cast("string"), s["last_word"].cast("string"))), ",").alias("spans"),
     )

@@ -187,18 +187,60 @@ def test_secrets(spark, docs, none):
     assert len(secrets.train(none)) == len(model)
 
 
+def slow_spans(text: str | None, templates: list[tuple[str, str]]) -> set[tuple[str, int, int, float]]:
+    """By brute force: each diagonal of each template, merged and verified word by word."""
+    k, out = licenses.K, []
+    w = WORD.findall((text or "").translate(ASCII_LOWER))
+    for label, t in templates:
+        tw = WORD.findall(t.translate(ASCII_LOWER))
+        runs = []
+        for d in range(-len(tw), len(w)):
+            at = [p for p in range(max(0, d), min(len(w) - k, len(tw) - k + d) + 1) if w[p : p + k] == tw[p - d : p - d + k]]
+            if at:
+                runs.append((at[0], d, at[-1]))
+        groups: list[list] = []
+        for lo, d, hi in sorted(runs):
+            if not groups or lo - max(r[2] for g in groups for r in g) > licenses.GAP or abs(d - groups[-1][-1][1]) > licenses.DRIFT:
+                groups.append([])
+            groups[-1].append((lo, d, hi))
+        for g in groups:
+            first, last = min(r[0] for r in g), max(r[2] for r in g) + k - 1
+            same = sum(any(first <= j + d <= last and w[j + d] == x for _, d, _ in g) for j, x in enumerate(tw))
+            if same >= licenses.COVERAGE * len(tw) and same >= licenses.DENSITY * (last - first + 1):
+                out.append((label, first, last, same / len(tw)))
+    return {s for s in out if not any(t[3] > s[3] and t[1] <= s[2] and s[1] <= t[2] for t in out)}
+
+
 def test_licenses(spark, docs, none):
-    w = docs.select("doc_id", licenses.words(F.col("text")).alias("w"))
-    got = {r.doc_id: [(p["at"], p["label"]) for p in r.places] for r in w.select("doc_id", licenses.phrase_places(F.col("w")).alias("places")).collect()}
+    got = licenses.scan(docs).collect()
+    want = Counter()
     for i, t in texts():
         own = WORD.findall((t or "").translate(ASCII_LOWER))
-        assert got[i] == sorted((k, label) for phrase, label in licenses.PHRASES.items() for k in range(len(own)) if tuple(own[k : k + len(phrase)]) == phrase)
-    found = {r.doc_id: {s["label"] for s in r.found_spans} for r in licenses.best_spans(licenses.spans(docs)).collect()}
-    assert found[60] == {"apache-2.0"} and "gpl-3.0" in found[62]
-    assert set(found) <= {60, 61, 62}
-    assert licenses.spans(none).count() == 0
+        places = sorted((k, label) for phrase, label in licenses.PHRASES.items() for k in range(len(own)) if tuple(own[k : k + len(phrase)]) == phrase)
+        want[i, len(own), tuple(places), frozenset(slow_spans(t, licenses.TEMPLATES))] += 1
+    assert Counter((r.doc_id, r.n_words, tuple((p["at"], p["label"]) for p in r.places), frozenset((s["label"], s["first_word"], s["last_word"], s["coverage"]) for s in r.found_spans)) for r in got) == want
+    found = {r.doc_id: {s["label"] for s in r.found_spans} for r in got if r.found_spans}
+    assert found[60] == {"apache-2.0"} and "gpl-3.0" in found[62] and set(found) <= {60, 61, 62}
+    assert licenses.scan(none).count() == 0
     with pytest.raises(ValueError):
-        licenses.spans(docs, [("x", "too short")])
+        licenses.scan(docs, [("x", "too short")])
+
+
+def test_edited_notices(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for k, (_, text) in enumerate(licenses.TEMPLATES):
+        w = text.split()
+        for edits in (0, 1, 4, 12):
+            own = list(w)
+            for _ in range(min(edits, len(w) // 4)):
+                at = int(rng.integers(len(own)))
+                own[at : at + int(rng.integers(0, 3))] = ["foreign"] * int(rng.integers(0, 3))
+            rows.append((100 * k + edits, f"some words first {' '.join(own)} and last"))
+    got = {r.doc_id: {(s["label"], s["first_word"], s["last_word"], s["coverage"]) for s in r.found_spans} for r in licenses.scan(documents(spark, rows)).collect()}
+    assert got == {i: slow_spans(t, licenses.TEMPLATES) for i, t in rows}
+    for k, (label, _) in enumerate(licenses.TEMPLATES):
+        assert label in {s[0] for s in got[100 * k]} and max(s[3] for s in got[100 * k]) == 1
 
 
 @pytest.mark.parametrize("head", [500_000, 5])
