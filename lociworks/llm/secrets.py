@@ -8,7 +8,7 @@ character, over the run or over a segment of it, so that words glued to a secret
 don't hide it. Such a run is a span as a whole, also where a pattern found a part.
 
 The models are trained from labelled samples: random strings are digests of
-numbers, written in four alphabets; ordinary ones are words of a bounded sample
+numbers up to TRAIN_RANDOM, written in four alphabets; ordinary ones are words of a bounded sample
 of the given documents and identifiers joined from neighbouring words. What
 comes to the driver is one matrix of a fixed size.
 
@@ -44,6 +44,9 @@ TRAIN_DOCUMENTS, TRAIN_RANDOM = 1000, 2000
 #: A run or a segment of it is random if its log-likelihood ratio is above this for each character.
 THRESHOLD = 0.8
 
+#: Matches of a text that are placed one after the other.
+BLOCK = 256
+
 _SPAN = "array<struct<start: long, rank: int, end: long>>"
 
 
@@ -57,13 +60,28 @@ def _spans(text: Column, pattern: str, rank: int, keep=None) -> Column:
     # the text between has one part more than there are matches
     steps = F.zip_with(between, found, lambda b, m: F.struct(F.char_length(b).alias("gap"), F.coalesce(F.char_length(m), F.lit(0)).alias("size"), F.coalesce(keep(m) if keep else m.isNotNull(), F.lit(False)).alias("keep")))
 
+    return F.when(text.rlike(pattern), _placed(steps, rank)).otherwise(_none())
+
+
+def _placed(steps: Column, rank: int) -> Column:
+    """The spans of steps of array<struct<gap, size, keep>>.
+
+    Each place is the sum of all before it. An array that a fold appends to is copied each time, so steps are added up in
+    blocks of BLOCK, and each block then begins where the ones before it end.
+    """
+    block = lambda k: F.slice(steps, k * BLOCK + 1, F.lit(BLOCK))
+    zero = F.lit(0).cast("long")
+    blocks = F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / BLOCK).cast("int"))
+    lengths = F.transform(blocks, lambda k: F.aggregate(block(k), zero, lambda n, x: n + x["gap"] + x["size"]))
+    begins = F.aggregate(lengths, F.array(zero), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
+
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + x["size"]).alias("end"))
         return F.struct((start + x["size"]).alias("at"), F.when(x["keep"], F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    told = F.aggregate(steps, F.struct(F.lit(0).cast("long").alias("at"), _none().alias("spans")), add, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern), told).otherwise(_none())
+    told = lambda k: F.aggregate(block(k), F.struct(F.get(begins, k).alias("at"), _none().alias("spans")), add, lambda acc: acc["spans"])
+    return F.flatten(F.transform(blocks, told))
 
 
 def base_spans(text: Column) -> Column:
@@ -85,11 +103,11 @@ def _pairs(words: DataFrame) -> DataFrame:
     return counted.groupBy(_place(F.substring("pair", 1, 1)).alias("a"), _place(F.substring("pair", 2, 1)).alias("b")).agg(F.sum("n").alias("n"))
 
 
-def random_strings(spark: SparkSession) -> DataFrame:
-    """The sample labelled random: digests in hex, base 64, capitals with digits, and letters with digits."""
+def random_strings(spark: SparkSession, first: int = 0, count: int = TRAIN_RANDOM) -> DataFrame:
+    """The sample labelled random: digests of numbers in hex, base 64, capitals with digits, and letters with digits."""
     digest = F.sha2(F.col("id").cast("string"), 256)
     base64 = F.base64(F.unhex(digest))
-    rows = spark.range(TRAIN_RANDOM).select(
+    rows = spark.range(first, first + count).select(
         F.explode(
             F.array(
                 F.substring(digest, 1, 40),

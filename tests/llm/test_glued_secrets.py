@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
-from cases import WORDS, documents
+from cases import WORDS, documents, texts
+from pyspark.sql import functions as F
 
 from lociworks.llm import secrets
+from lociworks.llm.common import table
 
 KEY = "wJalrXUtnFEMIqK7MDENGbPxRfiCYzEqR8vLm3Tk"
 HEX = "0a1b2c3d4e5f6789"
@@ -38,3 +42,59 @@ def test_a_secret_glued_to_words(spark, model):
 def test_a_run_within_a_base_span_is_told_once(spark, model):
     (found,) = secrets.scan(documents(spark, [(1, f'token="{KEY}"')]), model).collect()
     assert [s["rank"] for s in found.all_found] == [0]
+
+
+def slow_random_like(word: str, model: list[float]) -> bool:
+    """By brute force: the sum over the whole run, or over any segment of RUN_LEAST characters or more."""
+    size = len(secrets.ALPHABET) + 1
+    p = [secrets.ALPHABET.find(c) + 1 for c in word]
+    ratio = [model[a * size + b] for a, b in zip(p, p[1:])]
+    if sum(ratio) > secrets.THRESHOLD * len(word):
+        return True
+    own = [r if 1 <= a <= 52 or 1 <= b <= 52 else 0.0 for r, a, b in zip(ratio, p, p[1:])]
+    least = secrets.RUN_LEAST - 1
+    # a segment that the fold finds never has a beginning that pulls it down, and ends at its highest sum
+    for i in range(len(own)):
+        total = 0.0
+        for j in range(i, len(own)):
+            total += own[j] - secrets.THRESHOLD
+            if total <= 0:
+                break
+            if j - i + 1 >= least:
+                return True
+    return False
+
+
+def test_random_spans_equal_brute_force(spark, model):
+    rows = [(i, t) for i, t in texts() if i is not None and i not in (7, 72)] + [(300, f"pre_{KEY[:20]}_post {KEY} {'ab' * 30} x-{KEY[5:30]}=1234567890123456")]
+    got = {r.doc_id: [(s["start"], s["end"]) for s in r.all_found if s["rank"] == 3] for r in secrets.scan(documents(spark, rows), model).collect()}
+    for i, t in rows:
+        base = secrets_of(t or "")
+        runs = [(m.start(), m.end()) for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}", t or "") if not re.fullmatch("[0-9+/_=-]+", m[0])]
+        judged = [(a, b) for a, b in runs if slow_random_like(t[a:b], model) and not any(x <= a and b <= y for x, y in base)]
+        assert got[i] == judged, i
+    assert got[300]
+
+
+def secrets_of(t: str) -> list[tuple[int, int]]:
+    out = [(m.start(), m.end()) for m in re.finditer(secrets.ASSIGN, t) if len(m[2]) >= secrets.ASSIGN_LEAST]
+    return out + [(m.start(), m.end()) for p in (secrets.ACCESS, secrets.HEX) for m in re.finditer(p, t)]
+
+
+def test_many_matches_of_one_text(spark, model):
+    text = " ".join(f"{k:016x}" for k in range(3000))
+    (found,) = secrets.scan(documents(spark, [(1, text)]), model).collect()
+    assert [(s["start"], s["end"]) for s in found.base_found] == [(17 * k, 17 * k + 16) for k in range(3000)]
+
+
+def test_rates_on_strings_held_out(spark):
+    """Recall on digests that weren't trained on, and false alarms on words and identifiers of documents that weren't."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    model = secrets.train(docs.where("doc_id % 2 = 0"))
+    like = lambda df: df.where(F.char_length("word") >= secrets.RUN_LEAST).agg(F.avg(secrets.random_like(F.col("word"), model).cast("double"))).first()[0]
+    held = secrets.random_strings(spark, secrets.TRAIN_RANDOM, 500)
+    rates = {n: like(held.where(F.char_length("word") >= n).select(F.substring("word", 1, n).alias("word"))) for n in (16, 24, 40)}
+    ordinary = like(secrets.ordinary_strings(docs.where("doc_id % 2 = 1")))
+    print(rates, ordinary)
+    assert rates[16] > 0.9 and rates[24] > 0.97 and rates[40] > 0.99
+    assert ordinary < 0.001
