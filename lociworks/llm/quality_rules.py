@@ -1,18 +1,30 @@
-"""Quality rules: tokeniser fertility with rejection bands per script (operator 5).
+"""Quality rules: tokeniser fertility with rejection bands per language and script (operator 5).
 
 A public vocabulary with byte fallback measures each text: characters per
 token, the share of tokens that are single fallback bytes, and the entropy of
-the token distribution. A text whose measures leave the band of its language,
-or else of its main script, is rejected, as are texts that fail the plain counts (too few words, or
-mostly repeated three-word windows).
+the token distribution. Texts that fail the plain counts (too few words, or
+mostly repeated three-word windows) are rejected. So are those whose measures
+leave a band:
+
+* a wide one of the text's main script, which is fixed: how far the vocabulary
+  spells that script in bytes bounds the share of bytes, and texts of symbols
+  have a strict band;
+* a narrower one fitted to the table: for each language within a script, or for
+  the script where fewer than MIN_FIT different texts have the language, the
+  quartiles of a measure less or more LOW or HIGH times what lies between them.
+
+Quartiles come from histograms of all texts that pass the plain counts, each
+different set of measures counted once, so exact copies have no weight.
 
 Words are cut at blanks and tokenised one by one, which is how such
 vocabularies see them; every distinct word is tokenised once per worker and
-remembered in a bounded cache. A text is measured whole, however long it is.
+remembered in a bounded cache. A text is measured whole, however long it is, and
+once: measures are written to the shared folder before bands are fitted to them.
 
 Null, empty and blank texts have no words, all counts zero, and fail the plain
-counts; their measures are zero. Repeated rows give repeated results. Extra
-columns are ignored.
+counts; their measures are zero. Null languages have the script's band. Repeated
+rows give repeated results. Without texts to fit on only the fixed bands hold.
+Extra columns are ignored by measure() and kept by keep().
 """
 
 from __future__ import annotations
@@ -25,10 +37,11 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import table, text_slices, vocabulary_bytes
+from .common import checkpointed, table, text_slices, vocabulary_bytes, written
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
@@ -49,33 +62,42 @@ class Band:
     max_entropy: float
 
 
-#: First code point of ranges and the script that each belongs to.
+#: First code point of ranges and the script that each belongs to. "spelled" are scripts that vocabularies mostly spell in bytes.
 SCRIPT_STARTS = {
-    0x41: "latin", 0x370: "greek", 0x400: "cyrillic", 0x530: "other", 0x590: "hebrew", 0x600: "arabic", 0x780: "other", 0x900: "indic",
-    0xE00: "thai", 0xE80: "other", 0x1100: "hangul", 0x1200: "other", 0x1E00: "latin", 0x1F00: "greek", 0x2000: "other", 0x3040: "kana",
-    0x3100: "other", 0x3400: "han", 0xA000: "other", 0xAC00: "hangul", 0xD7B0: "other", 0xF900: "han", 0xFB00: "other",
+    0x41: "latin", 0x370: "greek", 0x400: "cyrillic", 0x530: "armenian", 0x590: "hebrew", 0x600: "arabic", 0x780: "spelled", 0x900: "indic",
+    0xE00: "thai", 0xE80: "spelled", 0x10A0: "georgian", 0x1100: "hangul", 0x1200: "spelled", 0x1E00: "latin", 0x1F00: "greek", 0x2000: "symbols",
+    0x3040: "kana", 0x3100: "symbols", 0x3400: "han", 0xA000: "spelled", 0xAC00: "hangul", 0xD7B0: "symbols", 0xF900: "han", 0xFB00: "symbols",
 }
 _STARTS = np.array(list(SCRIPT_STARTS), dtype=np.uint32)
 _NAMES = list(SCRIPT_STARTS.values())
 
-#: Bands per main script. Scripts whose letters the vocabulary spells in bytes get wide ones.
+#: Fixed bands per main script: plain sentences in these scripts measure well inside, random code points of them outside.
 BANDS = {
-    "latin": Band(1.5, 8.0, 0.05, 4.5, 14.0),
-    "greek": Band(0.6, 8.0, 0.6, 3.0, 14.0),
-    "cyrillic": Band(0.8, 8.0, 0.6, 3.0, 14.0),
-    "han": Band(0.3, 8.0, 0.95, 3.0, 14.0),
-    "kana": Band(0.3, 8.0, 0.95, 3.0, 14.0),
-    "hangul": Band(0.3, 8.0, 0.98, 3.0, 14.0),
-    "other": Band(0.25, 8.0, 1.0, 2.5, 14.0),
+    "latin": Band(1.2, 8.0, 0.05, 4.0, 14.0),
+    "greek": Band(0.6, 8.0, 0.1, 3.0, 14.0),
+    "cyrillic": Band(0.8, 8.0, 0.1, 3.0, 14.0),
+    "armenian": Band(0.5, 8.0, 0.4, 3.0, 14.0),
+    "hebrew": Band(0.6, 8.0, 0.15, 3.0, 14.0),
+    "arabic": Band(0.6, 8.0, 0.15, 3.0, 14.0),
+    "indic": Band(0.45, 8.0, 0.5, 3.0, 14.0),
+    "thai": Band(0.6, 8.0, 0.2, 3.0, 14.0),
+    "georgian": Band(0.5, 8.0, 0.2, 3.0, 14.0),
+    "han": Band(0.45, 8.0, 0.5, 3.0, 14.0),
+    "kana": Band(0.5, 8.0, 0.4, 3.0, 14.0),
+    "hangul": Band(0.45, 8.0, 0.4, 3.0, 14.0),
+    "spelled": Band(0.25, 8.0, 0.95, 2.5, 14.0),
+    "symbols": Band(0.6, 8.0, 0.1, 4.0, 14.0),
 }
 
-#: Narrower bands of languages that the vocabulary knows, for texts in their script.
-LANGUAGE_BANDS = {
-    "en": Band(1.84, 6.0, 0.05, 5.3, 14.0),
-    "fr": Band(1.72, 6.0, 0.05, 5.3, 14.0),
-    "de": Band(1.9, 6.0, 0.05, 5.3, 14.0),
-    "es": Band(1.7, 6.0, 0.05, 5.3, 14.0),
-}
+#: Fitted bands: how many times the distance of the quartiles lies below and above them, and what that distance is at least,
+#: as a share of their mean or, for the share of bytes, as it is.
+LOW, HIGH, LEAST_SPREAD, LEAST_BYTES = 2.0, 3.0, 0.03, 0.02
+#: Different texts that a language or script must have for a band of its own.
+MIN_FIT = 200
+#: Width of a bin of the histograms.
+STEPS = {"chars_per_token": 0.01, "byte_share": 0.001, "token_entropy": 0.01}
+#: Languages and scripts up to which their bands are broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def script_of(text: str) -> str:
@@ -167,17 +189,6 @@ def repeated(ids: np.ndarray, kinds: int) -> int:
     return int(covered.sum())
 
 
-def verdict(n_words: int, n_repeat: int, chars: int, tokens: int, n_bytes: int, entropy: float, script: str, lang: str | None = None) -> tuple[bool, bool]:
-    """(fails the plain counts, is kept). A language with bands of its own has them applied, else the script's."""
-    failed = n_words < MIN_WORDS or 100 * n_repeat > MAX_REPEAT_PERCENT * n_words
-    if failed:
-        return True, False
-    band = LANGUAGE_BANDS.get(lang) if script == "latin" else None
-    band = band or BANDS.get(script, BANDS["other"])
-    ratio = chars / tokens
-    return False, band.min_chars_per_token <= ratio <= band.max_chars_per_token and n_bytes <= band.max_byte_share * tokens and band.min_entropy <= entropy <= band.max_entropy
-
-
 _READY: dict[int, Fertility] = {}
 
 
@@ -196,46 +207,79 @@ def _send(spark: SparkSession, vocabulary: str | None):
     return spark.sparkContext.broadcast(vocabulary_bytes(vocabulary))
 
 
-def measure(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """Counts, fertility measures and verdict of every document."""
+_MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, script string, n_tokens long, chars_per_token double, byte_share double, token_entropy double"
+_KINDS = [pa.int64()] * 5 + [pa.bool_(), pa.string(), pa.int64()] + [pa.float64()] * 3
+
+
+def measured(docs: DataFrame, kept: list[Column], vocabulary: str | None = None) -> DataFrame:
+    """The columns kept, lang, and the counts and measures of every document row, written down."""
     sent = _send(docs.sparkSession, vocabulary)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fertility = _ready(sent)
         for batch in text_slices(batches):
-            out = []
-            texts, langs = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for text, lang, (n, chars, symbols, dup, rep, tokens, n_bytes, entropy) in zip(texts, langs, fertility.rows(texts)):
-                script = script_of(text or "")
-                failed, kept = verdict(n, rep, chars, tokens, n_bytes, entropy, script, lang)
-                out.append((n, chars, symbols, dup, rep, failed, kept, script, chars / max(1, tokens), n_bytes / max(1, tokens), entropy))
-            kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.string()] + [pa.float64()] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], _NAMES_OUT)
+            texts, out = batch.column(batch.schema.get_field_index("text")).to_pylist(), []
+            for text, (n, chars, symbols, dup, rep, tokens, n_bytes, entropy) in zip(texts, fertility.rows(texts)):
+                failed = n < MIN_WORDS or 100 * rep > MAX_REPEAT_PERCENT * n
+                out.append((n, chars, symbols, dup, rep, failed, script_of(text or ""), tokens, chars / max(1, tokens), n_bytes / max(1, tokens), entropy))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(c, k) for c, k in zip(zip(*out), _KINDS))], names)
 
     lang = docs["lang"].cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), lang.alias("lang")).mapInArrow(run, _SCHEMA_OUT)
+    own = docs.select(docs["text"].cast("string").alias("text"), lang.alias("lang"), *kept)
+    schema = StructType(own.schema.fields[1:] + StructType.fromDDL(_MEASURES).fields)
+    names = schema.names
+    return written(own.mapInArrow(run, schema))
+
+
+def fitted_bands(found: DataFrame) -> DataFrame:
+    """(script, lang, <measure>_lo, <measure>_hi): fitted bands of languages and, with a null lang, of scripts."""
+    kinds = found.where("NOT base_failed").select("script", "lang", "n_words", "n_tokens", *STEPS).distinct()
+    values = F.array(*[F.struct(F.lit(m).alias("measure"), F.floor(F.col(m) / step).alias("bin")) for m, step in STEPS.items()])
+    each = kinds.select("script", F.explode(F.array_distinct(F.array("lang", F.lit(None).cast("string")))).alias("lang"), values.alias("v"))
+    bins = each.select("script", "lang", F.explode("v").alias("x")).groupBy("script", "lang", "x.measure", "x.bin").agg(F.count("*").alias("n"))
+    own = Window.partitionBy("script", "lang", "measure")
+    up = own.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = bins.withColumn("upto", F.sum("n").over(up)).withColumn("total", F.sum("n").over(own)).where(F.col("total") >= MIN_FIT)
+    quarter = lambda m, q: (F.min(F.when((F.col("measure") == m) & (F.col("upto") >= q * F.col("total")), F.col("bin"))) + 0.5) * STEPS[m]
+    at = ranked.groupBy("script", "lang").agg(*[quarter(m, q).alias(f"{m}_{k}") for m in STEPS for k, q in (("lo", 0.25), ("hi", 0.75))])
+    out = []
+    for m in STEPS:
+        lo, hi = F.col(f"{m}_lo"), F.col(f"{m}_hi")
+        spread = F.greatest(hi - lo, F.lit(LEAST_BYTES) if m == "byte_share" else LEAST_SPREAD * (lo + hi) / 2)
+        out += [(lo - LOW * spread).alias(f"{m}_lo"), (hi + HIGH * spread).alias(f"{m}_hi")]
+    return at.select("script", "lang", *out)
+
+
+def judged(found: DataFrame) -> DataFrame:
+    """The rows of measured() with kept."""
+    fitted = checkpointed(fitted_bands(found))
+    small = fitted.count() <= BROADCAST_ROWS
+    sides = []
+    for prefix, part in (("by_lang", fitted.where("lang IS NOT NULL")), ("by_script", fitted.where("lang IS NULL"))):
+        side = part.select("script", *(["lang"] if prefix == "by_lang" else []), F.struct(*[f"{m}_{k}" for m in STEPS for k in ("lo", "hi")]).alias(prefix))
+        sides.append(F.broadcast(side) if small else side)
+    met = found.join(sides[0], ["script", "lang"], "left").join(F.broadcast(sides[1]), "script", "left")  # scripts are few
+    ok = F.lit(False)
+    for script, b in BANDS.items():
+        inside = F.col("chars_per_token").between(b.min_chars_per_token, b.max_chars_per_token) & (F.col("byte_share") <= b.max_byte_share) & F.col("token_entropy").between(b.min_entropy, b.max_entropy)
+        ok = F.when(F.col("script") == script, inside).otherwise(ok)
+    fit = F.coalesce("by_lang", "by_script")
+    for m in STEPS:
+        ok = ok & F.coalesce(F.col(m).between(fit[f"{m}_lo"], fit[f"{m}_hi"]), F.lit(True))
+    return met.withColumn("kept", ~F.col("base_failed") & ok).drop("by_lang", "by_script")
 
 
-_SCHEMA_OUT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, script string, chars_per_token double, byte_share double, token_entropy double"
-_NAMES_OUT = [x.split()[0] for x in _SCHEMA_OUT.split(", ")]
+def measure(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """Counts, fertility measures and verdict of every document."""
+    found = judged(measured(docs, [docs["doc_id"].cast("long").alias("doc_id")], vocabulary))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "script", "chars_per_token", "byte_share", "token_entropy")
 
 
 def keep(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """The rows whose texts pass the rules, with all their columns, in one pass and without a shuffle."""
-    sent = _send(docs.sparkSession, vocabulary)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fertility = _ready(sent)
-        for batch in text_slices(batches):
-            texts, place = batch.column(batch.schema.get_field_index("text")).to_pylist(), batch.schema.get_field_index("lang")
-            langs = batch.column(place).to_pylist() if place >= 0 else [None] * len(texts)
-            kept = [
-                verdict(n, rep, chars, tokens, n_bytes, entropy, script_of(text or ""), lang)[1]
-                for text, lang, (n, chars, _, _, rep, tokens, n_bytes, entropy) in zip(texts, langs, fertility.rows(texts))
-            ]
-            yield batch.filter(pa.array(kept, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    """The rows whose texts pass the rules, with all their columns; no row is shuffled."""
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+    kept = judged(measured(docs, [row], vocabulary)).where("kept")
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
