@@ -106,10 +106,10 @@ def grams(w: Column) -> Column:
 
 def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
     """(label, template, tw): the words of each template. Templates of fewer than K words are refused."""
-    rows = [(label, i, w) for i, (label, text) in enumerate(templates) for w in [_template_words(text)]]
-    if short := [templates[i] for _, i, w in rows if len(w) < K]:
+    if short := [text for _, text in templates if len(_template_words(text)) < K]:
         raise ValueError(f"templates need {K} words or more: {short}")
-    return spark.createDataFrame(rows, "label string, template int, tw array<string>")
+    rows = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(i).alias("template"), F.lit(text).alias("text")) for i, (label, text) in enumerate(templates)])
+    return spark.range(1).select(F.explode(rows).alias("t")).select("t.label", "t.template", words(F.col("t.text")).alias("tw"))
 
 
 _HEADER = -1
@@ -124,7 +124,7 @@ def meetings(docs: DataFrame, templates: DataFrame) -> DataFrame:
     header = F.array(F.struct(F.lit(_HEADER).alias("pos"), F.lit(0).cast("long").alias("h")))
     each = own.select("row", "doc_id", "w", F.explode(F.concat(header, F.transform(grams(F.col("w")), lambda h, i: F.struct(i.alias("pos"), h.alias("h"))))).alias("g"))
     known = templates.select("template", F.posexplode(grams(F.col("tw"))).alias("at", "h"))
-    known = known.select("template", "at", "h").unionAll(docs.sparkSession.createDataFrame([(_HEADER, _HEADER, 0)], "template int, at int, h long"))
+    known = known.unionAll(docs.sparkSession.range(1).select(F.lit(_HEADER).alias("template"), F.lit(_HEADER).alias("at"), F.lit(0).cast("long").alias("h")))
     met = each.select("row", "doc_id", "w", "g.pos", "g.h").join(F.broadcast(known), "h").where((F.col("pos") == _HEADER) == (F.col("template") == _HEADER))
     first, is_header = F.greatest(F.col("pos") - AROUND, F.lit(0)), F.col("pos") == _HEADER
     return met.select(
