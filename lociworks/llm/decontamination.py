@@ -41,8 +41,8 @@ WINDOW = 10
 SLOP = 3
 #: Rows up to which terms, windows or candidate documents are broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 200_000
-#: Stands for a document in the index; no word has this character.
-HEADER = "\x01"
+#: Stands for a document in the index.
+HEADER = -1
 _CELL = 2 * SLOP + 1
 
 
@@ -58,23 +58,28 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(row, term, pos, doc_id, text_key): postings of the terms of a vocabulary. A document's HEADER has its number of words as pos."""
+def vocabulary(asked: DataFrame) -> DataFrame:
+    """(term, tid): the terms of windows (win, terms), numbered."""
+    return checkpointed(asked.select(F.explode("terms").alias("term")).distinct().select("term", F.monotonically_increasing_id().alias("tid")))
+
+
+def index(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(row, tid, pos, doc_id, text_key): postings of the terms of a vocabulary. Of a document's header tid is HEADER and pos its number of words."""
     own = docs.select(F.monotonically_increasing_id().alias("row"), *row_key(F.col("doc_id"), F.col("text").cast("string")), words(F.col("text")).alias("w"))
-    header = F.array(F.struct(F.lit(HEADER).alias("term"), F.size("w").alias("pos")))
+    header = F.array(F.struct(F.lit("").alias("term"), F.size("w").alias("pos")))  # no word is empty
     placed = F.transform("w", lambda w, i: F.struct(w.alias("term"), i.alias("pos")))
     each = own.select("row", "doc_id", "text_key", F.explode(F.concat(header, placed)).alias("p")).select("row", "p.term", "p.pos", "doc_id", "text_key")
-    known = checkpointed(vocabulary.unionAll(vocabulary.sparkSession.createDataFrame([(HEADER,)], "term string")).distinct())
-    met = each.join(small(known), "term").select("row", "term", "pos", *[F.when(F.col("term") == HEADER, F.col(c)).alias(c) for c in ("doc_id", "text_key")])
-    return written(met)
+    sides = known.select("term", "tid").unionAll(docs.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(HEADER).cast("long").alias("tid")))
+    met = each.join(F.broadcast(sides) if known.count() <= BROADCAST_ROWS else sides, "term")
+    return written(met.select("row", "tid", "pos", *[F.when(F.col("tid") == HEADER, F.col(c)).alias(c) for c in ("doc_id", "text_key")]))
 
 
-def ranked(asked: DataFrame, postings: DataFrame) -> DataFrame:
-    """(win, size, rank, at, term): the terms of windows (win, terms) that may occur, each at every place it has, rarest first."""
-    counts = postings.groupBy("term").agg(F.count("*").alias("n"))
-    each = asked.select("win", "terms", F.posexplode("terms").alias("at", "term")).join(counts, "term", "left")
-    lists = each.groupBy("win", "terms").agg(F.count("n").alias("known"), F.array_sort(F.collect_list(F.struct("n", "at", "term"))).alias("lists")).where(F.size("terms") == F.col("known"))
-    return lists.select("win", F.size("terms").alias("size"), F.posexplode("lists").alias("rank", "x")).select("win", "size", "rank", "x.at", "x.term")
+def ranked(asked: DataFrame, known: DataFrame, postings: DataFrame) -> DataFrame:
+    """(win, size, rank, at, tid): the terms of windows (win, terms) that may occur, each at every place it has, rarest first."""
+    counts = checkpointed(known.join(small(checkpointed(postings.groupBy("tid").agg(F.count("*").alias("n")))), "tid"))
+    each = asked.select("win", "terms", F.posexplode("terms").alias("at", "term")).join(small(counts), "term", "left")
+    lists = each.groupBy("win", "terms").agg(F.count("n").alias("known"), F.array_sort(F.collect_list(F.struct("n", "at", "tid"))).alias("lists")).where(F.size("terms") == F.col("known"))
+    return lists.select("win", F.size("terms").alias("size"), F.posexplode("lists").alias("rank", "x")).select("win", "size", "rank", "x.at", "x.tid")
 
 
 def _cells(start: Column) -> Column:
@@ -83,24 +88,24 @@ def _cells(start: Column) -> Column:
 
 
 def _intersected(places: DataFrame, lists: DataFrame, postings: DataFrame) -> DataFrame:
-    """Those of places (row, win, size, start, apart) that postings of all lists (win, at, term, lists) of their window meet."""
-    due = places.join(small(lists.select("win", "at", "term", "lists")), "win").withColumn("due", F.col("start") + F.col("at"))
+    """Those of places (row, win, size, start, apart) that postings of all lists (win, at, tid, lists) of their window meet."""
+    due = places.join(small(lists.select("win", "at", "tid", "lists")), "win").withColumn("due", F.col("start") + F.col("at"))
     due = due.withColumn("cell", F.explode(_cells(F.col("due"))))
-    there = postings.select("row", "term", F.floor(F.col("pos") / _CELL).alias("cell"), "pos")
+    there = postings.select("row", "tid", F.floor(F.col("pos") / _CELL).alias("cell"), "pos")
     gap = F.abs(F.col("pos") - F.col("due"))
-    met = due.join(there, ["row", "term", "cell"]).where(gap <= SLOP)
+    met = due.join(there, ["row", "tid", "cell"]).where(gap <= SLOP)
     each = met.groupBy("row", "win", "size", "start", "at", "lists", "apart").agg(F.min(gap).alias("gap"))
     whole = each.groupBy("row", "win", "size", "start", "lists", "apart").agg(F.count("*").alias("n"), F.max("gap").alias("gap"))
     return whole.where("n = lists").select("row", "win", "size", "start", F.greatest("gap", "apart").alias("apart"))
 
 
-def matches(asked: DataFrame, postings: DataFrame) -> DataFrame:
+def matches(asked: DataFrame, known: DataFrame, postings: DataFrame) -> DataFrame:
     """(row, win, size, start, apart): where windows (win, terms) stand exactly (apart = 0) or near, from the rarest term on."""
-    lists = checkpointed(ranked(asked, postings))
+    lists = checkpointed(ranked(asked, known, postings))
     first, second, rest = lists.where("rank = 0"), lists.where("rank = 1"), lists.where("rank > 1")
     begin = (F.col("pos") - F.col("at")).cast("int")
-    starts = postings.join(small(first), "term").select("row", "win", "size", begin.alias("start"), F.lit(0).alias("apart"))
-    of_second = postings.join(small(second.select("term").distinct()), "term", "left_semi")
+    starts = postings.join(small(first), "tid").select("row", "win", "size", begin.alias("start"), F.lit(0).alias("apart"))
+    of_second = postings.join(small(second.select("tid").distinct()), "tid", "left_semi")
     pairs = checkpointed(_intersected(starts.where("size > 1"), second.withColumn("lists", F.lit(1)), of_second))
     # what is left asks for few documents: the postings of others go before they travel
     few = postings.join(small(checkpointed(pairs.select("row").distinct())), "row", "left_semi")
@@ -112,15 +117,15 @@ def phrase_matches(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Dat
     """Per document row: doc_id, text_key, n_words, found array<struct<start, end>> of exact matches, sorted, the items that they are of, and n_near, how many windows stand near elsewhere."""
     by_item = windows(items, size)
     asked = checkpointed(by_item.groupBy("terms").agg(F.collect_set("item_id").alias("items")).select(F.monotonically_increasing_id().alias("win"), "terms", "items"))
-    postings = index(docs, asked.select(F.explode("terms").alias("term")).distinct())
-    met = checkpointed(matches(asked.select("win", "terms"), postings))
-    span = F.struct("start", (F.col("start") + F.col("size")).alias("end"))
-    places = met.groupBy("row").agg(F.array_sort(F.collect_set(F.when(F.col("apart") == 0, span))).alias("found"), F.count_if(F.col("apart") > 0).alias("n_near"))
-    of = met.where("apart = 0").select("row", "win").distinct().join(small(asked.select("win", "items")), "win").select("row", F.explode("items").alias("item")).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    documents = postings.where(F.col("term") == HEADER).select("row", "doc_id", "text_key", F.col("pos").cast("long").alias("n_words"))
-    none, nobody = F.array().cast("array<struct<start: int, end: int>>"), F.array().cast("array<string>")
-    per = documents.join(places, "row", "left").join(of, "row", "left")
-    return per.select("doc_id", "text_key", "n_words", F.coalesce("found", none).alias("found"), F.coalesce("items", nobody).alias("items"), F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"))
+    known = vocabulary(asked)
+    postings = index(docs, known)
+    met = checkpointed(matches(asked.select("win", "terms"), known, postings)).join(small(asked.select("win", "items")), "win")
+    exact, span = F.col("apart") == 0, F.struct("start", (F.col("start") + F.col("size")).alias("end"))
+    header = postings.where(F.col("tid") == HEADER)
+    # a document's header and its matches come together in one shuffle; windows of one item have the same list of items
+    rows = header.select("row", F.struct("doc_id", "text_key", F.col("pos").cast("long").alias("n_words")).alias("document")).unionByName(met.select("row", F.when(exact, span).alias("span"), F.when(exact, F.col("items")).alias("items"), (~exact).alias("near")), allowMissingColumns=True)
+    per = rows.groupBy("row").agg(F.max("document").alias("d"), F.array_sort(F.collect_set("span")).alias("found"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.count_if("near").alias("n_near"))
+    return per.select("d.doc_id", "d.text_key", "d.n_words", "found", "items", "n_near")
 
 
 def covered(found: Column) -> Column:

@@ -132,9 +132,10 @@ def test_lists_meet_exactly_and_near(spark):
     asked = [(100 + k, tuple(w)) for k, w in enumerate([["a"], ["b", "c"], ["a", "b", "a"], ["d", "c", "e", "f"], ["quick", "brown", "foxes"], ["a", "zzz"]])]
     docs = documents(spark, rows)
     frame = spark.createDataFrame([(k, list(w)) for k, w in asked], "win long, terms array<string>")
-    postings = decontamination.index(docs, frame.select(F.explode("terms").alias("term")).distinct())
-    ids = {r.row: r.doc_id for r in postings.where(F.col("term") == decontamination.HEADER).collect()}
-    got = {(ids[r.row], r.win, r.start): r.apart for r in decontamination.matches(frame, postings).collect()}
+    known = decontamination.vocabulary(frame)
+    postings = decontamination.index(docs, known)
+    ids = {r.row: r.doc_id for r in postings.where(F.col("tid") == decontamination.HEADER).collect()}
+    got = {(ids[r.row], r.win, r.start): r.apart for r in decontamination.matches(frame, known, postings).collect()}
     seen = Counter(w for _, t in rows for w in t.split())
     want = {}
     for k, window in asked:
@@ -164,6 +165,57 @@ def test_quality_counts(spark, docs, none):
     assert quality_rules.measure(none).count() == quality_rules.keep(none).count() == 0
 
 
+def slow_verdicts(rows: list[tuple[str | None, str | None]]) -> list[bool]:
+    """By brute force: words tokenised by the library one by one, quartiles by counting, bands by hand."""
+    import public_tokenizers
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    got = []
+    for lang, t in rows:
+        w = SPLIT.findall(t or "")
+        ids = [i for x in w for i in sp.encode(x)]
+        wins = Counter(zip(w, w[1:], w[2:]))
+        hit = {k + d for k in range(len(w) - 2) if wins[w[k], w[k + 1], w[k + 2]] > 1 for d in range(3)}
+        n = len(ids) or 1
+        entropy = -sum(c / n * np.log2(c / n) for c in Counter(ids).values())
+        measures = (sum(map(len, w)) / n, sum(map(sp.is_byte, ids)) / n, entropy)
+        got.append((len(w) < 50 or 100 * len(hit) > 50 * len(w), quality_rules.script_of(t or ""), lang, (len(w), len(ids)), measures))
+    steps, bands = list(quality_rules.STEPS.values()), {}
+    for group in {(s, x) for _, s, lang, _, _ in got for x in (lang, None)}:
+        kinds = {(n, tuple(round(float(x), 9) for x in m)) for bad, s, lang, n, m in got if not bad and s == group[0] and group[1] in (None, lang)}
+        if len(kinds) >= quality_rules.MIN_FIT:
+            bands[group] = []
+            for k, step in enumerate(steps):
+                at = sorted(int(m[k] / step) for _, m in kinds)
+                lo, hi = ((at[int(np.ceil(q * len(at))) - 1] + 0.5) * step for q in (0.25, 0.75))
+                spread = max(hi - lo, quality_rules.LEAST_BYTES if k == 1 else quality_rules.LEAST_SPREAD * (lo + hi) / 2)
+                bands[group].append((lo - quality_rules.LOW * spread, hi + quality_rules.HIGH * spread))
+    out = []
+    for bad, script, lang, _, (c, b, e) in got:
+        fixed = quality_rules.BANDS[script]
+        ok = fixed.min_chars_per_token <= c <= fixed.max_chars_per_token and b <= fixed.max_byte_share and fixed.min_entropy <= e <= fixed.max_entropy
+        fit = bands.get((script, lang)) or bands.get((script, None)) or [(-1e9, 1e9)] * 3
+        out.append(not bad and ok and all(lo <= x <= hi for x, (lo, hi) in zip((c, b, e), fit)))
+    return out
+
+
+def test_verdicts_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "MIN_FIT", 20)
+    rng = np.random.default_rng(6)
+    lexicon = {"en": "the committee will review proposal next week publish decision members read before annual meeting harbour lantern".split(), "de": "der ausschuss wird den vorschlag prüfen und seine entscheidung vor jahrestagung veröffentlichen laterne".split()}
+    ranges = {"han": (0x4E00, 0x9FFF), "hangul": (0xAC00, 0xD7A3), "arabic": (0x600, 0x6FF), "emoji": (0x1F300, 0x1F600), "any": (0x250, 0xD7FF)}
+    junk = [(lang, " ".join("".join(map(chr, rng.integers(*r, 6))) for _ in range(60))) for r in ranges.values() for lang in ("en", None)]
+    prose = [(lang, " ".join(rng.choice(w, int(rng.integers(60, 120))))) for lang, w in lexicon.items() for _ in range(60)]
+    rows = [*prose, *prose[:5], *junk, ("en", None), (None, ""), ("xx", prose[0][1]), (None, prose[1][1]), ("de", prose[2][1])]
+    df = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    want = slow_verdicts(rows)
+    got = {r.doc_id: r.kept for r in quality_rules.measure(df).collect()}
+    assert [got[i] for i in range(len(rows))] == want
+    assert not any(want[len(prose) + 5 : len(prose) + 5 + len(junk)]) and sum(want[: len(prose)]) >= 0.85 * len(prose)
+    assert sorted(r.doc_id for r in quality_rules.keep(df).collect()) == [i for i, k in enumerate(want) if k]
+
+
 def test_scripts():
     assert [quality_rules.script_of(t) for t in ("abc", "привет", "日本語", "한국어", "ñandú")] == ["latin", "cyrillic", "han", "hangul", "latin"]
 
