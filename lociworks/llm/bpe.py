@@ -212,7 +212,10 @@ def decode(encoded: DataFrame, vocabulary: str | None = None, id_col: str = "doc
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _ready(sent)
         for batch in batches:
-            texts = [bpe.decode(np.array([i for i in ids or () if i is not None and 0 <= i < len(bpe.piece)], dtype="<u4").tobytes()).decode() for ids in batch.column(1).to_pylist()]
+            texts = [bpe.decode(np.array(
+                [i for i in ids or () if i is not None and 0 <= i < len(bpe.piece)],
+                dtype="<u4",
+            ).tobytes()).decode() for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
     return encoded.select(encoded[id_col].alias("id"), encoded[ids_col].alias("ids")).mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
@@ -237,7 +240,10 @@ def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(
+        docs["doc_id"].cast("long").alias("doc_id"),
+        docs["text"].cast("string").alias("text"),
+    ).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

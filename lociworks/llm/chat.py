@@ -15,7 +15,8 @@ Rows are ordered by turn, then role, then text, nulls first; repeated rows are
 repeated turns. A null text is the empty text, a null role the empty role.
 Roles the template doesn't know are written out between marks of their own and
 make the conversation invalid; so does a turn order that the machine doesn't
-allow. Invalid conversations are formatted and flagged, not dropped. An empty
+allow. Invalid conversations are formatted and flagged, not dropped. Rows with a
+null conv_id are one conversation, whose id is null. An empty
 table gives no rows; extra columns are ignored. A conversation is one row of
 the result, so its turns meet in one task; conversations are dealt by their id.
 """
@@ -108,7 +109,11 @@ def _segments_of(template: ChatTemplate, turn: Column) -> Column:
 
 def format_chat(conversations: DataFrame, template: ChatTemplate = DEFAULT) -> DataFrame:
     """(conv_id, valid, final_state, segments array<struct<text, loss>>) of every conversation."""
-    turn = F.struct(F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    turn = F.struct(
+        F.col("turn"),
+        F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+    )
     turns = conversations.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     state = F.aggregate("turns", F.lit(template.start), lambda s, t: _next_state(template, s, t["role"]))
     segments = F.flatten(F.transform("turns", lambda t: _segments_of(template, t)))
@@ -135,7 +140,10 @@ def parse_turns(formatted: Column, template: ChatTemplate = DEFAULT) -> Column:
         name = s.substr(F.lit(len(begin) + 1), name_end - 1 - len(begin))
         out = F.struct(template.unescape(name).alias("role"), template.unescape(inside(s, name_end - 1 + len(end), close)).alias("text"))
         for role, m in template.roles.items():
-            out = F.when(s.startswith(m.open), F.struct(F.lit(role).alias("role"), template.unescape(inside(s, len(m.open), m.close)).alias("text"))).otherwise(out)
+            out = F.when(
+                s.startswith(m.open),
+                F.struct(F.lit(role).alias("role"), template.unescape(inside(s, len(m.open), m.close)).alias("text")),
+            ).otherwise(out)
         return out
 
     return F.transform(whole, turn)
@@ -143,11 +151,31 @@ def parse_turns(formatted: Column, template: ChatTemplate = DEFAULT) -> Column:
 
 def digests(chats: DataFrame, template: ChatTemplate = DEFAULT) -> DataFrame:
     """What the output of format_chat says when it is read back."""
-    read = chats.select("conv_id", "valid", "segments", formatted_text(F.col("segments")).alias("formatted")).select("*", parse_turns(F.col("formatted"), template).alias("turns"))
+    read = chats.select(
+        "conv_id",
+        "valid",
+        "segments",
+        formatted_text(F.col("segments")).alias("formatted"),
+    ).select("*", parse_turns(F.col("formatted"), template).alias("turns"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     trained = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: template.unescape(s["text"])), "")
-    read = read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), trained.alias("trained"), F.char_length("formatted").cast("long").alias("formatted_chars"), "valid")
-    return read.select(F.col("conv_id").cast("long").alias("conv_id"), "n_turns", "turns_sha256", F.char_length("trained").cast("long").alias("loss_chars"), F.sha2("trained", 256).alias("loss_sha256"), "formatted_chars", "valid")
+    read = read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        trained.alias("trained"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+    )
+    return read.select(
+        F.col("conv_id").cast("long").alias("conv_id"),
+        "n_turns",
+        "turns_sha256",
+        F.char_length("trained").cast("long").alias("loss_chars"),
+        F.sha2("trained", 256).alias("loss_sha256"),
+        "formatted_chars",
+        "valid",
+    )
 
 
 #: A conversation that says control strings, added to those of the table.
@@ -156,7 +184,12 @@ CONTROL_CONVERSATION = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assis
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one that says control strings, formatted and read back."""
-    own = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
+    own = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("long"),
+        F.col("turn").cast("long"),
+        F.col("role").cast("string"),
+        F.col("text").cast("string"),
+    )
     return digests(format_chat(own.union(spark.createDataFrame(CONTROL_CONVERSATION, "conv_id long, turn long, role string, text string"))))
 
 

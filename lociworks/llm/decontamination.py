@@ -78,7 +78,10 @@ def ranked(asked: DataFrame, known: DataFrame, postings: DataFrame) -> DataFrame
     """(win, size, rank, at, tid): the terms of windows (win, terms) that may occur, each at every place it has, rarest first."""
     counts = checkpointed(known.join(small(checkpointed(postings.groupBy("tid").agg(F.count("*").alias("n")))), "tid"))
     each = asked.select("win", "terms", F.posexplode("terms").alias("at", "term")).join(small(counts), "term", "left")
-    lists = each.groupBy("win", "terms").agg(F.count("n").alias("known"), F.array_sort(F.collect_list(F.struct("n", "at", "tid"))).alias("lists")).where(F.size("terms") == F.col("known"))
+    lists = each.groupBy("win", "terms").agg(
+        F.count("n").alias("known"),
+        F.array_sort(F.collect_list(F.struct("n", "at", "tid"))).alias("lists"),
+    ).where(F.size("terms") == F.col("known"))
     return lists.select("win", F.size("terms").alias("size"), F.posexplode("lists").alias("rank", "x")).select("win", "size", "rank", "x.at", "x.tid")
 
 
@@ -116,15 +119,27 @@ def matches(asked: DataFrame, known: DataFrame, postings: DataFrame) -> DataFram
 def phrase_matches(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """Per document row: doc_id, text_key, n_words, found array<struct<start, end>> of exact matches, sorted, the items that they are of, and n_near, how many windows stand near elsewhere."""
     by_item = windows(items, size)
-    asked = checkpointed(by_item.groupBy("terms").agg(F.collect_set("item_id").alias("items")).select(F.monotonically_increasing_id().alias("win"), "terms", "items"))
+    asked = checkpointed(by_item.groupBy("terms").agg(F.collect_set("item_id").alias("items")).select(
+        F.monotonically_increasing_id().alias("win"),
+        "terms",
+        "items",
+    ))
     known = vocabulary(asked)
     postings = index(docs, known)
     met = checkpointed(matches(asked.select("win", "terms"), known, postings)).join(small(asked.select("win", "items")), "win")
     exact, span = F.col("apart") == 0, F.struct("start", (F.col("start") + F.col("size")).alias("end"))
     header = postings.where(F.col("tid") == HEADER)
     # a document's header and its matches come together in one shuffle; windows of one item have the same list of items
-    rows = header.select("row", F.struct("doc_id", "text_key", F.col("pos").cast("long").alias("n_words")).alias("document")).unionByName(met.select("row", F.when(exact, span).alias("span"), F.when(exact, F.col("items")).alias("items"), (~exact).alias("near")), allowMissingColumns=True)
-    per = rows.groupBy("row").agg(F.max("document").alias("d"), F.array_sort(F.collect_set("span")).alias("found"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.count_if("near").alias("n_near"))
+    rows = header.select("row", F.struct("doc_id", "text_key", F.col("pos").cast("long").alias("n_words")).alias("document")).unionByName(
+        met.select("row", F.when(exact, span).alias("span"), F.when(exact, F.col("items")).alias("items"), (~exact).alias("near")),
+        allowMissingColumns=True,
+    )
+    per = rows.groupBy("row").agg(
+        F.max("document").alias("d"),
+        F.array_sort(F.collect_set("span")).alias("found"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+        F.count_if("near").alias("n_near"),
+    )
     return per.select("d.doc_id", "d.text_key", "d.n_words", "found", "items", "n_near")
 
 
@@ -150,7 +165,15 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of the benchmark in all documents."""
     per = phrase_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     per = per.select("doc_id", "n_words", covered(F.col("found")).alias("n_hit"), "items", "n_near")
-    return per.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near")
+    return per.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+        "n_near",
+    )
 
 
 OP2_SQL = f"""

@@ -82,7 +82,10 @@ TEMPLATES = [
         "isc",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    (
+        "mpl-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
     ("cc-by-4.0", "Licensed under CC BY 4.0."),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
     ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0."),
@@ -101,7 +104,10 @@ def _template_words(text: str) -> list[str]:
 def grams(w: Column) -> Column:
     """The hash of every K consecutive words of a column, in order."""
     n = F.size(w) - K + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(K)]))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(
+        n > 0,
+        F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(K)])),
+    ).otherwise(F.array().cast("array<bigint>"))
 
 
 def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
@@ -122,7 +128,12 @@ def meetings(docs: DataFrame, templates: DataFrame) -> DataFrame:
     """
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
     header = F.array(F.struct(F.lit(_HEADER).alias("pos"), F.lit(0).cast("long").alias("h")))
-    each = own.select("row", "doc_id", "w", F.explode(F.concat(header, F.transform(grams(F.col("w")), lambda h, i: F.struct(i.alias("pos"), h.alias("h"))))).alias("g"))
+    each = own.select(
+        "row",
+        "doc_id",
+        "w",
+        F.explode(F.concat(header, F.transform(grams(F.col("w")), lambda h, i: F.struct(i.alias("pos"), h.alias("h"))))).alias("g"),
+    )
     known = templates.select("template", F.posexplode(grams(F.col("tw"))).alias("at", "h"))
     known = known.unionAll(docs.sparkSession.range(1).select(F.lit(_HEADER).alias("template"), F.lit(_HEADER).alias("at"), F.lit(0).cast("long").alias("h")))
     met = each.select("row", "doc_id", "w", "g.pos", "g.h").join(F.broadcast(known), "h").where((F.col("pos") == _HEADER) == (F.col("template") == _HEADER))
@@ -143,18 +154,30 @@ def meetings(docs: DataFrame, templates: DataFrame) -> DataFrame:
 def spans(met: DataFrame, templates: DataFrame) -> DataFrame:
     """(row, label, first_word, last_word, coverage): verified spans, ends included, of meetings."""
     keys = ["row", "template"]
-    runs = met.withColumn("diagonal", F.col("pos") - F.col("at")).groupBy(*keys, "diagonal").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.collect_list(F.transform("near", lambda w, i: F.struct((i + F.col("first")).alias("at"), w.alias("word")))).alias("near"))
+    runs = met.withColumn("diagonal", F.col("pos") - F.col("at")).groupBy(*keys, "diagonal").agg(
+        F.min("pos").alias("lo"),
+        F.max("pos").alias("hi"),
+        F.collect_list(F.transform("near", lambda w, i: F.struct((i + F.col("first")).alias("at"), w.alias("word")))).alias("near"),
+    )
     # a new span begins where the text goes on far behind the furthest place so far, or the diagonal jumps
     by = Window.partitionBy(*keys).orderBy("lo", "diagonal")
     before = by.rowsBetween(Window.unboundedPreceding, -1)
     fresh = (F.col("lo") - F.max("hi").over(before) > GAP) | (F.abs(F.col("diagonal") - F.lag("diagonal").over(by)) > DRIFT)
     numbered = runs.withColumn("fresh", F.coalesce(fresh, F.lit(True)).cast("int")).withColumn("span", F.sum("fresh").over(by))
-    merged = numbered.groupBy(*keys, "span").agg(F.min("lo").alias("first_word"), (F.max("hi") + K - 1).alias("last_word"), F.collect_set("diagonal").alias("diagonals"), F.collect_list("near").alias("near"))
+    merged = numbered.groupBy(*keys, "span").agg(
+        F.min("lo").alias("first_word"),
+        (F.max("hi") + K - 1).alias("last_word"),
+        F.collect_set("diagonal").alias("diagonals"),
+        F.collect_list("near").alias("near"),
+    )
     there = F.map_from_entries(F.array_distinct(F.flatten(F.flatten("near"))))
     told = merged.withColumn("there", there).join(F.broadcast(templates), "template")
     inside = lambda i: (i >= F.col("first_word")) & (i <= F.col("last_word"))
     same = F.filter(F.transform("tw", lambda t, j: F.exists("diagonals", lambda d: inside(j + d) & (F.try_element_at("there", j + d) == t))), lambda x: x)
-    shares = told.withColumn("same", F.size(same)).withColumn("coverage", F.col("same") / F.size("tw")).withColumn("density", F.col("same") / (F.col("last_word") - F.col("first_word") + 1))
+    shares = told.withColumn("same", F.size(same)).withColumn("coverage", F.col("same") / F.size("tw")).withColumn(
+        "density",
+        F.col("same") / (F.col("last_word") - F.col("first_word") + 1),
+    )
     return shares.where((F.col("coverage") >= COVERAGE) & (F.col("density") >= DENSITY)).select("row", "label", "first_word", "last_word", "coverage")
 
 
@@ -209,5 +232,8 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.array_sort(labels), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union(labels, named)), ",").alias("labels"),
         F.greatest(F.coalesce(best, F.lit(0.0)), F.when(F.size("places") > 0, 1.0).otherwise(0.0)).alias("score"),
-        F.array_join(F.transform("found_spans", lambda s: F.concat_ws(":", s["label"], s["first_word"].cast("string"), s["last_word"].cast("string"))), ",").alias("spans"),
+        F.array_join(
+            F.transform("found_spans", lambda s: F.concat_ws(":", s["label"], s["first_word"].cast("string"), s["last_word"].cast("string"))),
+            ",",
+        ).alias("spans"),
     )

@@ -16,6 +16,8 @@ pieces of at most PIECE_BITS: the driver holds one piece at a time. A task
 holds all pieces if they are HELD_BITS at most; beyond that it reads one after
 the other for each slice of texts, and each n-gram is probed in its piece.
 
+A token is its 64-bit hash throughout: two tokens of one hash would be one.
+
 The plain base score needs exact counts of all tokens. Counts of the HEAD most
 frequent ones are broadcast, which bounds that side and takes the frequent
 tokens out of the shuffle; each document's other tokens are joined to the
@@ -166,7 +168,15 @@ def merged(parts: DataFrame) -> DataFrame:
             own = list(own)
             h, n = _added(np.frombuffer(b"".join(r[1] for r in own), dtype=np.uint64), np.frombuffer(b"".join(r[2] for r in own), dtype=np.int64))
             top = levels(n)
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([int(top.sum())]), pa.array([h.tobytes()], pa.binary()), pa.array([top.astype(np.uint8).tobytes()], pa.binary())], ["part", "items", "h", "top"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([part], pa.int32()),
+                    pa.array([int(top.sum())]),
+                    pa.array([h.tobytes()], pa.binary()),
+                    pa.array([top.astype(np.uint8).tobytes()], pa.binary()),
+                ],
+                ["part", "items", "h", "top"],
+            )
 
     return checkpointed(parts.repartition("part").sortWithinPartitions("part").mapInArrow(run, "part int, items long, h binary, top binary"))
 
@@ -339,14 +349,27 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
             rare = pd.DataFrame({"doc": owner[~in_head], "h": toks[~in_head].view(np.int64)}).groupby(["doc", "h"], sort=True).size()
             docs_of, h = (rare.index.get_level_values(k).to_numpy() for k in (0, 1))
             offsets = np.searchsorted(docs_of, np.arange(len(sizes) + 1)).astype(np.int32)
-            listed = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(h.astype(np.int64)), pa.array(rare.to_numpy().astype(np.int64))], ["h", "times"]))
+            listed = pa.ListArray.from_arrays(
+                pa.array(offsets),
+                pa.StructArray.from_arrays([pa.array(h.astype(np.int64)), pa.array(rare.to_numpy().astype(np.int64))], ["h", "times"]),
+            )
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), pa.array(_add_up(in_head.astype(np.int64), sizes).astype(np.int64)), pa.array(_add_up(base, sizes).astype(np.float64)), pa.array(_add_up(np.log10(p), sizes).astype(np.float64)), listed],
+                [
+                    batch.column(0),
+                    pa.array(sizes),
+                    pa.array(_add_up(in_head.astype(np.int64), sizes).astype(np.int64)),
+                    pa.array(_add_up(base, sizes).astype(np.float64)),
+                    pa.array(_add_up(np.log10(p), sizes).astype(np.float64)),
+                    listed,
+                ],
                 ["doc_id", "n_tokens", "in_head", "head_log", "score", "rare"],
             )
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = checkpointed(own.mapInArrow(run, f"doc_id long, n_tokens long, in_head long, head_log double, score double, rare {_RARE}").withColumn("row", F.monotonically_increasing_id()))
+    scored = checkpointed(own.mapInArrow(
+        run,
+        f"doc_id long, n_tokens long, in_head long, head_log double, score double, rare {_RARE}",
+    ).withColumn("row", F.monotonically_increasing_id()))
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.h", "r.times")
     known = rare.join(counts, "h").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_log"))
     both = scored.drop("rare").join(known, "row", "left")

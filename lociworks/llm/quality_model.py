@@ -124,7 +124,16 @@ def fit(rows: list[tuple[str, int]], of_all: float | None = None, seed: int = 1)
     if len(set(y.tolist())) < 2:
         p = min(max(float(y.mean()) if len(y) else 0.0, 1e-9), 1 - 1e-9)
         size = 3 * WIDTH + 1
-        return Model(kept, shapes, vectors, np.zeros(size), np.ones(size), [np.zeros((size, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), np.zeros(1)], 1.0, float(np.log(p / (1 - p))))
+        return Model(
+            kept,
+            shapes,
+            vectors,
+            np.zeros(size),
+            np.ones(size),
+            [np.zeros((size, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), np.zeros(1)],
+            1.0,
+            float(np.log(p / (1 - p))),
+        )
     model = Model(kept, shapes, vectors, np.zeros(0), np.zeros(0), [], 1.0, 0.0)
     x = Scorer(model).pool(texts)
     own, rest = split(len(rows))
@@ -207,4 +216,9 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents."""
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", held_out(F.col("doc_id"), FOLDS, HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select(
+        "doc_id",
+        held_out(F.col("doc_id"), FOLDS, HELD_OUT).alias("held_out"),
+        "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+    )

@@ -261,7 +261,10 @@ def judged(found: DataFrame) -> DataFrame:
     met = found.join(sides[0], ["script", "lang"], "left").join(F.broadcast(sides[1]), "script", "left")  # scripts are few
     ok = F.lit(False)
     for script, b in BANDS.items():
-        inside = F.col("chars_per_token").between(b.min_chars_per_token, b.max_chars_per_token) & (F.col("byte_share") <= b.max_byte_share) & F.col("token_entropy").between(b.min_entropy, b.max_entropy)
+        inside = F.col("chars_per_token").between(
+            b.min_chars_per_token,
+            b.max_chars_per_token,
+        ) & (F.col("byte_share") <= b.max_byte_share) & F.col("token_entropy").between(b.min_entropy, b.max_entropy)
         ok = F.when(F.col("script") == script, inside).otherwise(ok)
     fit = F.coalesce("by_lang", "by_script")
     for m in STEPS:
@@ -272,7 +275,20 @@ def judged(found: DataFrame) -> DataFrame:
 def measure(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Counts, fertility measures and verdict of every document."""
     found = judged(measured(docs, [docs["doc_id"].cast("long").alias("doc_id")], vocabulary))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "script", "chars_per_token", "byte_share", "token_entropy")
+    return found.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        "script",
+        "chars_per_token",
+        "byte_share",
+        "token_entropy",
+    )
 
 
 def keep(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

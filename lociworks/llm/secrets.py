@@ -58,7 +58,15 @@ def _spans(text: Column, pattern: str, rank: int, keep=None) -> Column:
     """Where a pattern's leftmost non-overlapping matches stand. keep: of a match's string, whether it counts."""
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     # the text between has one part more than there are matches
-    steps = F.zip_with(between, found, lambda b, m: F.struct(F.char_length(b).alias("gap"), F.coalesce(F.char_length(m), F.lit(0)).alias("size"), F.coalesce(keep(m) if keep else m.isNotNull(), F.lit(False)).alias("keep")))
+    steps = F.zip_with(
+        between,
+        found,
+        lambda b, m: F.struct(
+            F.char_length(b).alias("gap"),
+            F.coalesce(F.char_length(m), F.lit(0)).alias("size"),
+            F.coalesce(keep(m) if keep else m.isNotNull(), F.lit(False)).alias("keep"),
+        ),
+    )
 
     return F.when(text.rlike(pattern), _placed(steps, rank)).otherwise(_none())
 
@@ -123,12 +131,18 @@ def random_strings(spark: SparkSession, first: int = 0, count: int = TRAIN_RANDO
 def ordinary_strings(docs: DataFrame) -> DataFrame:
     """The sample labelled ordinary: words of at most TRAIN_DOCUMENTS documents, and identifiers of neighbouring words."""
     chosen = docs.select(F.col("doc_id").cast("long").alias("chosen")).where("chosen is not null").distinct().orderBy(F.xxhash64("chosen"), "chosen").limit(TRAIN_DOCUMENTS)
-    texts = docs.select(F.col("doc_id").cast("long").alias("chosen"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "chosen", "left_semi")
+    texts = docs.select(
+        F.col("doc_id").cast("long").alias("chosen"),
+        F.col("text").cast("string").alias("text"),
+    ).join(F.broadcast(chosen), "chosen", "left_semi")
     words = F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{3,}(?![A-Za-z0-9+/_=-])"), F.lit(0))
     near = texts.select(words.alias("w")).where(F.size("w") > 1)
     joined = F.transform(F.slice("w", 2, F.size("w") - 1), lambda b, i: F.struct(F.get(F.col("w"), i).alias("a"), b.alias("b"), (i % 4).alias("k")))
     a, b, k = F.col("x.a"), F.col("x.b"), F.col("x.k")
-    identifier = F.when(k == 0, F.concat(a, b)).when(k == 1, F.concat(F.lower(a), F.lit("_"), F.lower(b))).when(k == 2, F.concat(F.lower(a), F.initcap(b), F.lit("2"))).otherwise(F.concat(F.upper(a), F.lit("-"), F.upper(b)))
+    identifier = F.when(k == 0, F.concat(a, b)).when(k == 1, F.concat(F.lower(a), F.lit("_"), F.lower(b))).when(
+        k == 2,
+        F.concat(F.lower(a), F.initcap(b), F.lit("2")),
+    ).otherwise(F.concat(F.upper(a), F.lit("-"), F.upper(b)))
     return near.select(F.explode(joined).alias("x")).select(identifier.alias("word"))
 
 
@@ -151,7 +165,14 @@ def random_like(word: Column, model: list[float]) -> Column:
     size, ratios = len(ALPHABET) + 1, F.lit(model)
     places = F.transform(F.split(word, ""), _place)
     zero = F.lit(0.0)
-    start = F.struct(zero.alias("sum"), F.lit(-1).alias("before"), zero.alias("gain"), F.lit(0).alias("length"), zero.alias("most"), F.lit(False).alias("found"))
+    start = F.struct(
+        zero.alias("sum"),
+        F.lit(-1).alias("before"),
+        zero.alias("gain"),
+        F.lit(0).alias("length"),
+        zero.alias("most"),
+        F.lit(False).alias("found"),
+    )
     letter = lambda p: (p >= 1) & (p <= 52)
 
     # folds that carry the character before, so a long run takes time in proportion to its length
@@ -209,9 +230,17 @@ def redacted(text: Column, spans: Column, instead: str = "[SECRET]") -> Column:
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
         gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit(instead))).otherwise(acc["out"]).alias("out"))
+        return F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.when(fresh, F.concat(acc["out"], gap, F.lit(instead))).otherwise(acc["out"]).alias("out"),
+        )
 
-    whole = F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+    whole = F.aggregate(
+        spans,
+        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
+        step,
+        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))),
+    )
     return F.when(F.size(spans) == 0, text).otherwise(whole)
 
 
@@ -221,7 +250,11 @@ def redact(docs: DataFrame, model: list[float] | None = None, instead: str = "[S
     columns = docs.columns
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = with_spans(boxed, model, F.col("text"))
-    clean = found.select("row", (F.size("all_found") > 0).alias("changed"), F.when(F.col("row.text").isNull(), F.lit(None)).otherwise(redacted(F.col("text"), F.col("all_found"), instead)).alias("clean"))
+    clean = found.select(
+        "row",
+        (F.size("all_found") > 0).alias("changed"),
+        F.when(F.col("row.text").isNull(), F.lit(None)).otherwise(redacted(F.col("text"), F.col("all_found"), instead)).alias("clean"),
+    )
     kinds = dict(docs.dtypes)
     new = {"text": F.col("clean").cast(kinds["text"])}
     if "n_chars" in columns:
@@ -233,4 +266,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents: counts of the fixed patterns, their digest, and all spans."""
     found = scan(table(spark, sf_dir, "documents"))
     count = lambda rank: F.size(F.filter("base_found", lambda s: s["rank"] == rank)).cast("long")
-    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(written(F.col("base_found")), 256).alias("base_sha256"), written(F.col("all_found")).alias("spans"))
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(written(F.col("base_found")), 256).alias("base_sha256"),
+        written(F.col("all_found")).alias("spans"),
+    )

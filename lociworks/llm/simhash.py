@@ -196,10 +196,17 @@ def candidate_links(distinct: DataFrame) -> DataFrame:
     shared = keyed.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     member = shared.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     # one block: the key is compared in one row; more: a row for each pair of blocks
-    small = member.where("blocks = 1").groupBy("key").agg(F.collect_list("fp").alias("fps")).select("key", "fps", F.lit(None).cast("array<bigint>").alias("others"))
+    small = member.where("blocks = 1").groupBy("key").agg(F.collect_list("fp").alias("fps")).select(
+        "key",
+        "fps",
+        F.lit(None).cast("array<bigint>").alias("others"),
+    )
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("lo"), F.greatest("block", k).alias("hi")))
     spread = member.where("blocks > 1").select("key", "fp", "block", F.explode(pairs).alias("p")).select("key", "p.lo", "p.hi", "fp", "block")
-    met = spread.repartition("key", "lo", "hi").groupBy("key", "lo", "hi").agg(F.collect_list(F.when(F.col("block") == F.col("lo"), F.col("fp"))).alias("fps"), F.collect_list(F.when(F.col("block") != F.col("lo"), F.col("fp"))).alias("rest"))
+    met = spread.repartition("key", "lo", "hi").groupBy("key", "lo", "hi").agg(
+        F.collect_list(F.when(F.col("block") == F.col("lo"), F.col("fp"))).alias("fps"),
+        F.collect_list(F.when(F.col("block") != F.col("lo"), F.col("fp"))).alias("rest"),
+    )
     large = met.select("key", "fps", F.when(F.col("lo") != F.col("hi"), F.col("rest")).alias("others"))
     return small.unionAll(large).mapInArrow(_compare, "a long, b long").distinct()
 
@@ -227,13 +234,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == state:
             break
         state = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return edges.select(
+        F.col("a").alias("node"),
+        F.col("b").alias("root"),
+    ).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def rooted(distinct: DataFrame) -> DataFrame:
     """distinct with root, the least fingerprint of each one's component. distinct: checkpointed, one row a fingerprint fp."""
     roots = connected_components(candidate_links(distinct.select("fp")))
-    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select(*[distinct[c] for c in distinct.columns], F.coalesce("root", "fp").alias("root"))
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
+        *[distinct[c] for c in distinct.columns],
+        F.coalesce("root", "fp").alias("root"),
+    )
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -243,7 +256,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = checkpointed(connected_components(candidate_links(distinct.select("fp"))))
     # only fingerprints with a link are joined by component; any other is a component of its own
     linked = roots.join(distinct, roots["node"] == distinct["fp"]).select("fp", "root", "least")
-    named = beside(linked.select("fp", "root"), linked.groupBy("root").agg(F.min("least").alias("named")), "root").select("fp", "named", F.lit(True).alias("linked"))
+    named = beside(
+        linked.select("fp", "root"),
+        linked.groupBy("root").agg(F.min("least").alias("named")),
+        "root",
+    ).select("fp", "named", F.lit(True).alias("linked"))
     groups = distinct.join(named, "fp", "left").select("fp", F.when(F.col("linked"), F.col("named")).otherwise(F.col("least")).alias("component_id"))
     return beside(own, groups, "fp").select("doc_id", "fp", "component_id")
 
@@ -255,11 +272,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     components nor keep more than one row of any.
     """
     columns = docs.columns
-    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    boxed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+    )
     keyed = checkpointed(boxed.withColumn("key", F.monotonically_increasing_id()))
+    own = keyed.withColumn("digest", F.xxhash64(F.col("row").cast("string")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest", "key")).alias("first")
     # exact copies meet by fingerprint first, in part before the shuffle
-    each = fingerprints(keyed.withColumn("digest", F.xxhash64("row")), "digest", "key").groupBy("fp").agg(first)
+    each = fingerprints(own, "digest", "key").groupBy("fp").agg(first)
     chosen = rooted(checkpointed(each)).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("key"))
     return keyed.join(chosen, "key", "left_semi").select(*[F.col(f"row.`{c}`").alias(c) for c in columns])
 
