@@ -49,7 +49,10 @@ def threshold(fraction: float) -> int:
 
 
 def mix(salt: int, keys: Iterable[pd.Series]) -> np.ndarray:
-    """One hash for each row: salt, then each key; strings by FNV-1a, null strings as empty, null numbers as 0."""
+    """One hash for each row: salt, then each key; strings by FNV-1a, null strings as empty, null numbers as 0.
+
+    Strings are hashed once a batch and distinct value, which for bases and chromosomes are a handful.
+    """
     h = None
     with np.errstate(over="ignore"):
         for key in keys:
@@ -74,7 +77,12 @@ def content_split(df: DataFrame, keys: list[str], fraction: float, salt: int, na
         for part in parts:
             yield pd.Series(mix(salt, part if isinstance(part, tuple) else (part,)) < limit)
 
-    return df.withColumn(name, chosen(*[F.col(k).cast("string" if kind[k].dataType.typeName() == "string" else "long") for k in keys]))
+    # nulls get their value here: a null would turn a batch of large integers into floats that lose digits
+    text = lambda k: kind[k].dataType.typeName() == "string"
+    return df.withColumn(
+        name,
+        chosen(*[F.coalesce(F.col(k), F.lit("")) if text(k) else F.coalesce(F.col(k).cast("long"), F.lit(0).cast("long")) for k in keys]),
+    )
 
 
 def sample_order(seed: int, *keys: str) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import quantiles
+
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     """(a, b, n): one row per pair of labels, added up before the shuffle."""
@@ -67,7 +69,14 @@ def best_jaccard(table: DataFrame) -> DataFrame:
 def stability(best: DataFrame) -> DataFrame:
     """One row over best_jaccard(): mean, median, p10, and shares of stable (0.75 or more) and dissolved (under 0.5) clusters."""
     j, n = F.col("jaccard"), F.col("size").cast("double")
-    return best.agg(F.avg(j).alias("mean"), F.median(j).alias("median"), F.percentile(j, F.lit(0.1)).alias("p10"), F.avg((j >= 0.75).cast("double")).alias("stable"), F.avg((j < 0.5).cast("double")).alias("dissolved"), (F.sum(F.when(j >= 0.75, n).otherwise(0.0)) / F.sum(n)).alias("stable_points"))
+    return best.agg(
+        F.avg(j).alias("mean"),
+        F.median(j).alias("median"),
+        F.percentile(j, F.lit(0.1)).alias("p10"),
+        F.avg((j >= 0.75).cast("double")).alias("stable"),
+        F.avg((j < 0.5).cast("double")).alias("dissolved"),
+        (F.sum(F.when(j >= 0.75, n).otherwise(0.0)) / F.sum(n)).alias("stable_points"),
+    )
 
 
 def percent_of_total(counts: DataFrame, by: str) -> DataFrame:
@@ -76,9 +85,16 @@ def percent_of_total(counts: DataFrame, by: str) -> DataFrame:
 
 
 def probability_summary(df: DataFrame, label: str, value: str) -> DataFrame:
+    """One row over labelled rows: n, mean, median, p10, p90, shares over 0.5 and 0.8."""
     own = df.where(F.col(label) >= 0)
-    p = lambda q: F.percentile(value, F.lit(q))
-    return own.agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), p(0.1).alias("p10"), p(0.9).alias("p90"), F.avg((F.col(value) > 0.5).cast("double")).alias("over_50"), F.avg((F.col(value) > 0.8).cast("double")).alias("over_80"))
+    one = own.agg(
+        F.count("*").alias("n"),
+        F.avg(value).alias("mean"),
+        F.avg((F.col(value) > 0.5).cast("double")).alias("over_50"),
+        F.avg((F.col(value) > 0.8).cast("double")).alias("over_80"),
+    )
+    at = quantiles(own, [], value, {"median": 0.5, "p10": 0.1, "p90": 0.9}).drop("n")
+    return one.join(at, how="cross").select("n", "mean", "median", "p10", "p90", "over_50", "over_80")  # one row each
 
 
 def fit_summary(df: DataFrame, cosine: str, l2: str, weight: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import quantiles
+
 
 def bin_of(x: Column, lo: float, hi: float, bins: int) -> Column:
     """The bin of a value; what lies outside goes to the first or last one."""
@@ -12,7 +14,8 @@ def bin_of(x: Column, lo: float, hi: float, bins: int) -> Column:
 
 
 def histogram(df: DataFrame, by: list[str], value: str, lo: float, hi: float, bins: int) -> DataFrame:
-    return df.where(F.col(value).isNotNull()).groupBy(*by, bin_of(F.col(value), lo, hi, bins).alias("bin")).agg(F.count("*").alias("n"))
+    """(by, bin, n) of finite values."""
+    return df.where(finite(F.col(value))).groupBy(*by, bin_of(F.col(value), lo, hi, bins).alias("bin")).agg(F.count("*").alias("n"))
 
 
 def histogram_2d(df: DataFrame, x: str, y: str, extent: tuple[float, float, float, float], bins: int) -> DataFrame:
@@ -20,7 +23,10 @@ def histogram_2d(df: DataFrame, x: str, y: str, extent: tuple[float, float, floa
     x0, x1, y0, y1 = extent
     fine = df.where(finite(F.col(x)) & finite(F.col(y)))
     outside = ~(F.col(x).between(x0, x1) & F.col(y).between(y0, y1))
-    return fine.groupBy(bin_of(F.col(x), x0, x1, bins).alias("x_bin"), bin_of(F.col(y), y0, y1, bins).alias("y_bin")).agg(F.count("*").alias("n"), F.count_if(outside).alias("clipped"))
+    return fine.groupBy(
+        bin_of(F.col(x), x0, x1, bins).alias("x_bin"),
+        bin_of(F.col(y), y0, y1, bins).alias("y_bin"),
+    ).agg(F.count("*").alias("n"), F.count_if(outside).alias("clipped"))
 
 
 def finite(x: Column) -> Column:
@@ -28,8 +34,9 @@ def finite(x: Column) -> Column:
 
 
 def robust_extent(df: DataFrame, column: str, percent: float) -> DataFrame:
+    """One row (lo, hi): exact percentiles of finite values at both ends."""
     p = percent / 100
-    return df.agg(F.percentile(column, F.lit(p)).alias("lo"), F.percentile(column, F.lit(1 - p)).alias("hi"))
+    return quantiles(df.where(finite(F.col(column))), [], column, {"lo": p, "hi": 1 - p}).select("lo", "hi")
 
 
 def funnel(df: DataFrame, steps: dict[str, Column], value: str) -> DataFrame:

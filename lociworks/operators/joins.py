@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .dedup import LOCUS
+from .ranks import placed, quantiles
 
 
 def attach(source: DataFrame, assigned: DataFrame, key: str | list[str], how: str = "left") -> DataFrame:
@@ -41,9 +42,55 @@ def held_rows(rows: DataFrame, fit: DataFrame, key: str) -> DataFrame:
 
 def assignment_summary(df: DataFrame, key: str, label: str = "cluster_label") -> DataFrame:
     """One row about an assignment table."""
-    one = df.agg(F.count("*").alias("n_rows"), F.min(key).alias("min_key"), F.max(key).alias("max_key"), F.max(label).alias("max_label"), F.count_if(F.col(label) < 0).alias("noise"), F.count_distinct(label).alias("labels"))
+    one = df.agg(
+        F.count("*").alias("n_rows"),
+        F.min(key).alias("min_key"),
+        F.max(key).alias("max_key"),
+        F.max(label).alias("max_label"),
+        F.count_if(F.col(label) < 0).alias("noise"),
+        F.count_distinct(label).alias("labels"),
+    )
     return one.withColumn("clusters_present", F.col("labels") - F.when(F.col("noise") > 0, 1).otherwise(0)).drop("labels")
 
 
 def cluster_profile(df: DataFrame, value: str, label: str = "cluster_label") -> DataFrame:
-    return df.where(F.col(label) >= 0).groupBy(label).agg(F.count("*").alias("size"), F.avg(value).alias("mean"), F.median(value).alias("median"))
+    """(label, size, mean, median) of each cluster without noise."""
+    own = df.where(F.col(label) >= 0)
+    means = own.groupBy(label).agg(F.count("*").alias("size"), F.avg(value).alias("mean"))
+    return means.join(quantiles(own, [label], value, {"median": 0.5}).drop("n"), label, "left")
+
+
+def positional(rows: DataFrame, number: str, labels: DataFrame, at: str) -> DataFrame:
+    """rows joined to labels by position: the first label to the row of the least number, and so on. As many of each, or it is an error."""
+    n, m = rows.count(), labels.count()
+    if n != m:
+        raise ValueError(f"{n} rows, {m} labels")
+    return placed(rows, [number], name=at).join(labels, at)
+
+
+def dense_index(df: DataFrame, order: list[str], name: str = "row_index") -> DataFrame:
+    """df with a running number from 0 in a stable order."""
+    return placed(df, order, name=name)
+
+
+def subset_positions(everything: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """(key, position) of wanted keys among all sorted ones; a key that isn't there has a null position."""
+    return wanted.select(key).distinct().join(placed(everything.select(key).distinct(), [key], name="position"), key, "left")
+
+
+def match_names(files: DataFrame, file: str, folders: DataFrame, folder: str, suffix: str) -> DataFrame:
+    """files with the folder of the same stem, else of the stem without a suffix."""
+    own = folders.select(F.col(folder).alias("_whole")), folders.select(F.col(folder).alias("_short"))
+    short = F.regexp_replace(F.col(file), f"{suffix}$", "")
+    met = files.join(own[0], F.col(file) == F.col("_whole"), "left").join(own[1], short == F.col("_short"), "left")
+    return met.withColumn("folder", F.coalesce("_whole", "_short")).drop("_whole", "_short")
+
+
+def label_counts(source: DataFrame, labels: DataFrame, key: list[str], label: str, where: Column, kept: Column) -> DataFrame:
+    """(label, n): source rows that pass a filter, joined to their labels, of which a predicate keeps some."""
+    return source.where(where).join(labels, key).where(kept).groupBy(label).agg(F.count("*").alias("n"))
+
+
+def with_stats(stats: DataFrame, activities: DataFrame, fits: DataFrame, label: str, sample: str) -> DataFrame:
+    """Cluster statistics with activities and, by cluster and sample, with fit statistics; all statistics stay."""
+    return stats.join(activities, label, "left").join(fits, [label, sample], "left")

@@ -14,24 +14,30 @@ def columns_of(vector: str, width: int) -> list[Column]:
 def activation(df: DataFrame, vector: str, width: int, least: float = 1e-2) -> DataFrame:
     """(dim, mean, variance, active) of each dimension; variance over n, active if it is at least ``least``."""
     x = columns_of(vector, width)
-    one = df.agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(x)], *[F.sum(c * c).alias(f"q{i}") for i, c in enumerate(x)])
-    rows = F.array(*[F.struct(F.lit(i).alias("dim"), F.col(f"s{i}").alias("s"), F.col(f"q{i}").alias("q")) for i in range(width)])
-    each = one.select("n", F.explode(rows).alias("r")).select("r.dim", (F.col("r.s") / F.col("n")).alias("mean"), (F.col("r.q") / F.col("n")).alias("square"))
-    return each.select("dim", "mean", (F.col("square") - F.col("mean") ** 2).alias("variance")).withColumn("active", F.col("variance") >= least)
+    one = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)], *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(x)])
+    rows = F.array(*[F.struct(F.lit(i).alias("dim"), F.col(f"m{i}").alias("mean"), F.col(f"v{i}").alias("variance")) for i in range(width)])
+    return one.select(F.explode(rows).alias("r")).select("r.*").withColumn("active", F.col("variance") >= least)
 
 
 def cross_moments(df: DataFrame, a: list[Column], b: list[Column]) -> dict[str, np.ndarray | float]:
-    """n, means and centred cross products of two sets of columns, in one pass; d * d numbers reach the driver."""
+    """n, means and cross products, centred and as they are, of two sets of columns, in one pass; d * d numbers reach the driver.
+
+    Covariances are added up as Spark does, about running means, so large means take no digits away.
+    """
     both = [*a, *b]
     pairs = [(i, j) for i in range(len(both)) for j in range(i, len(both))]
-    row = df.agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(both)], *[F.sum(both[i] * both[j]).alias(f"p{i}_{j}") for i, j in pairs]).first()
-    n, s = row["n"], np.array([row[f"s{i}"] or 0.0 for i in range(len(both))])
-    p = np.zeros((len(both), len(both)))
+    row = df.agg(
+        F.count("*").alias("n"),
+        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(both)],
+        *[F.covar_pop(both[i], both[j]).alias(f"p{i}_{j}") for i, j in pairs],
+    ).first()
+    n, mean = row["n"], np.array([row[f"m{i}"] or 0.0 for i in range(len(both))])
+    centred = np.zeros((len(both), len(both)))
     for i, j in pairs:
-        p[i, j] = p[j, i] = row[f"p{i}_{j}"] or 0.0
-    centred = p - np.outer(s, s) / max(n, 1)
+        centred[i, j] = centred[j, i] = n * (row[f"p{i}_{j}"] or 0.0)
+    raw = centred + n * np.outer(mean, mean)
     k = len(a)
-    return {"n": n, "aa": centred[:k, :k], "bb": centred[k:, k:], "ab": centred[:k, k:], "raw_aa": p[:k, :k], "raw_bb": p[k:, k:], "raw_ab": p[:k, k:]}
+    return {"n": n, "aa": centred[:k, :k], "bb": centred[k:, k:], "ab": centred[:k, k:], "raw_aa": raw[:k, :k], "raw_bb": raw[k:, k:], "raw_ab": raw[:k, k:]}
 
 
 def linear_cka(m: dict) -> float:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.checkpoint import checkpointed
+from .ranks import placed, quantiles
+
 #: Query vectors that are sent to the tasks at once.
 BLOCK = 4096
 #: Digits that distances are rounded to before they are compared; ties go to the lower id.
@@ -18,47 +21,102 @@ DIGITS = 6
 CHUNK = 1 << 22
 
 
+def _as_vectors(df: DataFrame, id_col: str, vector: str, name: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias(name), F.col(vector).cast("array<double>").alias("v"))
+
+
+def _blocks(queries: DataFrame, rows: DataFrame, columns: list[str], search: Callable, schema: str) -> DataFrame:
+    """What search(numpy columns of a block of queries) makes of the batches of rows, block after block.
+
+    The queries are numbered and written down, and the driver holds one block at a time. If there are several, each
+    one's result is written down before the next is sent.
+    """
+    numbered = checkpointed(placed(queries, ["q"]).withColumn("_block", F.floor(F.col("_before") / BLOCK)))
+    blocks, out = (numbered.agg(F.max("_block")).first()[0] or 0) + 1, []
+    for k in range(blocks):
+        got = numbered.where(F.col("_block") == k).select("q", "v", *columns).toArrow()
+        v = np.array(got.column("v").to_pylist(), dtype=np.float64).reshape(got.num_rows, -1 if got.num_rows else 1)
+        rest = [np.array(got.column(c).to_pylist()) for c in columns]
+        sent = rows.sparkSession.sparkContext.broadcast((got.column("q").to_numpy(), v, *rest))
+        found = rows.mapInArrow(lambda batches, sent=sent: search(batches, *sent.value), schema)
+        if blocks > 1:
+            found = checkpointed(found)
+            sent.unpersist()
+        out.append(found)
+    return reduce(DataFrame.unionAll, out)
+
+
+def _distances(v: np.ndarray, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, distances of all queries to them) of a batch, a part at a time."""
+    other = batch.column(0).to_numpy()
+    x = np.array(batch.column(1).to_pylist(), dtype=np.float64).reshape(len(other), -1)
+    step = max(1, CHUNK // max(1, v.size))
+    for a in range(0, len(other) if len(v) else 0, step):
+        yield other[a : a + step], np.round(np.sqrt(((v[:, None, :] - x[None, a : a + step, :]) ** 2).sum(2)), DIGITS)
+
+
 def knn_join(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", itself: bool = False) -> DataFrame:
     """(q, id, distance, place): the k nearest rows of each query by Euclidean distance, place from 1.
 
     A query's own row is left out by its id, unless itself is true. Each task keeps k rows for each query, so what
     is shuffled is bounded by tasks, queries and k; query blocks bound what is broadcast.
     """
-    spark = rows.sparkSession
-    ids = queries.select(F.col(id_col).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v"))
-    got = ids.toArrow()  # the stated query set
-    all_ids = got.column("q").to_numpy()
-    vectors = np.array(got.column("v").to_pylist(), dtype=np.float64).reshape(len(all_ids), -1 if len(all_ids) else 1)
-    out = []
-    for at in range(0, max(1, len(all_ids)), BLOCK):
-        sent = spark.sparkContext.broadcast((all_ids[at : at + BLOCK], vectors[at : at + BLOCK]))
-
-        def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            q, v = sent.value
-            best_d, best_i = np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
-            for batch in batches:
-                other = batch.column(0).to_numpy()
-                x = np.array(batch.column(1).to_pylist(), dtype=np.float64).reshape(len(other), -1)
-                step = max(1, CHUNK // max(1, v.size))
-                for a in range(0, len(other) if len(q) else 0, step):
-                    d = np.round(np.sqrt(((v[:, None, :] - x[None, a : a + step, :]) ** 2).sum(2)), DIGITS)
-                    i = np.broadcast_to(other[a : a + step], d.shape)
-                    if not itself:
-                        d = np.where(i == q[:, None], np.inf, d)
-                    d, i = np.concatenate([best_d, d], axis=1), np.concatenate([best_i, i], axis=1)
-                    order = np.lexsort((i, d), axis=1)[:, :k]
-                    best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-            ok = np.isfinite(best_d)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, k)[ok.ravel()]), pa.array(best_i[ok]), pa.array(best_d[ok])], ["q", "id", "distance"])
-
-        out.append(rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, "q long, id long, distance double"))
+
+    def search(batches: Iterable[pa.RecordBatch], q: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
+        best_d, best_i = np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+        for batch in batches:
+            for other, d in _distances(v, batch):
+                i = np.broadcast_to(other, d.shape)
+                if not itself:
+                    d = np.where(i == q[:, None], np.inf, d)
+                d, i = np.concatenate([best_d, d], axis=1), np.concatenate([best_i, i], axis=1)
+                order = np.lexsort((i, d), axis=1)[:, :k]
+                best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+        ok = np.isfinite(best_d)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, k)[ok.ravel()]), pa.array(best_i[ok]), pa.array(best_d[ok])], ["q", "id", "distance"])
+
+    found = _blocks(_as_vectors(queries, id_col, vector, "q"), _as_vectors(rows, id_col, vector, "id"), [], search, "q long, id long, distance double")
     place = F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))
-    return reduce(DataFrame.unionAll, out).withColumn("place", place).where(F.col("place") <= k)
+    return found.withColumn("place", place).where(F.col("place") <= k)
+
+
+def ranks_among_all(pairs: DataFrame, rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(q, id, rank): of pairs (q, id) the exact rank of id by distance from q among all other rows, from 1.
+
+    Tasks count rows that are nearer, and the counts are added up; no list is cut.
+    """
+    own = _as_vectors(rows, id_col, vector, "id")
+    gap = F.round(F.sqrt(F.aggregate(F.zip_with("v", "w", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)), DIGITS)
+    apart = pairs.select("q", "id").distinct().join(own.withColumnRenamed("v", "w"), "id").join(
+        own.select(F.col("id").alias("q"), "v"),
+        "q",
+    ).withColumn("d", gap)
+    wanted = apart.groupBy("q").agg(F.first("v").alias("v"), F.array_sort(F.collect_list(F.struct("d", "id"))).alias("w"))
+    most = wanted.agg(F.max(F.size("w"))).first()[0] or 0
+    # as many for each query, so that they are a table: those that are missing are further than any row
+    padded = F.concat("w", F.array_repeat(F.struct(F.lit(float("inf")).alias("d"), F.lit(-1).cast("long").alias("id")), F.lit(most) - F.size("w")))
+    asked = wanted.select("q", "v", F.transform(padded, lambda x: x["d"]).alias("far"), F.transform(padded, lambda x: x["id"]).alias("ids"))
+
+    def search(batches: Iterable[pa.RecordBatch], q: np.ndarray, v: np.ndarray, far: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        nearer = np.zeros((len(q), most), dtype=np.int64)
+        for batch in batches:
+            for other, d in _distances(v, batch):
+                d = np.where(other[None] == q[:, None], np.inf, d)
+                for j in range(most):
+                    nearer[:, j] += ((d < far[:, j, None]) | ((d == far[:, j, None]) & (other[None] < ids[:, j, None]))).sum(1)
+        if len(q):
+            ok = ids.ravel() >= 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, most)[ok]), pa.array(ids.ravel()[ok]), pa.array(nearer.ravel()[ok])], ["q", "id", "n"])
+
+    return _blocks(asked, own, ["far", "ids"], search, "q long, id long, n long").groupBy("q", "id").agg((F.sum("n") + 1).alias("rank"))
 
 
 def knn_overlap(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     """(q, overlap): the share of k neighbours that two neighbour tables have in common."""
-    both = a.where(F.col("place") <= k).select("q", "id").join(b.where(F.col("place") <= k).select("q", "id"), ["q", "id"]).groupBy("q").agg(F.count("*").alias("n"))
+    both = a.where(F.col("place") <= k).select("q", "id").join(
+        b.where(F.col("place") <= k).select("q", "id"),
+        ["q", "id"],
+    ).groupBy("q").agg(F.count("*").alias("n"))
     return a.select("q").distinct().join(both, "q", "left").select("q", (F.coalesce("n", F.lit(0)) / k).alias("overlap"))
 
 
@@ -79,13 +137,40 @@ def core_distance(neighbours: DataFrame, samples: int) -> DataFrame:
     return neighbours.where(F.col("place") == samples).select("q", F.col("distance").alias("core"))
 
 
-def coranking(high: DataFrame, low: DataFrame, k: int, n: int) -> DataFrame:
-    """One row: trustworthiness and continuity with ranks cut at the tables' depth, over the queries of both."""
+def connectivity_summary(same: DataFrame) -> DataFrame:
+    """One row over connectivity(): mean, median, shares of pure queries and of those with less than half."""
+    x = F.col("same")
+    one = same.agg(F.avg(x).alias("mean"), F.avg((x >= 1.0).cast("double")).alias("pure"), F.avg((x < 0.5).cast("double")).alias("under_half"))
+    return one.join(quantiles(same, [], "same", {"median": 0.5}).drop("n"), how="cross")  # one row each
 
-    def penalty(near: DataFrame, far: DataFrame, deep: int):
-        met = near.where(F.col("place") <= k).select("q", "id").join(far.select("q", "id", (F.col("place") - 1).alias("rank")), ["q", "id"], "left")
-        return met.agg(F.sum(F.greatest(F.coalesce("rank", F.lit(deep)) + 1 - k, F.lit(0))).alias("s"), F.count_distinct("q").alias("m"))
 
-    scale = lambda s, m: 1 - 2 / (m * k * (2 * n - 3 * k - 1)) * s
-    t, c = penalty(low, high, n - 1), penalty(high, low, n - 1)
-    return t.select(scale(F.col("s"), F.col("m")).alias("trustworthiness"), c.select(scale(F.col("s"), F.col("m"))).scalar().alias("continuity"))
+def coranking(high: DataFrame, low: DataFrame, rank_high: DataFrame, rank_low: DataFrame, k: int, n: int) -> DataFrame:
+    """One row: trustworthiness and continuity from exact ranks, Q_NX at k, and the mean of R_NX over 1..k by 1/K.
+
+    high, low: neighbour tables of depth k or more among n rows; rank_high: ranks of low's neighbours in high, rank_low the
+    other way round.
+    """
+
+    def penalty(ranks: DataFrame) -> DataFrame:
+        return ranks.agg(F.sum(F.greatest(F.col("rank") - k, F.lit(0))).alias("s"))
+
+    m = high.agg(F.count_distinct("q")).scalar()
+    scale = lambda s: 1 - 2 / (m * k * (2 * n - 3 * k - 1)) * s
+    cut = lambda df, name: df.where(F.col("place") <= k).select("q", "id", F.col("place").alias(name))
+    both = cut(high, "h").join(cut(low, "l"), ["q", "id"]).groupBy(F.greatest("h", "l").alias("from")).agg(F.count("*").alias("pairs"))
+    sizes = high.sparkSession.range(1, k + 1).select(F.col("id").cast("int").alias("size"))
+    upto = sizes.join(F.broadcast(both), F.col("from") <= F.col("size"), "left").groupBy("size").agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))  # k rows
+    q_nx = upto.select("size", (F.col("pairs") / (m * F.col("size"))).alias("q")).withColumn(
+        "r",
+        ((n - 1) * F.col("q") - F.col("size")) / (n - 1 - F.col("size")),
+    )
+    one = q_nx.agg(
+        F.max(F.when(F.col("size") == k, F.col("q"))).alias("q_nx"),
+        (F.sum(F.col("r") / F.col("size")) / F.sum(1 / F.col("size"))).alias("r_nx_auc"),
+    )
+    return one.select(
+        penalty(rank_high).select(scale(F.col("s"))).scalar().alias("trustworthiness"),
+        penalty(rank_low).select(scale(F.col("s"))).scalar().alias("continuity"),
+        "q_nx",
+        "r_nx_auc",
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.checkpoint import checkpointed
+from .ranks import placed, quantiles, value_ranks
 
 
 def _centred(df: DataFrame, label: str, dims: list[Column]) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -36,17 +36,24 @@ def davies_bouldin(df: DataFrame, label: str, dims: list[Column]) -> DataFrame:
 def calinski_harabasz(df: DataFrame, label: str, dims: list[Column]) -> DataFrame:
     """One row: between-cluster over within-cluster dispersion, each by its degrees of freedom; from sums of squares alone."""
     rows, _, names = _centred(df, label, dims)
-    per = rows.groupBy("k").agg(F.count("*").cast("double").alias("n"), *[F.sum(n).alias(f"s_{n}") for n in names], *[F.sum(F.col(n) * F.col(n)).alias(f"q_{n}") for n in names])
-    within, means = F.lit(0.0), F.lit(0.0)
-    for n in names:
-        within = within + F.col(f"q_{n}") - F.col(f"s_{n}") * F.col(f"s_{n}") / F.col("n")
-        means = means + F.col(f"s_{n}") * F.col(f"s_{n}") / F.col("n")
-    total = per.agg(F.sum(within).alias("within"), F.sum(means).alias("means"), F.sum("n").alias("n"), F.count("*").alias("k"), *[F.sum(f"s_{n}").alias(f"t_{n}") for n in names])
-    whole = F.lit(0.0)
-    for n in names:
-        whole = whole + F.col(f"t_{n}") * F.col(f"t_{n}") / F.col("n")
-    between = F.col("means") - whole
-    return total.select(F.try_divide(between * (F.col("n") - F.col("k")), F.col("within") * (F.col("k") - 1)).alias("calinski_harabasz"))
+    per = rows.groupBy("k").agg(
+        F.count("*").cast("double").alias("n"),
+        *[F.avg(n).alias(f"m_{n}") for n in names],
+        *[F.var_pop(n).alias(f"v_{n}") for n in names],
+    )
+    total = sum((F.col(f"v_{n}") for n in names[1:]), F.col(f"v_{names[0]}")) * F.col("n")
+    means = per.agg(
+        F.sum("n").alias("rows"),
+        F.count("*").alias("groups"),
+        F.sum(total).alias("within"),
+        *[(F.sum(F.col(f"m_{n}") * F.col("n")) / F.sum("n")).alias(f"g_{n}") for n in names],
+    )
+    apart = sum(((F.col(f"m_{n}") - F.col(f"g_{n}")) ** 2 for n in names[1:]), (F.col(f"m_{names[0]}") - F.col(f"g_{names[0]}")) ** 2)
+    between = per.join(F.broadcast(means)).agg(F.sum(F.col("n") * apart).alias("between"), *[F.first(c).alias(c) for c in ("rows", "groups", "within")])  # one row of means
+    return between.select(F.try_divide(
+        F.col("between") * (F.col("rows") - F.col("groups")),
+        F.col("within") * (F.col("groups") - 1),
+    ).alias("calinski_harabasz"))
 
 
 def reweighted_mean(scores: DataFrame, sizes: DataFrame, label: str, score: str) -> DataFrame:
@@ -62,7 +69,8 @@ def embedding_error(df: DataFrame, a: list[Column], b: list[Column]) -> DataFram
         pooled = pooled + F.var_pop(c.cast("double"))
     unit = df.agg(F.sqrt(pooled / len(a)).alias("u")).scalar()
     d = _distance([c.cast("double") for c in a], [c.cast("double") for c in b]) / unit
-    return df.select(d.alias("d")).agg(F.avg("d").alias("mean"), F.median("d").alias("median"), F.percentile("d", F.lit(0.95)).alias("p95"))
+    each = df.select(d.alias("d"))
+    return each.agg(F.avg("d").alias("mean")).join(quantiles(each, [], "d", {"median": 0.5, "p95": 0.95}).drop("n"), how="cross")  # one row each
 
 
 def replicate_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -75,7 +83,10 @@ def convergence_point(df: DataFrame, by: str, size: str, value: str, tolerance:
     """(by, size): the least size from which on all values lie within a tolerance of the last; two or more values are needed."""
     ok = df.where(F.col(value).isNotNull() & ~F.isnan(value))
     tail = Window.partitionBy(by).orderBy(size).rowsBetween(0, Window.unboundedFollowing)
-    last = ok.withColumn("_last", F.last(value).over(tail)).withColumn("_off", F.max((F.abs(F.col(value) - F.col("_last")) > tolerance).cast("int")).over(tail)).withColumn("_n", F.count("*").over(Window.partitionBy(by)))
+    last = ok.withColumn("_last", F.last(value).over(tail)).withColumn(
+        "_off",
+        F.max((F.abs(F.col(value) - F.col("_last")) > tolerance).cast("int")).over(tail),
+    ).withColumn("_n", F.count("*").over(Window.partitionBy(by)))
     return last.where("_off = 0 AND _n > 1").groupBy(by).agg(F.min(size).alias(size))
 
 
@@ -86,20 +97,14 @@ def positional_split(df: DataFrame, order: str, fraction: float, seed: int) -> D
     sample, so rows with their range are checkpointed: both steps see the same ones.
     """
     d = round(1 / (1 - fraction))
-    parts = checkpointed(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
-    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    placed = parts.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1).join(F.broadcast(before), "_part")
-    return placed.withColumn("is_val", F.pmod(F.col("_at") + F.col("_before"), F.lit(d)) == seed % d).drop("_part", "_at", "_before")
+    return placed(df, [order]).withColumn("is_val", F.pmod(F.col("_before"), F.lit(d)) == seed % d).drop("_before")
 
 
 def pair_distance_correlation(pairs: DataFrame, high: str, low: str) -> DataFrame:
     """One row: Pearson correlation of two distance columns, and Spearman's, as Pearson of average ranks among distinct values."""
 
     def ranks(column: str) -> DataFrame:
-        sizes = pairs.groupBy(column).agg(F.count("*").alias("n"))
-        before = F.coalesce(F.sum("n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return sizes.select(column, (before + (F.col("n") + 1) / 2).alias(f"r_{column}"))
+        return value_ranks(pairs, [], column).select(column, (F.col("before") + (F.col("n") + 1) / 2).alias(f"r_{column}"))
 
     met = pairs.join(ranks(high), high).join(ranks(low), low)
     return met.agg(F.corr(high, low).alias("pearson"), F.corr(f"r_{high}", f"r_{low}").alias("spearman"))

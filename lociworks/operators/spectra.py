@@ -19,14 +19,20 @@ def matrix_long(counts: DataFrame, label: str = "cluster_label") -> DataFrame:
     return every.join(counts, [label, "channel"], "left").select(label, "channel", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
-def matrix_wide(long: DataFrame, labels: list[int], label: str = "cluster_label") -> DataFrame:
-    """One row per channel, one column cluster_<id> per cluster."""
+def matrix_wide(long: DataFrame, labels: list[int] | None = None, label: str = "cluster_label") -> DataFrame:
+    """One row per channel, one column cluster_<id> per cluster, of the given clusters or of all there are."""
+    if labels is None:
+        labels = [r[0] for r in long.select(label).distinct().orderBy(label).collect()]  # they become columns
     wide = long.groupBy("channel").pivot(label, labels).agg(F.first("n")).na.fill(0)
     return wide.select("channel", *[F.col(f"`{k}`").alias(f"cluster_{k}") for k in labels])
 
 
 def side_counters(df: DataFrame, label: str = "cluster_label", channel: str = "channel") -> DataFrame:
-    return df.agg(F.count_if(F.col(label) < 0).alias("noise_rows"), F.count_if(F.col(channel).isNull()).alias("unclassified_rows"), F.count("*").alias("n_rows"))
+    return df.agg(
+        F.count_if(F.col(label) < 0).alias("noise_rows"),
+        F.count_if(F.col(channel).isNull()).alias("unclassified_rows"),
+        F.count("*").alias("n_rows"),
+    )
 
 
 def top_channel(counts: DataFrame, label: str = "cluster_label") -> DataFrame:
@@ -57,7 +63,13 @@ def pairwise(counts: DataFrame, label: str = "cluster_label") -> DataFrame:
     pairs = x.join(y, F.col("k_a") < F.col("k_b")).join(sums, ["k_a", "k_b"], "left").na.fill(0.0, ["dot", "common"])
     x, y, dot = F.col("norm_a"), F.col("norm_b"), F.col("dot")
     # shares add up to 1, so absent channels are told by what is common
-    return pairs.select(F.col("k_a").alias("a"), F.col("k_b").alias("b"), (dot / (x * y)).alias("cosine"), (2 - 2 * F.col("common")).alias("l1"), F.sqrt(F.greatest(F.lit(0.0), F.pow(x, 2) + F.pow(y, 2) - 2 * dot)).alias("l2"))
+    return pairs.select(
+        F.col("k_a").alias("a"),
+        F.col("k_b").alias("b"),
+        (dot / (x * y)).alias("cosine"),
+        (2 - 2 * F.col("common")).alias("l1"),
+        F.sqrt(F.greatest(F.lit(0.0), F.pow(x, 2) + F.pow(y, 2) - 2 * dot)).alias("l2"),
+    )
 
 
 def top_contexts(counts: DataFrame, n: int, label: str = "cluster_label") -> DataFrame:

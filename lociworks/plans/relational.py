@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import encode, filters, spectrum
 from ..operators import compare, dedup, histograms, joins, moments, spectra
 from ..sources import scan
+from ..sources.checkpoint import checkpointed
 from ..sources.featuremap import CANONICAL, FM_SQL, featuremap
 from .named import named
 
@@ -70,10 +71,14 @@ def moments_merge(spark, sf_dir):
     return scaled.select("feature", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
-@named(f"{_W} SELECT 'QUAL' AS feature, count(QUAL) AS n FROM fm")
+_SPARSE = {"EMPTY": "CASE WHEN QUAL < 0 THEN QUAL END", "IN_ONE": "CASE WHEN sample = 'R' THEN QUAL END"}
+
+
+@named(f"{_W}, w AS (SELECT QUAL, {', '.join(f'{x} AS {c}' for c, x in _SPARSE.items())} FROM fm), u AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS n FROM w" for c in ("QUAL", *_SPARSE)) + ") SELECT feature, n FROM u WHERE n > 0")
 def feature_drop(spark, sf_dir):
-    df = featuremap(spark, sf_dir).withColumn("EMPTY", F.lit(None).cast("double"))
-    return moments.standard_scale(moments.merge_moments(moments.fused_moments(df, "sample", ["QUAL", "EMPTY"]), "sample")).select("feature", "n")
+    """A feature without values in any sample goes, one that a single sample has stays."""
+    df = featuremap(spark, sf_dir).withColumns({c: F.expr(x) for c, x in _SPARSE.items()})
+    return moments.standard_scale(moments.merge_moments(moments.fused_moments(df, "sample", ["QUAL", *_SPARSE]), "sample")).select("feature", "n")
 
 
 @named(_ranked_sql(dedup.COHORT_QUALITY))
@@ -97,10 +102,17 @@ def verify_unique(spark, sf_dir):
     return dedup.uniqueness(featuremap(spark, sf_dir), [*dedup.LOCUS, "MAPQ"])
 
 
-@named(f"{_W} SELECT count(DISTINCT (CHROM, POS, REF, ALT)) AS n_checked, 0 AS n_wrong FROM fm WHERE {CANONICAL}")
+def _checked_sql(name: str, quality: list[str]) -> str:
+    return f"""SELECT '{name}' AS kept_by, count(*) AS n_checked, count(*) FILTER (SNVQ IS DISTINCT FROM best) AS n_wrong FROM (SELECT SNVQ,
+  row_number() OVER (PARTITION BY CHROM, POS, REF, ALT ORDER BY {", ".join(f"{c} DESC NULLS LAST" for c in quality)}, {_TIES}) AS r, max(SNVQ) OVER (PARTITION BY CHROM, POS, REF, ALT) AS best FROM fm WHERE {CANONICAL}) WHERE r = 1"""
+
+
+@named(f"{_W} {_checked_sql('SNVQ', dedup.SINGLE_QUALITY)} UNION ALL {_checked_sql('QUAL', dedup.COHORT_QUALITY)}")
 def verify_max(spark, sf_dir):
-    kept = dedup_locus_snvq(spark, sf_dir)
-    return dedup.maximum_check(kept, featuremap(spark, sf_dir).where(CANONICAL), dedup.LOCUS, "SNVQ")
+    """Rows kept by SNVQ all have their locus's best SNVQ; of those kept by QUAL many don't."""
+    source = featuremap(spark, sf_dir).where(CANONICAL)
+    check = lambda kept, name: dedup.maximum_check(kept, source, dedup.LOCUS, "SNVQ").select(F.lit(name).alias("kept_by"), "*")
+    return check(dedup_locus_snvq(spark, sf_dir), "SNVQ").unionAll(check(dedup_locus_cohort(spark, sf_dir), "QUAL"))
 
 
 _COMP = "CASE {0} WHEN 'A' THEN 'T' WHEN 'T' THEN 'A' WHEN 'C' THEN 'G' WHEN 'G' THEN 'C' END"
@@ -151,9 +163,12 @@ def sbs96_matrix_long(spark, sf_dir):
     return spectra.matrix_long(spectrum_of(spark, sf_dir))
 
 
-@named(f"{_SPEC} SELECT c.channel, {', '.join(f'CAST(coalesce(sum(n) FILTER (cluster_label = {k}), 0) AS BIGINT) AS cluster_{k}' for k in range(12))} FROM (SELECT unnest([{_CHANNELS}]) AS channel) c LEFT JOIN spec USING (channel) GROUP BY c.channel")
+_LONG = f"{_SPEC}, lng AS (SELECT k.cluster_label, c.channel, coalesce(n, 0) AS n FROM (SELECT DISTINCT cluster_label FROM spec) k CROSS JOIN (SELECT unnest([{_CHANNELS}]) AS channel) c LEFT JOIN spec USING (cluster_label, channel))"
+
+
+@named(f"{_LONG} FROM (PIVOT (SELECT channel, 'cluster_' || cluster_label AS label, n FROM lng) ON label USING CAST(sum(n) AS BIGINT) GROUP BY channel)")
 def sbs96_matrix_pivot(spark, sf_dir):
-    return spectra.matrix_wide(spectra.matrix_long(spectrum_of(spark, sf_dir)), list(range(12)))
+    return spectra.matrix_wide(spectra.matrix_long(checkpointed(spectrum_of(spark, sf_dir))))
 
 
 @named(f"{_L} SELECT count(*) FILTER (cluster_label < 0) AS noise_rows, count(*) FILTER (channel IS NULL) AS unclassified_rows, count(*) AS n_rows FROM lab")
@@ -171,7 +186,7 @@ def spectrum_top_channel(spark, sf_dir):
 
 @named(f"{_TOP} SELECT cluster_label, count(*) FILTER (coalesce(before, 0) / total < 0.9 - 1e-9) AS n_channels FROM r GROUP BY 1")
 def channels_90(spark, sf_dir):
-    return spectra.channels_for(spectrum_of(spark, sf_dir))
+    return spectra.channels_for(checkpointed(spectrum_of(spark, sf_dir)))
 
 
 @named(f"{_TOP} SELECT cluster_label, channel, n, place FROM r WHERE place <= 6")
@@ -186,12 +201,15 @@ SELECT a.k AS a, b.k AS b, round(sum(a.p * b.p) / sqrt(sum(a.p * a.p) * sum(b.p
 FROM e a JOIN e b ON a.channel = b.channel AND a.k < b.k GROUP BY 1, 2"""
 )
 def spectrum_pairwise(spark, sf_dir):
-    return spectra.pairwise(spectrum_of(spark, sf_dir)).select("a", "b", *[F.round(c, 6).alias(c) for c in ("cosine", "l1", "l2")])
+    return spectra.pairwise(checkpointed(spectrum_of(spark, sf_dir))).select("a", "b", *[F.round(c, 6).alias(c) for c in ("cosine", "l1", "l2")])
 
 
-@named(f"{_W} SELECT CHROM, CAST(least(99, greatest(0, floor((SNVQ - 1000) / 990))) AS INT) AS bin, count(*) AS n FROM fm GROUP BY 1, 2")
+@named(f"{_L} SELECT change, lft || rgt AS context, CAST(least(99, greatest(0, floor((SNVQ - 1000) / 990))) AS INT) AS bin, count(*) AS n FROM lab WHERE channel IS NOT NULL GROUP BY 1, 2, 3")
 def hist_1d(spark, sf_dir):
-    return histograms.histogram(featuremap(spark, sf_dir), ["CHROM"], "SNVQ", 1000.0, 100000.0, 100)
+    """Quality by substitution and flanking bases."""
+    channel = F.col("channel")
+    own = labelled(spark, sf_dir).where(channel.isNotNull()).withColumns({"change": spectrum.substitution_of(channel), "context": F.concat(F.substring(channel, 1, 1), F.substring(channel, 7, 1))})
+    return histograms.histogram(own, ["change", "context"], "SNVQ", 1000.0, 100000.0, 100)
 
 
 @named(
@@ -242,10 +260,15 @@ def attach_inner(spark, sf_dir):
     return joins.attach(_source(spark, sf_dir), _assigned(spark, sf_dir), "row_index", "inner")
 
 
-@named(f"WITH {_ASSIGNED} SELECT count(*) AS n_attached, count(*) AS n_assigned, 'OK' AS status FROM asg")
+_RECONCILED = "SELECT '{0}' AS source, count(*) FILTER (row_index IN (SELECT row_index FROM src WHERE {1})) AS n_attached, count(*) AS n_assigned, CASE WHEN count(*) FILTER (row_index IN (SELECT row_index FROM src WHERE {1})) = count(*) THEN 'OK' ELSE 'FAILED' END AS status FROM asg"
+
+
+@named(f"WITH {_SOURCE}, {_ASSIGNED} {_RECONCILED.format('whole', 'true')} UNION ALL {_RECONCILED.format('lossy', 'row_index % 3 > 0')}")
 def attach_reconcile(spark, sf_dir):
-    a = _assigned(spark, sf_dir)
-    return joins.reconcile(joins.attach(_source(spark, sf_dir), a, "row_index"), a)
+    """Assignments joined to their whole source, and to one that has lost rows."""
+    a, s = _assigned(spark, sf_dir), _source(spark, sf_dir)
+    told = lambda source, name: joins.reconcile(joins.attach(source, a, "row_index"), a).select(F.lit(name).alias("source"), "*")
+    return told(s, "whole").unionAll(told(s.where("row_index % 3 > 0"), "lossy"))
 
 
 @named(f"WITH {_ASSIGNED} SELECT row_index, x, cluster_label FROM asg WHERE cluster_label IS NOT NULL AND cluster_label >= 0")

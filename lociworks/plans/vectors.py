@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import hashing
 from ..operators import latent, models, neighbours, quality, sampling
 from ..sources import export, scan
+from ..sources.checkpoint import checkpointed
 from ..sources.featuremap import FM_SQL, featuremap
 from ..streaming.spectrum_stream import early_stop
 from .named import named
 
 _W = f"WITH {FM_SQL}"
+#: Dimensions of the given vectors.
+WIDTH = 64
 SALT = hashing.stable_seed("global", 7)
 _MOD = "CAST(18446744073709551616 AS UHUGEINT)"
 
@@ -59,11 +62,32 @@ def split_row_hash(spark, sf_dir):
     return hashing.content_split(scan.table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], 0.25, SALT)
 
 
-@named(f"{_SITES} SELECT round(avg(CAST(is_val AS INT)), 8) AS row_share, (SELECT round(avg(CAST(is_val AS INT)), 8) FROM spl) AS site_share, 0 AS straddling FROM fm JOIN spl USING (CHROM, POS, REF, ALT)")
+_PROBED = "SELECT '{0}' AS design, round(sum(v) / sum(n), 8) AS row_share, round(avg(CAST(v = n AS INT)), 8) AS site_share, count(*) FILTER (v > 0 AND v < n) AS straddling FROM (SELECT count(*) AS n, count(*) FILTER (is_val) AS v FROM {1} GROUP BY CHROM, POS, REF, ALT)"
+
+
+@named(
+    f"""{_SITES}, rsp AS (WITH okeys AS (SELECT DISTINCT okey FROM fm), {_split_sql("okeys", [("okey", False)], 0.1, SALT)} SELECT * FROM spl)
+{_PROBED.format("site", "fm JOIN spl USING (CHROM, POS, REF, ALT)")} UNION ALL {_PROBED.format("row", "fm JOIN rsp USING (okey)")}"""
+)
 def split_probe(spark, sf_dir):
-    rows = hashing.content_split(featuremap(spark, sf_dir).select("CHROM", "POS", "REF", "ALT"), ["CHROM", "POS", "REF", "ALT"], 0.1, SALT)
-    site = rows.groupBy("CHROM", "POS", "REF", "ALT").agg(F.count("*").alias("n"), F.count_if("is_val").alias("v"))
-    return site.agg(F.round(F.sum("v") / F.sum("n"), 8).alias("row_share"), F.round(F.avg((F.col("v") == F.col("n")).cast("double")), 8).alias("site_share"), F.count_if((F.col("v") > 0) & (F.col("v") < F.col("n"))).alias("straddling"))
+    """A split by site leaves no site on both sides; one by another key does."""
+    fm = featuremap(spark, sf_dir).select("CHROM", "POS", "REF", "ALT", "okey")
+
+    def probe(keys: list[str], name: str):
+        site = hashing.content_split(fm, keys, 0.1, SALT).groupBy("CHROM", "POS", "REF", "ALT").agg(F.count("*").alias("n"), F.count_if("is_val").alias("v"))
+        return site.agg(F.lit(name).alias("design"), F.round(F.sum("v") / F.sum("n"), 8).alias("row_share"), F.round(F.avg((F.col("v") == F.col("n")).cast("double")), 8).alias("site_share"), F.count_if((F.col("v") > 0) & (F.col("v") < F.col("n"))).alias("straddling"))
+
+    return probe(["CHROM", "POS", "REF", "ALT"], "site").unionAll(probe(["okey"], "row"))
+
+
+_LARGE = "CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey + 9007199254740993 END"
+
+
+@named(f"WITH own AS (SELECT o_orderkey, {_LARGE} AS big FROM orders), " + _split_sql("own", [("big", False), ("o_orderkey", False)], 0.25, SALT) + " SELECT o_orderkey, is_val FROM spl")
+def split_null_keys(spark, sf_dir):
+    """Keys past 2 ** 53, some of them null."""
+    own = scan.table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_LARGE).alias("big"))
+    return hashing.content_split(own, ["big", "o_orderkey"], 0.25, SALT).select("o_orderkey", "is_val")
 
 
 _KEYS = ["o_orderkey"]
@@ -77,7 +101,7 @@ def exact_sample(spark, sf_dir):
 
 @named(f"WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY {_O}, o_orderkey) AS p FROM orders) SELECT o_orderkey, size FROM r, (SELECT unnest([50, 200, 800]) AS size) WHERE p <= size")
 def nested_sample(spark, sf_dir):
-    return sampling.nested_samples(scan.table(spark, sf_dir, "orders"), _KEYS, [50, 200, 800], 3)
+    return sampling.nested_samples(scan.table(spark, sf_dir, "orders"), _KEYS, [50, 200, 800], 3).drop("replicate")
 
 
 @named(f"WITH r AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY {_O}, o_orderkey) AS p FROM orders) SELECT o_orderkey, o_orderstatus FROM r WHERE p <= 40")
@@ -149,40 +173,90 @@ def core_distance(spark, sf_dir):
     return neighbours.core_distance(_knn(spark, sf_dir, 5, itself=True), 5)
 
 
-_HL = f"{_KNN.replace('place <= 10', 'place <= 40')}, {_knn_sql('low', '{}.embedding[1:16]', 40)}, c AS (SELECT count(*) AS n, count(*) FILTER (vec_id % 100 = 0) AS m FROM embeddings)"
+_ALL = f"WITH {_knn_sql('nn', '{}.embedding', 1000000)}, {_knn_sql('low', '{}.embedding[1:16]', 1000000)}, c AS (SELECT count(*) AS n, count(*) FILTER (vec_id % 100 = 0) AS m FROM embeddings)"
 
 
 def _penalty_sql(near: str, far: str) -> str:
-    return f"(SELECT sum(greatest(coalesce({far}.place - 1, c.n - 1) + 1 - 10, 0)) FROM c, {near} LEFT JOIN {far} ON {near}.q = {far}.q AND {near}.id = {far}.id WHERE {near}.place <= 10)"
+    return f"(SELECT sum(greatest({far}.place - 10, 0)) FROM {near} JOIN {far} ON {near}.q = {far}.q AND {near}.id = {far}.id WHERE {near}.place <= 10)"
 
 
-@named(f"{_HL} SELECT round(1 - 2 / (m * 10 * (2 * n - 31)) * {_penalty_sql('low', 'nn')}, 6) AS trustworthiness, round(1 - 2 / (m * 10 * (2 * n - 31)) * {_penalty_sql('nn', 'low')}, 6) AS continuity FROM c")
+@named(
+    f"""{_ALL}, q AS (SELECT k, count(*) FILTER (greatest(nn.place, low.place) <= k) / (any_value(m) * k) AS q, any_value(n) AS n FROM nn JOIN low USING (q, id), c, range(1, 11) t(k) GROUP BY k),
+r AS (SELECT max(q) FILTER (k = 10) AS q_nx, sum(((n - 1) * q - k) / (n - 1 - k) / k) / sum(1 / k) AS r_nx_auc FROM q)
+SELECT round(1 - 2 / (m * 10 * (2 * n - 31)) * {_penalty_sql('low', 'nn')}, 6) AS trustworthiness, round(1 - 2 / (m * 10 * (2 * n - 31)) * {_penalty_sql('nn', 'low')}, 6) AS continuity,
+  round(q_nx, 6) AS q_nx, round(r_nx_auc, 6) AS r_nx_auc FROM c, r"""
+)
 def coranking(spark, sf_dir):
-    n = scan.table(spark, sf_dir, "embeddings").count()
-    out = neighbours.coranking(_knn(spark, sf_dir, 40), _knn(spark, sf_dir, 40, dims=16), 10, n)
-    return out.select(F.round("trustworthiness", 6).alias("trustworthiness"), F.round("continuity", 6).alias("continuity"))
+    e = scan.table(spark, sf_dir, "embeddings")
+    short = e.withColumn("embedding", F.slice("embedding", 1, 16))
+    high, low = checkpointed(_knn(spark, sf_dir, 10)), checkpointed(_knn(spark, sf_dir, 10, dims=16))
+    out = neighbours.coranking(high, low, neighbours.ranks_among_all(low, e), neighbours.ranks_among_all(high, short), 10, e.count())
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
+@named(f"{_KNN}, s AS (SELECT q, avg(CAST(a.label = b.label AS INT)) AS same FROM nn JOIN embeddings a ON nn.id = a.vec_id JOIN embeddings b ON nn.q = b.vec_id GROUP BY q) SELECT round(avg(same), 6) AS mean, round(median(same), 6) AS median, round(avg(CAST(same >= 1 AS INT)), 6) AS pure, round(avg(CAST(same < 0.5 AS INT)), 6) AS under_half FROM s")
+def connectivity_summary(spark, sf_dir):
+    labels = scan.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    out = neighbours.connectivity_summary(neighbours.connectivity(_knn(spark, sf_dir, 10), labels))
+    return out.select(*[F.round(c, 6).alias(c) for c in ("mean", "median", "pure", "under_half")])
+
+
+@named(f"{_KNN} SELECT q, k, round(sum(embedding[1] / (distance + 1e-8)) / sum(1 / (distance + 1e-8)), 5) AS x FROM nn JOIN embeddings ON vec_id = id, (SELECT unnest([3, 5, 10]) AS k) WHERE place <= k GROUP BY q, k")
+def knn_interpolate_many(spark, sf_dir):
+    """Several numbers of neighbours from one search."""
+    near = checkpointed(_knn(spark, sf_dir, 10))
+    x = scan.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"))
+    each = [neighbours.interpolate(near.where(F.col("place") <= k), x, ["x"]).select("q", F.lit(k).alias("k"), F.round("x", 5).alias("x")) for k in (3, 5, 10)]
+    return each[0].unionAll(each[1]).unionAll(each[2])
 
 
-@named("SELECT i - 1 AS dim, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS mean, round(var_pop(CAST(embedding[i] AS DOUBLE)), 6) AS variance, var_pop(CAST(embedding[i] AS DOUBLE)) >= 0.01 AS active FROM embeddings, range(1, 17) t(i) GROUP BY i")
+@named("SELECT i - 1 AS dim, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS mean, round(var_pop(CAST(embedding[i] AS DOUBLE)), 6) AS variance, var_pop(CAST(embedding[i] AS DOUBLE)) >= 0.01 AS active FROM embeddings, range(1, 65) t(i) GROUP BY i")
 def latent_activation(spark, sf_dir):
-    a = latent.activation(scan.table(spark, sf_dir, "embeddings"), "embedding", 16)
+    a = latent.activation(scan.table(spark, sf_dir, "embeddings"), "embedding", WIDTH)
     return a.select(F.col("dim").cast("bigint").alias("dim"), F.round("mean", 6).alias("mean"), F.round("variance", 6).alias("variance"), "active")
 
 
-@named("SELECT label, count(*) AS size, " + ", ".join(f"round(avg(CAST(embedding[{i + 1}] AS DOUBLE)), 6) AS c{i}" for i in range(4)) + " FROM embeddings GROUP BY label")
+_LONG = "e AS (SELECT vec_id, label AS k, i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1, 65) t(i)), c AS (SELECT k, i, avg(x) AS c, var_pop(x) AS v, count(*) AS n FROM e GROUP BY k, i)"
+
+
+@named(f"WITH {_LONG} SELECT k AS label, n AS size, CAST(i - 1 AS INT) AS dim, round(c, 6) AS mean FROM c")
 def centroids(spark, sf_dir):
     e = scan.table(spark, sf_dir, "embeddings")
-    return e.groupBy("label").agg(F.count("*").alias("size"), *[F.round(F.avg(F.col("embedding")[i].cast("double")), 6).alias(f"c{i}") for i in range(4)])
+    means = e.groupBy("label").agg(F.count("*").alias("size"), F.array(*[F.avg(c) for c in latent.columns_of("embedding", WIDTH)]).alias("m"))
+    return means.select("label", "size", F.posexplode("m").alias("dim", "mean")).withColumn("mean", F.round("mean", 6))
 
 
-@named()
+_HALVES = """w AS (SELECT i, j, covar_pop(CAST(embedding[i] AS DOUBLE), CAST(embedding[j] AS DOUBLE)) * count(*) AS p, sum(CAST(embedding[i] AS DOUBLE) * embedding[j]) AS raw FROM embeddings, range(1, 65) a(i), range(1, 65) b(j) GROUP BY i, j),
+f AS (SELECT sum(p * p) FILTER (i <= 32 AND j > 32) AS ab, sum(p * p) FILTER (i <= 32 AND j <= 32) AS aa, sum(p * p) FILTER (i > 32 AND j > 32) AS bb, sum(p) FILTER (i = j AND i <= 32) AS trace,
+  sum(raw * raw) FILTER (i <= 32 AND j > 32) AS rab, sum(raw * raw) FILTER (i <= 32 AND j <= 32) AS raa, sum(raw * raw) FILTER (i > 32 AND j > 32) AS rbb FROM w)"""
+
+
+def _halves(spark, sf_dir) -> dict:
+    x = latent.columns_of("embedding", WIDTH)
+    return latent.cross_moments(scan.table(spark, sf_dir, "embeddings"), x[: WIDTH // 2], x[WIDTH // 2 :])
+
+
+@named(f"WITH {_HALVES} SELECT round(ab / sqrt(aa * bb), 6) AS linear_cka, round(1 - sqrt(greatest(raa + rbb - 2 * rab, 0)) / sqrt(raa * rbb), 6) AS gram_likeness, round(trace * trace / aa, 5) AS participation FROM f")
 def latent_likeness(spark, sf_dir):
-    """Likeness of the first and next eight dimensions: CKA, Gram likeness, both disparities, participation ratio."""
-    e = scan.table(spark, sf_dir, "embeddings")
-    x = latent.columns_of("embedding", 16)
-    m = latent.cross_moments(e, x[:8], x[8:])
-    row = (latent.linear_cka(m), latent.gram_likeness(m), latent.procrustes(m), latent.procrustes(m, squared=True), latent.participation_ratio(m))
-    return spark.createDataFrame([row], "linear_cka double, gram_likeness double, disparity double, disparity_squared double, participation double")
+    """Likeness of both halves of all vectors: CKA, Gram likeness, and the participation ratio of the first."""
+    m = _halves(spark, sf_dir)
+    row = (round(latent.linear_cka(m), 6), round(latent.gram_likeness(m), 6), round(latent.participation_ratio(m), 5))
+    return spark.createDataFrame([row], "linear_cka double, gram_likeness double, participation double")
+
+
+@named()
+def latent_disparity(spark, sf_dir):
+    """Procrustes disparities of both halves; singular values have no SQL."""
+    m = _halves(spark, sf_dir)
+    return spark.createDataFrame([(latent.procrustes(m), latent.procrustes(m, squared=True))], "disparity double, disparity_squared double")
+
+
+@named("SELECT CAST(i - 1 AS INT) AS i, CAST(j - 1 AS INT) AS j, round(covar_pop(CAST(embedding[i] AS DOUBLE), CAST(embedding[j] AS DOUBLE)), 6) AS covariance FROM embeddings, range(1, 65) a(i), range(1, 65) b(j) WHERE i <= j GROUP BY i, j")
+def latent_covariance(spark, sf_dir):
+    x = latent.columns_of("embedding", WIDTH)
+    m = latent.cross_moments(scan.table(spark, sf_dir, "embeddings"), x, [])
+    rows = [(i, j, round(float(m["aa"][i, j] / m["n"]), 6)) for i in range(WIDTH) for j in range(i, WIDTH)]
+    return spark.createDataFrame(rows, "i int, j int, covariance double")
 
 
 @named()
@@ -219,50 +293,49 @@ def grid_resume(spark, sf_dir):
     return grid.where("a * 100 <= 2000").join(done, ["a", "b"], "left_anti").select("a", F.col("b").cast("int").alias("b"))
 
 
-@named()
+_STOP = """WITH RECURSIVE d AS (SELECT event_type, datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS epoch, avg(value) AS loss FROM events GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY epoch) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM d),
+s AS (SELECT event_type, r, n, loss AS best, 0 AS stagnant, CAST(NULL AS BIGINT) AS stopped_at FROM o WHERE r = 1
+  UNION ALL SELECT o.event_type, o.r, o.n, CASE WHEN stopped_at IS NOT NULL THEN best ELSE least(best, loss) END,
+    CASE WHEN stopped_at IS NOT NULL THEN stagnant WHEN (best - loss) / greatest(abs(best), 1e-8) > 1e-3 THEN 0 ELSE stagnant + 1 END,
+    CASE WHEN stopped_at IS NOT NULL THEN stopped_at WHEN NOT (best - loss) / greatest(abs(best), 1e-8) > 1e-3 AND stagnant + 1 >= 3 THEN epoch END
+  FROM s JOIN o ON o.event_type = s.event_type AND o.r = s.r + 1)
+SELECT event_type, round(best, 9) AS best, stagnant, stopped_at FROM s WHERE r = n"""
+
+
+@named(_STOP)
 def early_stop_fold(spark, sf_dir):
     """Where training on each event type's daily mean value would stop."""
     daily = scan.table(spark, sf_dir, "events").groupBy("event_type", F.datediff(F.to_date("ts"), F.lit("2024-01-01")).cast("long").alias("epoch")).agg(F.avg("value").alias("loss"), F.lit(16).cast("long").alias("active"))
     ordered = daily.groupBy("event_type").agg(F.array_sort(F.collect_list(F.struct("epoch", "loss", "active"))).alias("epochs"))
-    return ordered.select("event_type", early_stop(F.col("epochs"), 1e-3, 3).alias("s")).select("event_type", "s.best", "s.stagnant", "s.stopped_at")
-
-
-def _dims(n: int, at: int = 0):
-    return [F.col("embedding")[at + i] for i in range(n)]
-
-
-_E4 = "e AS (SELECT label AS k, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(4)) + " FROM embeddings)"
-_C4 = "c AS (SELECT k, count(*) AS n, " + ", ".join(f"avg(x{i}) AS c{i}" for i in range(4)) + " FROM e GROUP BY k)"
-
-
-def _gap(a: str, b: str) -> str:
-    return "sqrt(" + " + ".join(f"({a.format(i)} - {b.format(i)}) * ({a.format(i)} - {b.format(i)})" for i in range(4)) + ")"
+    return ordered.select("event_type", early_stop(F.col("epochs"), 1e-3, 3).alias("s")).select("event_type", F.round("s.best", 9).alias("best"), "s.stagnant", "s.stopped_at")
 
 
 @named(
-    f"""WITH {_E4}, {_C4}, s AS (SELECT k, avg({_gap('x{0}', 'c{0}')}) AS s FROM e JOIN c USING (k) GROUP BY k), cs AS (SELECT * FROM c JOIN s USING (k))
-SELECT round(avg(r), 6) AS davies_bouldin FROM (SELECT max((a.s + b.s) / {_gap('a.c{0}', 'b.c{0}')}) AS r FROM cs a JOIN cs b ON a.k <> b.k GROUP BY a.k)"""
+    f"""WITH {_LONG}, d AS (SELECT vec_id, e.k, sqrt(sum((x - c) * (x - c))) AS d FROM e JOIN c USING (k, i) GROUP BY ALL), s AS (SELECT k, avg(d) AS s FROM d GROUP BY k),
+p AS (SELECT a.k AS a, b.k AS b, sqrt(sum((a.c - b.c) * (a.c - b.c))) AS d FROM c a JOIN c b ON a.i = b.i AND a.k <> b.k GROUP BY ALL)
+SELECT round(avg(r), 6) AS davies_bouldin FROM (SELECT max((x.s + y.s) / d) AS r FROM p JOIN s x ON x.k = a JOIN s y ON y.k = b GROUP BY a)"""
 )
 def davies_bouldin(spark, sf_dir):
-    return quality.davies_bouldin(scan.table(spark, sf_dir, "embeddings"), "label", _dims(4)).select(F.round("davies_bouldin", 6).alias("davies_bouldin"))
+    return quality.davies_bouldin(scan.table(spark, sf_dir, "embeddings"), "label", latent.columns_of("embedding", WIDTH)).select(F.round("davies_bouldin", 6).alias("davies_bouldin"))
 
 
 @named(
-    f"""WITH {_E4}, {_C4}, t AS (SELECT {", ".join(f"avg(x{i}) AS m{i}" for i in range(4))}, count(*) AS n, count(DISTINCT k) AS g FROM e),
-w AS (SELECT sum(power({_gap('x{0}', 'c{0}')}, 2)) AS within FROM e JOIN c USING (k)), b AS (SELECT sum(c.n * power({_gap('c{0}', 'm{0}')}, 2)) AS between_ FROM c, t)
-SELECT round(between_ * (n - g) / (within * (g - 1)), 4) AS calinski_harabasz FROM w, b, t"""
+    f"""WITH {_LONG}, g AS (SELECT i, avg(x) AS m FROM e GROUP BY i), b AS (SELECT sum(n * (c - m) * (c - m)) AS between_, sum(n * v) AS within FROM c JOIN g USING (i)), t AS (SELECT count(*) AS n, count(DISTINCT label) AS g FROM embeddings)
+SELECT round(between_ * (n - g) / (within * (g - 1)), 4) AS calinski_harabasz FROM b, t"""
 )
 def calinski_harabasz(spark, sf_dir):
-    return quality.calinski_harabasz(scan.table(spark, sf_dir, "embeddings"), "label", _dims(4)).select(F.round("calinski_harabasz", 4).alias("calinski_harabasz"))
+    return quality.calinski_harabasz(scan.table(spark, sf_dir, "embeddings"), "label", latent.columns_of("embedding", WIDTH)).select(F.round("calinski_harabasz", 4).alias("calinski_harabasz"))
 
 
 @named(
-    f"""WITH p AS (SELECT {", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS a{i}, CAST(embedding[{i + 5}] AS DOUBLE) AS b{i}" for i in range(4))} FROM embeddings),
-u AS (SELECT sqrt(({" + ".join(f"var_pop(a{i})" for i in range(4))}) / 4) AS u FROM p), d AS (SELECT {_gap('a{0}', 'b{0}')} / u AS d FROM p, u)
+    """WITH e AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS a, CAST(embedding[i + 32] AS DOUBLE) AS b FROM embeddings, range(1, 33) t(i)),
+u AS (SELECT sqrt(avg(v)) AS u FROM (SELECT var_pop(a) AS v FROM e GROUP BY i)), d AS (SELECT sqrt(sum((a - b) * (a - b))) / any_value(u) AS d FROM e, u GROUP BY vec_id)
 SELECT round(avg(d), 5) AS mean, round(median(d), 5) AS median, round(quantile_cont(d, 0.95), 5) AS p95 FROM d"""
 )
 def embedding_error(spark, sf_dir):
-    out = quality.embedding_error(scan.table(spark, sf_dir, "embeddings"), _dims(4), _dims(4, 4))
+    x = latent.columns_of("embedding", WIDTH)
+    out = quality.embedding_error(scan.table(spark, sf_dir, "embeddings"), x[: WIDTH // 2], x[WIDTH // 2 :])
     return out.select(*[F.round(c, 5).alias(c) for c in out.columns])
 
 

@@ -3,13 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the session's checkpoint folder; only where none is set, as in tests, a temporary one is made."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lociworks-"))
+    """df written to the session's checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset a local session, as in tests, makes one; on a cluster that is an error."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        given = sc.getConf().get("spark.checkpoint.dir")
+        if not given and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="lociworks-"))
+    return sc.getCheckpointDir()
+
+
+def own_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else has."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

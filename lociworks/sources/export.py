@@ -4,12 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .scan import union_by_name
 
@@ -31,11 +28,13 @@ def vcf_header(date: str, source: str, reference: str | None = None) -> list[str
     return [*out, '##FILTER=<ID=PASS,Description="All filters passed">', "#" + "\t".join(["CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO"])]
 
 
-@F.pandas_udf(T.StringType())
-def six_digits(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Numbers with six significant digits, as %.6g writes them. Spark's own format has no such form."""
-    for x in parts:
-        yield x.map(lambda v: None if pd.isna(v) else "%.6g" % v).astype(object)
+def six_digits(x: Column) -> Column:
+    """Numbers with six significant digits, as %.6g writes them: Java's form of it, less the zeros at the end. NaN is null.
+
+    Halves of the sixth digit are rounded up.
+    """
+    zeros = F.regexp_replace(F.format_string("%.6g", x), r"(\.\d*?)0+(?=e|$)", "$1")
+    return F.when(x.isNotNull() & ~F.isnan(x), F.regexp_replace(zeros, r"\.(?=e|$)", ""))
 
 
 def vcf_lines(df: DataFrame) -> DataFrame:
@@ -45,9 +44,26 @@ def vcf_lines(df: DataFrame) -> DataFrame:
     number = lambda name: six_digits(pick(name, "double"))
     part = lambda tag, value: F.when(value.isNotNull(), F.concat(F.lit(f"{tag}="), value))
     filt = pick("FILT", "int")
-    info = F.concat_ws(";", part("CLUSTER", pick("cluster_label", "string")), part("CLPROB", number("cluster_probability")), part("UMAP1", number("umap_1")), part("UMAP2", number("umap_2")), part("SRC_FILT", filt.cast("string")))
+    info = F.concat_ws(
+        ";",
+        part("CLUSTER", pick("cluster_label", "string")),
+        part("CLPROB", number("cluster_probability")),
+        part("UMAP1", number("umap_1")),
+        part("UMAP2", number("umap_2")),
+        part("SRC_FILT", filt.cast("string")),
+    )
     passed = F.when(filt.isNull() | (filt == 1), "PASS").otherwise(".")
-    line = F.concat_ws("\t", pick("CHROM", "string"), pick("POS", "string"), F.lit("."), pick("REF", "string"), pick("ALT", "string"), F.coalesce(number("QUAL"), F.lit(".")), passed, F.when(info == "", ".").otherwise(info))
+    line = F.concat_ws(
+        "\t",
+        pick("CHROM", "string"),
+        pick("POS", "string"),
+        F.lit("."),
+        pick("REF", "string"),
+        pick("ALT", "string"),
+        F.coalesce(number("QUAL"), F.lit(".")),
+        passed,
+        F.when(info == "", ".").otherwise(info),
+    )
     return df.select("CHROM", "POS", "REF", "ALT", line.alias("line"))
 
 
@@ -100,3 +116,8 @@ def fingerprint_status(record: dict | None, path: str) -> str:
 def percent(text: Column) -> Column:
     """"12.3%" as a number; null if it isn't one."""
     return F.regexp_replace(F.trim(text), "%$", "").try_cast("double")
+
+
+def write_manifest(rows: DataFrame, path: str, columns: list[str]) -> None:
+    """A CSV manifest with a fixed list of columns; others are left out."""
+    rows.select(*columns).write.mode("overwrite").option("header", True).csv(path)

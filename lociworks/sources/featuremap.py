@@ -23,8 +23,9 @@ SELECT l_returnflag AS sample, concat('chr', CAST(1 + l_suppkey % 5 AS {text}))
 FROM """
 
 
-def featuremap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_select("string") + "{lineitem}", lineitem=table(spark, sf_dir, "lineitem"))
+def featuremap(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
+    """The feature map over the table of a folder, or over the given rows, which may be a stream."""
+    return spark.sql(_select("string") + "{lineitem}", lineitem=table(spark, sf_dir, "lineitem") if lineitem is None else lineitem)
 
 
 #: The same as a common table expression for DuckDB.

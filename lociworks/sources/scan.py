@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import glob
 import os
+import re
 from collections.abc import Iterable
 from functools import reduce
 
@@ -69,3 +70,22 @@ def view_name(sample: Column) -> Column:
     """A sample's name as SQL allows it for a view."""
     plain = F.regexp_replace(F.regexp_replace(sample, r"\.featuremap$", ""), "[^0-9A-Za-z_]", "_")
     return F.when(plain.rlike("^[0-9]"), F.concat(F.lit("s_"), plain)).otherwise(plain)
+
+
+def multi_file(spark: SparkSession, paths: list[str], name: str = "sample") -> DataFrame:
+    """Several files in one scan, columns by name, with the sample that each row's file names."""
+    return spark.read.option("mergeSchema", True).parquet(*paths).withColumn(name, sample_id(F.col("_metadata.file_path")))
+
+
+def read_tsv(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.csv(path, sep="\t", header=True, inferSchema=True)
+
+
+def create_views(parts: dict[str, DataFrame]) -> dict[str, str]:
+    """A temporary view of each sample, under a name that SQL allows; the names by sample."""
+    out = {}
+    for sample, df in parts.items():
+        plain = re.sub("[^0-9A-Za-z_]", "_", sample.removesuffix(".featuremap"))
+        out[sample] = f"s_{plain}" if plain[:1].isdigit() else plain
+        df.createOrReplaceTempView(out[sample])
+    return out

@@ -23,7 +23,12 @@ def early_stop(epochs: Column, min_delta: float, patience: int) -> Column:
     An epoch improves if its gain is over min_delta of the best loss; one that doesn't is stagnant if as many units
     are active as before. Stopped after patience stagnant epochs.
     """
-    start = F.struct(F.lit(None).cast("double").alias("best"), F.lit(None).cast("long").alias("active"), F.lit(0).alias("stagnant"), F.lit(None).cast("long").alias("stopped_at"))
+    start = F.struct(
+        F.lit(None).cast("double").alias("best"),
+        F.lit(None).cast("long").alias("active"),
+        F.lit(0).alias("stagnant"),
+        F.lit(None).cast("long").alias("stopped_at"),
+    )
 
     def step(s: Column, e: Column) -> Column:
         first = s["best"].isNull()
