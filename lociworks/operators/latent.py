@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,23 +23,28 @@ def activation(df: DataFrame, vector: str, width: int, least: float = 1e-2) -> D
 
 
 def cross_moments(df: DataFrame, a: list[Column], b: list[Column]) -> dict[str, np.ndarray | float]:
-    """n, means and cross products, centred and as they are, of two sets of columns, in one pass; d * d numbers reach the driver.
+    """n and cross products, centred and as they are, of two sets of columns, over rows without nulls; d * d numbers reach the driver.
 
-    Covariances are added up as Spark does, about running means, so large means take no digits away.
+    A first pass takes means, a second one adds up products of what is left, so large means take no digits away.
     """
-    both = [*a, *b]
-    pairs = [(i, j) for i in range(len(both)) for j in range(i, len(both))]
-    row = df.agg(
-        F.count("*").alias("n"),
-        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(both)],
-        *[F.covar_pop(both[i], both[j]).alias(f"p{i}_{j}") for i, j in pairs],
-    ).first()
-    n, mean = row["n"], np.array([row[f"m{i}"] or 0.0 for i in range(len(both))])
+    both, k = [*a, *b], len(a)
+    own = df.select(F.array(*[c.cast("double") for c in both]).alias("v")).where(~F.exists("v", lambda x: x.isNull()))
+    row = own.agg(F.count("*").alias("n"), F.array(*[F.avg(F.col("v")[i]) for i in range(len(both))]).alias("mean")).first()
+    n, mean = row["n"], np.array([x or 0.0 for x in row["mean"]])
+    sent = df.sparkSession.sparkContext.broadcast(mean)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(sent.value), len(sent.value)))
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1) - sent.value
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["i", "p"])
+
+    sums = own.mapInArrow(run, "i int, p array<double>").select("i", F.posexplode("p").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x"))
     centred = np.zeros((len(both), len(both)))
-    for i, j in pairs:
-        centred[i, j] = centred[j, i] = n * (row[f"p{i}_{j}"] or 0.0)
+    for i, j, x in sums.collect():
+        centred[i, j] = x
     raw = centred + n * np.outer(mean, mean)
-    k = len(a)
     return {"n": n, "aa": centred[:k, :k], "bb": centred[k:, k:], "ab": centred[:k, k:], "raw_aa": raw[:k, :k], "raw_bb": raw[k:, k:], "raw_ab": raw[:k, k:]}
 
 
