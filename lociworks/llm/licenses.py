@@ -128,12 +128,10 @@ def meetings(docs: DataFrame, templates: DataFrame) -> DataFrame:
     """
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
     header = F.array(F.struct(F.lit(_HEADER).alias("pos"), F.lit(0).cast("long").alias("h")))
-    each = own.select(
-        "row",
-        "doc_id",
-        "w",
-        F.explode(F.concat(header, F.transform(grams(F.col("w")), lambda h, i: F.struct(i.alias("pos"), h.alias("h"))))).alias("g"),
-    )
+    placed = F.transform(grams(F.col("w")), lambda h, i: F.struct(i.alias("pos"), h.alias("h")))
+    # the array is a column of its own, so that cutting it up and the join are one piece of generated code and words aren't
+    # copied; it is never empty, and "outer" keeps the planner from working it out once more to see that
+    each = own.select("row", "doc_id", "w", F.concat(header, placed).alias("all")).select("row", "doc_id", "w", F.explode_outer("all").alias("g"))
     known = templates.select("template", F.posexplode(grams(F.col("tw"))).alias("at", "h"))
     known = known.unionAll(docs.sparkSession.range(1).select(F.lit(_HEADER).alias("template"), F.lit(_HEADER).alias("at"), F.lit(0).cast("long").alias("h")))
     met = each.select("row", "doc_id", "w", "g.pos", "g.h").join(F.broadcast(known), "h").where((F.col("pos") == _HEADER) == (F.col("template") == _HEADER))
