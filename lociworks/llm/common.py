@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,12 +73,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def text_slices(
+    batches: Iterable[pa.RecordBatch],
+    limit: int = SLICE_BYTES,
+    text: Callable[[pa.RecordBatch], pa.Array] = lambda batch: batch.column("text"),
+) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that each holds about ``limit`` bytes of text or one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        column = batch.column(batch.schema.get_field_index(text))
+        column = text(batch)
         if column.nbytes <= limit:
             yield batch
             continue

@@ -47,8 +47,8 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
 #: Fewest words of a kept text; largest percentage of words in repeated windows.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
-#: Distinct words that a worker remembers before it starts afresh.
-REMEMBER = 400_000
+#: Distinct words that a worker remembers before it starts afresh, and bytes of text that it measures at a time.
+REMEMBER, SLICE = 120_000, 2 << 20
 
 
 @dataclass(frozen=True)
@@ -211,22 +211,32 @@ _MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_
 _KINDS = [pa.int64()] * 5 + [pa.bool_(), pa.string(), pa.int64()] + [pa.float64()] * 3
 
 
-def measured(docs: DataFrame, kept: list[Column], vocabulary: str | None = None) -> DataFrame:
-    """The columns kept, lang, and the counts and measures of every document row, written down."""
+def measured(docs: DataFrame, kept: Column, vocabulary: str | None = None) -> DataFrame:
+    """A kept column, lang, and the counts and measures of every document row, written down.
+
+    If the kept column is a whole row its text is taken from there, so that a text travels once.
+    """
     sent = _send(docs.sparkSession, vocabulary)
+    lang = docs["lang"].cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    own = docs.select(lang.alias("lang"), kept)
+    name = own.columns[1]
+    whole = name == "row"
+    if not whole:
+        own = docs.select(lang.alias("lang"), kept, docs["text"].cast("string").alias("text"))
+
+    def text_of(batch: pa.RecordBatch) -> pa.Array:
+        return batch.column(name).field("text").cast(pa.string()) if whole else batch.column("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fertility = _ready(sent)
-        for batch in text_slices(batches):
-            texts, out = batch.column(batch.schema.get_field_index("text")).to_pylist(), []
+        for batch in text_slices(batches, SLICE, text_of):
+            texts, out = text_of(batch).to_pylist(), []
             for text, (n, chars, symbols, dup, rep, tokens, n_bytes, entropy) in zip(texts, fertility.rows(texts)):
                 failed = n < MIN_WORDS or 100 * rep > MAX_REPEAT_PERCENT * n
                 out.append((n, chars, symbols, dup, rep, failed, script_of(text or ""), tokens, chars / max(1, tokens), n_bytes / max(1, tokens), entropy))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(c, k) for c, k in zip(zip(*out), _KINDS))], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, k) for c, k in zip(zip(*out), _KINDS))], names)
 
-    lang = docs["lang"].cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    own = docs.select(docs["text"].cast("string").alias("text"), lang.alias("lang"), *kept)
-    schema = StructType(own.schema.fields[1:] + StructType.fromDDL(_MEASURES).fields)
+    schema = StructType(own.schema.fields[:2] + StructType.fromDDL(_MEASURES).fields)
     names = schema.names
     return written(own.mapInArrow(run, schema))
 
@@ -274,7 +284,7 @@ def judged(found: DataFrame) -> DataFrame:
 
 def measure(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Counts, fertility measures and verdict of every document."""
-    found = judged(measured(docs, [docs["doc_id"].cast("long").alias("doc_id")], vocabulary))
+    found = judged(measured(docs, docs["doc_id"].cast("long").alias("doc_id"), vocabulary))
     return found.select(
         "doc_id",
         "n_words",
@@ -294,7 +304,7 @@ def measure(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 def keep(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """The rows whose texts pass the rules, with all their columns; no row is shuffled."""
     row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
-    kept = judged(measured(docs, [row], vocabulary)).where("kept")
+    kept = judged(measured(docs, row, vocabulary)).where("kept")
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 

@@ -48,10 +48,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, checkpointed, table, text_slices
+from .common import ASCII_LOWER, checkpointed, table, text_slices, written
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SHINGLE, LIMIT, RING, SEED = 4, 4, 8, 42
+#: Bytes of text that a task cuts at a time.
+SLICE = 2 << 20
 #: Fingerprints of one key that are compared in one task.
 BLOCK = 1024
 _SEGMENT = 64 // RING
@@ -100,7 +102,7 @@ def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
     """(doc_id, fp, more): fp is the fingerprint as a signed 64-bit integer, more are further columns of integers."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, SLICE):
             fps = np.array([fingerprint(t or "") for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], ["doc_id", "fp", *more])
 
@@ -272,13 +274,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     components nor keep more than one row of any.
     """
     columns = docs.columns
-    boxed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"),
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("text").cast("string").alias("text"),
-    )
-    keyed = checkpointed(boxed.withColumn("key", F.monotonically_increasing_id()))
-    own = keyed.withColumn("digest", F.xxhash64(F.col("row").cast("string")))
+    keyed = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.monotonically_increasing_id().alias("key")))
+    own = keyed.select("row.doc_id", "row.text", F.xxhash64(F.col("row").cast("string")).alias("digest"), "key")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest", "key")).alias("first")
     # exact copies meet by fingerprint first, in part before the shuffle
     each = fingerprints(own, "digest", "key").groupBy("fp").agg(first)
