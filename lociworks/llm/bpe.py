@@ -34,8 +34,8 @@ from .common import table, text_slices, vocabulary_bytes
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes up to which a pre-token is merged by scanning.
 SHORT = 128
-#: Distinct words, and pre-tokens, in each of the two generations that a worker remembers.
-REMEMBER = 250_000
+#: Distinct words, and pre-tokens, in each of the two generations that a worker remembers; bytes of text that it encodes at a time.
+REMEMBER, SLICE = 100_000, 2 << 20
 #: White space other than the blank, after which words may not be cut apart.
 _SPACES = [*map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))]
 
@@ -193,7 +193,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _ready(sent)
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, SLICE):
             raw = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
             counts = np.array([len(r) // 4 for r in raw], dtype=np.int64)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
@@ -228,7 +228,7 @@ def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _ready(sent)
         sha = hashlib.sha256
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, SLICE):
             raw = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
