@@ -68,7 +68,10 @@ def index(docs: DataFrame, known: DataFrame) -> DataFrame:
     own = docs.select(F.monotonically_increasing_id().alias("row"), *row_key(F.col("doc_id"), F.col("text").cast("string")), words(F.col("text")).alias("w"))
     header = F.array(F.struct(F.lit("").alias("term"), F.size("w").alias("pos")))  # no word is empty
     placed = F.transform("w", lambda w, i: F.struct(w.alias("term"), i.alias("pos")))
-    each = own.select("row", "doc_id", "text_key", F.explode(F.concat(header, placed)).alias("p")).select("row", "p.term", "p.pos", "doc_id", "text_key")
+    # the array is a column of its own, so that cutting it up and the join are one piece of generated code; it is never
+    # empty, and "outer" keeps the planner from working it out once more to see that
+    each = own.select("row", "doc_id", "text_key", F.concat(header, placed).alias("all"))
+    each = each.select("row", "doc_id", "text_key", F.explode_outer("all").alias("p")).select("row", "p.term", "p.pos", "doc_id", "text_key")
     sides = known.select("term", "tid").unionAll(docs.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(HEADER).cast("long").alias("tid")))
     met = each.join(F.broadcast(sides) if known.count() <= BROADCAST_ROWS else sides, "term")
     return written(met.select("row", "tid", "pos", *[F.when(F.col("tid") == HEADER, F.col(c)).alias(c) for c in ("doc_id", "text_key")]))
