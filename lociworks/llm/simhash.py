@@ -192,7 +192,9 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidate_links(distinct: DataFrame) -> DataFrame:
     """(a, b): for distinct fingerprints, links that join all that LIMIT or fewer differing bits join."""
-    keyed = distinct.select("fp", F.explode(keys(F.col("fp"))).alias("key"))
+    # each fingerprint becomes many rows, so a few small partitions of them are dealt out first
+    dealt = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    keyed = dealt.select("fp", F.explode(keys(F.col("fp"))).alias("key"))
     # fingerprints of a key in blocks: a block's share is set by the hash of the fingerprint and the size of the key
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = keyed.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
