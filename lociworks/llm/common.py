@@ -17,6 +17,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,7 +88,7 @@ def text_slices(
             yield batch
             continue
         start, size = 0, 0
-        lengths = pa.compute.binary_length(column).fill_null(0).to_pylist()
+        lengths = pc.binary_length(column).fill_null(0).to_pylist()
         for i, n in enumerate(lengths):
             if i > start and size + n > limit:
                 yield batch.slice(start, i - start)

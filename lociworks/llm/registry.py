@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontamination, licenses, lm, quality_model, quality_rules, secrets, simhash, toxicity
+from . import bpe, chat, decontamination, licenses, lm, quality_model, quality_rules, repair, resampling, secrets, sharding, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": quality_model.op8_quality,
         "op9_simhash": simhash.op9_simhash,
         "op10_chat_format": chat.op10_chat_format,
+        "op11_sharding": sharding.op11_sharding,
+        "op12_conversation_repair": repair.op12_conversation_repair,
+        "op13_resampling": resampling.op13_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontamination.OP2_SQL, "op10_chat_format": chat.OP10_SQL}
+    return {
+        "op2_decontamination": decontamination.OP2_SQL,
+        "op10_chat_format": chat.OP10_SQL,
+        "op12_conversation_repair": repair.OP12_SQL,
+        "op13_resampling": resampling.OP13_SQL,
+    }
