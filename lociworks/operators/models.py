@@ -48,77 +48,6 @@ def apply_layers(df: DataFrame, layers: Layers, key: str, vector: str, out: str
     return df.select(df[key].alias("key"), df[vector].alias("v")).mapInArrow(run, f"key {kind}, {out} array<float>").withColumnRenamed("key", key)
 
 
-@dataclass
-class Clusterer:
-    """What predicting needs: fit points, their lambdas and leaf clusters, and the condensed tree from cluster to parent."""
-
-    points: np.ndarray
-    point_lambda: np.ndarray
-    point_cluster: np.ndarray
-    parent: dict[int, int]
-    birth: dict[int, float]
-    label: dict[int, int]
-    max_lambda: dict[int, float]
-    min_samples: int
-    root: int
-
-    core: np.ndarray | None = None
-
-    def __post_init__(self) -> None:
-        """Core distances come with the model, or are worked out once, in blocks; the tree becomes arrays."""
-        ms = min(self.min_samples, len(self.points) - 1)
-        if self.core is None:
-            self.core = np.concatenate([np.partition(_apart(self.points[a : a + 512], self.points), ms, axis=1)[:, ms] for a in range(0, len(self.points), 512)])
-        size = max([self.root, *self.parent, *self.parent.values(), *self.label, *self.max_lambda, int(self.point_cluster.max(initial=0))]) + 1
-        table = lambda given, default: np.array([given.get(i, default) for i in range(size)])
-        self._parent, self._birth, self._label, self._top = table(self.parent, self.root), table(self.birth, 0.0), table(self.label, -1), table(self.max_lambda, 0.0)
-
-    def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Labels, -1 for noise, and probabilities of query points."""
-        k = min(2 * self.min_samples, len(self.points))
-        labels, probabilities = np.full(len(x), -1, dtype=np.int32), np.zeros(len(x), dtype=np.float32)
-        for a in range(0, len(x), 512):
-            d = _apart(x[a : a + 512], self.points)
-            near = np.argpartition(d, k - 1, axis=1)[:, :k]
-            order = np.lexsort((near, np.take_along_axis(d, near, 1)), axis=1)
-            near = np.take_along_axis(near, order, 1)
-            dist = np.take_along_axis(d, near, 1)
-            reach = np.maximum(np.maximum(self.core[near], dist), dist[:, [min(self.min_samples, k - 1)]])
-            best = reach.argmin(1)
-            rows = np.arange(len(d))
-            point, least = near[rows, best], reach[rows, best]
-            lam = np.where(least > 0, 1 / np.maximum(least, np.finfo(float).tiny), np.finfo(float).max)
-            c = self.point_cluster[point].astype(np.int64)
-            climbing = self.point_lambda[point] > lam
-            while (up := climbing & (c != self.root) & (self._birth[c] >= lam)).any():
-                c[up] = self._parent[c[up]]
-            found, top = self._label[c], self._top[c]
-            labels[a : a + 512] = found
-            share = np.where(top > 0, np.minimum(top, lam) / np.where(top > 0, top, 1.0), 1.0)
-            probabilities[a : a + 512] = np.where(found >= 0, share, 0.0)
-        return labels, probabilities
-
-
-def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
-
-
-def predict_clusters(df: DataFrame, clusterer: Clusterer, key: str, vector: str) -> DataFrame:
-    """(key, cluster_label, cluster_probability) of each row."""
-    sent = df.sparkSession.sparkContext.broadcast(clusterer)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            label, probability = sent.value.predict(np.array(batch.column(1).to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(label), pa.array(probability)], ["key", "cluster_label", "cluster_probability"])
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(df[key].alias("key"), df[vector].alias("v")).mapInArrow(
-        run,
-        f"key {kind}, cluster_label int, cluster_probability float",
-    ).withColumnRenamed("key", key)
-
-
 def signature_fit(spectra: DataFrame, key: str, counts: str, signatures: np.ndarray, steps: int = 500) -> DataFrame:
     """(key, activities, cosine): non-negative least squares of each spectrum on given signatures, by multiplicative steps."""
     sent = spectra.sparkSession.sparkContext.broadcast(signatures)

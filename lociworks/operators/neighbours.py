@@ -7,10 +7,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.checkpoint import checkpointed
+from . import balls
 from .ranks import placed, quantiles
 
 #: Query vectors that are sent to the tasks at once.
@@ -58,26 +59,10 @@ def _distances(v: np.ndarray, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarra
 def knn_join(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", itself: bool = False) -> DataFrame:
     """(q, id, distance, place): the k nearest rows of each query by Euclidean distance, place from 1.
 
-    A query's own row is left out by its id, unless itself is true. Each task keeps k rows for each query, so what
-    is shuffled is bounded by tasks, queries and k; query blocks bound what is broadcast.
+    A query's own row is left out by its id, unless itself is true. Through the index of balls: exact, and a query
+    meets only the cells that can hold one of its neighbours.
     """
-
-    def search(batches: Iterable[pa.RecordBatch], q: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
-        best_d, best_i = np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
-        for batch in batches:
-            for other, d in _distances(v, batch):
-                i = np.broadcast_to(other, d.shape)
-                if not itself:
-                    d = np.where(i == q[:, None], np.inf, d)
-                d, i = np.concatenate([best_d, d], axis=1), np.concatenate([best_i, i], axis=1)
-                order = np.lexsort((i, d), axis=1)[:, :k]
-                best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-        ok = np.isfinite(best_d)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, k)[ok.ravel()]), pa.array(best_i[ok]), pa.array(best_d[ok])], ["q", "id", "distance"])
-
-    found = _blocks(_as_vectors(queries, id_col, vector, "q"), _as_vectors(rows, id_col, vector, "id"), [], search, "q long, id long, distance double")
-    place = F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))
-    return found.withColumn("place", place).where(F.col("place") <= k)
+    return balls.nearest(balls.as_vectors(queries, id_col, vector, "q"), balls.build(rows, id_col, vector), k, itself)
 
 
 def ranks_among_all(pairs: DataFrame, rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:

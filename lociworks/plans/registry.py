@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import files, relational, reports, vectors  # noqa: F401  they register their queries
+from . import clusters, files, relational, reports, vectors  # noqa: F401  they register their queries
 from .named import QUERIES, SQL
 
 

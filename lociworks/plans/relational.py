@@ -166,7 +166,10 @@ def sbs96_matrix_long(spark, sf_dir):
 _LONG = f"{_SPEC}, lng AS (SELECT k.cluster_label, c.channel, coalesce(n, 0) AS n FROM (SELECT DISTINCT cluster_label FROM spec) k CROSS JOIN (SELECT unnest([{_CHANNELS}]) AS channel) c LEFT JOIN spec USING (cluster_label, channel))"
 
 
-@named(f"{_LONG} FROM (PIVOT (SELECT channel, 'cluster_' || cluster_label AS label, n FROM lng) ON label USING CAST(sum(n) AS BIGINT) GROUP BY channel)")
+_WIDE = ", ".join(f"CAST(sum(n) FILTER (cluster_label = {k}) AS BIGINT) AS cluster_{k}" for k in range(12))
+
+
+@named(f"{_LONG} SELECT channel, {_WIDE} FROM lng GROUP BY channel")
 def sbs96_matrix_pivot(spark, sf_dir):
     return spectra.matrix_wide(spectra.matrix_long(checkpointed(spectrum_of(spark, sf_dir))))
 

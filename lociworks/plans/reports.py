@@ -302,29 +302,6 @@ def embed_table(spark, sf_dir):
     return numbered.select("row_index", "vec_id", "label", *[F.round(F.col("latent")[j].cast("double"), 4).alias(f"latent_{j}") for j in range(4)])
 
 
-_FIT = "vec_id % 5 = 0"
-
-
-@named(
-    f"""WITH f AS (SELECT vec_id AS id, label % 2 AS k, embedding[1:8] AS v FROM embeddings WHERE {_FIT}), q AS (SELECT vec_id AS q, embedding[1:8] AS v FROM embeddings),
-ff AS (SELECT a.id, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda x: (CAST(x[1] AS DOUBLE) - x[2]) * (CAST(x[1] AS DOUBLE) - x[2])))) AS d FROM f a JOIN f b ON true),
-core AS (SELECT id, d AS core FROM (SELECT id, d, row_number() OVER (PARTITION BY id ORDER BY d) AS r FROM ff) WHERE r = 5),
-n AS (SELECT q, id, d, row_number() OVER (PARTITION BY q ORDER BY d, id) AS r FROM (SELECT q.q, f.id, sqrt(list_sum(list_transform(list_zip(q.v, f.v), lambda x: (CAST(x[1] AS DOUBLE) - x[2]) * (CAST(x[1] AS DOUBLE) - x[2])))) AS d FROM q JOIN f ON true)),
-m AS (SELECT q, arg_min(id, (greatest(core, n.d, own.d), n.r)) AS id, min(greatest(core, n.d, own.d)) AS reach FROM n JOIN core USING (id) JOIN (SELECT q, d FROM n WHERE r = 5) own USING (q) WHERE n.r <= 8 GROUP BY q)
-SELECT q AS vec_id, CASE WHEN 1 / reach <= 0.4 THEN -1 ELSE k END AS cluster_label, CASE WHEN 1 / reach <= 0.4 THEN 0 ELSE round(least(2.0, 1 / reach) / 2.0, 4) END AS cluster_probability FROM m JOIN f USING (id)"""
-)
-def predict_clusters(spark, sf_dir):
-    """Labels by a given clustering of a fifth of the rows: two clusters born at 0.4, all of whose points leave late."""
-    e = _table(spark, sf_dir, "embeddings").withColumn("embedding", F.slice("embedding", 1, 8).cast("array<double>"))
-    fit = e.where(_FIT).orderBy("vec_id").select("label", "embedding").toArrow()  # the model, as large as it was fitted
-    points = np.array(fit.column("embedding").to_pylist())
-    parity = fit.column("label").to_numpy() % 2
-    n = len(points)
-    clusterer = models.Clusterer(points, np.full(n, 1e6), 1 + parity, {1: 0, 2: 0}, {0: 0.0, 1: 0.4, 2: 0.4}, {1: 0, 2: 1}, {1: 2.0, 2: 2.0}, 4, 0)
-    out = models.predict_clusters(e, clusterer, "vec_id", "embedding")
-    return out.withColumn("cluster_probability", F.round(F.col("cluster_probability").cast("double"), 4))
-
-
 @named(
     """WITH r AS (SELECT o_orderpriority AS cell, o_orderkey % 3 AS replicate, o_custkey AS k, min(o_orderstatus) AS label FROM orders GROUP BY 1, 2, 3), p AS (SELECT a.cell, a.replicate AS x, b.replicate AS y, avg(CAST(a.label = b.label AS INT)) AS s FROM r a JOIN r b ON a.cell = b.cell AND a.k = b.k AND a.replicate < b.replicate GROUP BY 1, 2, 3)
 SELECT cell, count(*) AS pairs, round(avg(s), 8) AS same FROM p GROUP BY 1"""

@@ -101,16 +101,6 @@ def test_layers_equal_numpy(spark):
         assert np.allclose(got[i], layers(x[i : i + 1])[0], rtol=1e-5)
 
 
-def test_far_points_are_noise(spark):
-    rng = np.random.default_rng(4)
-    points = np.concatenate([rng.normal(0, 0.3, (40, 2)), rng.normal(6, 0.3, (40, 2))])
-    c = models.Clusterer(points, np.full(80, 3.0), np.repeat([101, 102], 40), {101: 100, 102: 100}, {100: 0.0, 101: 0.25, 102: 0.25}, {101: 0, 102: 1}, {101: 3.0, 102: 3.0}, 5, 100)
-    df = spark.createDataFrame([(0, [0.0, 0.0]), (1, [6.0, 6.0]), (2, [500.0, 500.0])], "k long, v array<double>")
-    got = {r.k: (r.cluster_label, r.cluster_probability) for r in models.predict_clusters(df, c, "k", "v").collect()}
-    assert got[0][0] == 0 and got[1][0] == 1 and got[2] == (-1, 0.0)
-    assert got[0][1] > 0.5
-
-
 def test_signatures_are_recovered(spark):
     s = np.random.default_rng(5).dirichlet(np.ones(20), 3).T
     x = s @ np.array([100.0, 0.0, 50.0])
