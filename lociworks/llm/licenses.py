@@ -2,11 +2,14 @@
 
 The hashes of all rolling K-word grams of the texts are joined to the places
 that templates have them at. Each meeting votes for a diagonal, the document's
-position less the template's. Diagonals that lie within ``DRIFT`` of their
-neighbour and of its place in the text are merged, which bridges words that
-were put in or left out. A merged span is verified word by word: a word of the
-template counts if the text has the same word where one of the span's diagonals
-puts it. Enough of the template and of the span must count.
+position less the template's. A template's meetings in a text are parted where
+their places pause for more than ``GAP`` words, then where their diagonals leap
+by more than ``DRIFT``, and both once more, since one parting can open the other. What
+stays together is a span: that bridges words that were put in or left out, and
+a stray gram on a far diagonal parts nothing. A span is verified word by
+word: a word of the template counts if the text has the same word where one of
+the span's diagonals puts it. Enough of the template and of the span must count.
+Of spans that overlap the one with more such words stays.
 
 Besides, places where the words of three fixed phrases stand consecutively are
 counted.
@@ -149,26 +152,27 @@ def meetings(docs: DataFrame, templates: DataFrame) -> DataFrame:
     )
 
 
+def _parted(df: DataFrame, keys: list[str], value: str, pause: int) -> tuple[DataFrame, list[str]]:
+    """df with one more key: a number that grows where the value, in order, leaps by more than a pause."""
+    name, own = f"part{len(keys)}", Window.partitionBy(*keys)
+    leaps = F.coalesce(F.col(value) - F.lag(value).over(own.orderBy(value)) > pause, F.lit(False))
+    marked = df.withColumn("_leap", leaps.cast("int"))
+    return marked.withColumn(name, F.sum("_leap").over(own.orderBy(value))).drop("_leap"), [*keys, name]
+
+
 def spans(met: DataFrame, templates: DataFrame) -> DataFrame:
-    """(row, label, first_word, last_word, coverage): verified spans, ends included, of meetings."""
+    """(row, label, first_word, last_word, coverage, same): verified spans, ends included, of meetings."""
     keys = ["row", "template"]
-    runs = met.withColumn("diagonal", F.col("pos") - F.col("at")).groupBy(*keys, "diagonal").agg(
-        F.min("pos").alias("lo"),
-        F.max("pos").alias("hi"),
-        F.collect_list(F.transform("near", lambda w, i: F.struct((i + F.col("first")).alias("at"), w.alias("word")))).alias("near"),
-    )
-    # a new span begins where the text goes on far behind the furthest place so far, or the diagonal jumps
-    by = Window.partitionBy(*keys).orderBy("lo", "diagonal")
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    fresh = (F.col("lo") - F.max("hi").over(before) > GAP) | (F.abs(F.col("diagonal") - F.lag("diagonal").over(by)) > DRIFT)
-    numbered = runs.withColumn("fresh", F.coalesce(fresh, F.lit(True)).cast("int")).withColumn("span", F.sum("fresh").over(by))
-    merged = numbered.groupBy(*keys, "span").agg(
-        F.min("lo").alias("first_word"),
-        (F.max("hi") + K - 1).alias("last_word"),
+    parts = met.withColumn("diagonal", F.col("pos") - F.col("at"))
+    for value, pause in (("pos", GAP), ("diagonal", DRIFT)) * 2:  # all by row and template, so they share one shuffle
+        parts, keys = _parted(parts, keys, value, pause)
+    merged = parts.groupBy(*keys).agg(
+        F.min("pos").alias("first_word"),
+        (F.max("pos") + K - 1).alias("last_word"),
         F.collect_set("diagonal").alias("diagonals"),
-        F.collect_list("near").alias("near"),
+        F.collect_list(F.transform("near", lambda w, i: F.struct((i + F.col("first")).alias("at"), w.alias("word")))).alias("near"),
     )
-    there = F.map_from_entries(F.array_distinct(F.flatten(F.flatten("near"))))
+    there = F.map_from_entries(F.array_distinct(F.flatten("near")))
     told = merged.withColumn("there", there).join(F.broadcast(templates), "template")
     inside = lambda i: (i >= F.col("first_word")) & (i <= F.col("last_word"))
     same = F.filter(F.transform("tw", lambda t, j: F.exists("diagonals", lambda d: inside(j + d) & (F.try_element_at("there", j + d) == t))), lambda x: x)
@@ -176,13 +180,17 @@ def spans(met: DataFrame, templates: DataFrame) -> DataFrame:
         "density",
         F.col("same") / (F.col("last_word") - F.col("first_word") + 1),
     )
-    return shares.where((F.col("coverage") >= COVERAGE) & (F.col("density") >= DENSITY)).select("row", "label", "first_word", "last_word", "coverage")
+    return shares.where((F.col("coverage") >= COVERAGE) & (F.col("density") >= DENSITY)).select("row", "label", "first_word", "last_word", "coverage", "same")
 
 
 def best_spans(found: DataFrame) -> DataFrame:
-    """(row, found_spans): each document row's spans, less those that overlap one of a greater coverage."""
-    all_spans = F.array_sort(F.collect_list(F.struct("first_word", "last_word", "label", "coverage")))
-    beaten = lambda s: F.exists("all", lambda t: (t["coverage"] > s["coverage"]) & (t["first_word"] <= s["last_word"]) & (s["first_word"] <= t["last_word"]))
+    """(row, found_spans): each document row's spans, less those that overlap one with more words that are the same or, of as many, a greater coverage."""
+    all_spans = F.array_sort(F.collect_list(F.struct("first_word", "last_word", "label", "coverage", "same")))
+
+    def beaten(s: Column) -> Column:
+        more = lambda t: (t["same"] > s["same"]) | ((t["same"] == s["same"]) & (t["coverage"] > s["coverage"]))
+        return F.exists("all", lambda t: more(t) & (t["first_word"] <= s["last_word"]) & (s["first_word"] <= t["last_word"]))
+
     return found.groupBy("row").agg(all_spans.alias("all")).select("row", F.filter("all", lambda s: ~beaten(s)).alias("found_spans"))
 
 
