@@ -9,9 +9,11 @@ leave a band:
 * a wide one of the text's main script, which is fixed: how far the vocabulary
   spells that script in bytes bounds the share of bytes, and texts of symbols
   have a strict band;
-* a narrower one fitted to the table: for each language within a script, or for
-  the script where fewer than MIN_FIT different texts have the language, the
-  quartiles of a measure less or more LOW or HIGH times what lies between them.
+* a narrower one fitted to the table, for each script and each language within
+  it: the quartiles of a measure less or more LOW or HIGH times what lies
+  between them. The ends for n different texts weigh n against the PRIOR
+  of the wider ends, the script's for a language and the fixed ones for a
+  script, so few texts move a band little and no number of them switches it.
 
 Quartiles come from histograms of all texts that pass the plain counts, each
 different set of measures counted once, so exact copies have no weight.
@@ -92,8 +94,8 @@ BANDS = {
 #: Fitted bands: how many times the distance of the quartiles lies below and above them, and what that distance is at least,
 #: as a share of their mean or, for the share of bytes, as it is.
 LOW, HIGH, LEAST_SPREAD, LEAST_BYTES = 2.0, 3.0, 0.03, 0.02
-#: Different texts that a language or script must have for a band of its own.
-MIN_FIT = 200
+#: How many texts the wider ends of a band count as when it is fitted.
+PRIOR = 20
 #: Width of a bin of the histograms.
 STEPS = {"chars_per_token": 0.01, "byte_share": 0.001, "token_entropy": 0.01}
 #: Languages and scripts up to which their bands are broadcast.
@@ -241,6 +243,20 @@ def measured(docs: DataFrame, kept: Column, vocabulary: str | None = None) -> Da
     return written(own.mapInArrow(run, schema))
 
 
+def fixed_bands(spark: SparkSession) -> DataFrame:
+    """(script, <measure>_lo, <measure>_hi) of BANDS."""
+    ends = lambda b: ((b.min_chars_per_token, b.max_chars_per_token), (0.0, b.max_byte_share), (b.min_entropy, b.max_entropy))
+    rows = [F.struct(F.lit(k).alias("script"), *[F.lit(x).alias(f"{m}_{e}") for m, own in zip(STEPS, ends(b)) for e, x in zip(("lo", "hi"), own)]) for k, b in BANDS.items()]
+    return spark.range(1).select(F.explode(F.array(*rows)).alias("b")).select("b.*")
+
+
+def _towards(own: DataFrame, wider: DataFrame) -> DataFrame:
+    """own with its ends drawn to those of its script in wider, which count as PRIOR texts."""
+    ends = [f"{m}_{e}" for m in STEPS for e in ("lo", "hi")]
+    met = own.join(F.broadcast(wider.select("script", *[F.col(c).alias(f"_{c}") for c in ends])), "script")  # scripts are few
+    return met.select("script", "lang", *[((F.col("n") * F.col(c) + PRIOR * F.col(f"_{c}")) / (F.col("n") + PRIOR)).alias(c) for c in ends])
+
+
 def fitted_bands(found: DataFrame) -> DataFrame:
     """(script, lang, <measure>_lo, <measure>_hi): fitted bands of languages and, with a null lang, of scripts."""
     kinds = found.where("NOT base_failed").select("script", "lang", "n_words", "n_tokens", *STEPS).distinct()
@@ -249,15 +265,17 @@ def fitted_bands(found: DataFrame) -> DataFrame:
     bins = each.select("script", "lang", F.explode("v").alias("x")).groupBy("script", "lang", "x.measure", "x.bin").agg(F.count("*").alias("n"))
     own = Window.partitionBy("script", "lang", "measure")
     up = own.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = bins.withColumn("upto", F.sum("n").over(up)).withColumn("total", F.sum("n").over(own)).where(F.col("total") >= MIN_FIT)
+    ranked = bins.withColumn("upto", F.sum("n").over(up)).withColumn("total", F.sum("n").over(own))
     quarter = lambda m, q: (F.min(F.when((F.col("measure") == m) & (F.col("upto") >= q * F.col("total")), F.col("bin"))) + 0.5) * STEPS[m]
-    at = ranked.groupBy("script", "lang").agg(*[quarter(m, q).alias(f"{m}_{k}") for m in STEPS for k, q in (("lo", 0.25), ("hi", 0.75))])
+    at = ranked.groupBy("script", "lang").agg(F.max("total").alias("n"), *[quarter(m, q).alias(f"{m}_{k}") for m in STEPS for k, q in (("lo", 0.25), ("hi", 0.75))])
     out = []
     for m in STEPS:
         lo, hi = F.col(f"{m}_lo"), F.col(f"{m}_hi")
         spread = F.greatest(hi - lo, F.lit(LEAST_BYTES) if m == "byte_share" else LEAST_SPREAD * (lo + hi) / 2)
         out += [(lo - LOW * spread).alias(f"{m}_lo"), (hi + HIGH * spread).alias(f"{m}_hi")]
-    return at.select("script", "lang", *out)
+    raw = checkpointed(at.select("script", "lang", "n", *out))
+    scripts = checkpointed(_towards(raw.where("lang IS NULL"), fixed_bands(found.sparkSession)))
+    return scripts.unionByName(_towards(raw.where("lang IS NOT NULL"), scripts))
 
 
 def judged(found: DataFrame) -> DataFrame:

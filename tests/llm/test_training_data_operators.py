@@ -182,15 +182,18 @@ def slow_verdicts(rows: list[tuple[str | None, str | None]]) -> list[bool]:
         measures = (sum(map(len, w)) / n, sum(map(sp.is_byte, ids)) / n, entropy)
         got.append((len(w) < 50 or 100 * len(hit) > 50 * len(w), quality_rules.script_of(t or ""), lang, (len(w), len(ids)), measures))
     steps, bands = list(quality_rules.STEPS.values()), {}
-    for group in {(s, x) for _, s, lang, _, _ in got for x in (lang, None)}:
+    for group in sorted({(s, x) for _, s, lang, _, _ in got for x in (lang, None)}, key=lambda g: (g[1] is not None, str(g))):
+        fixed = quality_rules.BANDS[group[0]]
+        wider = bands.get((group[0], None)) if group[1] else [(fixed.min_chars_per_token, fixed.max_chars_per_token), (0, fixed.max_byte_share), (fixed.min_entropy, fixed.max_entropy)]
         kinds = {(n, tuple(round(float(x), 9) for x in m)) for bad, s, lang, n, m in got if not bad and s == group[0] and group[1] in (None, lang)}
-        if len(kinds) >= quality_rules.MIN_FIT:
+        if kinds:
             bands[group] = []
             for k, step in enumerate(steps):
                 at = sorted(int(m[k] / step) for _, m in kinds)
                 lo, hi = ((at[int(np.ceil(q * len(at))) - 1] + 0.5) * step for q in (0.25, 0.75))
                 spread = max(hi - lo, quality_rules.LEAST_BYTES if k == 1 else quality_rules.LEAST_SPREAD * (lo + hi) / 2)
-                bands[group].append((lo - quality_rules.LOW * spread, hi + quality_rules.HIGH * spread))
+                ends = (lo - quality_rules.LOW * spread, hi + quality_rules.HIGH * spread)
+                bands[group].append(tuple((len(kinds) * x + quality_rules.PRIOR * y) / (len(kinds) + quality_rules.PRIOR) for x, y in zip(ends, wider[k])))
     out = []
     for bad, script, lang, _, (c, b, e) in got:
         fixed = quality_rules.BANDS[script]
@@ -201,7 +204,7 @@ def slow_verdicts(rows: list[tuple[str | None, str | None]]) -> list[bool]:
 
 
 def test_verdicts_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(quality_rules, "MIN_FIT", 20)
+    monkeypatch.setattr(quality_rules, "PRIOR", 5)
     rng = np.random.default_rng(6)
     lexicon = {"en": "the committee will review proposal next week publish decision members read before annual meeting harbour lantern".split(), "de": "der ausschuss wird den vorschlag prüfen und seine entscheidung vor jahrestagung veröffentlichen laterne".split()}
     ranges = {"han": (0x4E00, 0x9FFF), "hangul": (0xAC00, 0xD7A3), "arabic": (0x600, 0x6FF), "emoji": (0x1F300, 0x1F600), "any": (0x250, 0xD7FF)}
