@@ -1,16 +1,19 @@
 """Secret scans (operator 6). DataFrame functions only.
 
-Three fixed patterns find assignments, access keys and long hex runs. Two
-character Markov models, one of random strings and one of ordinary identifiers,
-add the runs of token characters that the former explains better: the sum over
-adjacent characters of the log-likelihood ratio must pass a threshold for each
-character, over the run or over a segment of it, so that words glued to a secret
-don't hide it. Such a run is a span as a whole, also where a pattern found a part.
+Three fixed patterns find assignments, access keys and long hex runs. Character
+Markov models add the runs of token characters that a model of random strings
+explains better than ordinary ones do, of which there are two, one of
+identifiers and one of id forms. Against each of them the sum over adjacent characters of the
+log-likelihood ratio must pass a threshold for each character, over the run or
+over a segment of it, so that words glued to a secret don't hide it. Such a run
+is a span as a whole, also where a pattern found a part.
 
 The models are trained from labelled samples: random strings are digests of
-numbers up to TRAIN_RANDOM, written in four alphabets; ordinary ones are words of a bounded sample
-of the given documents and identifiers joined from neighbouring words. What
-comes to the driver is one matrix of a fixed size.
+numbers up to TRAIN_RANDOM, written in four alphabets. Identifiers are paths,
+names in camel, snake and kebab case, with numbers and without, of common words
+and of the words of well-known licences, and those of a bounded sample of
+the given documents; both weigh alike. Id forms are UUIDs, bases of DNA, dates, numbered parts
+and versions. What comes to the driver are matrices of a fixed size.
 
 Positions are code points, ends are exclusive. Null and empty texts have no
 spans. Repeated rows give repeated results; no row meets another, so nothing
@@ -22,11 +25,13 @@ ignored by scan() and kept by redact().
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .licenses import TEMPLATES
 
 #: The fixed patterns, in the order in which spans that start together are listed.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -39,10 +44,22 @@ RUN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{RUN_LEAST},}}+"
 KINDS = ("assign", "access", "hex", "random")
 #: Characters that the models know; any other counts as one more.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-#: Documents whose words train the model of ordinary identifiers, and random strings in each alphabet.
-TRAIN_DOCUMENTS, TRAIN_RANDOM = 1000, 2000
-#: A run or a segment of it is random if its log-likelihood ratio is above this for each character.
-THRESHOLD = 0.8
+#: Documents whose words train the model of identifiers, random strings in each alphabet, and identifiers and id forms that are made.
+TRAIN_DOCUMENTS, TRAIN_RANDOM, TRAIN_MADE = 1000, 2000, 12_000
+#: Pairs of characters that each sample of identifiers counts as, so that neither drowns the other.
+PAIRS = 200_000
+#: A run or a segment of it is random if its log-likelihood ratio is above this for each character, against identifiers and against id forms.
+THRESHOLDS = (0.6, 0.3)
+
+#: Common words of identifiers (fixed values).
+COMMON = (
+    "abstract access account action address admin agent api app archive array async attribute audit author backup base batch bean beta binary block boolean branch buffer "
+    "build bundle button cache callback cell channel check child class clean client clone cloud cluster code column command common component config connect console "
+    "container content context control cookie copy core count create cursor data database date debug default delete deploy device dialog directory document domain "
+    "download driver dynamic edge editor element email engine entity error event example exception execute export expression factory feature field file filter final "
+    "flag folder format frame function gateway generator global graph group handle hash header height helper history home hook host html icon image import index inner "
+    "input instance interface internal item iterator java job json kernel key label layer layout library limit line linux list listener local lock login machine main"
+).split()
 
 #: Matches of a text that are placed one after the other.
 BLOCK = 256
@@ -128,6 +145,46 @@ def random_strings(spark: SparkSession, first: int = 0, count: int = TRAIN_RANDO
     return rows
 
 
+def _picked(words: list[str], seed: int) -> Column:
+    """A word of the list for each id."""
+    return F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(len(words))) + 1).cast("int"))
+
+
+def common_identifiers(spark: SparkSession, count: int = TRAIN_MADE) -> DataFrame:
+    """The sample labelled identifiers, as programs and file systems have them."""
+    english = sorted({w.lower() for _, text in TEMPLATES for w in re.findall("[A-Za-z]{2,}", text)})
+    a, b, c = (F.when(F.col("id") % 3 == 0, _picked(english, k)).otherwise(_picked(COMMON, k)) for k in range(3))
+    n = _picked(["", "", "2", "3", "8", "64"], 3)
+    forms = [
+        F.concat(F.initcap(a), F.initcap(b), F.initcap(c), n),
+        F.concat_ws("_", a, F.concat(b, n), c),
+        F.concat_ws("/", a, b, c),
+        F.concat(F.upper(a), F.lit("-"), F.upper(b), n, F.lit("_"), F.upper(c)),
+        F.concat(a, F.initcap(b), n),
+        F.concat(F.concat_ws("-", a, b, c), n),
+    ]
+    return spark.range(count).select(F.element_at(F.array(*forms), (F.floor(F.col("id") / 3) % len(forms) + 1).cast("int")).alias("word"))
+
+
+def id_forms(spark: SparkSession, count: int = TRAIN_MADE) -> DataFrame:
+    """The sample labelled id forms: ordinary strings of letters and digits that aren't made of words alone."""
+    h = F.sha2(F.concat(F.lit("id"), F.col("id").cast("string")), 256)
+    number = lambda at, below: (F.conv(F.substring(h, at, 7), 16, 10).cast("long") % below).cast("int")
+    date = [2000 + number(1, 30), 1 + number(9, 12), 1 + number(17, 28)]
+    a, b = _picked(COMMON, 4), _picked(COMMON, 5)
+    forms = [
+        F.concat_ws("-", *[F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]),
+        F.translate(F.substring(h, 1, 40), "0123456789abcdef", "ACGTACGTACGTACGT"),
+        F.format_string("%04d%02d%02d_%06d", *date, number(25, 10**6)),
+        F.format_string("%04d-%02d-%02d/%d", *date, number(25, 10**7)),
+        F.format_string("%s_%04d%02d%02d_%06d_%s", F.upper(a), *date, number(25, 10**6), F.upper(b)),
+        F.format_string("%s-%04d-%02d-%02d-%d", a, *date, number(25, 1000)),
+        F.format_string("%s/%s_%05d-of-%05d", a, b, number(25, 10**5), number(33, 10**5)),
+        F.format_string("%s_%d-%d-%d_%s", a, number(25, 100), number(33, 10), number(41, 10), b),
+    ]
+    return spark.range(count).select(F.element_at(F.array(*forms), (F.col("id") % len(forms) + 1).cast("int")).alias("word"))
+
+
 def ordinary_strings(docs: DataFrame) -> DataFrame:
     """The sample labelled ordinary: words of at most TRAIN_DOCUMENTS documents, and identifiers of neighbouring words."""
     chosen = docs.select(F.col("doc_id").cast("long").alias("chosen")).where("chosen is not null").distinct().orderBy(F.xxhash64("chosen"), "chosen").limit(TRAIN_DOCUMENTS)
@@ -146,23 +203,41 @@ def ordinary_strings(docs: DataFrame) -> DataFrame:
     return near.select(F.explode(joined).alias("x")).select(identifier.alias("word"))
 
 
-def train(docs: DataFrame) -> list[float]:
-    """The log-likelihood ratios of adjacent characters, random against ordinary, row by row."""
-    size = len(ALPHABET) + 1
-    counted = _pairs(random_strings(docs.sparkSession)).withColumn("random", F.lit(1)).unionAll(_pairs(ordinary_strings(docs)).withColumn("random", F.lit(0)))
-    n = [[[0.5] * size for _ in range(size)] for _ in range(2)]
-    for a, b, count, kind in counted.collect():  # at most 2 * size * size rows
-        n[kind][a][b] += count
-    return [math.log(n[1][a][b] / sum(n[1][a])) - math.log(n[0][a][b] / sum(n[0][a])) for a in range(size) for b in range(size)]
+def train(docs: DataFrame) -> list[list[float]]:
+    """The log-likelihood ratios of adjacent characters, row by row: of random strings against identifiers, and against id forms."""
+    size, spark = len(ALPHABET) + 1, docs.sparkSession
+    samples = [random_strings(spark), common_identifiers(spark), ordinary_strings(docs), id_forms(spark)]
+    counted = None
+    for kind, words in enumerate(samples):
+        own = _pairs(words).withColumn("kind", F.lit(kind))
+        counted = own if counted is None else counted.unionAll(own)
+    found = [[0.0] * size * size for _ in samples]
+    for a, b, count, kind in counted.collect():  # at most 4 * size * size rows
+        found[kind][a * size + b] += count
+    alike = [[n * PAIRS / (sum(own) or 1) for n in own] for own in found[1:3]]
+    identifiers = [x + y for x, y in zip(*alike)]
+
+    def logs(own: list[float]) -> list[float]:
+        rows = [[n + 0.5 for n in own[a * size : (a + 1) * size]] for a in range(size)]
+        return [math.log(n / sum(row)) for row in rows for n in row]
+
+    random, against = logs(found[0]), [logs(identifiers), logs(found[3])]
+    return [[r - o for r, o in zip(random, own)] for own in against]
+
+
+def random_like(word: Column, model: list[list[float]]) -> Column:
+    """Whether the random model explains a string better than either ordinary one."""
+    identifiers, ids = (_better(word, ratios, least) for ratios, least in zip(model, THRESHOLDS))
+    return identifiers & ids
 
 
-def random_like(word: Column, model: list[float]) -> Column:
-    """Whether the random model explains a string, or a best-scoring segment of it, better by THRESHOLD a character.
+def _better(word: Column, given: list[float], threshold: float) -> Column:
+    """Whether the random model explains a string, or a best-scoring segment of it, better than another by a threshold a character.
 
     A segment counts if it is as long as a run must be. Next to ordinary words numbers say nothing: within segments
     the ratio of two characters of which neither is a letter counts as 0.
     """
-    size, ratios = len(ALPHABET) + 1, F.lit(model)
+    size, ratios = len(ALPHABET) + 1, F.lit(given)
     places = F.transform(F.split(word, ""), _place)
     zero = F.lit(0.0)
     start = F.struct(
@@ -179,7 +254,7 @@ def random_like(word: Column, model: list[float]) -> Column:
     def ratio(s: Column, b: Column) -> Column:
         r = F.when(s["before"] < 0, 0.0).otherwise(F.get(ratios, s["before"] * size + b))
         own = F.when(letter(s["before"]) | letter(b), r).otherwise(0.0)
-        return F.struct(s.alias("s"), b.alias("b"), r.alias("r"), (s["gain"] + own - THRESHOLD).alias("gain"))
+        return F.struct(s.alias("s"), b.alias("b"), r.alias("r"), (s["gain"] + own - threshold).alias("gain"))
 
     def add(x: Column) -> Column:
         s, gain, length = x["s"], x["gain"], x["s"]["length"] + 1
@@ -195,16 +270,16 @@ def random_like(word: Column, model: list[float]) -> Column:
         )
 
     step = lambda s, b: F.element_at(F.transform(F.array(ratio(s, b)), add), 1)
-    return F.aggregate(places, start, step, lambda s: (s["sum"] > THRESHOLD * F.char_length(word)) | s["found"])
+    return F.aggregate(places, start, step, lambda s: (s["sum"] > threshold * F.char_length(word)) | s["found"])
 
 
-def random_spans(text: Column, model: list[float]) -> Column:
+def random_spans(text: Column, model: list[list[float]]) -> Column:
     """Whole runs that the models take for random, or a segment of them. Runs of digits alone are numbers, not secrets."""
     judged = lambda m: ~m.rlike("^[0-9+/_=-]+$") & random_like(m, model)
     return _spans(text, RUN, 3, judged)
 
 
-def with_spans(docs: DataFrame, model: list[float], text: Column) -> DataFrame:
+def with_spans(docs: DataFrame, model: list[list[float]], text: Column) -> DataFrame:
     """docs with columns base_found and all_found: spans of the fixed patterns, and all. Random spans within one of the former are left out."""
     base = docs.withColumn("base_found", base_spans(text))
     more = F.filter(random_spans(text, model), lambda r: ~F.exists("base_found", lambda b: (b["start"] <= r["start"]) & (r["end"] <= b["end"])))
@@ -217,7 +292,7 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kind(s), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
+def scan(docs: DataFrame, model: list[list[float]] | None = None) -> DataFrame:
     """(doc_id, base_found, all_found) of every document."""
     model = train(docs) if model is None else model
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -244,7 +319,7 @@ def redacted(text: Column, spans: Column, instead: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(whole)
 
 
-def redact(docs: DataFrame, model: list[float] | None = None, instead: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, model: list[list[float]] | None = None, instead: str = "[SECRET]") -> DataFrame:
     """docs with every secret in text replaced; n_chars, if there, follows. Null texts stay null."""
     model = train(docs) if model is None else model
     columns = docs.columns
