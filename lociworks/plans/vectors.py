@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions import hashing
-from ..operators import latent, models, neighbours, quality, sampling
+from ..functions import encode, hashing
+from ..operators import latent, models, neighbours, quality, sampling, spectra
 from ..sources import export, scan
-from ..sources.checkpoint import checkpointed
+from ..sources.checkpoint import checkpointed, own_path
 from ..sources.featuremap import FM_SQL, featuremap
 from ..streaming.spectrum_stream import early_stop
 from .named import named
+from .relational import _LONG as _MATRIX
+from .relational import labelled, spectrum_of
 
 _W = f"WITH {FM_SQL}"
 #: Dimensions of the given vectors.
@@ -259,22 +260,97 @@ def latent_covariance(spark, sf_dir):
     return spark.createDataFrame(rows, "i int, j int, covariance double")
 
 
-@named()
+#: Categories of the encoder and their codes, numbers with mean and deviation, and the widths of what comes after.
+_CATEGORIES = [
+    encode.FeatureSpec("REF", "c", {"": 0, "A": 1, "C": 2, "G": 3, "T": 4}),
+    encode.FeatureSpec("ALT", "c", {"": 0, "A": 1, "C": 2, "G": 3, "T": 4}),
+    encode.FeatureSpec("st", "c", {"": 0, "MIXED": 1}),
+]
+_NUMBERS = {"MAPQ": (0.04, 0.025), "SNVQ": (38_000.0, 23_000.0), "QUAL": (25.0, 14.0)}
+_EACH, _HIDDEN, _LATENT = 2, 4, 2
+
+
+def _encoder_parts() -> list[tuple[str, str, int, int]]:
+    """(part, name, rows, columns) of all that the encoder has, in the order in which its numbers are taken from a table."""
+    wide = _EACH * len(_CATEGORIES) + len(_NUMBERS)
+    parts = [("table", c.name, len(c.codes), _EACH) for c in _CATEGORIES]
+    return [*parts, ("weight", "0", wide, _HIDDEN), ("bias", "0", 1, _HIDDEN), ("weight", "1", _HIDDEN, _LATENT), ("bias", "1", 1, _LATENT)]
+
+
+def _stored_weights(spark, sf_dir):
+    """Weights in a stored table; their numbers are prices of parts, which stand for trained ones."""
+    cells = [(part, name, i, j) for part, name, n, m in _encoder_parts() for i in range(n) for j in range(m)]
+    place = spark.createDataFrame([(k, *c) for k, c in enumerate(cells)], "k long, part string, name string, i int, j int")
+    prices = scan.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), (F.col("p_retailprice") * F.lit(7.3) % 2 - 1).alias("w"))
+    path = own_path(spark, "encoder")
+    place.join(prices, "k").drop("k").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _encoder_sql() -> str:
+    begin, at = {}, 0
+    for part, name, n, m in _encoder_parts():
+        begin[part, name], at = at, at + n * m
+    cell = lambda part, name, m, i, j: f"w[{begin[part, name] + 1} + ({i}) * {m} + {j}]"
+    code = lambda c: f"CASE {c.name} " + " ".join(f"WHEN '{v}' THEN {k}" for v, k in c.codes.items()) + " ELSE 0 END"
+    number = lambda c, mean, std: f"CASE WHEN {c} IS NULL THEN 0 ELSE CAST((CAST({c} AS FLOAT) - CAST({mean} AS FLOAT)) / CAST({std} AS FLOAT) AS DOUBLE) END"
+    x = [cell("table", c.name, _EACH, code(c), d) for c in _CATEGORIES for d in range(_EACH)] + [number(c, *ms) for c, ms in _NUMBERS.items()]
+    layer = lambda name, names, m, j: " + ".join([cell("bias", name, m, 0, j), *(f"{v} * {cell('weight', name, m, i, j)}" for i, v in enumerate(names))])
+    xs, hs = [f"x{i}" for i in range(len(x))], [f"h{j}" for j in range(_HIDDEN)]
+    return f"""{_W}, p AS (SELECT list(p_retailprice * CAST(7.3 AS DOUBLE) % 2 - 1 ORDER BY p_partkey) AS w FROM part),
+x AS (SELECT okey, DP, w, {", ".join(f"{v} AS {n}" for v, n in zip(x, xs))} FROM fm, p),
+h AS (SELECT okey, DP, w, {", ".join(f"greatest({layer('0', xs, _HIDDEN, j)}, 0) AS h{j}" for j in range(_HIDDEN))} FROM x)
+SELECT okey, DP, {", ".join(f"round({layer('1', hs, _LATENT, j)}, 5) AS latent_{j}" for j in range(_LATENT))} FROM h"""
+
+
+@named(_encoder_sql())
 def encode_latent(spark, sf_dir):
-    """A fixed network of three layers applied to all embeddings."""
-    return models.apply_layers(scan.table(spark, sf_dir, "embeddings"), models.Layers.fixed([64, 32, 32, 2], 1), "vec_id", "embedding")
+    """Latent columns of all observations: categories and masked numbers through an encoder that is read from a stored table."""
+    made = models.encode_mixed(featuremap(spark, sf_dir), ["okey", "DP"], _CATEGORIES, _NUMBERS, _stored_weights(spark, sf_dir))
+    return made.select("okey", "DP", *[F.round(F.col("latent")[j], 5).alias(f"latent_{j}") for j in range(_LATENT)])
 
 
-@named()
+#: Rows whose shares of channels are the signatures.
+_SIGNATURES = {"s1": "DP % 4 IN (0, 1)", "s2": "DP % 4 IN (1, 2)", "s3": "okey % 2 = 0"}
+
+
+def _subsets_sql() -> str:
+    """Of the solutions over each subset of three signatures, by Cramer's rule, those without negative activities."""
+    g = lambda i, j: f"g{min(i, j)}{max(i, j)}"
+    det3 = lambda m: f"({m[0][0]} * ({m[1][1]} * {m[2][2]} - {m[1][2]} * {m[2][1]}) - {m[0][1]} * ({m[1][0]} * {m[2][2]} - {m[1][2]} * {m[2][0]}) + {m[0][2]} * ({m[1][0]} * {m[2][1]} - {m[1][1]} * {m[2][0]}))"
+    out = ["0, 0, 0"]
+    for i in (1, 2, 3):
+        out.append(", ".join(f"t{i} / {g(i, i)}" if k == i else "0" for k in (1, 2, 3)))
+    for i, j in ((1, 2), (1, 3), (2, 3)):
+        det = f"({g(i, i)} * {g(j, j)} - {g(i, j)} * {g(i, j)})"
+        own = {i: f"(t{i} * {g(j, j)} - t{j} * {g(i, j)}) / {det}", j: f"(t{j} * {g(i, i)} - t{i} * {g(i, j)}) / {det}"}
+        out.append(", ".join(own.get(k, "0") for k in (1, 2, 3)))
+    whole = [[g(i, j) for j in (1, 2, 3)] for i in (1, 2, 3)]
+    out.append(", ".join(f"{det3([[f't{i + 1}' if j == k else whole[i][j] for j in range(3)] for i in range(3)])} / {det3(whole)}" for k in range(3)))
+    return " UNION ALL ".join(f"SELECT cluster_label, n, t1, t2, t3, {', '.join(f'{x} AS h{k}' for k, x in enumerate(hs.split(', '), 1))} FROM m" for hs in out)
+
+
+@named(
+    f"""{_MATRIX}, sig AS (SELECT channel, {", ".join(f"coalesce(count(*) FILTER ({w}) / sum(count(*) FILTER ({w})) OVER (), 0) AS {k}" for k, w in _SIGNATURES.items())} FROM lab WHERE cluster_label >= 0 AND channel IS NOT NULL GROUP BY channel),
+gram AS (SELECT {", ".join(f"sum(s{i} * s{j}) AS g{i}{j}" for i in (1, 2, 3) for j in range(i, 4))} FROM sig),
+m AS (SELECT cluster_label, {", ".join(f"any_value(g{i}{j}) AS g{i}{j}" for i in (1, 2, 3) for j in range(i, 4))}, sum(n) AS n, {", ".join(f"sum(n * s{i}) AS t{i}" for i in (1, 2, 3))} FROM lng JOIN sig USING (channel), gram GROUP BY cluster_label),
+sol AS ({_subsets_sql()}), best AS (SELECT cluster_label, arg_max((h1, h2, h3), h1 * t1 + h2 * t2 + h3 * t3) AS h FROM sol WHERE least(h1, h2, h3) >= 0 GROUP BY cluster_label),
+fit AS (SELECT cluster_label, any_value(h) AS h, sum(n * y) / sqrt(sum(n * n) * sum(y * y)) AS cosine, sum(abs(n - y)) / sum(n) AS l1, {", ".join(f"sum(s{i} * (n - y)) AS d{i}" for i in (1, 2, 3))}
+  FROM (SELECT *, s1 * h[1] + s2 * h[2] + s3 * h[3] AS y FROM lng JOIN best USING (cluster_label) JOIN sig USING (channel)) GROUP BY cluster_label)
+SELECT cluster_label, round(h[1], 3) AS s1, round(h[2], 3) AS s2, round(h[3], 3) AS s3, round(cosine, 6) AS cosine, round(l1, 6) AS l1_share,
+  {" AND ".join(f"(h[{i}] > 0 OR d{i} <= 1e-6)" for i in (1, 2, 3))} AS optimal FROM fit"""
+)
 def signature_fit(spark, sf_dir):
-    """Activities of four fixed signatures in the spectrum of each cluster."""
-    from ..operators import spectra
-    from .relational import spectrum_of
-
-    long = spectra.matrix_long(spectrum_of(spark, sf_dir))
-    rows = long.groupBy("cluster_label").agg(F.transform(F.array_sort(F.collect_list(F.struct("channel", "n"))), lambda s: s["n"].cast("double")).alias("counts"))
-    signatures = np.random.default_rng(3).dirichlet(np.ones(96), 4).T
-    return models.signature_fit(rows, "cluster_label", "counts", signatures)
+    """Activities of three signatures, read from a TSV, in the spectrum of each cluster, and whether the solution is optimal."""
+    rows = labelled(spark, sf_dir).where("cluster_label >= 0 AND channel IS NOT NULL")
+    counts = checkpointed(rows.groupBy("channel").agg(*[F.count_if(F.expr(w)).alias(k) for k, w in _SIGNATURES.items()]))
+    totals = counts.agg(*[F.sum(k).alias(f"all_{k}") for k in _SIGNATURES])  # one row
+    path = own_path(spark, "signatures")
+    export.write_tsv(counts.join(F.broadcast(totals)).select(F.col("channel").alias("Type"), *[(F.col(k) / F.col(f"all_{k}")).alias(k) for k in _SIGNATURES]), path)
+    signatures = scan.read_tsv(spark, path).withColumnRenamed("Type", "channel")
+    fit = models.signature_fit(spectra.matrix_long(spectrum_of(spark, sf_dir)), "cluster_label", "channel", "n", signatures)
+    own = [F.round(F.col("activities")[k], 3).alias(k) for k in _SIGNATURES]
+    return fit.select("cluster_label", *own, F.round("cosine", 6).alias("cosine"), F.round(F.col("l1") / F.col("total"), 6).alias("l1_share"), (F.col("gradient") <= 1e-6).alias("optimal"))
 
 
 @named(

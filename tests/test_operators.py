@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lociworks.functions.encode import FeatureSpec
 from lociworks.operators import dedup, latent, models, moments, neighbours, sampling
 from lociworks.sources import export
 from lociworks.streaming.spectrum_stream import early_stop, stream_spectrum
@@ -101,11 +104,56 @@ def test_layers_equal_numpy(spark):
         assert np.allclose(got[i], layers(x[i : i + 1])[0], rtol=1e-5)
 
 
+def slow_non_negative(s: np.ndarray, x: np.ndarray) -> float:
+    """The least residual over all sets of signatures whose unconstrained solution isn't negative."""
+    best, k = np.linalg.norm(x), s.shape[1]
+    for held in itertools.product([False, True], repeat=k):
+        own = s[:, list(held)]
+        h = np.linalg.lstsq(own, x, rcond=None)[0] if own.size else np.zeros(0)
+        if (h >= 0).all():
+            best = min(best, np.linalg.norm(own @ h - x))
+    return best
+
+
+def test_least_squares_are_optimal():
+    rng = np.random.default_rng(5)
+    for k in (0, 1, 2, 3, 5, 6) * 8:
+        s, x = rng.random((12, k)) ** 3, rng.random(12) * rng.integers(0, 2)
+        if k > 2:
+            s[:, 1] = s[:, 0] * 2  # one depends on another
+        h = models.non_negative(s.T @ s, s.T @ x)
+        assert (h >= 0).all() and np.linalg.norm(s @ h - x) == pytest.approx(slow_non_negative(s, x), abs=1e-9)
+        assert k == 0 or (s.T @ (x - s @ h)).max() <= 1e-8
+
+
 def test_signatures_are_recovered(spark):
     s = np.random.default_rng(5).dirichlet(np.ones(20), 3).T
     x = s @ np.array([100.0, 0.0, 50.0])
-    got = models.signature_fit(spark.createDataFrame([(1, x.tolist())], "k int, c array<double>"), "k", "c", s, 3000).first()
-    assert np.allclose(got.activities, [100, 0, 50], atol=0.5) and got.cosine > 0.9999
+    known = spark.createDataFrame([(f"c{i}", *map(float, r)) for i, r in enumerate(s)], "Type string, a double, b double, c double")
+    rows = [(1, f"c{i}", float(v)) for i, v in enumerate(x)] + [(2, "c0", None), (3, "other", 4.0), (None, "c1", 2.0)]
+    got = {r.k: r for r in models.signature_fit(spark.createDataFrame(rows, "k int, Type string, n double"), "k", "Type", "n", known).collect()}
+    assert np.allclose([got[1].activities[c] for c in "abc"], [100, 0, 50]) and got[1].cosine == pytest.approx(1) and got[1].l2 < 1e-9
+    for k in (2, 3):
+        assert set(got[k].activities.values()) == {0.0} and got[k].cosine == 0
+    assert got[3].l1 == 4 and got[None].total == 2 and all(r.gradient <= 1e-9 for r in got.values())
+    assert models.signature_fit(spark.createDataFrame([], "k int, Type string, n double"), "k", "Type", "n", known).count() == 0
+
+
+def test_mixed_encoder(spark):
+    rng = np.random.default_rng(2)
+    spec = [FeatureSpec("REF", "c", {"": 0, "A": 1, "C": 2}), FeatureSpec("kind", "c", {"x": 0, "y": 1})]
+    made = models.MixedEncoder({"REF": rng.normal(size=(3, 2)), "kind": rng.normal(size=(2, 3))}, models.Layers([rng.normal(size=(6, 4)), rng.normal(size=(4, 2))], [rng.normal(size=4), rng.normal(size=2)]))
+    stored = models.weights_table(spark, made)
+    rows = [(1, "A", "y", 3.0), (2, "Z", None, None), (3, None, "x", float("nan")), (4, "C", "q", -1.0)]
+    df = spark.createDataFrame(rows, "k int, REF string, kind string, q double")
+    got = {r.k: r.latent for r in models.encode_mixed(df, ["k"], spec, {"q": (1.0, 2.0)}, stored).collect()}
+    want = made(np.array([[1, 1], [0, 0], [0, 0], [2, 0]]), np.array([[1.0], [0.0], [0.0], [-1.0]]))
+    assert all(np.allclose(got[k], want[k - 1]) for k in got) and len(got) == 4
+    assert models.encode_mixed(df.where("false"), ["k"], spec, {"q": (1.0, 2.0)}, stored).count() == 0
+    with pytest.raises(ValueError):
+        models.encode_mixed(df, ["k"], [*spec, FeatureSpec("more", "c", {"": 0})], {}, stored)
+    with pytest.raises(ValueError):
+        models.encode_mixed(df, ["k"], [FeatureSpec("REF", "c", {"": 0, "G": 3})], {}, stored)
 
 
 def test_early_stopping(spark):
