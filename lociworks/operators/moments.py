@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-import os
 import re
-import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import Files
+
 
 def nonnull_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row of non-null counts, in one pass."""
@@ -82,34 +83,30 @@ def standard_scale(merged: DataFrame) -> DataFrame:
 
 
 class MomentCache:
-    """Moments of files kept by path, size, time, filter and columns; written to one side and then renamed."""
+    """Moments of files kept by path, sizes, times, filter and columns, in a folder of any file system; entries are renamed into place."""
 
-    def __init__(self, folder: str):
-        self._folder = folder
+    def __init__(self, spark: SparkSession, folder: str):
+        self._files, self._folder = Files(spark), folder
 
     def key(self, path: str, where: str, columns: list[str]) -> str:
-        import hashlib
-
-        s = os.stat(path)
-        return hashlib.sha256("|".join(["1", path, str(s.st_size), str(s.st_mtime_ns), where, *columns]).encode()).hexdigest()[:32]
+        return hashlib.sha256(json.dumps(["2", self._files.stats(path), where, columns]).encode()).hexdigest()[:32]
 
     def get(self, key: str) -> list[dict] | None:
+        """The entry, or nothing where there is none or it is no JSON."""
+        path = f"{self._folder}/{key}.json"
+        if not self._files.exists(path):
+            return None
         try:
-            with open(os.path.join(self._folder, key + ".json")) as f:
-                return json.load(f)
-        except (OSError, ValueError):
+            return json.loads(self._files.read(path))
+        except ValueError:
             return None
 
     def put(self, key: str, rows: list[dict]) -> None:
-        os.makedirs(self._folder, exist_ok=True)
-        fd, path = tempfile.mkstemp(dir=self._folder)
-        with os.fdopen(fd, "w") as f:
-            json.dump(rows, f)
-        os.replace(path, os.path.join(self._folder, key + ".json"))
+        self._files.write(f"{self._folder}/{key}.json", json.dumps(rows).encode())
 
 
 def file_moments(spark, paths: list[str], where: str, columns: list[str], cache: MomentCache) -> DataFrame:
-    """Moments of each file, from the cache where it has them; all files that it lacks are read in one job."""
+    """Moments of each file, and whether the cache had them; all files that it lacks are read in one job."""
     keys = {p: cache.key(p, where, columns) for p in paths}
     known = {p: rows for p in paths if (rows := cache.get(keys[p])) is not None}
     if new := [p for p in paths if p not in known]:
@@ -127,4 +124,5 @@ def file_moments(spark, paths: list[str], where: str, columns: list[str], cache:
                 raise ValueError(f"{p} has no rows after the filter")
             cache.put(keys[p], rows)
         known |= got
-    return spark.createDataFrame([r for p in paths for r in known[p]], "path string, n_rows long, feature string, n long, mean double, m2 double")
+    rows = [{**r, "cached": p not in new} for p in paths for r in known[p]]
+    return spark.createDataFrame(rows, "path string, n_rows long, feature string, n long, mean double, m2 double, cached boolean")

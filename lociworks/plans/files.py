@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
+import re
 
 from pyspark.sql import functions as F
 
 from ..functions import filters, spectrum
-from ..operators import joins, reports, spectra
-from ..sources import export, scan
-from ..sources.checkpoint import own_path
+from ..operators import joins, moments, reports, spectra
+from ..sources import catalogue, export, scan, shared
+from ..sources.checkpoint import checkpointed, own_path
 from ..sources.featuremap import CANONICAL, FM_SQL, featuremap
-from ..streaming.spectrum_stream import stream_spectrum
+from ..streaming import spectrum_stream
 from .named import named
 from .relational import _LONG, _SPEC, spectrum_of
+from .vectors import _STOP
 
 _W = f"WITH {FM_SQL}"
 _SAMPLES = ("A", "N", "R")
@@ -133,13 +134,132 @@ def cluster_list(spark, sf_dir):
 
 @named(f"{_SPEC} SELECT cluster_label, channel, n FROM spec")
 def streamed_spectrum(spark, sf_dir):
-    """The spectrum counts as a stream leaves them once it has read all there is."""
-    seen = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    stream = featuremap(spark, sf_dir, spark.readStream.schema(seen.schema).parquet(f"{sf_dir}/lineitem.parque[t]"))
-    name = f"spectrum_{uuid.uuid4().hex}"
-    query = stream_spectrum(stream, name, own_path(spark, "stream"))
-    try:
-        query.processAllAvailable()
-        return spark.table(name).select("cluster_label", "channel", "n")
-    finally:
-        query.stop()
+    """The spectrum counts as a stream leaves them that stops midway and goes on from its checkpoint when more files come."""
+    source, out, state = (own_path(spark, name) for name in ("observations", "spectrum", "state"))
+    rows = scan.table(spark, sf_dir, "lineitem")
+    for half in (0, 1):
+        rows.where(F.col("l_orderkey") % 2 == half).write.mode("append").parquet(source)
+        stream = featuremap(spark, sf_dir, spark.readStream.schema(rows.schema).parquet(source))
+        spectrum_stream.stream_spectrum(stream, out, state).awaitTermination()
+    return spectrum_stream.latest(spark, out, ["cluster_label", "channel"])
+
+
+@named(_STOP)
+def early_stop_stream(spark, sf_dir):
+    """Where training on each event type's daily mean value would stop, told by a stream that is started anew for each third of the days."""
+    source, out, state = (own_path(spark, name) for name in ("epochs", "stops", "state"))
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01")).cast("long")
+    daily = scan.table(spark, sf_dir, "events").groupBy("event_type", day.alias("epoch")).agg(F.avg("value").alias("loss"), F.lit(16).cast("long").alias("active"))
+    daily = checkpointed(daily)
+    last = daily.agg(F.coalesce(F.max("epoch"), F.lit(0))).first()[0]
+    for third in range(3):
+        daily.where(F.floor(F.col("epoch") * 3 / (last + 1)) == third).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(daily.schema).parquet(source)
+        spectrum_stream.stream_early_stop(stream, "event_type", 1e-3, 3, out, state).awaitTermination()
+    return spectrum_stream.latest(spark, out, ["event_type"]).withColumn("best", F.round("best", 9))
+
+
+def _index_of(spark, sf_dir, where: str):
+    fm = featuremap(spark, sf_dir).where(where)
+    name = F.concat("sample", F.lit("-1"))
+    rows = fm.groupBy("sample").agg(F.count("cluster_label").alias("labelled_rows"), F.round(100.0 * F.count_if(F.col("cluster_label") < 0) / F.count("*"), 6).alias("noise_pct"))
+    paths = {"source": F.concat(name, F.lit(".featuremap.parquet")), "assignments": F.concat(name, F.lit(".clusters.parquet"))}
+    return rows.withColumns({"view_name": scan.view_name(name), "row_filter": F.lit(where), **paths, "sample": name})
+
+
+@named(
+    f"""{_W}, r AS (SELECT sample || '-1' AS sample, w AS row_filter, count(cluster_label) AS labelled_rows, round(100.0 * count(*) FILTER (cluster_label < 0) / count(*), 6) AS noise_pct
+  FROM fm, (SELECT unnest(['FILT = 1', 'QUAL > 20']) AS w) WHERE CASE w WHEN 'FILT = 1' THEN FILT = 1 AND sample <> 'N' ELSE QUAL > 20 AND sample = 'N' END GROUP BY ALL)
+SELECT sample, replace(sample, '-', '_') AS view_name, sample || '.featuremap.parquet' AS source, sample || '.clusters.parquet' AS assignments, labelled_rows, noise_pct, row_filter FROM r"""
+)
+def stored_catalogue(spark, sf_dir):
+    """An index of all samples that is stored, and one sample's rows put in again with another filter."""
+    path = own_path(spark, "sample-index")
+    catalogue.put_index(_index_of(spark, sf_dir, "FILT = 1"), path)
+    catalogue.put_index(_index_of(spark, sf_dir, "QUAL > 20").where("sample = 'N-1'"), path)
+    return catalogue.read_index(spark, path)
+
+
+_TABLES = ("orders", "lineitem", "events", "documents", "conversations")
+
+
+@named(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in _TABLES))
+def footer_counts(spark, sf_dir):
+    """Rows of some tables, from their footers."""
+    each = [catalogue.footer_count(spark, f"{sf_dir}/{t}.parquet").first().n for t in _TABLES]  # one number each
+    return spark.createDataFrame(list(zip(_TABLES, each)), "name string, n long")
+
+
+def _swept(spark, sf_dir):
+    """Cells of a sweep over orders, as files that a run left: some tell of an error, some are cut off, one is missing."""
+    o = scan.table(spark, sf_dir, "orders").withColumn("k", F.col("o_custkey") % 8).groupBy("k").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("f"), F.round(F.max("o_totalprice"), 2).alias("top"))
+    share = F.col("f") / F.col("n")
+    spectrum = F.when(F.col("k") % 4 != 1, F.struct(share.alias("top_channel_share_median")))
+    text = F.to_json(
+        F.struct(
+            F.concat(F.lit("cell"), "k").alias("label"),
+            F.when(F.col("k") == 2, "out of memory").alias("error"),
+            F.struct(F.col("n").alias("fit_rows"), (F.col("k") * 5).alias("min_cluster_size"), F.lit(5).alias("min_samples")).alias("cell"),
+            F.when(F.col("k") != 4, F.col("f")).alias("cohort_n_clusters"),
+            share.alias("cohort_noise_fraction"),
+            F.when(F.col("k") % 3 == 0, "cpu").alias("cluster_backend"),
+            spectrum.alias("spectrum"),
+            F.struct((share - 0.5).alias("dbcv")).alias("geometry"),
+            F.when(F.col("k") == 5, F.array(F.lit(1), F.lit(2))).alias("notes"),
+        )
+    )
+    cut = F.when(F.col("k") == 6, F.substring(text, 1, 40)).otherwise(text)
+    path = own_path(spark, "cells")
+    catalogue.write_cells(o.where("k <> 7").withColumn("text", cut), F.concat(F.lit("c"), "k"), F.col("text"), path)
+    return catalogue.read_cells(spark, f"{path}/*/part-*"), o.select(F.concat(F.lit("cell=c"), "k").alias("cell"))
+
+
+@named(
+    """WITH o AS (SELECT o_custkey % 8 AS k, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS f FROM orders GROUP BY 1), r AS (SELECT *, CASE WHEN k % 4 <> 1 THEN round(f / n, 3) END AS top_chan FROM o WHERE k NOT IN (2, 6, 7))
+SELECT 'cell=c' || k AS cell, n AS fit_rows, k * 5 AS mcs, CAST(5 AS BIGINT) AS ms, CASE WHEN k = 4 THEN 0 ELSE f END AS n_clusters, round(100 * (f / n), 2) AS noise_pct, CASE WHEN k % 3 = 0 THEN 'cpu' ELSE '?' END AS backend, top_chan,
+  round(f / n - 0.5, 6) AS dbcv, row_number() OVER (ORDER BY top_chan NULLS LAST, k) AS place FROM r"""
+)
+def ranked_json_cells(spark, sf_dir):
+    """The ranking of finished cells, read from their JSON files; cells without the number that leads come last."""
+    cells, _ = _swept(spark, sf_dir)
+    ranked = reports.ranking(catalogue.ranked_cells(cells), [F.asc_nulls_last("top_chan"), F.col("cell")])
+    return ranked.drop("cos_mean").withColumn("dbcv", F.round("dbcv", 6))
+
+
+@named("SELECT 'cell=c' || k AS cell, CASE k WHEN 2 THEN 'ERROR' WHEN 6 THEN 'BROKEN' WHEN 7 THEN 'INCOMPLETE' ELSE 'OK' END AS status FROM (SELECT DISTINCT o_custkey % 8 AS k FROM orders)")
+def json_cell_status(spark, sf_dir):
+    """What has become of each cell that was planned, from its file or the lack of one."""
+    cells, planned = _swept(spark, sf_dir)
+    return catalogue.completeness(planned, cells)
+
+
+@named(
+    "WITH r AS (SELECT o_orderstatus AS s, o_totalprice AS x FROM orders WHERE o_orderkey % 7 > 0), t AS (SELECT unnest([false, true]) AS cached) SELECT s, cached, count(*) AS n_rows, count(x) AS n, round(avg(x), 4) AS mean, round(var_samp(x) * (count(x) - 1) / 1e6, 4) AS m2 FROM r, t GROUP BY ALL"
+)
+def cached_moments(spark, sf_dir):
+    """Moments of files, worked out, and once more from the cache that lies beside them."""
+    path = own_path(spark, "parts")
+    scan.table(spark, sf_dir, "orders").write.partitionBy("o_orderstatus").parquet(path)
+    parts = {f"{path}/o_orderstatus={r[0]}": r[0] for r in scan.table(spark, sf_dir, "orders").select("o_orderstatus").distinct().orderBy("o_orderstatus").collect()}
+    cache = moments.MomentCache(spark, own_path(spark, "moments"))
+    runs = [moments.file_moments(spark, list(parts), "o_orderkey % 7 > 0", ["o_totalprice"], cache) for _ in range(2)]
+    both = runs[0].unionAll(runs[1])
+    name = F.regexp_extract("path", "o_orderstatus=([^/]*)$", 1)
+    return both.select(name.alias("s"), "cached", "n_rows", "n", F.round("mean", 4).alias("mean"), F.round(F.col("m2") / 1e6, 4).alias("m2"))
+
+
+@named("SELECT o_orderstatus AS s, CASE o_orderstatus WHEN 'F' THEN 'OK' WHEN 'O' THEN 'DRIFTED' ELSE 'MISSING' END AS status FROM (SELECT DISTINCT o_orderstatus FROM orders) UNION ALL SELECT 'unknown', 'NOFILE'")
+def source_drift(spark, sf_dir):
+    """Sources against the fingerprints that were taken of them: one stayed, one was written anew, the others went."""
+    path, files = own_path(spark, "sources"), shared.Files(spark)
+    orders = scan.table(spark, sf_dir, "orders")
+    orders.repartition("o_orderstatus").write.partitionBy("o_orderstatus").parquet(path)
+    found = {re.search("o_orderstatus=([^/]*)/", f)[1]: f for f, _, _ in files.stats(path)}
+    records = {s: shared.fingerprint(files, f) for s, f in found.items()}
+    orders.where("o_orderstatus = 'O' AND o_orderkey % 2 = 0").repartition(1).write.parquet(f"{path}-new")
+    for s, f in found.items():
+        if s == "O":
+            files.write(f, files.read(files.stats(f"{path}-new")[0][0]))
+    gone = {s: f if s in "FO" else f"{f}.gone" for s, f in found.items()}
+    rows = [(s, shared.fingerprint_status(files, records[s], f)) for s, f in gone.items()]
+    return spark.createDataFrame([*rows, ("unknown", shared.fingerprint_status(files, None, next(iter(found.values()))))], "s string, status string")

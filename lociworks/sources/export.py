@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import os
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,24 +92,6 @@ def concatenate(parts: dict[str, DataFrame], path: str) -> int:
     return found
 
 
-def fingerprint(path: str, tail: int = 1_000_000) -> dict:
-    """Path, size, time and SHA-256 of the last bytes of a local file."""
-    stat = os.stat(path)
-    with open(path, "rb") as f:
-        f.seek(max(0, stat.st_size - tail))
-        return {"path": path, "size": stat.st_size, "mtime_ns": stat.st_mtime_ns, "tail_sha256": hashlib.sha256(f.read()).hexdigest()}
-
-
-def fingerprint_status(record: dict | None, path: str) -> str:
-    """OK, MISSING, DRIFTED or NOFILE; a new time alone is no drift."""
-    if not os.path.exists(path):
-        return "MISSING"
-    if record is None:
-        return "NOFILE"
-    now = fingerprint(path)
-    return "OK" if (now["size"], now["tail_sha256"]) == (record["size"], record["tail_sha256"]) else "DRIFTED"
-
-
 def percent(text: Column) -> Column:
     """"12.3%" as a number; null if it isn't one."""
     return F.regexp_replace(F.trim(text), "%$", "").try_cast("double")

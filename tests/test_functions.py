@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lociworks.functions import encode, filters, hashing, spectrum
 from lociworks.operators import sampling
-from lociworks.sources import export, scan
+from lociworks.sources import catalogue, export, scan, shared
 
 
 def test_hash_vectors():
@@ -116,15 +118,69 @@ def test_missing_columns_are_skipped(spark):
         scan.scan(df, ["CHROM"])
 
 
-def test_fingerprints(tmp_path):
-    p = tmp_path / "x"
+def test_fingerprints(spark, tmp_path):
+    p, files = tmp_path / "x", shared.Files(spark)
+    p.write_bytes(b"abc" * 9)
+    record = shared.fingerprint(files, f"file:{p}", tail=4)
+    assert record["size"] == 27 and record["tail_sha256"] == hashlib.sha256(b"cabc").hexdigest()
+    record = shared.fingerprint(files, f"file:{p}")
+    status = lambda r: shared.fingerprint_status(files, r, f"file:{p}")
+    assert (status(record), status(None)) == ("OK", "NOFILE")
+    p.touch()
+    assert status(record) == "OK"
+    p.write_bytes(b"abd" * 9)
+    assert status(record) == "DRIFTED"
     p.write_bytes(b"abc")
-    record = export.fingerprint(str(p))
-    assert export.fingerprint_status(record, str(p)) == "OK"
-    assert export.fingerprint_status(None, str(p)) == "NOFILE"
-    p.write_bytes(b"abd")
-    assert export.fingerprint_status(record, str(p)) == "DRIFTED"
-    assert export.fingerprint_status(record, str(tmp_path / "y")) == "MISSING"
+    assert status(record) == "DRIFTED"
+    p.unlink()
+    assert status(record) == "MISSING"
+
+
+def test_shared_files_are_whole(spark, tmp_path):
+    files, path = shared.Files(spark), f"file:{tmp_path}/a/b"
+    for data in (b"one", bytes(range(256)) * 40, b""):
+        files.write(path, data)
+        assert files.read(path) == data and [x[1] for x in files.stats(f"file:{tmp_path}")] == [len(data)]
+    assert not files.exists(f"file:{tmp_path}/c")
+
+
+def test_cells_of_any_form(spark, tmp_path):
+    texts = {
+        "a": '{"label": "a", "cell": {"fit_rows": 5}, "cohort_noise_fraction": 0.12345, "spectrum": {"top_channel_share_median": 0.98765}, "more": [1, {"x": 2}]}',
+        "b": '{"label": "b", "error": "no memory"}',
+        "c": '{"label": "c", "cell": {"fit',
+        "d": '{"geometry": {"dbcv": -0.5}, "cohort_n_clusters": 3, "cluster_backend": "cpu"}',
+        "e": "[1, 2]",
+        "f": "",
+    }
+    for k, t in texts.items():
+        (tmp_path / "cells" / k).mkdir(parents=True)
+        (tmp_path / "cells" / k / "metrics.json").write_text(t)
+    cells = catalogue.read_cells(spark, f"{tmp_path}/cells/*/metrics.json")
+    assert {r.cell: r.status for r in cells.collect()} == {"a": "OK", "b": "ERROR", "c": "BROKEN", "d": "OK", "e": "BROKEN"}
+    ranked = {r.cell: r for r in catalogue.ranked_cells(cells).collect()}
+    assert (ranked["a"].fit_rows, ranked["a"].noise_pct, ranked["a"].backend, ranked["a"].top_chan, ranked["a"].dbcv) == (5, 12.35, "?", 0.988, None)
+    assert (ranked["d"].n_clusters, ranked["d"].backend, ranked["d"].dbcv, ranked["d"].noise_pct) == (3, "cpu", -0.5, 0.0)
+    planned = spark.createDataFrame([(c,) for c in "abfz"], "cell string")
+    assert {r.cell: r.status for r in catalogue.completeness(planned, cells).collect()} == {"a": "OK", "b": "ERROR", "f": "INCOMPLETE", "z": "INCOMPLETE"}
+
+
+def test_counts_come_from_footers(spark, tmp_path):
+    spark.range(1234).repartition(3).write.parquet(f"{tmp_path}/t")
+    df = catalogue.footer_count(spark, f"{tmp_path}/t")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*)]" in plan and "ReadSchema: struct<count(*):bigint>" in plan
+    assert df.first().n == 1234
+    assert spark.conf.get("spark.sql.sources.useV1SourceList") != ""  # the caller's session is left alone
+
+
+def test_index_replaces_named_samples_only(spark, tmp_path):
+    row = lambda s, n: (f"v_{s}", f"{s}.parquet", None, n, 1.5, "FILT = 1", s)
+    put = lambda rows: catalogue.put_index(spark.createDataFrame(rows, catalogue.INDEX), f"{tmp_path}/index")
+    put([row("a", 1), row("b", 2), row("c-1.x", 3)])
+    put([row("b", 20)])
+    put([row("b", 21), row("d", 4)])
+    assert {r.sample: r.labelled_rows for r in catalogue.read_index(spark, f"{tmp_path}/index").collect()} == {"a": 1, "b": 21, "c-1.x": 3, "d": 4}
 
 
 def test_percent_strings(spark):

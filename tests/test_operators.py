@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from lociworks.functions.encode import FeatureSpec
 from lociworks.operators import dedup, latent, models, moments, neighbours, sampling
 from lociworks.sources import export
-from lociworks.streaming.spectrum_stream import early_stop, stream_spectrum
+from lociworks.streaming import spectrum_stream
+from lociworks.streaming.spectrum_stream import early_stop
 
 
 def test_dedup_without_identity_columns_keeps_all(spark):
@@ -42,11 +43,19 @@ def test_constant_and_null_columns(spark):
 
 def test_moment_cache(spark, tmp_path):
     spark.range(10).select(F.col("id").cast("double").alias("x")).coalesce(1).write.parquet(f"{tmp_path}/p")
-    cache = moments.MomentCache(f"{tmp_path}/cache")
-    one = moments.file_moments(spark, [f"{tmp_path}/p"], "x >= 0", ["x"], cache).collect()
-    assert one == moments.file_moments(spark, [f"{tmp_path}/p"], "x >= 0", ["x"], cache).collect()
+    cache = moments.MomentCache(spark, f"file:{tmp_path}/cache")
+    run = lambda where: moments.file_moments(spark, [f"{tmp_path}/p"], where, ["x"], cache)
+    one, two = run("x >= 0"), run("x >= 0")
+    assert [r.cached for r in one.collect()] == [False] and [r.cached for r in two.collect()] == [True]
+    assert one.drop("cached").collect() == two.drop("cached").collect()
+    key = cache.key(f"{tmp_path}/p", "x >= 0", ["x"])
+    (tmp_path / "cache" / f"{key}.json").write_text("{")  # what is no JSON is worked out again
+    (tmp_path / "cache" / f".{key}.json.crc").unlink()
+    assert cache.get(key) is None and [r.cached for r in run("x >= 0").collect()] == [False]
+    spark.range(5).select(F.col("id").cast("double").alias("x")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/p")
+    assert [(r.cached, r.n) for r in run("x >= 0").collect()] == [(False, 15)]
     with pytest.raises(ValueError):
-        moments.file_moments(spark, [f"{tmp_path}/p"], "x > 99", ["x"], cache)
+        run("x > 99")
 
 
 def test_interleaving_covers_every_row_in_proportion(spark):
@@ -176,13 +185,46 @@ def test_concatenation_reconciles(spark, tmp_path):
     assert export.concatenate({"a": spark.range(3).toDF("x"), "b": spark.range(4).toDF("y")}, f"{tmp_path}/c") == 7
 
 
-def test_stream_of_spectra(spark, tmp_path):
-    rows = [("C", "A", "T", "G", 0)] * 3 + [("G", "T", "C", "A", 1)] + [("C", "A", "T", "G", -1)]
+def sides(k: int, n: int, label: int) -> list[tuple]:
+    return [("C", "A", "T", "G", label)] * n + [("G", "T", "C", "A", label)] * k + [("C", "A", "T", "G", -1)]
+
+
+def test_spectrum_stream_goes_on_after_a_failure(spark, tmp_path, monkeypatch):
     schema = "REF string, ALT string, X_PREV1 string, X_NEXT1 string, cluster_label int"
-    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/in")
-    query = stream_spectrum(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "spectra_now", f"{tmp_path}/state")
-    try:
-        query.processAllAvailable()
-        assert {(r.cluster_label, r.channel): r.n for r in spark.table("spectra_now").collect()} == {(0, "T[C>A]G"): 3, (1, "T[C>A]G"): 1}
-    finally:
-        query.stop()
+    source, out, state = (f"{tmp_path}/{x}" for x in ("in", "out", "state"))
+    run = lambda: spectrum_stream.stream_spectrum(spark.readStream.schema(schema).parquet(source), out, state)
+    spark.createDataFrame(sides(0, 3, 0), schema).coalesce(1).write.parquet(source)
+    run().awaitTermination()
+    spark.createDataFrame(sides(1, 2, 0) + sides(0, 4, 1), schema).coalesce(1).write.mode("append").parquet(source)
+    start = spectrum_stream.into_batches
+
+    def failing(changed, path, checkpoint):
+        def put(batch, number):
+            batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+            raise RuntimeError("lost after writing")
+
+        return changed.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    monkeypatch.setattr(spectrum_stream, "into_batches", failing)
+    with pytest.raises(Exception, match="lost after writing"):
+        run().awaitTermination()
+    monkeypatch.setattr(spectrum_stream, "into_batches", start)
+    run().awaitTermination()  # the same batch again
+    run().awaitTermination()  # and nothing new
+    got = spectrum_stream.latest(spark, out, ["cluster_label", "channel"]).collect()
+    assert {(r.cluster_label, r.channel): r.n for r in got} == {(0, "T[C>A]G"): 6, (1, "T[C>A]G"): 4}
+
+
+def test_early_stopping_of_a_stream(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(k, e, round(float(1 / (1 + e) + rng.normal(0, 0.05)), 3), 4 + (e % 7 == 0)) for k in ("a", "b", "c") for e in range(20)] + [("d", 0, None, 1), ("d", None, 1.0, 1)]
+    schema, source = "run string, epoch long, loss double, active long", f"{tmp_path}/in"
+    for part in (0, 1, 2):
+        own = [r for r in rows if (r[1] or 0) // 7 == part]
+        spark.createDataFrame(own, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        spectrum_stream.stream_early_stop(stream, "run", 1e-3, 3, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    got = {r.run: (r.best, r.stagnant, r.stopped_at) for r in spectrum_stream.latest(spark, f"{tmp_path}/out", ["run"]).collect()}
+    assert got.pop("d") == (None, 0, None)
+    df = spark.createDataFrame(rows, schema).where("loss IS NOT NULL AND epoch IS NOT NULL").groupBy("run").agg(F.array_sort(F.collect_list(F.struct("epoch", "loss", "active"))).alias("e"))
+    assert got == {r.run: (r.s.best, r.s.stagnant, r.s.stopped_at) for r in df.select("run", early_stop(F.col("e"), 1e-3, 3).alias("s")).collect()}
