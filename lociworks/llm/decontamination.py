@@ -17,7 +17,9 @@ distances: 0 means that the exact phrase stands there, more that all its terms
 stand near. Lists are met in cells of positions, so all joins are on equality.
 
 The windows are the stated query set; each distinct one is looked up once, and
-then stands for all items that have it. Their side of a join is broadcast up to
+its items are joined once for each document that has it. Windows that have the same two rarest
+terms at the same distance are looked for together until these two have met, so
+headings that many items share don't multiply postings. A side of windows is broadcast up to
 BROADCAST_ROWS rows and shuffled beyond. Postings are joined by document row and
 term, so frequent terms and passages that many documents share don't meet in one
 task. A document's own matches are gathered in one row, which its length bounds.
@@ -93,54 +95,62 @@ def _cells(start: Column) -> Column:
     return F.array_distinct(F.array(F.floor((start - SLOP) / _CELL), F.floor((start + SLOP) / _CELL)))
 
 
-def _intersected(places: DataFrame, lists: DataFrame, postings: DataFrame) -> DataFrame:
-    """Those of places (row, win, size, start, apart) that postings of all lists (win, at, tid, lists) of their window meet."""
-    due = places.join(small(lists.select("win", "at", "tid", "lists")), "win").withColumn("due", F.col("start") + F.col("at"))
+def _intersected(places: DataFrame, lists: DataFrame, postings: DataFrame, key: str) -> DataFrame:
+    """Those of places (row, key, start, apart) that postings of all lists (key, at, tid, lists) of their key meet."""
+    due = places.join(small(lists.select(key, "at", "tid", "lists")), key).withColumn("due", F.col("start") + F.col("at"))
     due = due.withColumn("cell", F.explode(_cells(F.col("due"))))
     there = postings.select("row", "tid", F.floor(F.col("pos") / _CELL).alias("cell"), "pos")
     gap = F.abs(F.col("pos") - F.col("due"))
     met = due.join(there, ["row", "tid", "cell"]).where(gap <= SLOP)
-    each = met.groupBy("row", "win", "size", "start", "at", "lists", "apart").agg(F.min(gap).alias("gap"))
-    whole = each.groupBy("row", "win", "size", "start", "lists", "apart").agg(F.count("*").alias("n"), F.max("gap").alias("gap"))
-    return whole.where("n = lists").select("row", "win", "size", "start", F.greatest("gap", "apart").alias("apart"))
+    each = met.groupBy("row", key, "start", "at", "lists", "apart").agg(F.min(gap).alias("gap"))
+    whole = each.groupBy("row", key, "start", "lists", "apart").agg(F.count("*").alias("n"), F.max("gap").alias("gap"))
+    return whole.where("n = lists").select("row", key, "start", F.greatest("gap", "apart").alias("apart"))
 
 
 def matches(asked: DataFrame, known: DataFrame, postings: DataFrame) -> DataFrame:
-    """(row, win, size, start, apart): where windows (win, terms) stand exactly (apart = 0) or near, from the rarest term on."""
+    """(row, win, size, start, apart): where windows (win, terms) stand exactly (apart = 0) or near, from the rarest term on.
+
+    Windows whose two rarest terms are the same and as far apart are one pair, of which places are looked for once.
+    """
     lists = checkpointed(ranked(asked, known, postings))
     first, second, rest = lists.where("rank = 0"), lists.where("rank = 1"), lists.where("rank > 1")
-    begin = (F.col("pos") - F.col("at")).cast("int")
-    starts = postings.join(small(first), "tid").select("row", "win", "size", begin.alias("start"), F.lit(0).alias("apart"))
-    of_second = postings.join(small(second.select("tid").distinct()), "tid", "left_semi")
-    pairs = checkpointed(_intersected(starts.where("size > 1"), second.withColumn("lists", F.lit(1)), of_second))
+    next_one = second.select("win", F.col("tid").alias("next"), F.col("at").alias("next_at"))
+    by_pair = checkpointed(first.where("size > 1").join(next_one, "win").withColumn("leap", F.col("next_at") - F.col("at")))
+    both = checkpointed(by_pair.select("tid", "next", "leap").distinct().withColumn("pair", F.monotonically_increasing_id()))
+    starts = postings.join(small(both.select("tid", "pair")), "tid").select("row", "pair", F.col("pos").alias("start"), F.lit(0).alias("apart"))
+    of_second = postings.join(small(both.select(F.col("next").alias("tid")).distinct()), "tid", "left_semi")
+    lists_of_pair = both.select("pair", F.col("leap").alias("at"), F.col("next").alias("tid"), F.lit(1).alias("lists"))
+    pairs = checkpointed(_intersected(starts, lists_of_pair, of_second, "pair"))
+    windows_of = checkpointed(by_pair.join(both, ["tid", "next", "leap"]).select("pair", "win", "size", "at"))
+    begin = (F.col("start") - F.col("at")).cast("int")
+    met = pairs.join(small(windows_of), "pair").select("row", "win", "size", begin.alias("start"), "apart")
     # what is left asks for few documents: the postings of others go before they travel
     few = postings.join(small(checkpointed(pairs.select("row").distinct())), "row", "left_semi")
-    whole = _intersected(pairs.where("size > 2"), rest.withColumn("lists", F.col("size") - 2), few)
-    return whole.unionAll(pairs.where("size = 2")).unionAll(starts.where("size = 1"))
+    size = lists.where("rank = 0").select("win", "size")
+    whole = _intersected(met.where("size > 2").drop("size"), rest.withColumn("lists", F.col("size") - 2), few, "win").join(small(size), "win")
+    alone = postings.join(small(first.where("size = 1")), "tid").select("row", "win", "size", (F.col("pos") - F.col("at")).cast("int").alias("start"), F.lit(0).alias("apart"))
+    return whole.select(*alone.columns).unionAll(met.where("size = 2")).unionAll(alone)
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """Per document row: doc_id, text_key, n_words, found array<struct<start, end>> of exact matches, sorted, the items that they are of, and n_near, how many windows stand near elsewhere."""
-    by_item = windows(items, size)
-    asked = checkpointed(by_item.groupBy("terms").agg(F.collect_set("item_id").alias("items")).select(
-        F.monotonically_increasing_id().alias("win"),
-        "terms",
-        "items",
-    ))
+    by_item = checkpointed(windows(items, size))
+    asked = checkpointed(by_item.select("terms").distinct().withColumn("win", F.monotonically_increasing_id()))
+    owners = checkpointed(by_item.join(asked, "terms").select("win", "item_id"))
     known = vocabulary(asked)
     postings = index(docs, known)
-    met = checkpointed(matches(asked.select("win", "terms"), known, postings)).join(small(asked.select("win", "items")), "win")
+    met = checkpointed(matches(asked, known, postings))
     exact, span = F.col("apart") == 0, F.struct("start", (F.col("start") + F.col("size")).alias("end"))
     header = postings.where(F.col("tid") == HEADER)
-    # a document's header and its matches come together in one shuffle; windows of one item have the same list of items
-    rows = header.select("row", F.struct("doc_id", "text_key", F.col("pos").cast("long").alias("n_words")).alias("document")).unionByName(
-        met.select("row", F.when(exact, span).alias("span"), F.when(exact, F.col("items")).alias("items"), (~exact).alias("near")),
-        allowMissingColumns=True,
-    )
+    of_items = met.where(exact).select("row", "win").distinct().join(small(owners), "win").select("row", F.col("item_id").alias("item")).distinct()
+    # a document's header, its matches and their items come together in one shuffle
+    rows = header.select("row", F.struct("doc_id", "text_key", F.col("pos").cast("long").alias("n_words")).alias("document"))
+    for part in (met.select("row", F.when(exact, span).alias("span"), (~exact).alias("near")), of_items):
+        rows = rows.unionByName(part, allowMissingColumns=True)
     per = rows.groupBy("row").agg(
         F.max("document").alias("d"),
         F.array_sort(F.collect_set("span")).alias("found"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+        F.array_sort(F.collect_set("item")).alias("items"),
         F.count_if("near").alias("n_near"),
     )
     return per.select("d.doc_id", "d.text_key", "d.n_words", "found", "items", "n_near")
