@@ -45,8 +45,9 @@ def compile_filter(df: DataFrame, text: str) -> Column:
 
 def columns_in(df: DataFrame, text: str) -> list[str]:
     """Columns of df that a filter text names outside of string literals."""
-    words = re.findall(r"[A-Za-z_]\w*", re.sub(r"'(?:[^']|'')*'", "", text))
-    return [c for c in df.columns if c in set(words)]
+    bare = re.sub(r"'(?:[^']|'')*'", "", text)
+    named = {name.replace('""', '"') for name in re.findall(r'"((?:[^"]|"")*)"', bare)} | set(re.findall(r"[A-Za-z_]\w*", re.sub(r'"(?:[^"]|"")*"', "", bare)))
+    return [c for c in df.columns if c in named]
 
 
 def quoted(name: str) -> str:

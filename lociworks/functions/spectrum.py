@@ -14,6 +14,11 @@ def channels() -> list[str]:
     return [f"{p}[{s}]{n}" for s in SUBSTITUTIONS for p in "ACGT" for n in "ACGT"]
 
 
+def channel_index(channel: Column) -> Column:
+    """The place of a channel among the 96, from 0; -1 for any other label and for null."""
+    return F.coalesce(F.array_position(F.array(*map(F.lit, channels())), channel), F.lit(0)).cast("int") - 1
+
+
 def complement(base: Column) -> Column:
     """The paired base; null for anything but A, C, G and T."""
     return F.when(base == "A", "T").when(base == "T", "A").when(base == "C", "G").when(base == "G", "C")

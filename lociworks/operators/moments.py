@@ -9,6 +9,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.checkpoint import small_side
 from ..sources.shared import Files
 
 
@@ -115,7 +116,7 @@ def file_moments(spark, paths: list[str], where: str, columns: list[str], cache:
         under = {plain(f): p for p in new for f in spark.read.parquet(p).inputFiles()}
         owners = spark.createDataFrame(list(under.items()), "file string, path string")
         rows = spark.read.option("mergeSchema", True).parquet(*new).select("*", F.regexp_replace("_metadata.file_path", "^([a-z0-9]+):/+", "$1:/").alias("file")).where(where)
-        parts = rows.join(F.broadcast(owners), "file").select("path", *columns)
+        parts = rows.join(small_side(owners), "file").select("path", *columns)
         got: dict[str, list[dict]] = {p: [] for p in new}
         for r in fused_moments(parts, "path", columns).collect():  # files times columns
             got[r["path"]].append(r.asDict())

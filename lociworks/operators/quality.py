@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.checkpoint import small_side
 from .ranks import placed, quantiles, value_ranks
 
 
@@ -25,7 +26,7 @@ def _distance(a: list[Column], b: list[Column]) -> Column:
 def davies_bouldin(df: DataFrame, label: str, dims: list[Column]) -> DataFrame:
     """One row: the mean over clusters of the worst ratio of scatter to separation. Pairs are of clusters, not rows."""
     rows, centres, names = _centred(df, label, dims)
-    scatter = rows.join(F.broadcast(centres), "k").groupBy("k").agg(F.avg(_distance([F.col(n) for n in names], [F.col(f"c_{n}") for n in names])).alias("s"))
+    scatter = rows.join(small_side(centres), "k").groupBy("k").agg(F.avg(_distance([F.col(n) for n in names], [F.col(f"c_{n}") for n in names])).alias("s"))
     c = centres.join(scatter, "k")
     a, b = c.select(*[F.col(x).alias(f"a_{x}") for x in c.columns]), c.select(*[F.col(x).alias(f"b_{x}") for x in c.columns])
     apart = _distance([F.col(f"a_c_{n}") for n in names], [F.col(f"b_c_{n}") for n in names])

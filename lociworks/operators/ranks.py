@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.checkpoint import checkpointed
+from ..sources.checkpoint import checkpointed, small_side
 
 
 def placed(df: DataFrame, order: list[str], weight: Column | None = None, name: str = "_before") -> DataFrame:
@@ -43,7 +43,7 @@ def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]
     on = F.lit(True)
     for c in by:
         on = on & F.col(c).eqNullSafe(F.col(f"_t_{c}"))
-    met = ranked.join(F.broadcast(total.select(*[F.col(c).alias(f"_t_{c}") for c in by], "_total")), on)  # one row a group
+    met = ranked.join(small_side(total.select(*[F.col(c).alias(f"_t_{c}") for c in by], "_total")), on)
     out = []
     for name, share in shares.items():
         at = F.lit(float(share)) * (F.col("_total") - 1)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import sample_order
+from ..sources.checkpoint import small_side
 from .ranks import placed
 
 #: Hex digits of the hash by which rows are counted before any is ranked.
@@ -75,33 +76,27 @@ def stratified_sample(df: DataFrame, by: str, keys: list[str], quota: int, seed:
 
 
 def budget_sample(df: DataFrame, by: str, keys: list[str], budget: int, seed: int) -> DataFrame:
-    """A total budget of rows, water-filled over strata: small ones are taken whole, the rest share alike."""
-    sizes = {r[0]: r[1] for r in df.where(F.col(by).isNotNull()).groupBy(by).count().orderBy(by).collect()}  # one row a stratum
-    quotas = water_fill(sizes, budget)
-    given = F.lit(None).cast("long")
-    for stratum, quota in quotas.items():
-        given = F.when(F.col(by) == stratum, quota).otherwise(given)
-    order = Window.partitionBy(by).orderBy(sample_order(seed, *keys), *keys)
-    return df.withColumn("_at", F.row_number().over(order)).where((F.col("_at") <= max(quotas.values(), default=0)) & (F.col("_at") <= given)).drop("_at")
-
-
-def water_fill(sizes: dict, budget: int) -> dict:
-    """How much of a budget each group gets: small ones are taken whole, the rest share alike."""
-    out, left, rest = {}, budget, dict(sizes)
-    while rest and left > 0:
-        per = left // len(rest)
-        if per == 0:
-            for k in list(rest)[:left]:
-                out[k] = 1
-            break
-        whole = {k: n for k, n in rest.items() if n <= per}
-        if not whole:
-            out |= dict.fromkeys(rest, per)
-            break
-        out |= whole
-        left -= sum(whole.values())
-        rest = {k: n for k, n in rest.items() if k not in whole}
-    return {k: out.get(k, 0) for k in sizes}
+    """A total budget of rows, water-filled over strata: small ones are taken whole, the rest share alike.
+
+    The share follows from how many strata have which size. Where there are more strata than the budget has rows, the first ones
+    get one each.
+    """
+    own = df.where(F.col(by).isNotNull())
+    sizes = own.groupBy(by).agg(F.count("*").alias("_n"))
+    share = level([(r["_n"], r["strata"]) for r in sizes.groupBy("_n").agg(F.count("*").alias("strata")).collect()], budget)  # a row a size
+    if share == 0:
+        own, share = own.join(sizes.orderBy(by).limit(budget).select(by), by, "left_semi"), 1
+    return stratified_sample(own, by, keys, share, seed).select(df.columns)
+
+
+def level(sizes: list[tuple[int, int]], budget: int) -> int:
+    """The greatest share such that strata of (size, how many) take no more than a budget together, each at most its size."""
+    taken, strata, below = 0, sum(n for _, n in sizes), 0
+    for size, n in sorted(sizes):
+        if taken + (size - below) * strata > budget:
+            return below + (budget - taken) // strata
+        taken, below, strata = taken + (size - below) * strata, size, strata - n
+    return below
 
 
 def weighted_draw(df: DataFrame, order: str, weight: str, draws: DataFrame, at: str) -> DataFrame:
@@ -188,7 +183,7 @@ def interleaved(df: DataFrame, by: str, keys: list[str], batch: int, seed: int,
     )
     draws = apportion(before.groupBy(by).agg(F.first("_size").alias("_size")), by, "_size", batch)
     known = before.join(
-        F.broadcast(draws.select(F.col(by).alias("_group"), "draw")),
+        small_side(draws.select(F.col(by).alias("_group"), "draw")),
         F.col(by).eqNullSafe(F.col("_group")),
     ).select(F.col(by).alias("_by"), F.col("_bin").alias("_of"), "_before", "draw")
     place = F.row_number().over(Window.partitionBy(by, "_bin").orderBy("_order", *keys))

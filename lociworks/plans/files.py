@@ -7,13 +7,13 @@ import re
 from pyspark.sql import functions as F
 
 from ..functions import filters, spectrum
-from ..operators import joins, moments, reports, spectra
+from ..operators import dedup, joins, moments, reports, spectra
 from ..sources import catalogue, export, scan, shared
 from ..sources.checkpoint import checkpointed, own_path
 from ..sources.featuremap import CANONICAL, FM_SQL, featuremap
 from ..streaming import spectrum_stream
 from .named import named
-from .relational import _LONG, _SPEC, spectrum_of
+from .relational import _LONG, _SPEC, labelled, spectrum_of
 from .vectors import _STOP
 
 _W = f"WITH {FM_SQL}"
@@ -105,6 +105,14 @@ def manifest_totals(spark, sf_dir):
     return reports.manifest_totals(spark.read.csv(path, header=True, inferSchema=True)).select("status", "files", F.col("rows").cast("bigint").alias("rows"), F.col("noise").cast("bigint").alias("noise"))
 
 
+@named(f"{_W}, m AS (SELECT sample, CHROM, count(*) AS n, count(*) FILTER (cluster_label < 0) AS noise FROM fm GROUP BY 1, 2) SELECT CASE WHEN noise * 13 > n THEN 'NOISY' ELSE 'OK' END AS status, count(*) AS files, CAST(sum(n) AS BIGINT) AS rows, CAST(sum(noise) AS BIGINT) AS noise FROM m GROUP BY 1")
+def json_manifest_totals(spark, sf_dir):
+    """The same manifest as JSON lines."""
+    path = own_path(spark, "manifest")
+    export.write_manifest(_manifest(spark, sf_dir), path, ["sample", "CHROM", "status", "rows", "noise"], "json")
+    return reports.manifest_totals(spark.read.schema("status string, rows long, noise long").json(path))
+
+
 @named(f"{_W} SELECT sample || '_1' AS view_name, sample || '-1.featuremap' AS sample, count(*) FILTER (cluster_label IS NOT NULL) AS labelled_rows, round(100.0 * count(*) FILTER (cluster_label < 0) / count(*), 6) AS noise_pct FROM fm GROUP BY sample")
 def view_catalogue(spark, sf_dir):
     """A view of each sample, and an index that is worked out through the views."""
@@ -114,6 +122,43 @@ def view_catalogue(spark, sf_dir):
     return each.groupBy("view_name", "sample").agg(F.count("cluster_label").alias("labelled_rows"), F.round(100.0 * F.count_if(F.col("cluster_label") < 0) / F.count("*"), 6).alias("noise_pct"))
 
 
+@named("SELECT 'nation' AS sample, count(*) AS n FROM nation UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'region', count(*) FROM region")
+def resolved_files(spark, sf_dir):
+    """Rows of the files that some patterns name, each file once."""
+    paths = scan.resolve_paths(spark, [f"{sf_dir}/{{nation,region}}.parquet", f"{sf_dir}/o*s.parquet", f"{sf_dir}/nat*.parquet"])
+    return scan.multi_file(spark, paths).groupBy("sample").agg(F.count("*").alias("n"))
+
+
+@named("SELECT l_orderkey, l_quantity AS odd FROM lineitem WHERE l_quantity >= 30 AND l_returnflag <> 'odd \"name\"' AND l_tax IS NOT NULL")
+def quoted_filter(spark, sf_dir):
+    """A filter over columns of odd names; only those that it names are kept beside the key, and a literal names none."""
+    rows = scan.table(spark, sf_dir, "lineitem").withColumnsRenamed({"l_quantity": "odd name", "l_tax": "ta\"x", "l_returnflag": "flag"})
+    where = f"{filters.quoted('odd name')} >= 30 AND flag <> 'odd \"name\"' AND {filters.quoted('ta\"x')} IS NOT NULL"
+    own = rows.select("l_orderkey", *[f"`{c}`" for c in filters.columns_in(rows, where)])
+    return own.where(filters.compile_filter(own, where)).select("l_orderkey", F.col("odd name").alias("odd"))
+
+
+@named("SELECT count(*) AS n, count(DISTINCT (l_orderkey, l_linenumber)) AS keys FROM lineitem")
+def dedup_fallback(spark, sf_dir):
+    """A table without the columns of a locus keeps all its rows."""
+    kept = dedup.ranked_dedup(scan.table(spark, sf_dir, "lineitem"), ["l_quantity"])
+    return kept.agg(F.count("*").alias("n"), F.count_distinct("l_orderkey", "l_linenumber").alias("keys"))
+
+
+@named(f"{_W} SELECT least(count(*), 70) AS n, least(count(*), 70) AS passing FROM fm WHERE {CANONICAL}")
+def plain_limit(spark, sf_dir):
+    """Any 70 rows of a filtered scan: how many there are, and how many pass the filter."""
+    rows = scan.scan(featuremap(spark, sf_dir), ["sample", "st", "et", "FILT"], CANONICAL, limit=70)
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.expr(CANONICAL)).alias("passing"))
+
+
+@named(f"{_SPEC}, c AS (SELECT DISTINCT channel FROM lab) SELECT channel, CAST(coalesce(list_position([{', '.join(repr(x) for x in spectrum.channels())}], channel), 0) - 1 AS INT) AS place FROM c UNION ALL SELECT 'N[C>A]G', -1")
+def channel_places(spark, sf_dir):
+    """The place of each label that occurs among the 96 channels; -1 for unknown ones and for rows without a label."""
+    own = labelled(spark, sf_dir).select("channel").distinct().unionAll(spark.range(1).select(F.lit("N[C>A]G")))
+    return own.select("channel", spectrum.channel_index(F.col("channel")).alias("place"))
+
+
 @named("SELECT s_name AS name, CASE WHEN regexp_matches(replace(s_name, '#', '_'), '^[0-9]') THEN 's_' ELSE '' END || regexp_replace(s_name, '[^0-9A-Za-z_]', '_', 'g') AS view_name, CAST(nullif(regexp_extract(s_name, '([0-9]+)$', 1), '') AS BIGINT) AS number FROM supplier")
 def names_of_views(spark, sf_dir):
     s = scan.table(spark, sf_dir, "supplier")

@@ -181,14 +181,14 @@ def hist_2d_robust(spark, sf_dir):
 
 
 @named(
-    """WITH s AS (SELECT vec_id, label, embedding FROM embeddings ORDER BY md5('9|' || CAST(vec_id AS VARCHAR)), vec_id LIMIT 300),
+    """WITH s AS (SELECT vec_id, label, embedding FROM embeddings ORDER BY md5('9|' || CAST(vec_id AS VARCHAR)), vec_id LIMIT 2000),
 d AS (SELECT a.vec_id, a.label AS k, b.label AS other, sum(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (CAST(x[1] AS DOUBLE) - x[2]) * (CAST(x[1] AS DOUBLE) - x[2]))))) AS total, count(*) AS n FROM s a JOIN s b ON true GROUP BY ALL),
 m AS (SELECT vec_id, max(total / greatest(n - 1, 1)) FILTER (k = other) AS i, min(total / n) FILTER (k <> other) AS o, max(n) FILTER (k = other) AS size FROM d GROUP BY vec_id)
 SELECT count(*) AS n, round(avg(CASE WHEN size > 1 AND o IS NOT NULL THEN (o - i) / greatest(i, o) ELSE 0 END), 6) AS silhouette FROM m"""
 )
 def silhouette(spark, sf_dir):
-    """Exact over a sample of 300 rows."""
-    sample = sampling.exact_sample(_table(spark, sf_dir, "embeddings"), ["vec_id"], 300, 9)
+    """Exact over a sample of 2,000 rows."""
+    sample = sampling.exact_sample(_table(spark, sf_dir, "embeddings"), ["vec_id"], 2000, 9)
     return reports.silhouette(sample, "embedding", "label").withColumn("silhouette", F.round("silhouette", 6))
 
 
@@ -273,8 +273,8 @@ def permutation_split(spark, sf_dir):
 @named("SELECT o_orderstatus AS source, count(*) AS eligible, least(count(*), 4000) AS taken FROM orders GROUP BY 1")
 def sample_clamp(spark, sf_dir):
     """What a request of 4,000 rows gets from each source."""
-    sizes = _table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("source")).agg(F.count("*").alias("eligible")).collect()  # one row a source
-    return spark.createDataFrame([(r.source, r.eligible, sampling.clamped(4000, r.eligible)) for r in sizes], "source string, eligible long, taken long")
+    sizes = _table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("source")).agg(F.count("*").alias("eligible"))
+    return sizes.withColumn("taken", F.least("eligible", F.lit(4000)))
 
 
 # models given as tables

@@ -245,11 +245,66 @@ def latent_likeness(spark, sf_dir):
     return spark.createDataFrame([row], "linear_cka double, gram_likeness double, participation double")
 
 
-@named()
+def _sum_sql(x: str, a: int, b: int) -> str:
+    return f"list_sum(list_transform({x}[{a}:{b}], lambda v: CAST(v AS DOUBLE)))"
+
+
+def _sum_of(a: int, b: int):
+    """The sum of the dimensions a to b, from 1."""
+    return F.aggregate(F.transform(F.slice("embedding", a, b - a + 1), lambda v: v.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+#: The sum of both singular values of the cross product of two tables of two columns is sqrt(sum of squares + 2 |determinant|).
+_QUARTERS = [(1, 16), (17, 32), (33, 48), (49, 64)]
+
+
+@named(
+    f"""WITH t AS (SELECT {", ".join(f"{_sum_sql('embedding', a, b)} AS q{i}" for i, (a, b) in enumerate(_QUARTERS))} FROM embeddings),
+c AS (SELECT count(*) * covar_pop(q0, q2) AS m00, count(*) * covar_pop(q0, q3) AS m01, count(*) * covar_pop(q1, q2) AS m10, count(*) * covar_pop(q1, q3) AS m11, count(*) * sqrt((var_pop(q0) + var_pop(q1)) * (var_pop(q2) + var_pop(q3))) AS norm FROM t),
+s AS (SELECT sqrt(m00 * m00 + m01 * m01 + m10 * m10 + m11 * m11 + 2 * abs(m00 * m11 - m01 * m10)) / norm AS total FROM c)
+SELECT round(2 - 2 * total, 6) AS disparity, round(1 - total * total, 6) AS disparity_squared FROM s"""
+)
 def latent_disparity(spark, sf_dir):
-    """Procrustes disparities of both halves; singular values have no SQL."""
-    m = _halves(spark, sf_dir)
-    return spark.createDataFrame([(latent.procrustes(m), latent.procrustes(m, squared=True))], "disparity double, disparity_squared double")
+    """Procrustes disparities of two plane tables, of sums over quarters of the vectors."""
+    x = [_sum_of(a, b) for a, b in _QUARTERS]
+    m = latent.cross_moments(scan.table(spark, sf_dir, "embeddings"), x[:2], x[2:])
+    row = (round(latent.procrustes(m), 6), round(latent.procrustes(m, squared=True), 6))
+    return spark.createDataFrame([row], "disparity double, disparity_squared double")
+
+
+_PLANE_SQL = f"[{_sum_sql('{0}.embedding', 1, 32)}, {_sum_sql('{0}.embedding', 33, 64)}]"
+
+
+def _overlap_sql(k: int) -> str:
+    return f"(SELECT avg(j) FROM (SELECT q, count(low.id) / (2 * {k} - count(low.id)) AS j FROM nn LEFT JOIN (SELECT * FROM low WHERE place <= {k}) low USING (q, id) WHERE nn.place <= {k} GROUP BY q))"
+
+
+@named(
+    f"""WITH {_knn_sql('nn', '{0}.embedding', 1000000)}, {_knn_sql('low', _PLANE_SQL, 1000000)}, c AS (SELECT count(*) AS n, count(*) FILTER (vec_id % 100 = 0) AS m FROM embeddings),
+t AS (SELECT vec_id, embedding AS v, {_sum_sql('embedding', 1, 32)} AS a, {_sum_sql('embedding', 33, 64)} AS b FROM embeddings),
+e AS (SELECT i, a, b, CAST(v[i] AS DOUBLE) AS x FROM t, range(1, 65) r(i)), x AS (SELECT i, count(*) * covar_pop(x, a) AS ma, count(*) * covar_pop(x, b) AS mb, count(*) * var_pop(x) AS vx FROM e GROUP BY i),
+g AS (SELECT sum(ma * ma) AS aa, sum(ma * mb) AS ab, sum(mb * mb) AS bb, sum(vx) AS trace FROM x),
+w AS (SELECT sum(p * p) AS high FROM (SELECT covar_pop(CAST(v[i] AS DOUBLE), CAST(v[j] AS DOUBLE)) * count(*) AS p FROM t, range(1, 65) r(i), range(1, 65) s(j) GROUP BY i, j)),
+y AS (SELECT count(*) * var_pop(a) AS va, count(*) * var_pop(b) AS vb, count(*) * covar_pop(a, b) AS cab FROM t)
+SELECT round((aa + bb) / sqrt(high * (va * va + vb * vb + 2 * cab * cab)), 6) AS linear_cka, round(2 - 2 * sqrt(aa + bb + 2 * sqrt(greatest(aa * bb - ab * ab, 0))) / sqrt(trace * (va + vb)), 6) AS disparity,
+  round({_overlap_sql(10)}, 6) AS jaccard_10, round({_overlap_sql(30)}, 6) AS jaccard_30,
+  round(1 - 2 / (m * 10 * (2 * n - 31)) * (SELECT sum(greatest(nn.place - 10, 0)) FROM low JOIN nn USING (q, id) WHERE low.place <= 10), 6) AS trustworthiness,
+  round(1 - 2 / (m * 10 * (2 * n - 31)) * (SELECT sum(greatest(low.place - 10, 0)) FROM nn JOIN low USING (q, id) WHERE nn.place <= 10), 6) AS continuity FROM g, w, y, c"""
+)
+def latent_record(spark, sf_dir):
+    """Vectors against their projection to a plane, in one record: CKA, Procrustes, neighbours in common, trustworthiness and continuity."""
+    e = scan.table(spark, sf_dir, "embeddings")
+    plane = e.withColumn("embedding", F.array(_sum_of(1, 32), _sum_of(33, 64)))
+    m = latent.cross_moments(e, latent.columns_of("embedding", WIDTH), [_sum_of(1, 32), _sum_of(33, 64)])
+    high, low = (checkpointed(neighbours.knn_join(x.where("vec_id % 100 = 0"), x, 30)) for x in (e, plane))
+    ten = [x.where("place <= 10") for x in (high, low)]
+    ranks = neighbours.ranks_among_all(ten[1], e), neighbours.ranks_among_all(ten[0], plane)
+    out = neighbours.coranking(*ten, *ranks, 10, e.count()).select("trustworthiness", "continuity")
+    for k in (10, 30):
+        shared = neighbours.knn_overlap(high, low, k).select((F.col("overlap") / (2 - F.col("overlap"))).alias("j"))
+        out = out.withColumn(f"jaccard_{k}", shared.agg(F.avg("j")).scalar())
+    out = out.withColumns({"linear_cka": F.lit(latent.linear_cka(m)), "disparity": F.lit(latent.procrustes(m))})
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
 @named("SELECT CAST(i - 1 AS INT) AS i, CAST(j - 1 AS INT) AS j, round(covar_pop(CAST(embedding[i] AS DOUBLE), CAST(embedding[j] AS DOUBLE)), 6) AS covariance FROM embeddings, range(1, 65) a(i), range(1, 65) b(j) WHERE i <= j GROUP BY i, j")

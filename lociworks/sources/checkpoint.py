@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -25,6 +26,16 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Rows of a side up to which it is broadcast; they are few numbers each.
+SMALL_ROWS = 100_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """df written down, to be broadcast if it has few rows, and else joined by a shuffle."""
+    held = checkpointed(df)
+    return F.broadcast(held) if held.count() <= SMALL_ROWS else held
+
+
 def own_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else has."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

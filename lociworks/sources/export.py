@@ -97,6 +97,7 @@ def percent(text: Column) -> Column:
     return F.regexp_replace(F.trim(text), "%$", "").try_cast("double")
 
 
-def write_manifest(rows: DataFrame, path: str, columns: list[str]) -> None:
-    """A CSV manifest with a fixed list of columns; others are left out."""
-    rows.select(*columns).write.mode("overwrite").option("header", True).csv(path)
+def write_manifest(rows: DataFrame, path: str, columns: list[str], form: str = "csv") -> None:
+    """A manifest as CSV or JSON lines with a fixed list of columns; others are left out."""
+    writer = rows.select(*columns).write.mode("overwrite")
+    (writer.option("header", True) if form == "csv" else writer).format(form).save(path)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import glob
-import os
 import re
 from collections.abc import Iterable
 from functools import reduce
@@ -11,21 +9,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import Files
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def resolve_paths(patterns: Iterable[str]) -> list[str]:
-    """Local files of some patterns, sorted by base name, each real file once. A pattern without files is an error."""
-    found: dict[str, str] = {}
+def resolve_paths(spark: SparkSession, patterns: Iterable[str]) -> list[str]:
+    """Files of some patterns on any file system, sorted by base name, each once. A pattern without files is an error."""
+    files, found = Files(spark), {}
     for pattern in patterns:
-        matches = sorted(glob.glob(pattern))
+        matches = files.glob(pattern)
         if not matches:
             raise FileNotFoundError(pattern)
-        for path in matches:
-            found.setdefault(os.path.realpath(path), path)
-    return sorted(found.values(), key=os.path.basename)
+        found |= dict.fromkeys(matches)
+    return sorted(found, key=lambda path: (path.rpartition("/")[2], path))
 
 
 def sample_id(file_name: Column) -> Column:

@@ -22,6 +22,11 @@ class Files:
         fs, where = self._at(path)
         return fs.exists(where)
 
+    def glob(self, pattern: str) -> list[str]:
+        """Files and folders that a pattern names, sorted."""
+        fs, where = self._at(pattern)
+        return sorted(f.getPath().toString() for f in fs.globStatus(where) or [])
+
     def stats(self, path: str) -> list[tuple[str, int, int]]:
         """(path, size, time in milliseconds) of a file, or of all files under a folder but hidden ones, sorted."""
         fs, where = self._at(path)

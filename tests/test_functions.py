@@ -53,9 +53,17 @@ def test_hamilton_ties_and_refusals():
             sampling.hamilton(bad, 3)
 
 
-def test_water_fill():
-    assert sampling.water_fill({"a": 3, "b": 100, "c": 100}, 43) == {"a": 3, "b": 20, "c": 20}
-    assert sum(sampling.water_fill({k: 5 for k in range(9)}, 4).values()) == 4
+@given(st.lists(st.integers(1, 30), max_size=12), st.integers(0, 200))
+def test_level_of_a_budget(sizes, budget):
+    share = sampling.level([(n, 1) for n in sizes], budget)
+    taken = lambda q: sum(min(n, q) for n in sizes)
+    assert taken(share) <= budget and (taken(share + 1) > budget or share == max(sizes, default=0))
+
+
+def test_budget_over_strata(spark):
+    df = spark.createDataFrame([(k, i) for k, n in (("a", 3), ("b", 100), ("c", 100), (None, 50)) for i in range(n)], "k string, i int")
+    count = lambda budget: {r.k: r["count"] for r in sampling.budget_sample(df, "k", ["i"], budget, 1).groupBy("k").count().collect()}
+    assert count(43) == {"a": 3, "b": 20, "c": 20} and count(2) == {"a": 1, "b": 1} and count(0) == {} and sum(count(999).values()) == 203
 
 
 @pytest.mark.parametrize("text", ["a = 1", "a >= 1 AND s <> 'x''y'", 'a IS NOT NULL and "s" IS NULL', "a<=-2.5"])
@@ -96,9 +104,9 @@ def test_labels(spark):
 def test_paths_and_names(spark, tmp_path):
     for n in ("b.x.parquet", "a.y.parquet"):
         (tmp_path / n).write_text("")
-    assert [p.rsplit("/", 1)[1] for p in scan.resolve_paths([f"{tmp_path}/*.parquet", f"{tmp_path}/a*"])] == ["a.y.parquet", "b.x.parquet"]
+    assert [p.rsplit("/", 1)[1] for p in scan.resolve_paths(spark, [f"{tmp_path}/*.parquet", f"{tmp_path}/a*"])] == ["a.y.parquet", "b.x.parquet"]
     with pytest.raises(FileNotFoundError):
-        scan.resolve_paths([f"{tmp_path}/none*"])
+        scan.resolve_paths(spark, [f"{tmp_path}/none*"])
     df = spark.createDataFrame([("/d/s-1.featuremap.parquet", "1a-b.featuremap")], "f string, v string")
     assert tuple(df.select(scan.sample_id(F.col("f")), scan.view_name(F.col("v"))).first()) == ("s-1", "s_1a_b")
 
