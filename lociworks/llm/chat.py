@@ -190,7 +190,9 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("role").cast("string"),
         F.col("text").cast("string"),
     )
-    return digests(format_chat(own.union(spark.createDataFrame(CONTROL_CONVERSATION, "conv_id long, turn long, role string, text string"))))
+    names = own.columns
+    rows = F.array(*[F.struct(*[F.lit(v).cast(own.schema[n].dataType).alias(n) for n, v in zip(names, row)]) for row in CONTROL_CONVERSATION])
+    return digests(format_chat(own.union(spark.range(1).select(F.explode(rows).alias("r")).select("r.*"))))
 
 
 _LEAD_REST = r"([<\[])(\\*)(/?(?:SYS|INST|ROLE)\]|/TURN\]|/?s>)"

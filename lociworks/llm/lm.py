@@ -11,7 +11,7 @@ Counting covers all training documents, and all their tokens and pairs enter the
 filter, those of count 1 too. Its size follows the number of its items, so false
 positives keep their rate however large the corpus grows. It is built in chunks
 by the top bits of the hash. N-grams are dealt to tasks by these bits, a part as
-one row of packed hashes and counts, and added up there. The filter is sent in
+one row of packed hashes and counts, and added up there; the number of parts follows theirs. The filter is sent in
 pieces of at most PIECE_BITS: the driver holds one piece at a time. A task
 holds all pieces if they are HELD_BITS at most; beyond that it reads one after
 the other for each slice of texts, and each n-gram is probed in its piece.
@@ -50,8 +50,10 @@ HEAD = 500_000
 BITS_PER_ITEM, PROBES = 10, 5
 #: Bits of a piece of the filter that is sent at once, and of those that a task holds at a time, at most.
 PIECE_BITS, HELD_BITS = 1 << 28, 1 << 30
-#: Chunks of a small filter and of one of more than SMALL_BITS, and parts in which n-grams are dealt out.
+#: Chunks of a small filter; parts in which n-grams are dealt out, at least, of which a filter of more than SMALL_BITS has as many chunks.
 CHUNKS, PARTS, SMALL_BITS = 256, 4096, 1 << 26
+#: N-grams of a part, on average at most, counted with all their occurrences; a task adds up one part at a time.
+PART_GRAMS = 1 << 21
 SHARE = 0.3
 FOLDS, HELD_OUT = 7, 2
 #: Bytes of text that a task scores at a time.
@@ -112,9 +114,14 @@ def _rows(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
 
-def _packed(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+def parts_for(grams: int) -> int:
+    """In how many parts so many n-grams are dealt out: a power of two that follows their number."""
+    return max(PARTS, 1 << max(0, -(-grams // PART_GRAMS) - 1).bit_length())
+
+
+def _packed(h: np.ndarray, n: np.ndarray, dealt: int = PARTS) -> pa.RecordBatch:
     """One row for each part of n-grams in order: their hashes, and their counts, as bytes."""
-    parts, at = np.unique(chunk_of(h, PARTS), return_index=True)
+    parts, at = np.unique(chunk_of(h, dealt), return_index=True)
     ends = [*at[1:], len(h)]
     bytes_of = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(at, ends)], pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), bytes_of(h), bytes_of(n.astype(np.int64))], ["part", "h", "n"])
@@ -142,7 +149,7 @@ def _counting(batches: Iterable[pa.RecordBatch], grams, told=_rows) -> Iterator[
         yield told(*np.unique(np.concatenate(held), return_counts=True))
 
 
-def packed(grams: DataFrame) -> DataFrame:
+def packed(grams: DataFrame, dealt: int = PARTS) -> DataFrame:
     """Rows (h, n) in parts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,10 +158,10 @@ def packed(grams: DataFrame) -> DataFrame:
             held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
             size += batch.num_rows
             if size > GATHER:
-                yield _packed(*_added(*map(np.concatenate, zip(*held))))
+                yield _packed(*_added(*map(np.concatenate, zip(*held))), dealt)
                 held, size = [], 0
         if held:
-            yield _packed(*_added(*map(np.concatenate, zip(*held))))
+            yield _packed(*_added(*map(np.concatenate, zip(*held))), dealt)
 
     return grams.select("h", "n").mapInArrow(run, _PACKED)
 
@@ -263,16 +270,16 @@ def build_filter(grams: DataFrame, items: int) -> LogFrequencyFilter:
     return filter_of(merged(packed(grams)), items)
 
 
-def filter_of(parts: DataFrame, items: int) -> LogFrequencyFilter:
-    """The filter of merged parts. A chunk is built in memory of its size."""
+def filter_of(parts: DataFrame, items: int, dealt: int = PARTS) -> LogFrequencyFilter:
+    """The filter of merged parts, of which so many were dealt. A chunk is built in memory of its size."""
     bits = max(1 << 16, 1 << (items * BITS_PER_ITEM).bit_length())
-    chunks = CHUNKS if bits <= SMALL_BITS else PARTS
+    chunks = CHUNKS if bits <= SMALL_BITS else dealt
     pieces = min(chunks, max(1, bits // PIECE_BITS))
     chunk_bits = bits // chunks
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in range(3))))
-        for c, own in groupby(rows, key=lambda row: row[0] * chunks // PARTS):
+        for c, own in groupby(rows, key=lambda row: row[0] * chunks // dealt):
             out = np.zeros(chunk_bits // 8, dtype=np.uint8)
             for _, h, top in own:
                 h, top = np.frombuffer(h, dtype=np.uint64), np.frombuffer(top, dtype=np.uint8)
@@ -313,9 +320,10 @@ def train(docs: DataFrame, training) -> tuple[Model, DataFrame]:
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     head = _sorted_arrays(counts.where(F.col("n") >= cut_off(counts, HEAD)))
     near = lambda toks, sizes: pairs(preceding(toks, sizes), toks)
-    parts = merged(packed(counts).unionAll(texts.mapInArrow(lambda b: _counting(b, near, _packed), _PACKED)))
+    dealt = parts_for(2 * int(n))  # tokens and pairs
+    parts = merged(packed(counts, dealt).unionAll(texts.mapInArrow(lambda b: _counting(b, near, lambda h, n: _packed(h, n, dealt)), _PACKED)))
     items = parts.agg(F.coalesce(F.sum("items"), F.lit(0))).first()[0]
-    return Model(filter_of(parts, int(items)), int(n), int(v), *head), counts
+    return Model(filter_of(parts, int(items), dealt), int(n), int(v), *head), counts
 
 
 def _add_up(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:

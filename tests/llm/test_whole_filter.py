@@ -33,3 +33,13 @@ def test_size_follows_the_items(spark):
     few = spark.range(1000).select(F.xxhash64("id").alias("h"), F.lit(1).cast("long").alias("n"))
     sizes = [f.chunks * f.chunk_bits for f in (lm.build_filter(few, items) for items in (1000, 1 << 25))]
     assert sizes[1] >= (1 << 25) * lm.BITS_PER_ITEM
+
+
+def test_parts_follow_the_number_of_grams(spark, monkeypatch):
+    assert [lm.parts_for(n) for n in (0, 1, lm.PARTS * lm.PART_GRAMS, lm.PARTS * lm.PART_GRAMS + 1)] == [lm.PARTS, lm.PARTS, lm.PARTS, 2 * lm.PARTS]
+    grams = spark.createDataFrame([(int(h), int(n)) for h, n in zip(lm.mixed(np.arange(5000, dtype=np.uint64)).view(np.int64), [1, 3, 70] * 1667)], "h long, n long")
+    monkeypatch.setattr(lm, "SMALL_BITS", 1 << 10)
+    items = int(lm.levels(np.array([r.n for r in grams.collect()])).sum())
+    h = lm.mixed(np.arange(5000, dtype=np.uint64))
+    few, many = (lm.filter_of(lm.merged(lm.packed(grams, dealt)), items, dealt).count(h) for dealt in (16, 64))
+    assert (few > 0).all() and (many > 0).all() and (few[:3] == many[:3]).all()
