@@ -74,6 +74,19 @@ class Landmarks:
             yield np.flatnonzero((least <= most + slack) & (self.n > 0))
 
 
+    def between(self, v: np.ndarray, far: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query (balls that rows of about the given distances may lie in, for each distance how many rows other balls have nearer).
+
+        Balls about the query itself are among those to meet, so its own row is never counted unseen.
+        """
+        slack = 10.0**-DIGITS
+        for d, at in zip(apart(v, self.v), far, strict=True):
+            least, most = np.maximum(0.0, np.maximum(d - self.far, self.near - d)), d + self.far
+            within = most[:, None] < at[None] - slack
+            meets = ((least[:, None] <= at[None] + slack) & ~within).any(1) | (least <= slack)
+            yield np.flatnonzero(meets & (self.n > 0)), (self.n[:, None] * (within & ~meets[:, None])).sum(0)
+
+
 @dataclass(frozen=True)
 class Index:
     #: (id, v, ball, cell) of all rows, written down.
@@ -166,3 +179,59 @@ def met_share(queries: DataFrame, index: Index, k: int, itself: bool = False) ->
     all_pairs = queries.agg(F.count("*")).scalar() * int(index.marks.n.sum())
     one = met.agg(F.coalesce(F.sum(F.col("asked") * F.col("n")), F.lit(0)).alias("met"))
     return one.select(F.expr("cast(0 as bigint)").alias("pairs") + all_pairs, "met").toDF("pairs", "met").withColumn("pruned", 1 - F.col("met") / F.col("pairs"))
+
+
+def ranks(pairs: DataFrame, rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(q, id, rank): of pairs (q, id) the exact rank of id by distance from q among all other rows, from 1; equal distances by id.
+
+    Balls that are wholly nearer than id count without being met, those wholly further not at all. Rows of the others are
+    compared in cells, and the counts are added up.
+    """
+    index, own = build(rows, id_col, vector), as_vectors(rows, id_col, vector, "id")
+    gap = F.round(F.sqrt(F.aggregate(F.zip_with("v", "w", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)), DIGITS)
+    sides = pairs.select("q", "id").distinct().join(own.withColumnRenamed("v", "w"), "id").join(own.select(F.col("id").alias("q"), "v"), "q")
+    wanted = sides.withColumn("d", gap).groupBy("q").agg(F.first("v").alias("v"), F.array_sort(F.collect_list(F.struct("d", "id"))).alias("w"))
+    asked = wanted.select("q", "v", F.transform("w", lambda x: x["d"]).alias("far"), F.transform("w", lambda x: x["id"]).alias("ids"))
+    sent = rows.sparkSession.sparkContext.broadcast(index.marks)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query once for each cell that it meets, and once, without a cell, with what it need not meet."""
+        marks = sent.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at, ball, cell, nearer = [], [], [], []
+            far = [np.array(x) for x in batch.column("far").to_pylist()]
+            for i, (met, n) in enumerate(marks.between(matrix(batch.column("v")), far)):
+                at.append(i)
+                ball.append(-1)
+                cell.append(-1)
+                nearer.append(n.tolist())
+                for b in met:
+                    k = int(marks.cells[b])
+                    at += [i] * k
+                    ball += [int(b)] * k
+                    cell += range(k)
+                    nearer += [None] * k
+            taken = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(ball, pa.int32()), pa.array(cell, pa.int32()), pa.array(nearer, pa.list_(pa.int64()))], [*taken.schema.names, "ball", "cell", "nearer"])
+
+    routes = checkpointed(asked.mapInArrow(route, "q long, v array<double>, far array<double>, ids array<long>, ball int, cell int, nearer array<long>"))
+    unmet = routes.where("ball < 0").select("q", F.explode(F.arrays_zip("ids", "nearer")).alias("x")).select("q", F.col("x.ids").alias("id"), F.col("x.nearer").alias("n"))
+    left, right = in_waves(routes.where("ball >= 0").drop("nearer"), index.rows, ["ball", "cell"])
+
+    def count(a: pa.Table, b: pa.Table) -> pa.Table:
+        out: tuple[list, list, list] = ([], [], [])
+        if a.num_rows and b.num_rows:
+            other, d = b.column("id").to_numpy(), np.round(apart(matrix(a.column("v")), matrix(b.column("v"))), DIGITS)
+            for q, own_d, far, ids in zip(a.column("q").to_pylist(), d, a.column("far").to_pylist(), a.column("ids").to_pylist(), strict=True):
+                kept = other != q
+                for w, i in zip(far, ids, strict=True):
+                    n = int((kept & ((own_d < w) | ((own_d == w) & (other < i)))).sum())
+                    for c, x in zip(out, (q, i, n), strict=True):
+                        c.append(x)
+        return pa.table({"q": pa.array(out[0], pa.int64()), "id": pa.array(out[1], pa.int64()), "n": pa.array(out[2], pa.int64())})
+
+    key = ["ball", "cell", "wave"]
+    met = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(count, "q long, id long, n long")
+    return met.unionAll(unmet).groupBy("q", "id").agg((F.sum("n") + 1).alias("rank"))

@@ -1,59 +1,12 @@
-"""Exact nearest neighbours of a query set among all rows, in blocks, and what is built on them."""
+"""Exact nearest neighbours of a query set among all rows, and what is built on them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
-from functools import reduce
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.checkpoint import checkpointed
 from . import balls
-from .ranks import placed, quantiles
-
-#: Query vectors that are sent to the tasks at once.
-BLOCK = 4096
-#: Digits that distances are rounded to before they are compared; ties go to the lower id.
-DIGITS = 6
-#: Differences that a task holds at a time.
-CHUNK = 1 << 22
-
-
-def _as_vectors(df: DataFrame, id_col: str, vector: str, name: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias(name), F.col(vector).cast("array<double>").alias("v"))
-
-
-def _blocks(queries: DataFrame, rows: DataFrame, columns: list[str], search: Callable, schema: str) -> DataFrame:
-    """What search(numpy columns of a block of queries) makes of the batches of rows, block after block.
-
-    The queries are numbered and written down, and the driver holds one block at a time. If there are several, each
-    one's result is written down before the next is sent.
-    """
-    numbered = checkpointed(placed(queries, ["q"]).withColumn("_block", F.floor(F.col("_before") / BLOCK)))
-    blocks, out = (numbered.agg(F.max("_block")).first()[0] or 0) + 1, []
-    for k in range(blocks):
-        got = numbered.where(F.col("_block") == k).select("q", "v", *columns).toArrow()
-        v = np.array(got.column("v").to_pylist(), dtype=np.float64).reshape(got.num_rows, -1 if got.num_rows else 1)
-        rest = [np.array(got.column(c).to_pylist()) for c in columns]
-        sent = rows.sparkSession.sparkContext.broadcast((got.column("q").to_numpy(), v, *rest))
-        found = rows.mapInArrow(lambda batches, sent=sent: search(batches, *sent.value), schema)
-        if blocks > 1:
-            found = checkpointed(found)
-            sent.unpersist()
-        out.append(found)
-    return reduce(DataFrame.unionAll, out)
-
-
-def _distances(v: np.ndarray, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, distances of all queries to them) of a batch, a part at a time."""
-    other = batch.column(0).to_numpy()
-    x = np.array(batch.column(1).to_pylist(), dtype=np.float64).reshape(len(other), -1)
-    step = max(1, CHUNK // max(1, v.size))
-    for a in range(0, len(other) if len(v) else 0, step):
-        yield other[a : a + step], np.round(np.sqrt(((v[:, None, :] - x[None, a : a + step, :]) ** 2).sum(2)), DIGITS)
+from .ranks import quantiles
 
 
 def knn_join(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", itself: bool = False) -> DataFrame:
@@ -66,34 +19,8 @@ def knn_join(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id"
 
 
 def ranks_among_all(pairs: DataFrame, rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(q, id, rank): of pairs (q, id) the exact rank of id by distance from q among all other rows, from 1.
-
-    Tasks count rows that are nearer, and the counts are added up; no list is cut.
-    """
-    own = _as_vectors(rows, id_col, vector, "id")
-    gap = F.round(F.sqrt(F.aggregate(F.zip_with("v", "w", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)), DIGITS)
-    apart = pairs.select("q", "id").distinct().join(own.withColumnRenamed("v", "w"), "id").join(
-        own.select(F.col("id").alias("q"), "v"),
-        "q",
-    ).withColumn("d", gap)
-    wanted = apart.groupBy("q").agg(F.first("v").alias("v"), F.array_sort(F.collect_list(F.struct("d", "id"))).alias("w"))
-    most = wanted.agg(F.max(F.size("w"))).first()[0] or 0
-    # as many for each query, so that they are a table: those that are missing are further than any row
-    padded = F.concat("w", F.array_repeat(F.struct(F.lit(float("inf")).alias("d"), F.lit(-1).cast("long").alias("id")), F.lit(most) - F.size("w")))
-    asked = wanted.select("q", "v", F.transform(padded, lambda x: x["d"]).alias("far"), F.transform(padded, lambda x: x["id"]).alias("ids"))
-
-    def search(batches: Iterable[pa.RecordBatch], q: np.ndarray, v: np.ndarray, far: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-        nearer = np.zeros((len(q), most), dtype=np.int64)
-        for batch in batches:
-            for other, d in _distances(v, batch):
-                d = np.where(other[None] == q[:, None], np.inf, d)
-                for j in range(most):
-                    nearer[:, j] += ((d < far[:, j, None]) | ((d == far[:, j, None]) & (other[None] < ids[:, j, None]))).sum(1)
-        if len(q):
-            ok = ids.ravel() >= 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, most)[ok]), pa.array(ids.ravel()[ok]), pa.array(nearer.ravel()[ok])], ["q", "id", "n"])
-
-    return _blocks(asked, own, ["far", "ids"], search, "q long, id long, n long").groupBy("q", "id").agg((F.sum("n") + 1).alias("rank"))
+    """(q, id, rank): of pairs (q, id) the exact rank of id by distance from q among all other rows, from 1; no list is cut."""
+    return balls.ranks(pairs, rows, id_col, vector)
 
 
 def knn_overlap(a: DataFrame, b: DataFrame, k: int) -> DataFrame:

@@ -177,3 +177,14 @@ def test_validity_tells_separate_from_mixed(spark):
     assert density.validity_summary(mixed).first().point_share_negative == 1
     one = density.validity(df.selectExpr("id", "v", "0 label")).first()
     assert one.separation is None and one.score is None
+
+
+@pytest.mark.parametrize("cell", [2048, 6])
+def test_ranks_equal_brute_force(spark, monkeypatch, cell):
+    monkeypatch.setattr(balls, "CELL", cell)
+    v = np.concatenate([blobs(3), np.repeat([[1.0, 1.0]], 40, axis=0), [[500, 500]]])
+    rng = np.random.default_rng(1)
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, len(v), (300, 2)) if a != b} | {(len(v) - 1, 0), (len(v) - 2, len(v) - 3), (0, len(v) - 1)}
+    got = balls.ranks(spark.createDataFrame(sorted(pairs), "q long, id long"), frame(spark, v), "id", "v").collect()
+    place = {(i, j): p for i, j, _, p in slow_nearest(v, v, len(v), False)}
+    assert {(r.q, r.id): r["rank"] for r in got} == {p: place[p] for p in pairs}
