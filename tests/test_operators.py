@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lociworks.functions.encode import FeatureSpec
-from lociworks.operators import dedup, latent, models, moments, neighbours, sampling
+from lociworks.operators import balls, dedup, latent, models, moments, neighbours, sampling
 from lociworks.sources import export
 from lociworks.streaming import spectrum_stream
 from lociworks.streaming.spectrum_stream import early_stop
@@ -80,7 +80,7 @@ def test_nested_samples_are_nested(spark):
 
 
 def test_neighbours_with_duplicates(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "BLOCK", 3)
+    monkeypatch.setattr(balls, "WAVE", 3)
     rng = np.random.default_rng(2)
     x = rng.normal(size=(60, 3)).astype(np.float32)
     x[10] = x[20]
