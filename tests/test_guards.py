@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lociworks.functions import hashing
-from lociworks.operators import histograms, joins, latent, neighbours, quality, ranks, reports, sampling
+from lociworks.operators import balls, histograms, joins, latent, neighbours, quality, ranks, reports, sampling
 from lociworks.sources import export
 
 
@@ -65,7 +65,7 @@ def test_exact_quantiles_and_ranks(spark):
 
 
 def test_exact_ranks_of_neighbours(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "BLOCK", 2)
+    monkeypatch.setattr(balls, "WAVE", 2)
     x = np.random.default_rng(5).integers(0, 6, (50, 2)).astype(float)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     pairs = [(0, 7), (0, 3), (10, 11), (20, 49), (20, 1), (20, 2)]
