@@ -57,9 +57,9 @@ PART_GRAMS = 1 << 21
 SHARE = 0.3
 FOLDS, HELD_OUT = 7, 2
 #: Bytes of text that a task scores at a time.
-SLICE = 3 << 20
+SLICE = 2 << 20
 #: Entries that a counting task gathers before it passes them on.
-GATHER = 1 << 21
+GATHER = 1 << 20
 
 _END = np.uint64(0x9E3779B97F4A7C15)  # the end token's hash; no word has the empty text
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
