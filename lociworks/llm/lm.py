@@ -295,7 +295,9 @@ def filter_of(parts: DataFrame, items: int, dealt: int = PARTS) -> LogFrequencyF
         for c, own in made.where(F.col("chunk").between(first, first + each - 1)).collect():  # PIECE_BITS together
             at = (c - first) * (chunk_bits // 8)
             out[at : at + chunk_bits // 8] |= np.frombuffer(own, dtype=np.uint8)
-        sent.append(parts.sparkSession.sparkContext.broadcast(out))
+        piece = parts.sparkSession.sparkContext.broadcast(out)
+        vars(piece).pop("_value", None)  # only tasks read it, so the driver keeps no copy
+        sent.append(piece)
     return LogFrequencyFilter(sent, chunks, chunk_bits)
 
 
