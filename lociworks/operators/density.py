@@ -48,15 +48,23 @@ def nearest_other(points: DataFrame) -> DataFrame:
         none = pa.table({"id": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "w": pa.array([], pa.float64())})
         if not x.num_rows or not y.num_rows:
             return none
-        y = y.sort_by("id")
         column = lambda t, c: t.column(c).to_numpy()
-        d = np.round(balls.apart(balls.matrix(x.column("v")), balls.matrix(y.column("v"))), balls.DIGITS)
-        w = np.maximum(np.maximum(d, column(x, "core")[:, None]), column(y, "core")[None])
-        w = np.where(column(x, "part")[:, None] == column(y, "part")[None], np.inf, w)
-        best = w.argmin(1)  # the lowest id of those that are nearest
-        least = w[np.arange(len(w)), best]
-        ok = np.isfinite(least)
-        return pa.table({"id": column(x, "id")[ok], "other": column(y, "id")[best][ok], "w": least[ok]}) if ok.any() else none
+        v, others, core, its_core = balls.matrix(x.column("v")), balls.matrix(y.column("v")), column(x, "core"), column(y, "core")
+
+        def reach(side: int) -> np.ndarray:
+            """Squares of mutual reachability from below or above, infinite within a part."""
+            w = np.maximum(np.maximum(balls.squares(v, others, side), (core**2)[:, None]), (its_core**2)[None])
+            w[column(x, "part")[:, None] == column(y, "part")[None]] = np.inf
+            return w
+
+        least = reach(1).min(1)
+        some = np.flatnonzero(np.isfinite(least))
+        i, j = np.nonzero(reach(-1)[some] <= balls.reached(np.sqrt(least[some]))[:, None])
+        i = some[i]
+        w = np.maximum(np.maximum(balls.pairs_apart(v, others, i, j), core[i]), its_core[j])
+        order = np.lexsort((column(y, "id")[j], w, i))  # the lowest id of those that are nearest
+        first = order[np.flatnonzero(np.diff(i[order], prepend=-1))]
+        return pa.table({"id": column(x, "id")[i[first]], "other": column(y, "id")[j[first]], "w": w[first]}) if len(first) else none
 
     found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(search, "id long, other long, w double")
     least = found.groupBy("id").agg(F.min(F.struct("w", "other")).alias("e"))
