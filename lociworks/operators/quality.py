@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.checkpoint import small_side
+from ..sources.checkpoint import checkpointed, small_side
 from .ranks import placed, quantiles, value_ranks
 
 
@@ -103,6 +103,7 @@ def positional_split(df: DataFrame, order: str, fraction: float, seed: int) -> D
 
 def pair_distance_correlation(pairs: DataFrame, high: str, low: str) -> DataFrame:
     """One row: Pearson correlation of two distance columns, and Spearman's, as Pearson of average ranks among distinct values."""
+    pairs = checkpointed(pairs)  # they are read three times
 
     def ranks(column: str) -> DataFrame:
         return value_ranks(pairs, [], column).select(column, (F.col("before") + (F.col("n") + 1) / 2).alias(f"r_{column}"))
