@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.spectrum import channels
+from ..functions.spectrum import canonical_label, channels
+from ..sources.checkpoint import checkpointed
+
+#: Reference, alternative and the bases on both sides.
+BASES = ["REF", "ALT", "X_PREV1", "X_NEXT1"]
 
 
 def spectrum_counts(df: DataFrame, label: str = "cluster_label", channel: str = "channel") -> DataFrame:
@@ -13,8 +17,16 @@ def spectrum_counts(df: DataFrame, label: str = "cluster_label", channel: str =
     return df.where((F.col(label) >= 0) & F.col(channel).isNotNull()).groupBy(label, channel).agg(F.count("*").alias("n"))
 
 
+def counts_by_bases(df: DataFrame, label: str = "cluster_label", **more: Column) -> DataFrame:
+    """spectrum_counts() of rows without a channel, and sums of more counts: rows are counted by their bases, and only those groups get labels."""
+    counted = df.where(F.col(label) >= 0).groupBy(label, *BASES).agg(F.count("*").alias("n"), *[c.alias(k) for k, c in more.items()])
+    named = counted.withColumn("channel", canonical_label(*map(F.col, BASES))).where("channel IS NOT NULL")
+    return named.groupBy(label, "channel").agg(*[F.sum(k).alias(k) for k in ("n", *more)])
+
+
 def matrix_long(counts: DataFrame, label: str = "cluster_label") -> DataFrame:
     """(label, channel, n) for every cluster and each of the 96 channels, zeros written out."""
+    counts = checkpointed(counts)  # at most 96 rows a cluster, which are read twice
     every = counts.select(label).distinct().withColumn("channel", F.explode(F.array(*map(F.lit, channels()))))
     return every.join(counts, [label, "channel"], "left").select(label, "channel", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 

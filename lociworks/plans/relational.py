@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import encode, filters, spectrum
@@ -134,8 +134,8 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return featuremap(spark, sf_dir).withColumn("channel", spectrum.canonical_label(c("REF"), c("ALT"), c("X_PREV1"), c("X_NEXT1")))
 
 
-def spectrum_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spectra.spectrum_counts(labelled(spark, sf_dir))
+def spectrum_of(spark: SparkSession, sf_dir: str, **more: Column) -> DataFrame:
+    return spectra.counts_by_bases(featuremap(spark, sf_dir), **more)
 
 
 @named(f"{_L} SELECT cluster_label, channel, count(*) AS n FROM lab GROUP BY ALL")
@@ -171,7 +171,7 @@ _WIDE = ", ".join(f"CAST(sum(n) FILTER (cluster_label = {k}) AS BIGINT) AS clust
 
 @named(f"{_LONG} SELECT channel, {_WIDE} FROM lng GROUP BY channel")
 def sbs96_matrix_pivot(spark, sf_dir):
-    return spectra.matrix_wide(spectra.matrix_long(checkpointed(spectrum_of(spark, sf_dir))))
+    return spectra.matrix_wide(spectra.matrix_long(spectrum_of(spark, sf_dir)))
 
 
 @named(f"{_L} SELECT count(*) FILTER (cluster_label < 0) AS noise_rows, count(*) FILTER (channel IS NULL) AS unclassified_rows, count(*) AS n_rows FROM lab")
