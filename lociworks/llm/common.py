@@ -74,6 +74,11 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df, to be joined by a shuffle whatever Spark takes its size to be, so that it never passes through the driver."""
+    return df.hint("merge")
+
+
 def text_slices(
     batches: Iterable[pa.RecordBatch],
     limit: int = SLICE_BYTES,

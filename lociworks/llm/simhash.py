@@ -27,7 +27,8 @@ links, written to the checkpoint folder after each step. Only counts reach the
 driver. What is joined to the members of a component is one row a component; it
 is broadcast up to BROADCAST_ROWS rows, and beyond that written down first, so
 that the join has nothing but shuffles below it and a large component's
-partition can be split.
+partition can be split. All other joins are told to shuffle: Spark sizes a table
+of keys as if exploding made no rows, and would send it through the driver.
 
 Null texts count as empty. Repeated rows give repeated results. An empty table
 gives an empty result. Null ids are kept and never name a component unless all
@@ -48,7 +49,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, checkpointed, table, text_slices, written
+from .common import ASCII_LOWER, checkpointed, shuffled, table, text_slices, written
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SHINGLE, LIMIT, RING, SEED = 4, 4, 8, 42
@@ -57,8 +58,8 @@ SLICE = 2 << 20
 #: Fingerprints of one key that are compared in one task.
 BLOCK = 1024
 _SEGMENT = 64 // RING
-#: Rows of two integers up to which a side of a join is broadcast, 16 MB.
-BROADCAST_ROWS = 1_000_000
+#: Rows of two integers up to which a side of a join is broadcast, some 10 MB as a hash table.
+BROADCAST_ROWS = 100_000
 
 
 def _key_sets() -> dict[tuple[int, ...], list[int]]:
@@ -197,7 +198,7 @@ def candidate_links(distinct: DataFrame) -> DataFrame:
     keyed = dealt.select("fp", F.explode(keys(F.col("fp"))).alias("key"))
     # fingerprints of a key in blocks: a block's share is set by the hash of the fingerprint and the size of the key
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = keyed.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    shared = keyed.join(shuffled(sizes), "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     member = shared.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     # one block: the key is compared in one row; more: a row for each pair of blocks
     small = member.where("blocks = 1").groupBy("key").agg(F.collect_list("fp").alias("fps")).select(
@@ -218,7 +219,7 @@ def candidate_links(distinct: DataFrame) -> DataFrame:
 def beside(rows: DataFrame, one: DataFrame, key: str) -> DataFrame:
     """rows joined to a table of one row a key, which many rows may share."""
     one = checkpointed(one)
-    return rows.join(F.broadcast(one) if one.count() <= BROADCAST_ROWS else one, key)
+    return rows.join(F.broadcast(one) if one.count() <= BROADCAST_ROWS else shuffled(one), key)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -247,7 +248,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def rooted(distinct: DataFrame) -> DataFrame:
     """distinct with root, the least fingerprint of each one's component. distinct: checkpointed, one row a fingerprint fp."""
     roots = connected_components(candidate_links(distinct.select("fp")))
-    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
+    return distinct.join(shuffled(roots), distinct["fp"] == roots["node"], "left").select(
         *[distinct[c] for c in distinct.columns],
         F.coalesce("root", "fp").alias("root"),
     )
@@ -259,13 +260,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     distinct = checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = checkpointed(connected_components(candidate_links(distinct.select("fp"))))
     # only fingerprints with a link are joined by component; any other is a component of its own
-    linked = roots.join(distinct, roots["node"] == distinct["fp"]).select("fp", "root", "least")
+    linked = roots.join(shuffled(distinct), roots["node"] == distinct["fp"]).select("fp", "root", "least")
     named = beside(
         linked.select("fp", "root"),
         linked.groupBy("root").agg(F.min("least").alias("named")),
         "root",
     ).select("fp", "named", F.lit(True).alias("linked"))
-    groups = distinct.join(named, "fp", "left").select("fp", F.when(F.col("linked"), F.col("named")).otherwise(F.col("least")).alias("component_id"))
+    groups = distinct.join(shuffled(named), "fp", "left").select("fp", F.when(F.col("linked"), F.col("named")).otherwise(F.col("least")).alias("component_id"))
     return beside(own, groups, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -282,7 +283,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     # exact copies meet by fingerprint first, in part before the shuffle
     each = fingerprints(own, "digest", "key").groupBy("fp").agg(first)
     chosen = rooted(checkpointed(each)).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("key"))
-    return keyed.join(chosen, "key", "left_semi").select(*[F.col(f"row.`{c}`").alias(c) for c in columns])
+    return keyed.join(shuffled(chosen), "key", "left_semi").select(*[F.col(f"row.`{c}`").alias(c) for c in columns])
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
