@@ -35,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, row_key, table, written
+from .common import checkpointed, row_key, shuffled, table, written
 from .words import WORDS_SQL, words
 
 WINDOW = 10
@@ -57,7 +57,7 @@ def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
 
 def small(df: DataFrame) -> DataFrame:
     """A written table, to be broadcast if it has few rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else shuffled(df)
 
 
 def vocabulary(asked: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def index(docs: DataFrame, known: DataFrame) -> DataFrame:
     each = own.select("row", "doc_id", "text_key", F.concat(header, placed).alias("all"))
     each = each.select("row", "doc_id", "text_key", F.explode_outer("all").alias("p")).select("row", "p.term", "p.pos", "doc_id", "text_key")
     sides = known.select("term", "tid").unionAll(docs.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(HEADER).cast("long").alias("tid")))
-    met = each.join(F.broadcast(sides) if known.count() <= BROADCAST_ROWS else sides, "term")
+    met = each.join(F.broadcast(sides) if known.count() <= BROADCAST_ROWS else shuffled(sides), "term")
     return written(met.select("row", "tid", "pos", *[F.when(F.col("tid") == HEADER, F.col(c)).alias(c) for c in ("doc_id", "text_key")]))
 
 
