@@ -1,19 +1,27 @@
 """Density of clusterings: mutual reachability, its least spanning tree, the condensed tree, and validity.
 
 The mutual reachability of two points is the greatest of their distance and both
-core distances. Trees and validity are worked out on samples, whose bounds
-are parameters; all searches are exact on them. Distances are rounded, and ties
-between edges go by weight, then the lower end, then the higher, so a tree is the
-same for any number of tasks.
+core distances. Trees are made of all points; validity is worked out on a sample, whose
+bound is a parameter. Distances are rounded, and ties between edges go by weight,
+then the lower end, then the higher, so a tree is the same for any number of tasks.
+
+Trees. Points lie in cells. Each cell has its own least spanning tree, and each pair of
+cells a task that finds the tree of both: an edge between two points enters a tree only
+if it is less than the greatest edge on the way between them, of which the greater of
+both ways to the tree's root is a bound, so most pairs need no exact distance. The
+whole tree is among the edges of all these. It is taken from them by rounds that each
+join every part to its nearest other, until few edges are left for one task.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +30,12 @@ from . import balls, sampling
 
 #: Rows of a block; each pair of blocks is one group of a search.
 BLOCK = 1024
-#: Rows that a tree is made of at most, and rows of each cluster that validity looks at.
+#: Edges that spanning_tree() brings to the driver at most, less one, and rows of each cluster that validity looks at.
 TREE_ROWS, CLUSTER_ROWS = 20_000, 256
+#: Rows of a cell of a tree at most, cells that are wanted where there are few rows, and rows of a cell that are compared at a time.
+TREE_CELL, TREE_CELLS, TREE_PART = 32768, 16, 2048
+#: Edges from which one task takes the least spanning tree; of more, parts are joined in rounds.
+FINISH = 2_000_000
 #: Least rows of a cluster in the condensed tree.
 LEAST = 5
 
@@ -72,43 +84,233 @@ def nearest_other(points: DataFrame) -> DataFrame:
 
 
 class Parts:
-    """Which part each point belongs to, as parts are joined."""
+    """Which part each point belongs to, as parts are joined; points are numbered from 0."""
 
-    def __init__(self) -> None:
-        self._up: dict[int, int] = {}
+    def __init__(self, n: int) -> None:
+        self._up = array("q", range(n))
 
     def of(self, x: int) -> int:
-        while (up := self._up.get(x, x)) != x:
-            self._up[x] = x = self._up.get(up, up)
+        up = self._up
+        while (to := up[x]) != x:
+            up[x] = x = up[to]
         return x
 
-    def join(self, a: int, b: int) -> bool:
-        a, b = sorted((self.of(a), self.of(b)))
-        if a != b:
-            self._up[b] = a
-        return a != b
+    def join(self, a: int, b: int) -> int:
+        """Joins the parts a and b under the lower number, which it returns."""
+        a, b = (a, b) if a < b else (b, a)
+        self._up[b] = a
+        return a
+
+
+def least_forest(n: int, lo: np.ndarray, hi: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lo, hi, w) of the least spanning forest of n points by given edges lo < hi, the lightest first."""
+    order = np.lexsort((hi, lo, w))
+    lo, hi, w = lo[order], hi[order], w[order]
+    part, left, taken = np.arange(n), np.arange(len(w)), np.zeros(len(w), dtype=bool)
+    while True:
+        a, b = part[lo[left]], part[hi[left]]
+        apart = a != b
+        left, a, b = left[apart], a[apart], b[apart]
+        if not len(left):
+            return lo[taken], hi[taken], w[taken]
+        best = np.full(n, len(left))
+        np.minimum.at(best, a, np.arange(len(left)))
+        np.minimum.at(best, b, np.arange(len(left)))
+        own = np.flatnonzero(best < len(left))
+        taken[left[best[own]]] = True
+        to = np.arange(n)
+        to[own] = a[best[own]] + b[best[own]] - own
+        both = own[(to[to[own]] == own) & (own < to[own])]  # two parts that chose the same edge; there are no other circles
+        to[both] = both
+        while (to != to[to]).any():
+            to = to[to]
+        part = to[part]
+
+
+def greatest_to_root(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """For each point of a tree whose edges are in order the number of the last of them on the way to an end of the first; -1 for that end."""
+    ends = np.concatenate([lo, hi])
+    order = np.argsort(ends, kind="stable")
+    begin = np.searchsorted(ends[order], np.arange(n + 1)).tolist()
+    edge, other = (order % len(lo)).tolist(), np.concatenate([hi, lo])[order].tolist()
+    last, seen, stack = [-1] * n, bytearray(n), [int(lo[0])]
+    seen[stack[0]] = 1
+    while stack:
+        x = stack.pop()
+        for k in range(begin[x], begin[x + 1]):
+            y = other[k]
+            if not seen[y]:
+                seen[y] = 1
+                last[y] = edge[k] if edge[k] > last[x] else last[x]
+                stack.append(y)
+    return np.array(last)
+
+
+Tree = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+class Growing:
+    """The least spanning tree of points that are in order of their ids, as pairs of parts are compared."""
+
+    def __init__(self, v: np.ndarray, core: np.ndarray) -> None:
+        self.v, self.core = v, core
+
+    def _exact(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.maximum(np.maximum(balls.pairs_apart(self.v, self.v, i, j), self.core[i]), self.core[j])
+
+    def _take(self, tree: Tree, new: list[Tree]) -> Tree:
+        return least_forest(len(self.v), *map(np.concatenate, zip(tree, *new)))
+
+    def _reach(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Squares of mutual reachability, about."""
+        d = np.maximum(np.maximum(balls.squares(self.v[a], self.v[b], -1), (self.core[a] ** 2)[:, None]), (self.core[b] ** 2)[None])
+        return np.where(np.isnan(d), np.inf, d)
+
+    def of_part(self, at: np.ndarray) -> Tree:
+        """The tree of one part: any light tree first, which few and then all of its rows are compared by."""
+        tree = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if len(at) < 2:
+            return tree
+        d = self._reach(at, at)
+        np.fill_diagonal(d, np.inf)
+        i, j = np.concatenate([at, np.full(len(at) - 1, at[0])]), np.concatenate([at[d.argmin(1)], at[1:]])
+        i, j = np.minimum(i, j), np.maximum(i, j)
+        i, j = i[i < j], j[i < j]
+        tree = self._take(tree, [(i, j, self._exact(i, j))])
+        return self.compare(tree, [(at, [at[:128]]), (at, [at])])
+
+    def bridge(self, a: np.ndarray, b: np.ndarray) -> Tree:
+        """A light edge between two parts, of which one at least must be in a tree that spans both."""
+        a, b = a[:TREE_PART], b[:TREE_PART]
+        i, j = np.unravel_index(self._reach(a, b).argmin(), (len(a), len(b)))
+        x, y = np.array([min(a[i], b[j])]), np.array([max(a[i], b[j])])
+        return x, y, self._exact(x, y)
+
+    def compare(self, tree: Tree, pairs: list[tuple[np.ndarray, list[np.ndarray]]]) -> Tree:
+        """The tree after each part has been compared with others; tree spans all points."""
+        for x, others in pairs:
+            lo, hi, w = tree
+            last = greatest_to_root(len(self.v), lo, hi)
+            most = np.where(last >= 0, w[last], 0.0)
+            far, new = balls.reached(most), []
+            for y in others:
+                i, j = np.nonzero(balls.squares(self.v[x], self.v[y], -1) <= np.maximum(far[x][:, None], far[y][None]))
+                i, j = x[i], y[j]
+                for at in range(0, len(i), balls.CHUNK):
+                    a, b = np.minimum(i[at : at + balls.CHUNK], j[at : at + balls.CHUNK]), np.maximum(i[at : at + balls.CHUNK], j[at : at + balls.CHUNK])
+                    e = np.maximum(last[a], last[b])
+                    ok = (a < b) & (np.maximum(self.core[a], self.core[b]) <= w[e])
+                    a, b, e = a[ok], b[ok], e[ok]
+                    d = self._exact(a, b)
+                    less = (d < w[e]) | ((d == w[e]) & ((a < lo[e]) | ((a == lo[e]) & (b < hi[e]))))
+                    new.append((a[less], b[less], d[less]))
+            tree = self._take(tree, new)
+        return tree
+
+
+def _cut(at: np.ndarray) -> list[np.ndarray]:
+    return [at[i : i + TREE_PART] for i in range(0, len(at), TREE_PART)]
+
+
+def _points(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return t.column("id").to_numpy(), balls.matrix(t.column("v")), t.column("core").to_numpy()
+
+
+def _tree_within(t: pa.Table) -> pa.Table:
+    """The points of a cell in order of their ids; all but the last carry an edge of the cell's tree."""
+    t = t.sort_by("id")
+    ids, v, core = _points(t)
+    grown, parts = Growing(v, core), _cut(np.arange(len(ids)))
+    tree = grown._take(grown.of_part(parts[0]), [x for p in parts[1:] for x in (grown.of_part(p), grown.bridge(parts[0], p))])
+    if len(parts) > 1:
+        tree = grown.compare(tree, [(p, parts[k + 1 :]) for k, p in enumerate(parts[:-1])])
+    lo, hi, w = tree
+    filled = lambda x, kind: pa.array([*x.tolist(), *[None] * (len(ids) - len(x))], kind)
+    for name, x, kind in (("a", ids[lo], pa.int64()), ("b", ids[hi], pa.int64()), ("w", w, pa.float64())):
+        t = t.append_column(name, filled(x, kind))
+    return t
+
+
+def _tree_between(x: pa.Table, y: pa.Table) -> pa.Table:
+    """Edges between two cells that are in the tree of both."""
+    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "w": pa.array([], pa.float64())})
+    if not x.num_rows or not y.num_rows:
+        return none
+    both = pa.concat_tables([t.select(["id", "v", "core", "a", "b", "w"]).append_column("side", pa.array([k] * t.num_rows, pa.int8())) for k, t in enumerate((x, y))]).sort_by("id")
+    ids, v, core = _points(both)
+    side = both.column("side").to_numpy()
+    own = both.filter(pc.is_valid(both.column("w")))
+    ends = [np.searchsorted(ids, own.column(c).to_numpy()) for c in ("a", "b")]
+    left, right = (_cut(np.flatnonzero(side == k)) for k in (0, 1))
+    grown = Growing(v, core)
+    tree = grown._take((*ends, own.column("w").to_numpy()), [grown.bridge(left[0], right[0])])
+    lo, hi, w = grown.compare(tree, [(p, right) for p in left])
+    met = side[lo] != side[hi]
+    return pa.table({"a": ids[lo[met]], "b": ids[hi[met]], "w": w[met]})
+
+
+def tree_edges(points: DataFrame) -> DataFrame:
+    """(a, b, w), written down, of the least spanning tree of any number of points (id, v, core)."""
+    n = points.count()
+    cells = max(1, math.ceil(n / TREE_CELL), min(TREE_CELLS, math.ceil(n / TREE_PART)))
+    dealt = points.select("id", "v", "core", F.pmod(F.xxhash64("id"), F.lit(cells)).cast("int").alias("cell"))
+    held = checkpointed(dealt.groupBy("cell").applyInArrow(_tree_within, "id long, v array<double>, core double, cell int, a long, b long, w double"))
+    edges = held.where("w IS NOT NULL").select("a", "b", "w")
+    if cells > 1:
+        left = held.where(F.col("cell") < cells - 1).select("*", F.explode(F.sequence(F.col("cell") + 1, F.lit(cells - 1))).alias("other"))
+        right = held.where("cell > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("cell") - 1)).alias("other"))
+        met = left.groupBy("cell", "other").cogroup(right.groupBy("other", "cell")).applyInArrow(_tree_between, "a long, b long, w double")
+        edges = edges.unionAll(met)
+    return least_tree(checkpointed(edges))
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least spanning tree of the parts that edges (x, y, a, b, w) join."""
+    t = pa.Table.from_batches(batches, pa.schema([(c, pa.int64()) for c in ("x", "y", "a", "b")] + [("w", pa.float64())]))
+    x, y, a, b, w = (c.to_numpy() for c in t.columns)
+    # edges are in order of (w, a, b), so their places are weights without ties
+    order = np.lexsort((b, a, w))
+    parts, at = np.unique(np.concatenate([x[order], y[order]]), return_inverse=True)
+    i, j = at[: len(x)], at[len(x) :]
+    taken = order[least_forest(len(parts), np.minimum(i, j), np.maximum(i, j), np.arange(len(x)))[2]]
+    yield pa.RecordBatch.from_arrays([pa.array(a[taken]), pa.array(b[taken]), pa.array(w[taken])], ["a", "b", "w"])
+
+
+def least_tree(edges: DataFrame) -> DataFrame:
+    """(a, b, w), written down: the least spanning tree by edges (a, b, w).
+
+    A round joins every part to its nearest other, at least halves the parts, and leaves the least edge between any two.
+    """
+    left, out = edges.select(F.col("a").alias("x"), F.col("b").alias("y"), "a", "b", "w"), None
+    while left.count() > FINISH:
+        e = F.struct("w", "a", "b").alias("e")
+        both = left.select("x", "y", e).unionAll(left.select(F.col("y").alias("x"), F.col("x").alias("y"), e))
+        best = checkpointed(both.groupBy("x").agg(F.min(F.struct("e", "y")).alias("m")).select("x", F.col("m.y").alias("y"), "m.e"))
+        taken = best.select("e.a", "e.b", "e.w").distinct()
+        out = taken if out is None else out.unionAll(taken)
+        # the two parts that chose the same edge have the lower one for a root; others follow theirs
+        back = best.select(F.col("x").alias("y"), F.col("y").alias("_back"))
+        up = checkpointed(best.join(back.hint("merge"), "y").select("x", F.when((F.col("_back") == F.col("x")) & (F.col("x") < F.col("y")), F.col("x")).otherwise(F.col("y")).alias("up")))
+        while True:
+            higher = up.select(F.col("x").alias("up"), F.col("up").alias("top"))
+            now = checkpointed(up.join(higher.hint("merge"), "up").select("x", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+            up = now.select("x", "up")
+            if now.where("moved").isEmpty():
+                break
+        root = lambda c: up.select(F.col("x").alias(c), F.col("up").alias(f"_{c}")).hint("merge")
+        moved = left.join(root("x"), "x").join(root("y"), "y").where("_x <> _y")
+        kept = moved.groupBy(F.least("_x", "_y").alias("x"), F.greatest("_x", "_y").alias("y")).agg(F.min(F.struct("w", "a", "b")).alias("e"))
+        left = checkpointed(kept.select("x", "y", "e.a", "e.b", "e.w"))
+    last = left.coalesce(1).mapInArrow(_finish, "a long, b long, w double")
+    return checkpointed(last if out is None else out.unionAll(last))
 
 
 def spanning_tree(points: DataFrame, most: int = TREE_ROWS) -> list[tuple[float, int, int]]:
-    """(w, a, b) of the least spanning tree of points (id, v, core), the lightest first, by rounds that each join every part to its nearest other.
-
-    A round at least halves the parts. Its least edge of each part comes to the driver, which holds no more than there are points.
-    """
-    own, n = points.select("id", "v", "core"), points.count()
+    """(w, a, b) of the least spanning tree of few points (id, v, core), the lightest first, on the driver."""
+    n = points.count()
     if n > most:
-        raise ValueError(f"a tree of {n} points: sample at most {most}")
-    parts, edges = Parts(), set()
-    own = checkpointed(own.withColumn("part", F.col("id")))
-    while len(edges) < n - 1:
-        e = F.struct("w", F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).alias("e")
-        found = nearest_other(own).join(own.select("id", "part"), "id").select("part", e).groupBy("part").agg(F.min("e").alias("e"))
-        for r in sorted((tuple(r.e) for r in found.collect())):
-            if parts.join(r[1], r[2]):
-                edges.add(r)
-        ids = sorted({x for _, a, b in edges for x in (a, b)})
-        now = pa.table({"id": pa.array(ids, pa.int64()), "now": pa.array([parts.of(i) for i in ids], pa.int64())})
-        own = checkpointed(own.join(own.sparkSession.createDataFrame(now), "id", "left").select("id", "v", "core", F.coalesce("now", "part").alias("part")))
-    return sorted(edges)
+        raise ValueError(f"a tree of {n} points on the driver, which takes at most {most}: tree_edges has no bound")
+    return sorted((r.w, r.a, r.b) for r in tree_edges(points).collect())
 
 
 def density(w: float) -> float:
@@ -125,39 +327,56 @@ def condense(edges: list[tuple[float, int, int]], ids: list[int], least: int = L
     chosen clusters within them are chosen, the root never; clusters within a chosen one share its label and greatest lambda.
     Labels are in the order of the chosen clusters' least points.
     """
-    parts = Parts()
-    members: dict[int, list[int]] = {i: [i] for i in ids}
-    size, cluster = dict.fromkeys(ids, 1), dict.fromkeys(ids, 0)
-    fallen: dict[int, tuple[int, float]] = {}
+    ids, weights = np.sort(np.array(ids, np.int64)), np.array([e[0] for e in edges])
+    ends = [np.searchsorted(ids, np.array([e[k] for e in edges], np.int64)) for k in (1, 2)]
+    at, lam, clusters = condensed(len(ids), *ends, weights, least)
+    some = np.flatnonzero(at)
+    return list(zip(ids[some].tolist(), at[some].tolist(), lam[some].tolist())), clusters
+
+
+def condensed(n: int, lo: np.ndarray, hi: np.ndarray, w: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+    """condense() of points 0 to n - 1 and edges lo < hi: (cluster or 0, lambda) of each point, and the clusters. Some 100 bytes a point."""
+    order = np.lexsort((hi, lo, w))
+    parts, size, cluster = Parts(n), array("q", [1]) * n, array("q", [0]) * n
+    members: dict[int, list[int]] = {}  # of parts of two points or more that are in no cluster
+    fallen, fell = array("q", [0]) * n, array("d", [0.0]) * n
     parent: dict[int, int] = {}
     birth: dict[int, float] = {}
     total: dict[int, int] = {}
     children: dict[int, list[int]] = {}
-    for w, a, b in sorted(edges):
-        x, y = parts.of(a), parts.of(b)
-        x, y = (x, y) if (size[x], -x) >= (size[y], -y) else (y, x)
-        cx, cy, lam, n = cluster[x], cluster[y], density(w), size[x] + size[y]
-        now = cx
-        if (cx and cy) or (not cx and n >= least):
-            now = len(children) + 1
-            children[now] = [c for c in (cx, cy) if c]
-            for c in children[now]:
-                parent[c], birth[c] = now, lam
-        if now:
-            for p in [*([] if cx else members[x]), *([] if cy else members[y])]:
-                fallen[p] = (now, lam)
-            total[now] = n
-        parts.join(a, b)
-        z = parts.of(a)
-        members[z] = [] if now else members[x] + members[y]
-        size[z], cluster[z] = n, now
+    for at in range(0, n - 1, 1 << 16):
+        some = order[at : at + (1 << 16)]
+        for a, b, each in zip(lo[some].tolist(), hi[some].tolist(), w[some].tolist()):
+            x, y = parts.of(a), parts.of(b)
+            cx, cy, lam, both = cluster[x], cluster[y], density(each), size[x] + size[y]
+            if cy and not cx:
+                x, y, cx, cy = y, x, cy, cx
+            now = cx
+            if (cx and cy) or (not cx and both >= least):
+                now = len(children) + 1
+                children[now] = [c for c in (min(cx, cy), max(cx, cy)) if c]
+                for c in children[now]:
+                    parent[c], birth[c] = now, lam
+            held = [*([] if cx else members.pop(x, [x])), *([] if cy else members.pop(y, [y]))]
+            if now:
+                total[now] = both
+                for p in held:
+                    fallen[p], fell[p] = now, lam
+            z = parts.join(x, y)
+            size[z], cluster[z] = both, now
+            if not now:
+                members[z] = held
+    fallen, fell = np.array(fallen), np.array(fell)
     root = len(children)
     if root:
         parent[root], birth[root] = root, 0.0
-    mass, top, least_point = dict.fromkeys(children, 0.0), dict.fromkeys(children, 0.0), dict.fromkeys(children, max(ids, default=0))
-    for p, (c, lam) in sorted(fallen.items()):
-        mass[c] += lam - birth[c]
-        top[c], least_point[c] = max(top[c], lam), min(least_point[c], p)
+    known = np.array([0.0, *[birth[c] for c in children]])
+    some = np.flatnonzero(fallen)
+    sums, tops, firsts = np.zeros(root + 1), np.zeros(root + 1), np.full(root + 1, n)
+    np.add.at(sums, fallen[some], fell[some] - known[fallen[some]])
+    np.maximum.at(tops, fallen[some], fell[some])
+    np.minimum.at(firsts, fallen[some], some)
+    mass, top, least_point = (dict(enumerate(x.tolist())) for x in (sums, tops, firsts))
     for c in children:
         for k in children[c]:
             mass[c] += total[k] * (birth[k] - birth[c])
@@ -177,31 +396,38 @@ def condense(edges: list[tuple[float, int, int]], ids: list[int], least: int = L
         (c, parent[c], birth[c], total[c], mass[c], mass[c] / (total[c] * highest) if highest else 1.0, label.get(above[c], -1), top[above[c] or c], above[c] == c)
         for c in children
     ]
-    return [(p, c, lam) for p, (c, lam) in sorted(fallen.items())], clusters
+    return fallen, fell, clusters
 
 
 CLUSTERS = "cluster int, parent int, birth double, size long, stability double, persistence double, label int, max_lambda double, chosen boolean"
 
 
-def fit_tree(points: DataFrame, samples: int, least: int = LEAST, most: int = TREE_ROWS) -> tuple[DataFrame, DataFrame]:
-    """The stored model of points (id, v): (id, v, core, cluster, lambda) and its clusters."""
-    own = checkpointed(with_core(points, samples))
-    edges = spanning_tree(own, most)
-    at, clusters = condense(edges, [r.id for r in own.select("id").collect()], least)
-    spark = points.sparkSession
-    fallen = spark.createDataFrame(at, "id long, cluster int, lambda double")
-    return checkpointed(own.join(fallen, "id", "left")), checkpointed(spark.createDataFrame(clusters, CLUSTERS))
+def fit_tree(points: DataFrame, samples: int, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    """The stored model of points (id, v), any number of them: (id, v, core, cluster, lambda) and its clusters.
 
+    Edges are condensed one after the other, so in one task, which holds numbers of all edges and no vectors.
+    """
+    own = checkpointed(with_core(points, samples))
 
-def paths(clusters: DataFrame) -> DataFrame:
-    """(cluster, path): each cluster and those above it up to the root, by doubling the part of the way that is known."""
-    step = F.struct("cluster", "birth", "label", "max_lambda", (F.col("cluster") == F.col("parent")).alias("root"))
-    now = checkpointed(clusters.select("cluster", F.array(step).alias("path"), F.when(F.col("parent") != F.col("cluster"), F.col("parent")).alias("up")))
-    while not now.where("up IS NOT NULL").isEmpty():
-        more = now.select(F.col("cluster").alias("up"), F.col("path").alias("_more"), F.col("up").alias("_up"))
-        joined = now.join(more, "up", "left").select("cluster", F.when(F.col("_more").isNull(), F.col("path")).otherwise(F.concat("path", "_more")).alias("path"), F.col("_up").alias("up"))
-        now = checkpointed(joined)
-    return now.select("cluster", "path")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches, pa.schema([("a", pa.int64()), ("b", pa.int64()), ("w", pa.float64())]))
+        a, b, w = (c.to_numpy() for c in t.columns)
+        ids = np.unique(np.concatenate([a, b]))
+        at, lam, clusters = condensed(len(ids), np.searchsorted(ids, a), np.searchsorted(ids, b), w, least)
+        some = np.flatnonzero(at)
+        fallen = pa.table({"id": ids[some], "cluster": pa.array(at[some], pa.int32()), "lambda": lam[some]})
+        columns = zip(*clusters) if clusters else [[]] * len(kinds)
+        made = pa.table({name: pa.array(c, kind) for (name, kind), c in zip(kinds.items(), columns)})
+        for part in (fallen, made):
+            part = pa.table({f.name: part.column(f.name) if f.name in part.column_names else pa.nulls(part.num_rows, f.type) for f in whole})
+            yield from part.to_batches(max_chunksize=1 << 16)
+
+    kinds = dict(zip([c.split()[0] for c in CLUSTERS.split(", ")], [pa.int32()] * 2 + [pa.float64(), pa.int64()] + [pa.float64()] * 2 + [pa.int32(), pa.float64(), pa.bool_()]))
+    whole = pa.schema([("id", pa.int64()), ("lambda", pa.float64()), *kinds.items()])
+    found = checkpointed(tree_edges(own).coalesce(1).mapInArrow(run, f"id long, lambda double, {CLUSTERS}"))
+    fallen = found.where("id IS NOT NULL").select("id", "cluster", "lambda")
+    clusters = found.where("id IS NULL").select(*kinds)
+    return checkpointed(own.join(fallen, "id", "left")), checkpointed(clusters)
 
 
 def predict(queries: DataFrame, points: DataFrame, clusters: DataFrame, samples: int, index: balls.Index | None = None) -> DataFrame:
@@ -220,12 +446,13 @@ def predict(queries: DataFrame, points: DataFrame, clusters: DataFrame, samples:
     reach = F.transform("near", lambda x: F.struct(F.greatest(x["distance"], x["core"], F.col("own")).alias("w"), x["place"].alias("place"), x["cluster"].alias("cluster"), x["lambda"].alias("lambda")))
     best = of_query.select("q", F.array_min(reach).alias("b")).select("q", "b.*")
     lam = F.when(F.col("w") > 0, 1 / F.col("w")).otherwise(F.lit(float(np.finfo(np.float64).max)))
-    climbed = best.withColumn("lam", lam).join(paths(clusters), "cluster", "left")
-    stays = lambda x: x["root"] | (x["birth"] < F.col("lam"))
-    at = F.when(F.col("lambda") > F.col("lam"), F.try_element_at(F.filter("path", stays), F.lit(1))).otherwise(F.try_element_at("path", F.lit(1)))
-    out = climbed.select("q", "lam", at.alias("c"))
-    label = F.coalesce("c.label", F.lit(-1))
-    share = F.when(F.col("c.max_lambda") > 0, F.least("c.max_lambda", "lam") / F.col("c.max_lambda")).otherwise(1.0)
+    # all clusters within a chosen one share its label; whoever climbs ends there, or above, where nothing is chosen
+    chosen = clusters.where("chosen").select("label", F.col("birth").alias("_born"))
+    told = clusters.join(chosen, "label").select("cluster", "label", "max_lambda", "_born")
+    out = best.withColumn("lam", lam).join(told, "cluster", "left")
+    leaves = (F.col("lambda") > F.col("lam")) & (F.col("_born") >= F.col("lam"))
+    label = F.when(leaves, -1).otherwise(F.coalesce("label", F.lit(-1)))
+    share = F.when(F.col("max_lambda") > 0, F.least("max_lambda", "lam") / F.col("max_lambda")).otherwise(1.0)
     return out.select("q", label.cast("int").alias("cluster_label"), F.when(label >= 0, share).otherwise(0.0).alias("cluster_probability"))
 
 

@@ -7,12 +7,13 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import balls, density, sampling
+from ..operators import balls, density
+from ..sources.checkpoint import checkpointed
 from ..sources.scan import table
 from .named import named
 
-#: Of the fit: every fifth row, core distances by the fifth point.
-_FIT, _SAMPLES = "vec_id % 5 = 0", 5
+#: Core distances of the fit are those of the fifth point.
+_SAMPLES = 5
 
 
 def _apart_sql(a: str, b: str) -> str:
@@ -20,22 +21,22 @@ def _apart_sql(a: str, b: str) -> str:
 
 
 #: The least spanning tree by growing it point by point, in DuckDB's SQL.
-_TREE_SQL = f"""f AS (SELECT vec_id AS id, embedding AS v FROM embeddings WHERE {_FIT}),
+_TREE_SQL = f"""f AS (SELECT vec_id AS id, embedding AS v FROM embeddings),
 ff AS (SELECT a.id AS a, b.id AS b, {_apart_sql('a.v', 'b.v')} AS d FROM f a JOIN f b ON true),
 core AS (SELECT id, d AS core FROM (SELECT a AS id, d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM ff) WHERE r = {_SAMPLES}),
-w AS (SELECT a, b, greatest(d, x.core, y.core) AS w FROM ff JOIN core x ON a = x.id JOIN core y ON b = y.id WHERE a <> b),
+w AS MATERIALIZED (SELECT a, b, greatest(d, x.core, y.core) AS w FROM ff JOIN core x ON a = x.id JOIN core y ON b = y.id WHERE a <> b),
 grown AS (
   SELECT 0 AS k, [min(id)] AS seen, CAST(NULL AS DOUBLE) AS w, CAST(NULL AS BIGINT) AS lo, CAST(NULL AS BIGINT) AS hi FROM f
   UNION ALL
   SELECT k + 1, list_append(seen, b), w, least(a, b), greatest(a, b) FROM (
     SELECT k, any_value(seen) AS seen, arg_min(w.a, (w.w, least(a, b), greatest(a, b))) AS a, arg_min(w.b, (w.w, least(a, b), greatest(a, b))) AS b, min(w.w) AS w
     FROM grown JOIN w ON list_contains(seen, w.a) AND NOT list_contains(seen, w.b) GROUP BY k)
-), tree AS (SELECT row_number() OVER (ORDER BY w, lo, hi) AS i, w, lo, hi, 1 / w AS lam FROM grown WHERE k > 0)"""
+), tree AS MATERIALIZED (SELECT row_number() OVER (ORDER BY w, lo, hi) AS i, w, lo, hi, 1 / w AS lam FROM grown WHERE k > 0)"""
 
 #: The condensed tree, by joining parts from the lightest edge on.
 _CONDENSED_SQL = f"""{_TREE_SQL},
 own AS (SELECT list(id ORDER BY id) AS ids FROM f),
-places AS (SELECT i, lam, CAST(list_position(ids, lo) AS BIGINT) AS a, CAST(list_position(ids, hi) AS BIGINT) AS b FROM tree, own),
+places AS MATERIALIZED (SELECT i, lam, CAST(list_position(ids, lo) AS BIGINT) AS a, CAST(list_position(ids, hi) AS BIGINT) AS b FROM tree, own),
 joined AS (
   SELECT CAST(0 AS BIGINT) AS i, range(1, len(ids) + 1) AS part, list_transform(ids, lambda x: CAST(0 AS BIGINT)) AS cl, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS before,
     CAST(0 AS BIGINT) AS x, CAST(0 AS BIGINT) AS y, CAST(0 AS BIGINT) AS cx, CAST(0 AS BIGINT) AS cy, CAST(0 AS BIGINT) AS cluster, CAST(0 AS DOUBLE) AS lam FROM own
@@ -70,22 +71,16 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balls.as_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "id")
 
 
-def _fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fifth row, which is at most TREE_ROWS: beyond that those whose keys hash lowest."""
-    return sampling.exact_sample(_vectors(spark, sf_dir).where(_FIT.replace("vec_id", "id")), ["id"], density.TREE_ROWS, 0)
-
-
 @named(f"WITH RECURSIVE {_TREE_SQL} SELECT lo AS a, hi AS b, w FROM tree")
 def spanning_tree(spark, sf_dir):
     """Edges of the least spanning tree of mutual reachability."""
-    edges = density.spanning_tree(density.with_core(_fit(spark, sf_dir), _SAMPLES))
-    return spark.createDataFrame([(a, b, w) for w, a, b in edges], "a long, b long, w double")
+    return density.tree_edges(checkpointed(density.with_core(_vectors(spark, sf_dir), _SAMPLES)))
 
 
 @named(f"WITH RECURSIVE {_CONDENSED_SQL} SELECT cluster, parent, round(birth, 6) AS birth, size, round(mass, 4) AS stability, round(persistence, 6) AS persistence, label, round(max_lambda, 6) AS max_lambda, chosen FROM clusters")
 def condensed_tree(spark, sf_dir):
     """Clusters of the condensed tree, with mass, persistence and those that are chosen."""
-    _, clusters = density.fit_tree(_fit(spark, sf_dir), _SAMPLES)
+    _, clusters = density.fit_tree(_vectors(spark, sf_dir), _SAMPLES)
     long = [F.col(c).cast("long").alias(c) for c in ("cluster", "parent", "size", "label")]
     rounded = [F.round(c, n).alias(c) for c, n in (("birth", 6), ("stability", 4), ("persistence", 6), ("max_lambda", 6))]
     return clusters.select(*long, *rounded, "chosen")
@@ -101,8 +96,8 @@ s AS (SELECT q, any_value(c.lam) AS lam, min(above) AS cluster FROM c JOIN up US
 SELECT q AS vec_id, CAST(label AS INT) AS cluster_label, CASE WHEN label >= 0 THEN round(least(max_lambda, lam) / max_lambda, 4) ELSE 0 END AS cluster_probability FROM s JOIN clusters USING (cluster)"""
 )
 def predict_clusters(spark, sf_dir):
-    """Labels of all rows by the condensed tree of a fifth of them, which lies in a stored table."""
-    points, clusters = density.fit_tree(_fit(spark, sf_dir), _SAMPLES)
+    """Labels of all rows by the condensed tree of all, which lies in a stored table."""
+    points, clusters = density.fit_tree(_vectors(spark, sf_dir), _SAMPLES)
     queries = _vectors(spark, sf_dir).withColumnRenamed("id", "q")
     out = density.predict(queries, points, clusters, _SAMPLES)
     return out.select(F.col("q").alias("vec_id"), "cluster_label", F.round("cluster_probability", 4).alias("cluster_probability"))
